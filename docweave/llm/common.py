@@ -17,22 +17,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage with checkpoint(), in the shared folder that the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share.
 
-    Only a local session may lack spark.checkpoint.dir; it then gets a temporary folder.
+    Only a local session may lack the setting; it then gets a temporary folder.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and not sc.getCheckpointDir():
-        if not sc.master.startswith("local[") and sc.master != "local":
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not sc.getCheckpointDir():
+        if not folder and not sc.master.startswith("local[") and sc.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="docweave-"))
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="docweave-"))
+    return folder or sc.getCheckpointDir()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut the lineage with checkpoint(), in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def row_key(*cols: Column) -> Column:
+    """A digest that rows share if they agree in all these columns, nulls included."""
+    return F.md5(F.concat_ws("\x01", *[F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("")) for c in cols]))
+
+
 def one_space(text: Column) -> Column:
     """Each run of white space as one blank; null as empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), ODD_WS, " ")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, one_space
+from .common import materialise, one_space, row_key
 
 PREFIX_CHARS = 256
 #: Up to this many (length, prefix hash) keys, 16 bytes each, are broadcast.
@@ -66,10 +66,10 @@ def exact_dedup(
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col, digest_all=True).filter("kept").select(F.col("doc_id").alias("__i"), F.col("text_sha256").alias("__h"))
-    tagged = docs.withColumns({"__i": F.col(id_col), "__h": F.sha2(one_space(F.col(text_col)), 256)})
-    met = tagged.alias("a").join(kept.alias("b"), F.col("a.__i").eqNullSafe(F.col("b.__i")) & (F.col("a.__h") == F.col("b.__h")), "left_semi")
-    return met.dropDuplicates(["__i", "__h"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = exact_dedup(docs, id_col, text_col, digest_all=True).filter("kept").select(row_key(F.col("doc_id"), F.col("text_sha256")).alias("k"))
+    own = row_key(F.col(id_col), F.sha2(one_space(F.col(text_col)), 256))
+    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), own.alias("k"))
+    return tagged.join(kept, "k", "left_semi").dropDuplicates(["k"]).select("row.*")
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:

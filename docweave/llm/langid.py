@@ -7,8 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import crc32_mod
 
@@ -98,13 +100,13 @@ def fit_languages(labelled: DataFrame, text_col: str = "text", lang_col: str = "
     of fixed size. The list of languages is on the driver.
     """
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL").filter(F.col("text").rlike(r"\p{L}"))
-    keyed = rows.withColumn("key", F.xxhash64("text", F.lit(3)))
+    keyed = rows.withColumn("key", F.shiftrightunsigned(F.xxhash64("text", F.lit(3)), 2))
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)
     if not langs:
         return LanguageModel([], np.zeros((0, 1)), np.zeros((DIM + 1, 1)), np.zeros(1))
     per_lang = max(1, min(per_lang, SAMPLE // len(langs)))
-    cut = {k: -(2**63) + int(min(1.0, 1.5 * (per_lang + 20) / counts[k]) * (2**64 - 1)) for k in langs}
+    cut = {k: int(min(1.0, 1.5 * (per_lang + 20) / counts[k]) * 2**62) for k in langs}
     share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(cut[k]))])
     bounded = keyed.filter(F.col("key") <= F.element_at(share, F.col("lang"))).groupBy("lang", "key").agg(F.min("text").alias("text"))
 
@@ -136,14 +138,27 @@ def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
     Null texts and texts without letters give ``und``, score 0, ambiguous. The model (DIM x bits
     of float64, about 0.25 MB at 7 bits) is the only thing sent to the tasks.
     """
+    rows = _judged(docs.select(F.struct(F.col(id_col).alias("doc_id")).alias("row"), F.col(text_col).alias("text")), model)
+    return rows.select("row.doc_id", "lang_pred", "score", "ambiguous")
 
-    def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is one of the model's and not ambiguous."""
+    rows = _judged(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text")), model)
+    return rows.filter((F.col("lang_pred") != UND) & ~F.col("ambiguous")).select("row.*")
+
+
+def _judged(rows: DataFrame, model: LanguageModel) -> DataFrame:
+    """``rows`` (row, text) with predictions; other columns pass in Arrow, as they are."""
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            said = model.predict(list(b.text))
-            yield pd.DataFrame({"doc_id": b.doc_id, "lang_pred": [s[0] for s in said], "score": [s[1] for s in said], "ambiguous": [s[2] for s in said]})
+            said = model.predict(b.column(1).to_pylist())
+            new = [pa.array([s[k] for s in said], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *new], names=["row", "lang_pred", "score", "ambiguous"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(judged, f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")
+    schema = T.StructType([rows.schema["row"]]).add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
+    return rows.mapInArrow(judged, schema)
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, word_count
+from .common import materialise, row_key, word_count
 
 #: The golden ratio's share of 2**40, made odd: k * GOLDEN mod 2**40 visits every value once.
 GOLDEN = 679_544_700_467 | 1
@@ -50,8 +50,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """A mix of all documents in which each source has its target share of words.
 
     Returns (mix, sized). ``mix`` is the schedule joined to the blocks: slot, source, epoch,
-    block, doc_key, doc_id, first_word, n_words: the words each slot takes, in slot order.
-    ``sized`` has a row per row of ``docs``: doc_key, doc_id, source, size, source_size, target.
+    block, doc_key, doc_id, first_word, n_words: the words that each slot takes.
+    ``sized`` has a row per row of ``docs``: doc_key, doc_id, key (of id, text and source),
+    source, size, source_size, target. doc_key is unique within a source.
 
     Slot k is the point k * golden ratio mod 1. The points are mapped through the cumulative
     targets to sources; the rank of a slot among its source's slots names the block it takes.
@@ -65,9 +66,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     base = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), _key(id_col, text_col, source_col).alias("key")
     )
-    base = materialise(base.withColumn("h", F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size")))
+    base = materialise(base.withColumn("h", F.xxhash64(F.lit(seed), F.col("key"))))
     total = base.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
     block = max(1, min(BLOCK_WORDS, total.words // SLOTS))
     slots = -(-total.words // block)
@@ -76,7 +77,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # Positions: running sums of runs (source, part of the hash), then within each run.
     placed = base.withColumn("run", F.shiftrightunsigned("h", 33) * F.lit(runs) / F.lit(1 << 31)).withColumn("run", F.floor("run"))
-    in_run = Window.partitionBy("source", "run").orderBy("h", "doc_id", "size")
+    in_run = Window.partitionBy("source", "run").orderBy("h", "key")
     placed = placed.withColumns({
         "pos": F.row_number().over(in_run),
         "at": F.sum("size").over(in_run.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"),
@@ -87,7 +88,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = _join_null_safe(placed, starts, ["source", "run"])
     placed = placed.withColumns({"start": F.col("at") + F.col("base"), "doc_key": F.struct("run", "pos")})
     placed = _join_null_safe(placed, targets.select("source", "source_size", "target"), ["source"])
-    placed = materialise(placed.select("doc_key", "doc_id", "source", "size", "source_size", "target", "start"))
+    placed = materialise(placed.select("doc_key", "doc_id", "key", "source", "size", "source_size", "target", "start"))
 
     # Pieces of documents in blocks.
     b = F.lit(block)
@@ -127,13 +128,29 @@ def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
     return left.join(r, on).drop(*[f"{c}__r" for c in keys])
 
 
+def _key(id_col: str, text_col: str, source_col: str):
+    return row_key(F.col(id_col), F.col(source_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+
+
 def taken_words(docs: DataFrame, **columns) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken."""
+    """One row per document: doc_id, key, size, source_size, target, taken."""
     mix, sized = mix_sources(docs, **columns)
     per = mix.groupBy("source", "doc_key").agg(F.sum("n_words").alias("taken")).select(F.col("source").alias("s"), F.col("doc_key").alias("k"), "taken")
     out = sized.join(per, F.col("source").eqNullSafe(F.col("s")) & (F.col("doc_key") == F.col("k")), "left")
-    return out.select("doc_id", F.coalesce("size", F.lit(0)).cast("long").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "key", F.coalesce("size", F.lit(0)).cast("long").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes its words, to the nearest whole number.
+
+    Only documents that a border of the schedule cuts are rounded: about two a source.
+    """
+    taken = taken_words(docs, id_col=id_col, text_col=text_col, source_col=source_col)
+    times = taken.filter("taken > 0").groupBy("key").agg(F.sum(F.round(F.col("taken") / F.col("size"))).cast("int").alias("times")).filter("times > 0")
+    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key(id_col, text_col, source_col).alias("key"))
+    met = tagged.dropDuplicates(["key"]).join(times, "key")
+    return met.select("row", F.explode(F.sequence(F.lit(1), "times")).alias("copy")).select("row.*")
 
 
 def op9_mix_sources(spark, sf_dir: str) -> DataFrame:
-    return taken_words(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return taken_words(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("key")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, row_key
 
 SHINGLE, SEED, BITS, DISTANCE = 3, 42, 64, 3
 #: A bucket of more fingerprints than this is split by further bits instead of being indexed by one task.
@@ -40,14 +40,19 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long), a row per row of ``docs``."""
+    """doc_id, key, fp (the 64 bits as a signed long), a row per row of ``docs``; key stands for id and text."""
 
     def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b.doc_id, "fp": np.array([fingerprint(t) for t in b.text], np.uint64).view(np.int64)})
+            yield pd.DataFrame({"doc_id": b.doc_id, "key": b.key, "fp": np.array([fingerprint(t) for t in b.text], np.uint64).view(np.int64)})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(marked, f"doc_id {kind}, fp long")
+    own = _key(F.col(id_col), F.col(text_col))
+    return docs.select(F.col(id_col).alias("doc_id"), own.alias("key"), F.col(text_col).alias("text")).mapInPandas(marked, f"doc_id {kind}, key string, fp long")
+
+
+def _key(doc_id: Column, text: Column) -> Column:
+    return row_key(doc_id, F.xxhash64(F.coalesce(text, F.lit(""))))
 
 
 def gray_rank(fp: Column) -> Column:
@@ -135,7 +140,7 @@ def link_fingerprints(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     to the next level, where a run of the bits that are still free is added to what a bucket
     shares, by the same argument without loss. After a few levels too few bits are left for a
     bucket to be larger. Within a bucket, near_links() follows the index; links found are at
-    most one a fingerprint and bucket.
+    most one a fingerprint and bucket. ``bucket`` is 16 or more.
     """
     spark = fps.sparkSession
 
@@ -165,7 +170,7 @@ def link_fingerprints(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
         finer = {m: _split(m) for m in masks}
         to = F.coalesce(*[F.when(F.col("mask") == _signed(m), F.array(*[F.lit(_signed(x)).cast("long") for x in xs])) for m, xs in finer.items()])
         rows = rows.select("fp", F.explode(to).alias("mask")).withColumn("val", F.col("fp").bitwiseAND(F.col("mask")))
-        if rows is not None and len(masks) > 1:
+        if len(masks) > 1:
             rows = rows.distinct()
         masks = sorted({x for xs in finer.values() for x in xs})
         hot = materialise(rows.groupBy("mask", "val").agg(F.count("*").alias("n")).filter(F.col("n") > bucket).select("mask", "val"))
@@ -205,7 +210,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
-    """doc_id, fp and component_id (least id reachable over links), a row per row of ``docs``.
+    """doc_id, key, fp and component_id (least id reachable over links), a row per row of ``docs``.
 
     Fingerprints at DISTANCE or fewer differing bits are linked; equal ones are one node from
     the start, so copies cost nothing in the index. Null, empty and blank texts have fingerprint
@@ -219,7 +224,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Only linked nodes, and those that they lead to, can have another's id.
     ids = named.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
     per = named.join(ids, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
-    return marked.join(per, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+    return marked.join(per, F.col("fp") == F.col("f")).select("doc_id", "key", "fp", "component_id")
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each group of near copies the row of the smallest id, with all its columns."""
+    near = near_duplicates(docs, id_col, text_col)
+    group = F.when(F.col("component_id").isNull(), F.col("fp").cast("string")).otherwise(F.col("component_id").cast("string"))
+    kept = near.groupBy(group.alias("g")).agg(F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("k")).select("k")
+    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key(F.col(id_col), F.col(text_col)).alias("k"))
+    return tagged.join(kept, "k", "left_semi").dropDuplicates(["k"]).select("row.*")
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
