@@ -8,18 +8,22 @@ from .langid import op3_language_id
 from .licenses import OP4_SQL, op4_license_scan
 from .mixing import op9_mix_sources
 from .quality_rules import op10_quality_rules
+from .quality_mil import op8_quality_mil
 from .secrets import op2_secret_scan
 from .simhash import op7_simhash
+from .suffix_dedup import op1_suffix_dedup
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_suffix_dedup,
         op2_secret_scan,
         op3_language_id,
         op4_license_scan,
         op5_exact_dedup,
         op6_bpe_round_trip,
         op7_simhash,
+        op8_quality_mil,
         op9_mix_sources,
         op10_quality_rules,
     )
