@@ -12,8 +12,10 @@ from .common import WS, let, materialise, words
 EM_ROUNDS = 25
 #: Documents of a posterior below this are dropped.
 KEEP_AT = 0.5
-#: Start of EM: share of good documents, and odds that a vote is right.
-PRIOR, TRUST = 0.5, 0.9
+#: Start of EM: share of good documents, and how often a rule abstains, votes bad and votes good on either
+#: kind. Defects are rarer in good documents than merits in bad ones, so a bad vote begins with more weight.
+PRIOR = 0.5
+START = {"good": {-1: 0.30, 0: 0.02, 1: 0.68}, "bad": {-1: 0.30, 0: 0.40, 1: 0.30}}
 
 
 def _repeat_words(w: Column) -> Column:
@@ -77,15 +79,14 @@ def text_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def votes() -> dict[str, Column]:
-    """Each rule's vote on the measures: 1 good, 0 bad, null abstains."""
+    """Each rule's vote on the measures: 1 good, 0 bad, null abstains. Two see merits, the others a defect each."""
     n, c = F.col("n_words"), F.col
     good = lambda x: F.when(x, F.lit(1)).cast("int")
     bad = lambda x: F.when(x, F.lit(0)).cast("int")
     return {
-        "long": good(n >= 100),
         "plain": good((20 * c("n_symbols") <= n) & (20 * c("n_marks") <= n) & (5 * c("n_upper") <= c("word_chars"))),
         "varied": good((20 * c("n_repeat_words") <= 3 * n) & (5 * c("n_dup_lines") <= c("n_lines"))),
-        "word_length": F.when((c("word_chars") < 2 * n) | (c("word_chars") > 20 * n), F.lit(0)).when((c("word_chars") >= 3 * n) & (c("word_chars") <= 12 * n), F.lit(1)).cast("int"),
+        "word_length": bad((c("word_chars") < 2 * n) | (c("word_chars") > 20 * n)),
         "symbols": bad(10 * c("n_symbols") > n),
         "marks": bad(4 * c("n_marks") > n),
         "capitals": bad(10 * c("n_upper") > 3 * c("word_chars")),
@@ -108,9 +109,8 @@ def fit_rules(voted: DataFrame, names: list[str], rounds: int = EM_ROUNDS) -> di
     counted = voted.groupBy(pattern.alias("cells")).agg(F.count("*").cast("double").alias("n"))
     rows = counted.agg(F.sort_array(F.collect_list(F.struct("cells", "n"))).alias("patterns"))
 
-    def start(good: bool):
-        p = {-1: 0.2, 1: 0.8 * (TRUST if good else 1 - TRUST), 0: 0.8 * ((1 - TRUST) if good else TRUST)}
-        return F.array(*[F.lit(math.log(p[v])) for _, v in cells])
+    def start(kind: str):
+        return F.array(*[F.lit(math.log(START[kind][v])) for _, v in cells])
 
     def posterior(state, x):
         side = lambda side: F.aggregate(x["cells"], F.lit(0.0), lambda a, i: a + F.get(state[side], i))
@@ -136,7 +136,7 @@ def fit_rules(voted: DataFrame, names: list[str], rounds: int = EM_ROUNDS) -> di
         soft = F.transform(patterns, lambda x: F.struct(x["cells"].alias("cells"), x["n"].alias("n"), (x["n"] * posterior(state, x)).alias("g")))
         return let(soft, update)
 
-    init = F.struct(F.lit(PRIOR).alias("prior"), start(True).alias("good"), start(False).alias("bad"))
+    init = F.struct(F.lit(PRIOR).alias("prior"), start("good").alias("good"), start("bad").alias("bad"))
     fitted = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), init, lambda s, _: step(s, F.col("patterns")))
     fit = rows.select(fitted.alias("fit")).first()["fit"]
     return {"prior": fit["prior"], "weights": {names[r]: {v: fit["good"][index[r, v]] - fit["bad"][index[r, v]] for v in (-1, 0, 1)} for r in range(len(names))}}
