@@ -186,7 +186,7 @@ def _(d):
     return d.select("o_orderkey", is_ok(s).alias("ok"), is_terminal(s).alias("terminal"))
 
 
-@_q("F05_F07_review_filters", "SELECT event_id, event_type FROM events WHERE event_type = 'error' AND event_id % 2 = 0", "events")
+@_q("F05_F06_F07_review_filters", "SELECT event_id, event_type FROM events WHERE event_type = 'error' AND event_id % 2 = 0", "events")
 def _(d):
     return d.filter((F.upper("event_type").isin("ERROR")) & F.when(F.col("event_id") % 2 == 0, True).eqNullSafe(F.lit(True))).select("event_id", "event_type")
 

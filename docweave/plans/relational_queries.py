@@ -268,7 +268,7 @@ def _(d):
     return d.agg(F.countDistinct("doc_id").alias("docs"), F.count("*").alias("chunks"), F.sum(F.when(F.col("lang") == "en", F.col("n_chars"))).alias("en_chars"), F.count_if(F.col("n_chars") > 1000).alias("long"))
 
 
-@_q("I07_J01_J04_consistency", """
+@_q("I07_J01_J02_J04_consistency", """
 SELECT count(*) AS n_rows, count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS all_default, count(*) FILTER (WHERE quality = 1 AND doc_id % 2 = 0) AS evidenceless, count(*) FILTER (WHERE quality = 1 AND doc_id % 2 = 1) AS verified FROM labels""", "labels")
 def _(lb):
     k = F.col("doc_id") % 2

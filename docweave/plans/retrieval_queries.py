@@ -46,7 +46,7 @@ r AS (SELECT *, {_SCORE} AS score FROM s WHERE p),
 k AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ordinal) AS INTEGER) AS rank, {_SANE} AS sane FROM r)
 SELECT doc_id, ordinal, round(score, 6) AS score, rank, total, keyword_hits, CASE WHEN length(sane) > 700 THEN regexp_replace(sane[:699], '[ \\t\\n\\r\\f\\x0B]+$', '') || '…' ELSE sane END AS text FROM k WHERE rank <= 12"""
 
-QUERIES["L01_L06_K01_retrieval"] = (retrieval, _SQL)
+QUERIES["L01_L05_L06_L10_L17_K01_retrieval"] = (retrieval, _SQL)
 
 
 def _q(name, sql, source="documents"):
@@ -57,7 +57,7 @@ def _q(name, sql, source="documents"):
     return add
 
 
-@_q("E04_chunks", f"{_LINES} SELECT doc_id, ordinal, md5(text) AS digest, keyword_hit FROM h")
+@_q("E03_E04_chunks", f"{_LINES} SELECT doc_id, ordinal, md5(text) AS digest, keyword_hit FROM h")
 def _(d):
     return tagged_chunks(d).select("doc_id", "ordinal", F.md5("text").alias("digest"), "keyword_hit")
 

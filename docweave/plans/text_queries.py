@@ -106,7 +106,7 @@ def _overlap(k):
     return f"len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in dict.fromkeys(X.COMMON_WORDS[k]))})))"
 
 
-@_q("D21_detect_language", f"""
+@_q("D21_D22_detect_language", f"""
 SELECT doc_id, CASE WHEN greatest(en, fr, es) <= 1 THEN 'unknown' WHEN en = greatest(en, fr, es) THEN 'en' WHEN fr = greatest(en, fr, es) THEN 'fr' ELSE 'es' END AS guess, lang
 FROM (SELECT doc_id, lang, {_overlap('en')} AS en, {_overlap('fr')} AS fr, {_overlap('es')} AS es
       FROM (SELECT doc_id, lang, list_distinct(list_transform(regexp_extract_all(text, '[a-zA-Zàâéèêëîïôùûüç]{{3,}}'), lambda x: lower(x))) AS w FROM documents))""")

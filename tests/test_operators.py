@@ -250,9 +250,24 @@ def test_schema_helpers():
     assert ("supply_chain" in dict(P.keyword_rules("tariff on lumber"))) is True
     assert P.row_type([{"name": "a", "type": "integer|null"}]).simpleString() == "struct<a:bigint>"
     assert P.import_columns({"properties": {"a": {"type": "str", "enum": [1, 2]}}})[0]["extraction_instruction"] == "Allowed values: 1, 2."
+    assert [c["name"] for c in P.draft_schema("tariff on lumber")][0] == "tariff_mention"
+    assert [c["name"] for c in P.draft_schema("zzzz")] == ["relevant_passage", "context", "quantitative_value"]
     assert P.refinement_query([col], ["net_zero"], [], "t").startswith("Find the net zero")
 
 
+def test_prompt_fit():
+    render = lambda s, b: s["q"] + "".join(b)
+    assert len(M.fit_prompt({"q": "?"}, ["x" * 900] * 20, 3000, render, len)) <= 3000
+    assert M.fit_prompt({"q": "?"}, ["x" * 900], 50, render, len) == "?"
+    assert C.truncate("a " * 100, 40).endswith("limit ...]")
+
+
+def test_json_schema():
+    js = P.json_schema([{"name": "a", "type": "integer|null"}])
+    assert js["properties"]["a"]["type"] == ["integer", "null"]
+    assert js["required"] == ["a", "a_evidence_quote", "a_evidence_pages"]
+
+
 # Sinks
 
 

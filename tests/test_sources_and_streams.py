@@ -73,3 +73,18 @@ def test_file_events(spark, tmp_path):
     got = spark.table("files").collect()
     assert {r.key for r in got} == {"acme"}
     assert sorted(r.path.rsplit("/", 1)[1] for r in got) == ["a_en.pdf", "c.pdf"]
+
+
+def test_config(spark, tmp_path):
+    from docweave.sources import config as K
+
+    cfg = K.load_config('{"corpus_id": "c", "docs_dir": "/d", "run_id": "r", "other": 1}')
+    assert cfg.chunks == "/d/.docweave/c/r/chunks"
+    assert K.resolve("x/y", "/r", lambda p: True) == "/r/x/y"
+    assert K.resolve("x/y", "/r", lambda p: False) == "x/y"
+    (tmp_path / "a").mkdir()
+    for n in "ab":
+        (tmp_path / "a" / f"{n}.pdf").write_bytes(b"x")
+    assert K.acquire(spark, "local_folder", str(tmp_path), 1).first().filename == "a.pdf"
+    (tmp_path / "m.csv").write_text("doc_id\n1\n")
+    assert K.scan(spark, K.CorpusConfig("c", "/d", pattern="csv_manifest", manifest=str(tmp_path / "m.csv"))).count() == 1
