@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Write as Parquet in the shared folder and read again: smaller than a checkpoint, for many narrow rows."""
+    path = f"{shared_folder(df.sparkSession)}/docweave-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def row_key(*cols: Column) -> Column:
     """A digest that rows share if they agree in all these columns, nulls included."""
     return F.md5(F.concat_ws("\x01", *[F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("")) for c in cols]))

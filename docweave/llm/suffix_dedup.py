@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, row_key
+from .common import row_key, store
 
 WINDOW = 100
 K = 32
 #: Groups of up to this many different segments are sorted by one task; windows of larger ones are grouped by digest.
 GROUP = 2000
-#: Bytes that a task sorts at once.
-BATCH = 4 << 20
+#: Bytes that a task hashes or sorts at once.
+BATCH = 1 << 20
 #: A filter of anchors is broadcast up to this size, 12 bits an anchor; beyond, segments meet anchors in a join.
 FILTER_BYTES = 48 << 20
 
@@ -94,46 +94,64 @@ def segments(texts: list[bytes]) -> dict[str, np.ndarray]:
     return {"doc": doc, "start": s - (ends - lens)[doc], "n": count, "anchor": h[p], "content": content, "at": s}
 
 
-def suffix_array(x: np.ndarray) -> np.ndarray:
-    """Places of all suffixes of ``x`` (positive integers) in order, by the difference cover of 3."""
+def suffix_array(x: np.ndarray, needed: int | None = None) -> np.ndarray:
+    """Places of all suffixes of ``x`` (positive integers) in order, by the difference cover of 3.
+
+    With ``needed``, suffixes that agree in so many first places may stand in any order among themselves.
+    """
     n = len(x)
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: tuple(x[i:])), np.int64)
-    pad = np.concatenate((x.astype(np.int64), np.zeros(3, np.int64)))
-    top = int(pad.max()) + 1
+    top = int(x.max()) + 1
+    width = max(3, int(63 // np.log2(top + 1)))  # characters that fit one number
+    pad = np.concatenate((x.astype(np.int64), np.zeros(width + 3, np.int64)))
     i = np.arange(n + (n % 3 == 1))  # a sampled suffix of no characters where the cover needs it
     sample = np.concatenate((i[i % 3 == 1], i[i % 3 == 2]))
     # Sampled triples are sorted and named.
     if top < 2_000_000:
         key = (pad[sample] * top + pad[sample + 1]) * top + pad[sample + 2]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.concatenate(([1], key[order][1:] != key[order][:-1]))
     else:
         order = np.lexsort((pad[sample + 2], pad[sample + 1], pad[sample]))
         t = sample[order]
         new = np.concatenate(([1], (pad[t[1:]] != pad[t[:-1]]) | (pad[t[1:] + 1] != pad[t[:-1] + 1]) | (pad[t[1:] + 2] != pad[t[:-1] + 2])))
-    names = np.empty(len(sample), np.int64)
-    names[order] = np.cumsum(new)
     # Equal names are told apart by the order of the string of names.
-    order = suffix_array(names) if new.sum() < len(sample) else order
-    rank = np.zeros(n + 3, np.int64)
-    rank[sample[order]] = np.arange(1, len(sample) + 1)
+    if new.sum() < len(sample) and (needed is None or needed > 3):
+        names = np.empty(len(sample), np.int64)
+        names[order] = np.cumsum(new)
+        order = suffix_array(names, None if needed is None else -(-needed // 3) + 1)
     ranked = sample[order]
+    rank = np.zeros(n + 3, np.int64)
+    rank[ranked] = np.arange(1, len(sample) + 1)
     ranked = ranked[ranked < n]
     # The other suffixes: by their first character and the rank that follows.
     rest = np.arange(0, n, 3)
-    rest = rest[np.lexsort((rank[rest + 1], pad[rest]))]
-    # Merge: each of the others looks for its place among the sampled, by characters and ranks.
-    lo, hi = np.zeros(len(rest), np.int64), np.full(len(rest), len(ranked), np.int64)
-    while (open_ := lo < hi).any():
-        a, mid = rest[open_], (lo[open_] + hi[open_]) // 2
+    rest = rest[np.argsort(pad[rest] * (len(sample) + 1) + rank[rest + 1])]
+    # Merge: each of the others looks for its place among the sampled, by its first characters
+    # packed in a number, then, where those are equal, by characters and ranks.
+    if top < 2_000_000:
+        packed = pad[:n].copy()
+        for k in range(1, width):
+            packed *= top
+            packed += pad[k : n + k]
+        keys = packed[ranked]
+        lo, hi = np.searchsorted(keys, packed[rest], "left"), np.searchsorted(keys, packed[rest], "right")
+    else:
+        lo, hi = np.zeros(len(rest), np.int64), np.full(len(rest), len(ranked), np.int64)
+    todo = np.flatnonzero(lo < hi)
+    while len(todo):
+        a, mid = rest[todo], (lo[todo] + hi[todo]) // 2
         b = ranked[mid]
         one = b % 3 == 1
         a1, b1 = np.where(one, rank[a + 1], pad[a + 1]), np.where(one, rank[b + 1], pad[b + 1])
-        a2, b2 = np.where(one, 0, rank[a + 2]), np.where(one, 0, rank[b + 2])
-        less = (pad[b] < pad[a]) | (pad[b] == pad[a]) & ((b1 < a1) | (b1 == a1) & (b2 < a2))
-        lo[open_] = np.where(less, mid + 1, lo[open_])
-        hi[open_] = np.where(less, hi[open_], mid)
+        less = (pad[b] < pad[a]) | (pad[b] == pad[a]) & ((b1 < a1) | ~one & (b1 == a1) & (rank[b + 2] < rank[a + 2]))
+        lo[todo] = np.where(less, mid + 1, lo[todo])
+        hi[todo] = np.where(less, hi[todo], mid)
+        todo = todo[lo[todo] < hi[todo]]
+    if needed is not None:  # among equals, places may have crossed
+        by = np.argsort(lo, kind="stable")
+        rest, lo = rest[by], lo[by]
     out = np.empty(n, np.int64)
     place = lo + np.arange(len(rest))
     taken = np.zeros(n, bool)
@@ -151,7 +169,7 @@ def repeated_windows(texts: list[bytes], doc: np.ndarray, start: np.ndarray, n:
     mine = np.repeat(np.arange(len(texts)), n)
     off = np.arange(len(mine)) - np.repeat(np.cumsum(n) - n, n)
     seg[begin[mine] + off] = mine
-    sa = suffix_array(u.astype(np.int64) + 1)
+    sa = suffix_array(u.astype(np.int64) + 1, WINDOW)
     sa = sa[seg[sa] >= 0]
     views = np.lib.stride_tricks.sliding_window_view(u, WINDOW)
     same = np.zeros(len(sa), bool)
@@ -191,35 +209,48 @@ class AnchorFilter:
         return out
 
 
-def _filter_of(anchors: DataFrame, limit: int) -> AnchorFilter | None:
-    """A filter of the anchors, built by a few tasks; None where it would exceed ``limit`` bytes."""
-    n = anchors.count()
+def _occurrence(anchor: np.ndarray, content: np.ndarray, ident: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """A hash of one segment of one document."""
+    h = anchor.view(np.uint64) ^ (content.view(np.uint64) * _BASE)
+    h = (h ^ ident.view(np.uint64)) * _MIX
+    h = (h ^ (h >> np.uint64(31)) ^ pos.view(np.uint64)) * _BASE
+    return h ^ (h >> np.uint64(29))
+
+
+def _filter_of(rows: DataFrame, limit: int) -> AnchorFilter | None:
+    """A filter of the anchors, or of all four columns of segments; None where it would exceed ``limit`` bytes."""
+    n = rows.count()
     log2 = max(13, int(np.ceil(np.log2(max(1, n) * 12))))
     if (1 << log2) // 8 > limit:
         return None
+    whole = len(rows.columns) > 1
 
     def built(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = AnchorFilter(log2)
         for b in batches:
-            f.add(b.anchor.to_numpy().view(np.uint64))
+            f.add(_occurrence(*(b[c].to_numpy() for c in ("anchor", "content", "id", "pos"))) if whole else b.anchor.to_numpy().view(np.uint64))
         yield pd.DataFrame({"bits": [f.bits.tobytes()]})
 
-    parts = anchors.coalesce(4).mapInPandas(built, "bits binary").collect()
+    parts = rows.coalesce(4).mapInPandas(built, "bits binary").collect()
     bits = np.zeros(1 << (log2 - 3), np.uint8)
     for r in parts:
         bits |= np.frombuffer(r.bits, np.uint8)
     return AnchorFilter(log2, bits)
 
 
-def _scan(rows: DataFrame, wanted: AnchorFilter | None, what: str, schema: str) -> DataFrame:
-    """Segments of ``rows`` (id, key, text) that the filter lets pass. ``what``: anchors, segments or texts."""
+def _scan(rows: DataFrame, wanted: AnchorFilter | None, what: str) -> DataFrame:
+    """Segments of ``rows`` (id, key, text) that the filter lets pass: their anchors with counts, rows, or rows with bytes.
+
+    pos is the start times 256 plus the number of windows.
+    """
     send = rows.sparkSession.sparkContext.broadcast(wanted.bits) if wanted else None
     log2 = 64 - int(wanted.shift) if wanted else 0
+    schema = {"anchors": "anchor long, n long", "segments": _SEGMENT, "texts": _SEGMENT + ", bytes binary"}[what]
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = AnchorFilter(log2, send.value) if send else None
         for b in batches:
-            ids, keys = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
+            ids, keys = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
             texts = [(t or "").encode("utf-8") for t in b.column(2).to_pylist()]
             size = np.cumsum([len(t) for t in texts])
             lo = 0
@@ -227,17 +258,16 @@ def _scan(rows: DataFrame, wanted: AnchorFilter | None, what: str, schema: str)
                 hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + BATCH, "right")))
                 part = texts[lo:hi]
                 s = segments(part)
+                doc = s["doc"] + lo
+                out = {"anchor": s["anchor"].view(np.int64), "content": s["content"].view(np.int64), "id": ids[doc], "key": keys[doc], "pos": s["start"] * 256 + s["n"]}
                 if f is not None:
-                    keep = f.has(s["anchor"])
+                    keep = f.has(s["anchor"] if what == "segments" else _occurrence(*(out[c] for c in ("anchor", "content", "id", "pos"))))
+                    out = {k: v[keep] for k, v in out.items()}
                     s = {k: v[keep] for k, v in s.items()}
-                out = {"anchor": s["anchor"].view(np.int64)}
                 if what == "anchors":
-                    # Counts within a document are exact already; the sum over documents follows.
+                    # A document's, or a few documents', counts; their sum over all follows.
                     a, n = np.unique(out["anchor"], return_counts=True)
                     out = {"anchor": a, "n": n}
-                else:
-                    doc = s["doc"] + lo
-                    out |= {"content": s["content"].view(np.int64), "id": ids[doc], "key": keys.take(pa.array(doc)), "start": s["start"], "n": s["n"]}
                 if what == "texts":
                     joined = b"".join(part)
                     out["bytes"] = pa.array([joined[a : a + n + WINDOW - 1] for a, n in zip(s["at"].tolist(), s["n"].tolist(), strict=True)], pa.binary())
@@ -247,7 +277,22 @@ def _scan(rows: DataFrame, wanted: AnchorFilter | None, what: str, schema: str)
     return rows.mapInArrow(scanned, schema)
 
 
-_SEGMENT = "anchor long, content long, id long, key long, start long, n long"
+_SEGMENT = "anchor long, content long, id long, key long, pos long"
+
+
+def _bytes_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (anchor, kinds, id, key, pos) with bytes: each document meets its segments in a join, whatever their number."""
+    lists = wanted.groupBy(row_key(F.col("id"), F.col("key")).alias("k")).agg(F.collect_list(F.struct("anchor", "kinds", "pos")).alias("s"))
+    met = rows.withColumn("k", row_key(F.col("id"), F.col("key"))).join(lists, "k").dropDuplicates(["k"])
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                t = r.text.encode("utf-8")
+                pos = np.array([x["pos"] for x in r.s], np.int64)
+                yield pd.DataFrame({"anchor": [x["anchor"] for x in r.s], "kinds": [x["kinds"] for x in r.s], "id": r.id, "key": r.key, "pos": pos, "bytes": [t[p >> 8 : (p >> 8) + (p & 255) + WINDOW - 1] for p in pos.tolist()]})
+
+    return met.select("id", "key", "text", "s").mapInPandas(cut, "anchor long, kinds long, id long, key long, pos long, bytes binary")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, filter_bytes: int = FILTER_BYTES) -> DataFrame:
@@ -258,61 +303,82 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), F.col(text_col).alias("text"))
     rows = rows.filter(F.octet_length("text") >= WINDOW)
-    spark = docs.sparkSession
 
     # Anchors that occur more than once.
-    seen = _scan(rows, None, "anchors", "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1")
-    again = materialise(seen.select("anchor"))
-    found = _scan(rows, may := _filter_of(again, filter_bytes), "segments", _SEGMENT)
+    seen = _scan(rows, None, "anchors").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1")
+    again = store(seen.select("anchor"))
+    found = _scan(rows, may := _filter_of(again, filter_bytes), "segments")
     if may is None:
         found = found.join(again, "anchor", "left_semi")
     # The first of each kind of segment; the others repeat it in full.
-    found = materialise(found)
-    firsts = found.groupBy("anchor", "content").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("m"))
-    firsts = materialise(firsts)
-    copied = firsts.filter("m > 1").select(F.col("anchor").alias("a"), F.col("content").alias("c"), "first")
+    found = store(found)
+    first = F.min(F.struct("id", "pos", "key"))
+    firsts = store(found.groupBy("anchor", "content").agg(first.alias("first"), F.count("*").alias("m")))
+    copied = firsts.filter("m > 1").select(F.col("anchor").alias("a"), F.col("content").alias("c"), F.struct("first.id", "first.pos").alias("first"))
     whole = found.join(copied, (F.col("anchor") == F.col("a")) & (F.col("content") == F.col("c")))
-    whole = whole.filter(F.struct("id", "start") > F.col("first")).select("id", "key", "start", "n")
+    whole = whole.filter(F.struct("id", "pos") > F.col("first")).select("id", "key", F.shiftright("pos", 8).alias("start"), F.col("pos").bitwiseAND(255).alias("n"))
     # Groups with different segments go on, with their bytes.
-    many = materialise(firsts.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
-    wanted = _filter_of(many.select("anchor"), filter_bytes)
-    texts = _scan(rows, wanted, "texts", _SEGMENT + ", bytes binary")
-    kinds = firsts.join(many, "anchor").select("anchor", "content", "kinds", F.col("first.id").alias("id"), F.col("first.start").alias("start"))
-    texts = texts.join(kinds, ["anchor", "content", "id", "start"])
-    texts = materialise(texts.select("anchor", "kinds", "id", "key", "start", "n", "bytes"))
+    many = firsts.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    wanted = firsts.join(many, "anchor").select("anchor", "content", "kinds", F.col("first.id").alias("id"), F.col("first.key").alias("key"), F.col("first.pos").alias("pos"))
+    wanted = store(wanted)
+    may = _filter_of(wanted.select("anchor", "content", "id", "pos"), filter_bytes)
+    if may is None:
+        texts = _bytes_of(rows, wanted)
+    else:
+        # Of rows that share id and text, one is enough; the filter's few errors fall out of the join.
+        texts = _scan(rows, may, "texts").join(wanted, ["anchor", "content", "id", "key", "pos"])
+    texts = store(texts.select("anchor", "kinds", "id", "key", "pos", "bytes"))
 
     def sort_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
+        held: list[pd.DataFrame] = []
+        size = 0
         for b in batches:
-            held = b if held is None else pd.concat([held, b], ignore_index=True)
-            if len(held) and held.bytes.str.len().sum() >= BATCH:
-                last = held.anchor == held.anchor.iloc[-1]
+            held.append(b)
+            size += int(b.bytes.str.len().sum())
+            if size >= BATCH:
+                all_ = pd.concat(held, ignore_index=True)
+                last = all_.anchor == all_.anchor.iloc[-1]
                 if not last.all():
-                    yield late(held[~last])
-                    held = held[last]
-        if held is not None and len(held):
-            yield late(held)
+                    yield from pieces(all_[~last])
+                    held = [all_[last]]
+                    size = int(held[0].bytes.str.len().sum())
+        if held:
+            yield from pieces(pd.concat(held, ignore_index=True))
+
+    def pieces(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Whole groups, about BATCH bytes at a time."""
+        if not len(b):
+            return
+        size = np.cumsum(b.bytes.str.len().to_numpy())
+        border = np.flatnonzero(np.concatenate((b.anchor.to_numpy()[1:] != b.anchor.to_numpy()[:-1], [True]))) + 1
+        lo = 0
+        while lo < len(b):
+            fits = border[(border > lo) & (size[border - 1] <= (size[lo - 1] if lo else 0) + BATCH)]
+            hi = int(fits[-1]) if len(fits) else int(border[border > lo][0])
+            yield late(b.iloc[lo:hi])
+            lo = hi
 
     def late(b: pd.DataFrame) -> pd.DataFrame:
-        s, off = repeated_windows(list(b.bytes), b.id.to_numpy(), b.start.to_numpy(), b.n.to_numpy())
+        start = b.pos.to_numpy() >> 8
+        s, off = repeated_windows(list(b.bytes), b.id.to_numpy(), start, b.pos.to_numpy() & 255)
         order = np.lexsort((off, s))
         s, off = s[order], off[order]
         head = np.flatnonzero(np.concatenate(([True], (s[1:] != s[:-1]) | (off[1:] != off[:-1] + 1)))) if len(s) else np.zeros(0, int)
         t = s[head]
-        return pd.DataFrame({"id": b.id.to_numpy()[t], "key": b.key.to_numpy()[t], "start": b.start.to_numpy()[t] + off[head], "n": np.diff(np.append(head, len(s)))})
+        return pd.DataFrame({"id": b.id.to_numpy()[t], "key": b.key.to_numpy()[t], "start": start[t] + off[head], "n": np.diff(np.append(head, len(s)))})
 
     small = texts.filter(F.col("kinds") <= group).repartition("anchor").sortWithinPartitions("anchor")
-    sorted_ = small.select("anchor", "id", "key", "start", "n", "bytes").mapInPandas(sort_groups, "id long, key long, start long, n long")
+    sorted_ = small.select("anchor", "id", "key", "pos", "bytes").mapInPandas(sort_groups, "id long, key long, start long, n long")
 
     # Larger groups: each window by its digest, folded before the shuffle.
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples(index=False):
-                off = np.arange(r.n)
-                yield pd.DataFrame({"digest": [hashlib.blake2b(r.bytes[k : k + WINDOW], digest_size=16).digest() for k in off], "id": r.id, "key": r.key, "start": r.start + off})
+                off = np.arange(r.pos & 255)
+                yield pd.DataFrame({"digest": [hashlib.blake2b(r.bytes[k : k + WINDOW], digest_size=16).digest() for k in off], "id": r.id, "key": r.key, "start": (r.pos >> 8) + off})
 
     large = texts.filter(F.col("kinds") > group)
-    single = materialise(large.select("id", "key", "start", "n", "bytes").mapInPandas(windows, "digest binary, id long, key long, start long"))
+    single = store(large.select("id", "key", "pos", "bytes").mapInPandas(windows, "digest binary, id long, key long, start long"))
     earliest = single.groupBy(F.col("digest").alias("d")).agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("m")).filter("m > 1")
     more = single.join(earliest, F.col("digest") == F.col("d")).filter(F.struct("id", "start") > F.col("first")).select("id", "key", "start", F.lit(1).cast("long").alias("n"))
     return whole.unionByName(sorted_).unionByName(more)
