@@ -164,3 +164,42 @@ def _(e):
 def _(d):
     one = lambda s: U.fingerprint(d.filter(F.col("source") == s), F.md5("text")).select(F.lit(s).alias("source"), "fingerprint")
     return one("src1").unionByName(one("src2"))
+
+
+@_q("A07_E01_layout_chunks", "SELECT conv_id AS doc_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS ordinal, role AS section_path, CAST(turn AS INTEGER) AS page_start, trim(text) AS text FROM conversations WHERE trim(text) <> ''", "conversations")
+def _(c):
+    from docweave.operators.chunking import chunk_layouts
+
+    item = F.struct("turn", F.array(F.struct(F.lit("header").alias("kind"), F.lit(1).alias("level"), F.col("role").alias("text"), F.lit(0).cast("long").alias("page")), F.struct(F.lit("text").alias("kind"), F.lit(1).alias("level"), F.col("text").alias("text"), F.col("turn").cast("long").alias("page"))).alias("x"))
+    js = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(item)).alias("t")).select("conv_id", F.to_json(F.flatten(F.transform("t", lambda t: t["x"]))).alias("js"))
+    return chunk_layouts(js, "conv_id", "js").select("doc_id", "ordinal", "section_path", "page_start", "text")
+
+
+_TOPIC = "Licensed work released under version terms of the public license"
+
+
+def _topic_rules():
+    from docweave.plans.schema import keyword_rules
+
+    return [r for r in keyword_rules(_TOPIC) if r[0].isascii()]
+
+
+@_q("D14_D15_topic_rules", "SELECT doc_id, array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), '{p}') THEN '{x}' END" for x, p in _topic_rules()) + "], lambda x: x IS NOT NULL)), ',') AS labels FROM documents", "documents")
+def _(d):
+    return d.select("doc_id", F.array_join(X.labels(F.col("text"), _topic_rules()), ",").alias("labels"))
+
+
+@_q("D31_critique_salvage", "SELECT event_id, ['good', 'ok', 'needs_work'][event_id % 3 + 1] AS quality, event_type AS field FROM events", "events")
+def _(e):
+    import pandas as pd
+
+    from docweave.operators.external import salvage_critique
+
+    def salvaged(batches):
+        for b in batches:
+            found = [salvage_critique(t) for t in b.t]
+            yield pd.DataFrame({"event_id": b.event_id, "quality": [f["overall_quality"] for f in found], "field": [f["field_issues"][0]["field"] for f in found]})
+
+    quality = F.get(F.array(F.lit("good"), F.lit("ok"), F.lit("Needs_Work")), (F.col("event_id") % 3).cast("int"))
+    broken = F.concat(F.lit('note {"overall_quality": "'), quality, F.lit('", "field_issues": [{"field": "'), "event_type", F.lit('", "issue": "x"}, {"field": "y", "iss'))
+    return e.select("event_id", broken.alias("t")).mapInPandas(salvaged, "event_id long, quality string, field string")
