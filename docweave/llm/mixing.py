@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, row_key, word_count
 
 #: The golden ratio's share of 2**40, made odd: k * GOLDEN mod 2**40 visits every value once.
-GOLDEN = 679_544_700_467 | 1
 ONE = 1 << 40
+GOLDEN = int(ONE * (math.sqrt(5) - 1) / 2) | 1
 #: The schedule has about this many slots while blocks are below BLOCK_WORDS, and more beyond.
 SLOTS = 1 << 18
 BLOCK_WORDS = 4096
@@ -42,10 +44,6 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return s.withColumn("lo", F.coalesce(F.lag("hi").over(named), F.lit(0)).cast("long")).drop("cap", "level")
 
 
-def _runs(df: DataFrame, rows: int) -> int:
-    return max(1, -(-rows // RUN_ROWS))
-
-
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17):
     """A mix of all documents in which each source has its target share of words.
 
@@ -72,7 +70,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total = base.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
     block = max(1, min(BLOCK_WORDS, total.words // SLOTS))
     slots = -(-total.words // block)
-    runs = _runs(base, total.n)
+    runs = max(1, -(-total.n // RUN_ROWS))
     targets = materialise(source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size"))))
 
     # Positions: running sums of runs (source, part of the hash), then within each run.
