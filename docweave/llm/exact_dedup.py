@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, one_space, row_key
+from .common import materialise, one_space, row_key, store
 
 PREFIX_CHARS = 256
 #: Up to this many (length, prefix hash) keys, 16 bytes each, are broadcast.
@@ -50,7 +50,8 @@ def exact_dedup(
         full = hashed.join(keys, on, "left").select("i", again.alias("again"), F.when(F.lit(True) if digest_all else again, F.col("h")).alias("h"))
     rows = full.groupBy("i", "again", "h").agg(F.count("*").alias("copies"))
     rows = materialise(rows)
-    groups = rows.filter("again").groupBy(F.col("h").alias("gh")).agg(F.min("i").alias("k"), F.sum("copies").alias("size"))
+    # As a table of its own, so that both sides of the join are plain shuffles and a hot digest can be split.
+    groups = store(rows.filter("again").groupBy(F.col("h").alias("gh")).agg(F.min("i").alias("k"), F.sum("copies").alias("size")))
     out = rows.join(groups, F.col("again") & (F.col("h") == F.col("gh")), "left")
     # Without digests, single texts with the same (null) id have met in one row; each is a group of its own.
     alone = ~F.col("again")
