@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, row_key
+from .common import materialise, row_key, store
 
 SHINGLE, SEED, BITS, DISTANCE = 3, 42, 64, 3
 #: A bucket of more fingerprints than this is split by further bits instead of being indexed by one task.
@@ -220,10 +220,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = materialise(fingerprints(docs, id_col, text_col))
     least = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(link_fingerprints(least.select("fp"), bucket))
-    named = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", F.col("root").isNotNull().alias("linked"))
-    # Only linked nodes, and those that they lead to, can have another's id.
+    named = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
-    per = named.join(ids, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
+    # As a table of its own, so that both sides of the last join are plain shuffles and a hot fingerprint can be split.
+    per = store(named.join(ids, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id"))
     return marked.join(per, F.col("fp") == F.col("f")).select("doc_id", "key", "fp", "component_id")
 
 
