@@ -18,6 +18,8 @@ BLOCK_WORDS = 4096
 #: Rows of a run within which ranks and running sums are taken by one task.
 RUN_ROWS = 20_000
 MAX_REPEAT = 3
+#: A longer list of sources is joined, not broadcast.
+BROADCAST_SOURCES = 100_000
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -85,7 +87,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     starts = starts.select("source", "run", F.coalesce(F.sum("w").over(before), F.lit(0)).alias("base"))
     placed = _join_null_safe(placed, starts, ["source", "run"])
     placed = placed.withColumns({"start": F.col("at") + F.col("base"), "doc_key": F.struct("run", "pos")})
-    placed = _join_null_safe(placed, targets.select("source", "source_size", "target"), ["source"])
+    # A hot source has a large share of the rows; the list of sources is broadcast while it is short.
+    of_source = targets.select("source", "source_size", "target")
+    placed = _join_null_safe(placed, F.broadcast(of_source) if targets.count() <= BROADCAST_SOURCES else of_source, ["source"])
     placed = materialise(placed.select("doc_key", "doc_id", "key", "source", "size", "source_size", "target", "start"))
 
     # Pieces of documents in blocks.
