@@ -32,7 +32,7 @@ K = 32
 #: Groups of up to this many different segments are sorted by one task; windows of larger ones are grouped by digest.
 GROUP = 2000
 #: Bytes that a task hashes or sorts at once.
-BATCH = 1 << 20
+BATCH = 1 << 19
 #: A filter of anchors is broadcast up to this size, 12 bits an anchor; beyond, segments meet anchors in a join.
 FILTER_BYTES = 48 << 20
 
@@ -318,7 +318,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = found.join(copied, (F.col("anchor") == F.col("a")) & (F.col("content") == F.col("c")))
     whole = whole.filter(F.struct("id", "pos") > F.col("first")).select("id", "key", F.shiftright("pos", 8).alias("start"), F.col("pos").bitwiseAND(255).alias("n"))
     # Groups with different segments go on, with their bytes.
-    many = firsts.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    many = store(firsts.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
     wanted = firsts.join(many, "anchor").select("anchor", "content", "kinds", F.col("first.id").alias("id"), F.col("first.key").alias("key"), F.col("first.pos").alias("pos"))
     wanted = store(wanted)
     may = _filter_of(wanted.select("anchor", "content", "id", "pos"), filter_bytes)
@@ -379,7 +379,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     large = texts.filter(F.col("kinds") > group)
     single = store(large.select("id", "key", "pos", "bytes").mapInPandas(windows, "digest binary, id long, key long, start long"))
-    earliest = single.groupBy(F.col("digest").alias("d")).agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("m")).filter("m > 1")
+    earliest = store(single.groupBy(F.col("digest").alias("d")).agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("m")).filter("m > 1"))
     more = single.join(earliest, F.col("digest") == F.col("d")).filter(F.struct("id", "start") > F.col("first")).select("id", "key", "start", F.lit(1).cast("long").alias("n"))
     return whole.unionByName(sorted_).unionByName(more)
 
@@ -394,7 +394,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     earlier, so identical rows fare alike. An empty table gives an empty result.
     """
     spans = repeated_spans(docs, id_col, text_col, group, filter_bytes)
-    runs = spans.groupBy(row_key(F.col("id"), F.col("key")).alias("k")).agg(F.collect_set(F.struct("start", "n")).alias("runs"))
+    runs = spans.groupBy(row_key(F.col("id"), F.col("key")).alias("k")).agg(F.collect_set(F.col("start") * 256 + F.col("n")).alias("runs"))
     kind = docs.schema[id_col].dataType.simpleString()
     own = row_key(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     met = docs.select(F.col(id_col).alias("doc_id"), own.alias("k"), F.col(text_col).alias("text")).join(runs, "k", "left")
@@ -404,17 +404,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out = []
             for text, found in zip(b.text, b.runs, strict=True):
                 t = (text or "").encode("utf-8")
-                spans, kept, at = [], [], 0
-                for r in sorted(found, key=lambda r: r["start"]) if found is not None else ():
-                    lo, hi = r["start"], r["start"] + r["n"] + WINDOW - 1
-                    if spans and lo <= spans[-1]["end"]:
-                        spans[-1]["end"] = max(spans[-1]["end"], hi)
-                    else:
-                        spans.append({"start": lo, "end": hi})
-                for s in spans:
-                    kept.append(t[at : s["start"]])
-                    at = s["end"]
-                out.append((b"".join([*kept, t[at:]]), len(t), sum(s["end"] - s["start"] for s in spans), spans))
+                r = np.sort(found) if found is not None else np.zeros(0, np.int64)
+                lo, hi = r >> 8, np.maximum.accumulate((r >> 8) + (r & 255) + WINDOW - 1) if len(r) else r
+                new = np.flatnonzero(np.concatenate(([True], lo[1:] > hi[:-1]))) if len(r) else r
+                starts, ends = lo[new].tolist(), (hi[np.append(new[1:], len(r)) - 1].tolist() if len(r) else [])
+                kept = [t[a:b] for a, b in zip([0, *ends], [*starts, len(t)], strict=True)]
+                out.append((b"".join(kept), len(t), sum(ends) - sum(starts), [{"start": a, "end": b} for a, b in zip(starts, ends, strict=True)]))
             yield pd.DataFrame({"doc_id": b.doc_id} | {c: [o[k] for o in out] for k, c in enumerate(("kept", "n_bytes", "n_removed", "spans"))})
 
     return met.select("doc_id", "text", "runs").mapInPandas(cut, f"doc_id {kind}, kept binary, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>")
