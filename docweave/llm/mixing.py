@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 
 from .common import materialise, row_key, word_count
 
-#: The golden ratio's share of 2**40, made odd: k * GOLDEN mod 2**40 visits every value once.
-ONE = 1 << 40
-GOLDEN = int(ONE * (math.sqrt(5) - 1) / 2) | 1
 #: The schedule has about this many slots while blocks are below BLOCK_WORDS, and more beyond.
 SLOTS = 1 << 18
 BLOCK_WORDS = 4096
+#: A source has this many blocks at least, and its target this many, as far as it has words.
+LEAST_BLOCKS = 256
 #: Rows of a run within which ranks and running sums are taken by one task.
 RUN_ROWS = 20_000
 MAX_REPEAT = 3
@@ -23,7 +22,7 @@ BROADCAST_SOURCES = 100_000
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
-    """``sizes`` (source, source_size) with weight, target and the source's share of [0, 1).
+    """``sizes`` (source, source_size) with weight and target.
 
     Sources in code-point order, null last, weigh 1, 2, 3, repeating. Targets share all sizes
     by weight; none is above MAX_REPEAT times its source's size, and what is over is shared by
@@ -40,10 +39,27 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     s = s.withColumn("level", (F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(over), F.lit(0))) / F.sum("weight").over(rest))
     level = F.min(F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.struct(F.col("cap") / F.col("weight"), F.col("level")))).over(every)
     s = s.withColumn("target", F.least(F.col("cap").cast("double"), F.coalesce(level["level"], F.lit(0.0)) * F.col("weight")))
-    upto = F.sum("target").over(named.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    total = F.sum("target").over(every)
-    s = s.withColumns({"hi": F.when(total > 0, F.round(upto / total * ONE)).otherwise(0).cast("long")})
-    return s.withColumn("lo", F.coalesce(F.lag("hi").over(named), F.lit(0)).cast("long")).drop("cap", "level")
+    return s.drop("cap", "level")
+
+
+def source_blocks(targets: DataFrame, block: int) -> DataFrame:
+    """``targets`` with n_blocks, the source's ranks (lo to hi, hi excluded) among those of all.
+
+    A source is cut into equal blocks of its own: of ``block`` words at most, and so short that
+    neither its words nor its target make fewer than LEAST_BLOCKS (or one a word). It has as many
+    ranks as its target has of these blocks, so it is off its target by half a block at most.
+    """
+    own = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.least("source_size", "target") / LEAST_BLOCKS)))
+    t = targets.withColumn("n_blocks", F.ceil(F.col("source_size") / own).cast("long"))
+    t = t.withColumn("n", F.when(F.col("source_size") > 0, F.round(F.col("target") * F.col("n_blocks") / F.col("source_size"))).otherwise(0).cast("long"))
+    hi = F.sum("n").over(Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return t.withColumn("hi", hi).withColumn("lo", F.col("hi") - F.col("n")).drop("n")
+
+
+def golden_step(n: int) -> int:
+    """The number nearest the golden ratio's share of n that has no factor in common with it."""
+    at = round(n * (math.sqrt(5) - 1) / 2)
+    return next(x for d in range(n + 1) for x in (at + d, at - d) if 0 < x <= n and math.gcd(x, n) == 1)
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17):
@@ -54,10 +70,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``sized`` has a row per row of ``docs``: doc_key, doc_id, key (of id, text and source),
     source, size, source_size, target. doc_key is unique within a source.
 
-    Slot k is the point k * golden ratio mod 1. The points are mapped through the cumulative
-    targets to sources; the rank of a slot among its source's slots names the block it takes.
-    A source's documents, shuffled by a hash, lie on a line of words that is cut into blocks
-    of equal length; a rank beyond the last block begins the line anew, MAX_REPEAT times at most.
+    A source's documents, shuffled by a hash, lie on a line of words that is cut into equal
+    blocks of its own (source_blocks). Slot k of n is the point k * golden_step(n) mod n, so each
+    point is met once; the points are mapped to sources through the cumulative numbers of ranks,
+    and the rank of a slot among its source's slots names the block it takes. A rank beyond the
+    last block begins the line anew, MAX_REPEAT times at most.
     Ranks and positions are sums over runs of at most about RUN_ROWS rows, so no source,
     however large, is ever sorted or held by one task.
 
@@ -71,9 +88,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = materialise(base.withColumn("h", F.xxhash64(F.lit(seed), F.col("key"))))
     total = base.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
     block = max(1, min(BLOCK_WORDS, total.words // SLOTS))
-    slots = -(-total.words // block)
     runs = max(1, -(-total.n // RUN_ROWS))
-    targets = materialise(source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size"))))
+    targets = materialise(source_blocks(source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size"))), block))
+    slots = targets.agg(F.coalesce(F.max("hi"), F.lit(0)).alias("n")).first().n
 
     # Positions: running sums of runs (source, part of the hash), then within each run.
     placed = base.withColumn("run", F.shiftrightunsigned("h", 33) * F.lit(runs) / F.lit(1 << 31)).withColumn("run", F.floor("run"))
@@ -88,27 +105,26 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = _join_null_safe(placed, starts, ["source", "run"])
     placed = placed.withColumns({"start": F.col("at") + F.col("base"), "doc_key": F.struct("run", "pos")})
     # A hot source has a large share of the rows; the list of sources is broadcast while it is short.
-    of_source = targets.select("source", "source_size", "target")
+    of_source = targets.select("source", "source_size", "target", "n_blocks", (F.col("hi") - F.col("lo")).alias("ranks"))
     placed = _join_null_safe(placed, F.broadcast(of_source) if targets.count() <= BROADCAST_SOURCES else of_source, ["source"])
-    placed = materialise(placed.select("doc_key", "doc_id", "key", "source", "size", "source_size", "target", "start"))
-
-    # Pieces of documents in blocks.
-    b = F.lit(block)
-    first, last = F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b)
-    pieces = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
-    lo, hi = F.greatest(F.col("start"), F.col("block") * b), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b)
+    placed = materialise(placed.select("doc_key", "doc_id", "key", "source", "size", "source_size", "target", "start", "n_blocks", "ranks"))
+
+    # Pieces of documents in blocks; block j begins at word j * source_size div n_blocks. Blocks that no rank takes are left out.
+    block_of = lambda word: f"(({word} + 1) * n_blocks - 1) div source_size"
+    pieces = placed.filter("size > 0").withColumn("first", F.expr(block_of("start"))).withColumn("last", F.least(F.expr(block_of("(start + size - 1)")), F.col("ranks") - 1))
+    pieces = pieces.filter("first <= last").withColumn("block", F.explode(F.sequence("first", "last")))
+    lo = F.greatest(F.col("start"), F.expr("block * source_size div n_blocks"))
+    hi = F.least(F.col("start") + F.col("size"), F.expr("(block + 1) * source_size div n_blocks"))
     pieces = pieces.select("source", "block", "doc_key", "doc_id", (lo - F.col("start")).alias("first_word"), (hi - lo).alias("n_words"))
 
     # Slots to sources: an interval lookup as an equi-join on cells of the unit interval.
-    cell = 1 << 30
+    cell = max(1, -(-slots // 1024))
     cells = targets.filter("hi > lo").select(
-        "source", "lo", "hi", F.ceil(F.col("source_size") / b).alias("n_blocks"), F.explode(F.sequence(F.floor(F.col("lo") / cell), F.floor((F.col("hi") - 1) / cell))).alias("cell")
+        "source", "lo", "hi", "n_blocks", F.explode(F.sequence(F.floor(F.col("lo") / cell), F.floor((F.col("hi") - 1) / cell))).alias("cell")
     )
     k = F.col("slot")
-    # k * GOLDEN mod 2**40 in two halves, so that no product leaves 63 bits.
-    low, high = k % (1 << 20), F.floor(k / (1 << 20))
-    point = (low * F.lit(GOLDEN) + ((high * F.lit(GOLDEN % (1 << 20))) % (1 << 20)) * (1 << 20)) % ONE
-    sched = spark.range(slots).select(F.col("id").alias("slot")).withColumn("u", point).withColumn("cell", F.floor(F.col("u") / cell))
+    point = k * F.lit(golden_step(max(1, slots))) % F.lit(max(1, slots))
+    sched = spark.range(slots).select(F.col("id").alias("slot")).withColumn("u", point.cast("long")).withColumn("cell", F.floor(F.col("u") / cell))
     sched = sched.join(cells, "cell").filter("u >= lo AND u < hi").withColumn("run", F.floor(k / RUN_ROWS))
     sched = sched.select("slot", "source", "n_blocks", "run")
     sums = sched.groupBy("source", "run").agg(F.count("*").alias("w"))
@@ -118,7 +134,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ranked = ranked.filter(F.col("r") < F.col("n_blocks") * MAX_REPEAT)
     ranked = ranked.select("slot", "source", F.floor(F.col("r") / F.col("n_blocks")).alias("epoch"), (F.col("r") % F.col("n_blocks")).alias("block"))
     mix = _join_null_safe(ranked, pieces, ["source", "block"])
-    return mix, placed
+    return mix, placed.drop("start", "n_blocks", "ranks")
 
 
 def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

@@ -108,6 +108,16 @@ def test_languages_edge(edge, texts):
     assert dict(kept.dtypes) == dict(edge.dtypes)
 
 
+def test_languages_of_copies(spark):
+    """A language whose rows are all copies of one text is learned, however often it is repeated."""
+    said = {"a": "alpha beta gamma", "b": "zwei drei vier", "c": "uno dos tres", "d": "un deux trois", "e": "jeden dwa trzy"}
+    rows = spark.createDataFrame(list(said.items()), "lang string, text string").crossJoin(spark.range(10_000))
+    model = langid.fit_languages(rows)
+    assert [x[0] for x in model.predict(list(said.values()))] == list(said)
+    one = langid.fit_languages(rows.filter("lang = 'a'"))
+    assert one.langs == ["a"]
+
+
 # Byte BPE
 
 
@@ -224,6 +234,22 @@ def test_quality_gradient():
     assert ((model.scores(bags) > 0.5) == (labels > 0.5)).mean() > 0.9
 
 
+def test_quality_long_texts(monkeypatch):
+    """Passages have 96 words at every length, and blocks of them give the score of all at once."""
+    rng = random.Random(4)
+    text = " ".join(rng.choices(["ab", "Cd.", "12", "é,", "x"], k=96 * 300 + 5))
+    x = quality_mil.passage_features(text)
+    assert len(x) == 301
+    model = quality_mil.fit_mil([x[:5], x[5:9], x[9:20], x[20:30]], np.array([0.0, 1.0, 0.0, 1.0]), 20)
+    whole = model.scores([x])[0]
+    monkeypatch.setattr(quality_mil, "BLOCK_PASSAGES", 7)
+    assert (quality_mil.passage_features(text) == x).all()
+    assert model.score_texts([text, "a b", text]) == pytest.approx([whole, model.scores([quality_mil.passage_features("a b")])[0], whole])
+    some = quality_mil.training_features(text)
+    assert len(some) == quality_mil.MAX_PASSAGES
+    assert {r.tobytes() for r in some} <= {r.tobytes() for r in x}
+
+
 def test_quality_edge(spark, edge, texts):
     labels = spark.createDataFrame([(1, 1, 0), (7, 0, 0), (7, 1, 0), (8, 0, None), (None, 1, 1), (2, None, 0), (99, 1, 1)], "doc_id long, quality int, toxic int")
     got = quality_mil.score_quality(edge, quality_mil.train_quality(edge, labels)).collect()
