@@ -95,13 +95,13 @@ def fit_languages(labelled: DataFrame, text_col: str = "text", lang_col: str = "
     """Fit a classifier a bit on at most ``per_lang`` different whole texts of each language, and SAMPLE in all.
 
     Texts without letters and null languages are left out; languages count alike. Of each language
-    the texts of least hash are taken. Executors cut the hash range to a share that holds about
-    1.5 times the sample, fold copies and turn texts into DIM frequencies, so the driver gets rows
-    of fixed size. The list of languages is on the driver.
+    the texts of least hash are taken. Executors count the different hashes, cut the hash range to
+    a share that holds about 1.5 times the sample, fold copies and turn texts into DIM frequencies,
+    so the driver gets rows of fixed size. The list of languages is on the driver.
     """
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL").filter(F.col("text").rlike(r"\p{L}"))
     keyed = rows.withColumn("key", F.shiftrightunsigned(F.xxhash64("text", F.lit(3)), 2))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: r.n for r in keyed.select("lang", "key").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)
     if not langs:
         return LanguageModel([], np.zeros((0, 1)), np.zeros((DIM + 1, 1)), np.zeros(1))
@@ -116,6 +116,9 @@ def fit_languages(labelled: DataFrame, text_col: str = "text", lang_col: str = "
 
     sample = bounded.select("lang", "key", "text").mapInPandas(vectors, "lang string, key long, x binary").toPandas()
     sample = sample.sort_values(["lang", "key", "x"]).groupby("lang").head(per_lang)
+    langs = sorted(set(sample.lang))
+    if not langs:
+        return LanguageModel([], np.zeros((0, 1)), np.zeros((DIM + 1, 1)), np.zeros(1))
     x = np.stack([np.frombuffer(v, np.float32) for v in sample.x]).astype(np.float64)
     y = sample.lang.map({k: i for i, k in enumerate(langs)}).to_numpy()
     code = codewords(len(langs))

@@ -133,6 +133,17 @@ def test_mix_edge(edge, texts):
     assert out.filter("text IS NULL").count() == 0
 
 
+def test_mix_small_sources(spark, monkeypatch):
+    """Long blocks: sources far below one block get their targets too, and so does one far above its target."""
+    monkeypatch.setattr(mixing, "SLOTS", 16)
+    sizes = {"a": 300, "b": 1000, "c": 150_000, "d": 5_000, "e": 9_000, "f": 7}
+    rows = [(f"{s}{k}", " ".join(["w"] * min(100, n - k)), s) for s, n in sizes.items() for k in range(0, n, 100)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    taken = {r.source: r.n for r in mixing.mix_sources(df)[0].groupBy("source").agg(F.sum("n_words").alias("n")).collect()}
+    target = water_fill(sizes)
+    assert all(abs(taken[s] - target[s]) <= 1 + 0.005 * target[s] for s in sizes), (taken, target)
+
+
 # Quality rules
 
 
