@@ -125,17 +125,22 @@ def resolve_chain(queries: DataFrame, query: str, steps: list[tuple[str, DataFra
     return q.join(best, "q", "left").select(F.col("q").alias(query), F.col("b.entity_id").alias("entity_id"), F.coalesce("b.step", F.lit("unresolved")).alias("step"))
 
 
+#: Names of fewer characters are not looked up in texts.
+LEAST_NAME = 4
+
+
 def contains_lookup(rows: DataFrame, text: str, dim: DataFrame, name: str, entity: str, gram: int = 8) -> DataFrame:
-    """Rows with the least entity whose upper-case name (``gram`` characters or more) the text contains.
+    """Rows with the least entity whose upper-case name (LEAST_NAME characters or more) the text contains.
 
-    A name is looked up by its first ``gram`` characters among those of the text's positions:
-    an equi-join, then an exact test; names are never tried on all rows. Names that share their
-    first characters meet the same rows, so ``gram`` should tell most names apart.
+    A name is looked up by its first ``gram`` characters, a shorter one by its first LEAST_NAME,
+    among those of the text's positions: an equi-join, then an exact test; names are never tried
+    on all rows. Names that share their first characters meet the same rows, so ``gram`` should
+    tell most names apart.
     """
-    n = dim.select(F.upper(F.trim(F.col(name))).alias("__n"), F.col(entity).alias("__e")).filter(F.length("__n") >= gram).groupBy("__n").agg(F.min("__e").alias("__e"))
-    n = n.withColumn("__g", F.substring("__n", 1, gram))
+    n = dim.select(F.upper(F.trim(F.col(name))).alias("__n"), F.col(entity).alias("__e")).filter(F.length("__n") >= min(gram, LEAST_NAME)).groupBy("__n").agg(F.min("__e").alias("__e"))
+    n = n.withColumn("__g", F.when(F.length("__n") >= gram, F.substring("__n", 1, gram)).otherwise(F.substring("__n", 1, LEAST_NAME)))
     tagged = rows.withColumn("__id", F.md5(F.to_json(F.struct(*rows.columns)))).withColumn("__u", F.upper(F.coalesce(F.col(text), F.lit(""))))
-    at = F.transform(F.sequence(F.lit(1), F.greatest(F.length("__u") - gram + 1, F.lit(1))), lambda i: F.substr(F.col("__u"), i, F.lit(gram)))
-    probe = tagged.select("__id", "__u", F.explode(F.array_distinct(at)).alias("__g"))
+    at = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length("__u") - k + 1, F.lit(1))), lambda i: F.substr(F.col("__u"), i, F.lit(k)))
+    probe = tagged.select("__id", "__u", F.explode(F.array_distinct(F.concat(*[at(k) for k in sorted({gram, min(gram, LEAST_NAME)})]))).alias("__g"))
     hits = probe.join(n, "__g").filter(F.contains(F.col("__u"), F.col("__n"))).groupBy("__id").agg(F.min("__e").alias("entity_id"))
     return tagged.join(hits, "__id", "left").drop("__id", "__u")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +47,29 @@ def fingerprint(df: DataFrame, signature: Column) -> DataFrame:
     return df.agg(F.when(F.size(s) == 0, F.lit("")).otherwise(F.sha2(F.concat(F.array_join(s, "\n"), F.lit("\n")), 256)).alias("fingerprint"))
 
 
+def fingerprints_by(df: DataFrame, key: str, signature: Column) -> DataFrame:
+    """fingerprint() of each value of ``key`` (null is one): key, fingerprint.
+
+    Different signatures are sorted by Spark, a key's in one partition, and hashed as they pass,
+    so no list of them is ever held.
+    """
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, h = None, None
+        for b in batches:
+            for k, s in zip(b.k.tolist(), b.s.tolist(), strict=True):
+                if h is None or k != at:
+                    if h is not None:
+                        yield pd.DataFrame({key: [at], "fingerprint": [h.hexdigest()]})
+                    at, h = k, hashlib.sha256()
+                h.update(f"{s}\n".encode())
+        if h is not None:
+            yield pd.DataFrame({key: [at], "fingerprint": [h.hexdigest()]})
+
+    rows = df.select(F.col(key).cast("string").alias("k"), signature.alias("s")).filter("s IS NOT NULL").distinct()
+    return rows.repartition("k").sortWithinPartitions("k", "s").mapInPandas(hashed, f"{key} string, fingerprint string")
+
+
 def vote_agreement(votes: DataFrame, key: str, label: str, valid: list[str]) -> DataFrame:
     """Share of the most frequent valid label; 0.5 without a valid one."""
     counts = votes.groupBy(key, label).agg(F.count_if(F.col(label).isin(valid)).alias("n"))

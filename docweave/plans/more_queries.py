@@ -12,7 +12,7 @@ from docweave.operators import quality as Q
 from docweave.operators import retrieval as L
 from docweave.operators import rollup as U
 from docweave.operators import sampling as S
-from docweave.plans.retrieval_queries import _LINES, tagged_chunks
+from docweave.plans.retrieval_queries import _LINES, bounded_chunks, tagged_chunks
 from docweave.sources.config import source_mode
 from docweave.sources.tables import table
 
@@ -132,6 +132,13 @@ def _(d):
     return hits.groupBy("doc_id").agg(F.max(tf).cast("long").alias("most"))
 
 
+@_q("L03_L13_refinement_all", None, "documents")
+def _(d):
+    hits = L.score_chunks(bounded_chunks(d).withColumn("keyword_hit", F.lit(False)), {"from": 2}).filter("score > 0")
+    tf = F.size(F.filter(X.tokens(F.col("text")), lambda x: x == "from"))
+    return hits.groupBy("doc_id").agg(F.max(tf).cast("long").alias("most"))
+
+
 @_q("M09_lease_jobs", """
 WITH j AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events), w AS (SELECT c_custkey, ['view', 'click', 'error'][c_custkey % 3 + 1] AS can, row_number() OVER (PARTITION BY c_custkey % 3 ORDER BY c_custkey) AS k FROM customer)
 SELECT event_id, c_custkey FROM j JOIN w ON event_type = can AND j.k = w.k""", "events", "customer")
@@ -166,6 +173,11 @@ def _(d):
     return one("src1").unionByName(one("src2"))
 
 
+@_q("H15_fingerprint_by_source_all", "SELECT source, sha256(string_agg(s, chr(10) ORDER BY s) || chr(10)) AS fingerprint FROM (SELECT DISTINCT source, md5(text) AS s FROM documents) GROUP BY source", "documents")
+def _(d):
+    return U.fingerprints_by(d, "source", F.md5("text"))
+
+
 @_q("A07_E01_layout_chunks", "SELECT conv_id AS doc_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS ordinal, role AS section_path, CAST(turn AS INTEGER) AS page_start, trim(text) AS text FROM conversations WHERE trim(text) <> ''", "conversations")
 def _(c):
     from docweave.operators.chunking import chunk_layouts

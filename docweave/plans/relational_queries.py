@@ -97,6 +97,15 @@ def _(c, s):
     return E.contains_lookup(c.select("c_custkey", note.alias("note")), "note", firms, "name", "e", gram=9).select("c_custkey", "entity_id")
 
 
+@_q("G13_G16_contains_lookup_all", "SELECT c_custkey, s_suppkey AS entity_id FROM customer LEFT JOIN supplier ON c_nationkey % 5 > 0 AND s_suppkey = c_custkey % (SELECT max(s_suppkey) FROM supplier) + 1", "customer", "supplier")
+def _(c, s):
+    named = c.join(s.agg(F.max("s_suppkey").alias("most")), how="cross").withColumn("k", F.when(F.col("c_nationkey") % 5 > 0, F.col("c_custkey") % F.col("most") + 1))
+    note = F.when(F.col("s_name").isNotNull(), F.concat(F.lit("shares of "), F.lower("s_name"), F.lit(", rose"))).otherwise(F.lit("no one"))
+    notes = named.join(s, F.col("k") == F.col("s_suppkey"), "left").select("c_custkey", note.alias("note"))
+    # Names differ in their last characters only, so they are told apart by all of them.
+    return E.contains_lookup(notes, "note", s, "s_name", "s_suppkey", gram=18).select("c_custkey", "entity_id")
+
+
 @_q("G15_G17_resolve_chain", """
 SELECT 'T' || c_custkey AS q, CASE WHEN c_custkey % 3 = 0 THEN CAST(c_custkey AS VARCHAR) WHEN c_custkey % 3 = 1 THEN CAST(c_custkey + 1000000 AS VARCHAR) END AS entity_id, ['index', 'identifiers', 'unresolved'][c_custkey % 3 + 1] AS step FROM customer""", "customer")
 def _(c):
@@ -406,6 +415,23 @@ def _(b, d):
     return Q.ground(known, d.select("doc_id", F.col("doc_id").alias("chunk_id"), "text")).select("item_id", "doc_id", "failed")
 
 
+@_q("G24_J05_J06_grounding_all", f"""
+WITH b AS (SELECT item_id, text, {_NORM % "text"} AS n FROM benchmark), d AS (SELECT doc_id, {_NORM % "text"} AS n FROM documents), m AS (SELECT max(doc_id) + 1 AS n FROM documents),
+p AS (SELECT d.doc_id, min(item_id) AS item_id FROM b JOIN d ON contains(upper(d.n), upper(b.n)) WHERE length(b.n) >= 8 GROUP BY d.doc_id),
+c AS (SELECT item_id, doc_id FROM p UNION SELECT item_id, (doc_id + 1) % m.n FROM p, m)
+SELECT item_id, doc_id, NOT contains(d.n, b.n) AS failed FROM c JOIN b USING (item_id) JOIN d USING (doc_id)""", "benchmark", "documents")
+def _(b, d):
+    # Each passage is cited from the documents that hold it, wherever they are, and from the ones after those.
+    norm = lambda c: F.trim(F.regexp_replace(c, r"[ \t\n\r\f\x0B]+", " "))
+    items = b.select("item_id", norm(F.col("text")).alias("n")).filter("length(n) >= 8")
+    found = E.contains_lookup(d.select("doc_id", norm(F.col("text")).alias("t")), "t", items, "n", "item_id", gram=40).filter("entity_id IS NOT NULL")
+    places = found.select(F.col("entity_id").alias("item_id"), "doc_id")
+    after = places.join(d.agg((F.max("doc_id") + 1).alias("m")), how="cross").select("item_id", ((F.col("doc_id") + 1) % F.col("m")).alias("doc_id"))
+    cells = places.unionByName(after).distinct().join(d.select("doc_id"), "doc_id", "left_semi").join(b.select("item_id", F.col("text").alias("quote")), "item_id")
+    cells = cells.select("item_id", "doc_id", F.col("doc_id").alias("chunk_id"), F.lit("f").alias("field"), "quote")
+    return Q.ground(cells, d.select("doc_id", F.col("doc_id").alias("chunk_id"), "text")).select("item_id", "doc_id", "failed")
+
+
 @_q("J08_wonders", "SELECT doc_id, 'quality' AS field, 'evidenceless' AS reason FROM labels WHERE doc_id % 2 = 0 AND toxic = 0 ORDER BY doc_id LIMIT 200", "labels")
 def _(lb):
     rows = lb.select("doc_id", F.col("quality").cast("string").alias("quality"), F.when(F.col("doc_id") % 2 == 1, "quote").alias("quality_evidence_quote"), F.lit("1").alias("quality_evidence_pages"), F.col("toxic").cast("double").alias("p"))

@@ -283,3 +283,31 @@ def test_export_round_trip(spark, tmp_path):
     O.write_vectors(vectors, str(tmp_path / "v"), "overwrite")
     O.write_vectors(vectors.filter("corpus_id = 'd'"), str(tmp_path / "v"), "overwrite")
     assert spark.read.parquet(str(tmp_path / "v")).count() == 2
+
+
+def test_whole_tables(spark, sf):
+    """Chunk queries over all documents, within the bounds of production, by brute force."""
+    import re
+
+    from docweave.operators.chunking import HARD_CHARS, text_chunks
+    from docweave.plans import more_queries, retrieval_queries
+
+    most, n = {}, {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        chunks = [c for block in (r.text or "").split("\n") for c in text_chunks(block)]
+        assert all(len(c) <= HARD_CHARS for c in chunks)
+        n[r.doc_id] = len(chunks)
+        most[r.doc_id] = max((re.findall("[a-z0-9]+", c.lower()).count("from") for c in chunks), default=0)
+    got = more_queries.QUERIES["L03_L13_refinement_all"][0](spark, sf).collect()
+    assert {r.doc_id: r.most for r in got} == {k: v for k, v in most.items() if v}
+    blocks = retrieval_queries.QUERIES["L01_L05_L06_L10_L17_K01_retrieval_bounded"][0](spark, sf).collect()
+    assert {r.doc_id: r.total for r in blocks} == {k: v for k, v in n.items() if v}
+
+
+def test_short_names_are_found(spark):
+    from docweave.operators import entities
+
+    rows = spark.createDataFrame([(1, "shares of acme rose"), (2, "Acme Holdings plc"), (3, "abc")], "k long, note string")
+    names = spark.createDataFrame([("Acme", 7), ("Holdings plc", 5), ("abc", 1)], "name string, e long")
+    got = {r.k: r.entity_id for r in entities.contains_lookup(rows, "note", names, "name", "e").collect()}
+    assert got == {1: 7, 2: 5, 3: None}
