@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc32_mod
 
-#: A passage has this many words, or more where a document would have over MAX_PASSAGES.
+#: A passage has this many words. A document gives its MAX_PASSAGES of least hash, at most, to training; all are scored.
 PASSAGE_WORDS, MAX_PASSAGES = 96, 256
+#: Passages that are held at a time.
+BLOCK_PASSAGES = 1024
 #: Labelled documents that the model is fitted on, at most, in the order of a hash of their ids.
 SAMPLE = 3000
 HASHED = 96
@@ -34,42 +39,60 @@ PLAIN = 5
 WIDTH = CLASSES + PLAIN + HASHED
 
 
-def passage_features(text: str | None) -> np.ndarray:
-    """A row of WIDTH float32 for each passage of the whole text; one of zeros if it has no words.
+def passage_blocks(text: str | None) -> Iterator[np.ndarray]:
+    """A row of WIDTH float32 for each passage of the whole text, BLOCK_PASSAGES at a time; one of zeros if it has no words.
 
     Shares of byte classes; mean word length, share of repeats of the word before, share of
     different words, share of words seen in the passage before, log size; hashed pairs of byte
     classes and bytes that are no letters.
     """
-    b = (text or "").encode("utf-8")
-    words = b.split()
+    words = (text or "").encode("utf-8").split()
     if not words:
-        return np.zeros((1, WIDTH), np.float32)
-    size = max(PASSAGE_WORDS, -(-len(words) // MAX_PASSAGES))
-    first = np.arange(0, len(words), size)
-    n = len(first)
-    u = np.frombuffer(b" ".join(words), np.uint8)
-    lens = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    starts = np.cumsum(lens) - lens
-    cls = _CLASS[u]
-    passage = np.repeat(np.arange(n), np.diff(np.append(starts[first], len(u))))
-    counts = np.bincount(passage * CLASSES + cls, minlength=n * CLASSES).reshape(n, CLASSES).astype(np.float64)
-    total = counts.sum(1, keepdims=True)
-    out = np.zeros((n, WIDTH), np.float64)
-    out[:, :CLASSES] = counts / total
+        yield np.zeros((1, WIDTH), np.float32)
     held: set[bytes] = set()
-    for k, i in enumerate(first):
-        w = words[i : i + size]
-        here = set(w)
-        again = sum(x == y for x, y in zip(w, w[1:], strict=False))
-        out[k, CLASSES : CLASSES + PLAIN] = (total[k, 0] / len(w) / 10, again / len(w), len(here) / len(w), sum(x in held for x in here) / len(here), np.log1p(len(w)) / 6)
-        held = here
-    code = np.where(cls <= 1, cls, u.astype(np.int64) + 2)
-    pair = (code[:-1] * 259 + code[1:]) * 2654435761 % (1 << 32) * HASHED >> 32
-    if len(pair):
-        h = np.bincount(passage[1:] * HASHED + pair, minlength=n * HASHED).reshape(n, HASHED)
-        out[:, CLASSES + PLAIN :] = np.sqrt(h / total)
-    return out.astype(np.float32)
+    before = np.zeros(0, np.int64)
+    for at in range(0, len(words), PASSAGE_WORDS * BLOCK_PASSAGES):
+        some = words[at : at + PASSAGE_WORDS * BLOCK_PASSAGES]
+        first = np.arange(0, len(some), PASSAGE_WORDS)
+        n = len(first)
+        u = np.frombuffer(b" ".join(some) + (b" " if at + len(some) < len(words) else b""), np.uint8)
+        lens = np.fromiter(map(len, some), np.int64, len(some)) + 1
+        starts = np.cumsum(lens) - lens
+        cls = _CLASS[u]
+        passage = np.repeat(np.arange(n), np.diff(np.append(starts[first], len(u))))
+        counts = np.bincount(passage * CLASSES + cls, minlength=n * CLASSES).reshape(n, CLASSES).astype(np.float64)
+        total = counts.sum(1, keepdims=True)
+        out = np.zeros((n, WIDTH), np.float64)
+        out[:, :CLASSES] = counts / total
+        for k, i in enumerate(first):
+            w = some[i : i + PASSAGE_WORDS]
+            here = set(w)
+            again = sum(x == y for x, y in zip(w, w[1:], strict=False))
+            out[k, CLASSES : CLASSES + PLAIN] = (total[k, 0] / len(w) / 10, again / len(w), len(here) / len(w), sum(x in held for x in here) / len(here), np.log1p(len(w)) / 6)
+            held = here
+        code = np.concatenate((before, np.where(cls <= 1, cls, u.astype(np.int64) + 2)))
+        pair = (code[:-1] * 259 + code[1:]) * 2654435761 % (1 << 32) * HASHED >> 32
+        if len(pair):
+            h = np.bincount(passage[len(passage) - len(pair) :] * HASHED + pair, minlength=n * HASHED).reshape(n, HASHED)
+            out[:, CLASSES + PLAIN :] = np.sqrt(h / total)
+        before = code[-1:]
+        yield out.astype(np.float32)
+
+
+def passage_features(text: str | None) -> np.ndarray:
+    """All rows of passage_blocks()."""
+    return np.concatenate(list(passage_blocks(text)))
+
+
+def training_features(text: str | None) -> np.ndarray:
+    """Rows of passage_blocks() in order, of a longer text the MAX_PASSAGES of least hash."""
+    least: list[tuple[int, int, bytes]] = []
+    n = 0
+    for x in passage_blocks(text):
+        rows = [r.tobytes() for r in x]
+        least = heapq.nsmallest(MAX_PASSAGES, [*least, *((xxhash.xxh64_intdigest(r), n + k, r) for k, r in enumerate(rows))])
+        n += len(rows)
+    return np.stack([np.frombuffer(r, np.float32) for _, _, r in sorted(least, key=lambda p: p[1])])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -105,6 +128,35 @@ class MilModel:
         start = np.cumsum([0, *map(len, bags[:-1])])
         return self.forward(np.concatenate(bags).astype(np.float64), start)["y"]
 
+    def score_blocks(self, blocks: Iterable[np.ndarray]) -> float:
+        """The score of one document whose passages come in blocks: the softmax's sums are carried on."""
+        if self.constant is not None:
+            return self.constant
+        p, top, weight, z = self.p, -np.inf, 0.0, 0.0
+        for x in blocks:
+            h = np.tanh((x.astype(np.float64) - self.mean) / self.scale @ p["E"] + p["e"])
+            s = (np.tanh(h @ p["V"]) * _sigmoid(h @ p["U"])) @ p["w"]
+            new = max(top, s.max())
+            ex, old = np.exp(s - new), np.exp(top - new)
+            top, weight, z = new, weight * old + ex.sum(), z * old + ex @ h
+        return float(_sigmoid(z / weight @ p["c"] + p["b"])[0])
+
+    def score_texts(self, texts: Iterable[str | None]) -> np.ndarray:
+        """Scores of whole texts; at most about 2 * BLOCK_PASSAGES passages are held at a time."""
+        out, bags = [], []
+        for t in texts:
+            blocks = passage_blocks(t)
+            one = next(blocks)
+            if len(one) == BLOCK_PASSAGES:
+                out += [*self.scores(bags), self.score_blocks(chain([one], blocks))]
+                bags = []
+                continue
+            bags.append(one)
+            if sum(map(len, bags)) >= BLOCK_PASSAGES:
+                out += [*self.scores(bags)]
+                bags = []
+        return np.array([*out, *self.scores(bags)], np.float64)
+
 
 def fit_mil(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> MilModel:
     """Adam on the cross-entropy of document labels, both classes weighed alike; no label of a passage is known."""
@@ -140,7 +192,7 @@ def fit_mil(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) ->
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> MilModel:
-    """Fit on at most ``sample`` labelled documents, whole texts.
+    """Fit on at most ``sample`` labelled documents, from passages of their whole texts.
 
     The labels of least id hash are chosen before texts are touched, so at most ``sample`` ids
     are broadcast to the scan of ``docs``. Ids with null or contradictory labels are left out;
@@ -153,7 +205,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"i": b.i, "y": b.y, "x": [passage_features(t).tobytes() for t in b.t]})
+            yield pd.DataFrame({"i": b.i, "y": b.y, "x": [training_features(t).tobytes() for t in b.t]})
 
     texts = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(chosen), "i")
     kind = docs.schema[id_col].dataType.simpleString()
@@ -169,9 +221,7 @@ def score_quality(docs: DataFrame, model: MilModel, id_col: str = "doc_id", text
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for k in range(0, len(b), 128):
-                part = b.iloc[k : k + 128]
-                yield pd.DataFrame({"doc_id": part.doc_id, "score": model.scores([passage_features(t) for t in part.text])})
+            yield pd.DataFrame({"doc_id": b.doc_id, "score": model.score_texts(b.text)})
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(scored, f"doc_id {kind}, score double")
