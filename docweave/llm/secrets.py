@@ -25,8 +25,8 @@ CANDIDATE, CANDIDATE_LEAST = r"[A-Za-z0-9+/_-]{20,}", 20
 CANDIDATE_HINT = r"[A-Za-z0-9+/_-]{20}"
 #: Characters the models know, by the index used below; one more stands for all others.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
-#: Mean log-likelihood ratio a transition at which a run counts as random, and fewest different classes of characters.
-THRESHOLD, CLASSES = 0.35, 2
+#: Mean log-likelihood ratio a transition at which a run counts as random.
+THRESHOLD = 0.35
 
 #: Words that ordinary identifiers, paths and keys are made of.
 IDENTIFIER_WORDS = (
@@ -53,18 +53,36 @@ IDENTIFIER_WORDS = (
     "variable vector version video view visible wait watch widget width window word work worker wrapper write zone"
 ).split()
 
+#: Long words of the other languages, which are no secrets either.
+LONG_WORDS = (
+    "geschwindigkeitsbegrenzung verantwortungsbewusstsein rechtsschutzversicherung aufmerksamkeitsdefizit wissenschaftlich gesellschaft "
+    "unterschiedlich selbstverstaendlich entwicklungsumgebung datenschutzgrundverordnung arbeitsunfaehigkeit krankenversicherung "
+    "zusammenarbeit veroeffentlichung berechtigungsnachweis anwendungsprogramm bundesausbildungsfoerderung durchschnittlich "
+    "anticonstitutionnellement internationalisation responsabilisation developpement environnement gouvernement communication "
+    "enseignement professionnellement administrativement caracteristiques appartement malheureusement quotidiennement vraisemblablement "
+    "electroencefalografista responsabilidad internacionalmente desafortunadamente caracteristicas desarrollo funcionamiento "
+    "administraciones independientemente constitucionalidad conocimiento establecimiento inmediatamente reconocimiento telecomunicaciones "
+    "internationalization responsibilities characteristically counterrevolutionary incomprehensibility uncharacteristically "
+    "electroencephalography institutionalization telecommunications misunderstanding representative notwithstanding straightforward"
+).split()
+
 
 def labelled_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
     """n random strings (label 1) and n ordinary identifiers (label 0): columns s, label.
 
-    Random ones are digests written as hex, base64 or in base 36; identifiers join two to
-    five words in the usual styles, some with a short number. All derive from row numbers,
-    so that the sample is the same in every run.
+    Random ones are digests written as hex, base64 or in base 36, or letters alone; ordinary ones
+    join two to five words in the usual styles, some with a short number, or are long words of
+    other languages, or rules of one mark or digit. All derive from row numbers, so that the
+    sample is the same in every run.
     """
     seed = F.sha2(F.concat(F.lit("s"), F.col("id").cast("string")), 256)
     raw64 = F.regexp_replace(F.base64(F.unhex(seed)), "=+$", "")
     base36 = F.concat(*[F.conv(F.substring(seed, 1 + 12 * k, 12), 16, 36) for k in range(5)])
-    random = F.when(F.col("id") % 4 == 0, seed).when(F.col("id") % 4 == 1, F.upper(base36)).when(F.col("id") % 4 == 2, F.lower(base36)).otherwise(raw64)
+    twice = F.concat(raw64, F.base64(F.unhex(F.sha2(seed, 256))))
+    letters = F.regexp_replace(twice, "[^A-Za-z]", "")
+    case = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(3))
+    alone = F.when(case == 0, letters).when(case == 1, F.lower(letters)).otherwise(F.upper(letters))
+    random = F.when(F.col("id") % 5 == 4, alone).when(F.col("id") % 4 == 0, seed).when(F.col("id") % 4 == 1, F.upper(base36)).when(F.col("id") % 4 == 2, F.lower(base36)).otherwise(raw64)
     ones = spark.range(n).select(F.substring(random, 1, 40).alias("s"), F.lit(1).alias("label"))
     w = F.split(F.lit(" ".join(IDENTIFIER_WORDS)), " ")
     pick = lambda k: F.get(w, F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(IDENTIFIER_WORDS))).cast("int"))
@@ -80,7 +98,12 @@ def labelled_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
         .otherwise(F.array_join(parts, ""))
     )
     tail = F.when(F.pmod(F.xxhash64("id", F.lit(13)), F.lit(3)) == 0, F.concat(F.lit("_"), F.pmod(F.xxhash64("id", F.lit(15)), F.lit(2100)).cast("string"))).otherwise("")
-    zeros = spark.range(n).select(F.concat(name, tail).alias("s"), F.lit(0).alias("label"))
+    other = F.split(F.lit(" ".join(LONG_WORDS)), " ")
+    long = lambda k: F.get(other, F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(LONG_WORDS))).cast("int"))
+    foreign = F.concat(F.initcap(long(19)), F.when(F.col("id") % 2 == 0, long(21)).otherwise(F.concat(F.lit("-"), long(21))))
+    rule = F.repeat(F.substring(F.lit("-_+/0x=*"), (F.pmod(F.xxhash64("id", F.lit(23)), F.lit(6)) + 1).cast("int"), F.lit(1)), 40)
+    ordinary = F.when(F.col("id") % 10 == 7, foreign).when(F.col("id") % 200 == 8, rule).otherwise(F.concat(name, tail))
+    zeros = spark.range(n).select(ordinary.alias("s"), F.lit(0).alias("label"))
     return ones.unionByName(zeros)
 
 
@@ -157,7 +180,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A span has start, end (code points, end exclusive), kind and s, the matched text. Base
     kinds are the PATTERNS. ``markov`` spans are added: runs of CANDIDATE characters of at
-    least CANDIDATE_LEAST, with digits and letters, whose mean log-likelihood ratio a
+    least CANDIDATE_LEAST, of whatever classes, whose mean log-likelihood ratio a
     transition is at least ``threshold``, unless they overlap a base span. The models are
     trained on ``samples`` (s, label 1 random or 0 identifier); the default is
     labelled_samples(). The scan has no shuffle: each text is judged where it is read.
@@ -172,8 +195,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = base.withColumn("base", F.sort_array(F.concat(*PATTERNS)))
 
     def judged(found):
-        mixed = F.filter(found, lambda x: (F.length(x["s"]) >= CANDIDATE_LEAST) & x["s"].rlike("[0-9]") & x["s"].rlike("[A-Za-z]"))
-        clear = F.filter(mixed, lambda x: ~F.exists(F.col("base"), lambda y: (y["start"] < x["start"] + F.length(x["s"])) & (x["start"] < y["end"])))
+        whole = F.filter(found, lambda x: F.length(x["s"]) >= CANDIDATE_LEAST)
+        clear = F.filter(whole, lambda x: ~F.exists(F.col("base"), lambda y: (y["start"] < x["start"] + F.length(x["s"])) & (x["start"] < y["end"])))
         return F.transform(F.filter(clear, lambda x: llr(x["s"], table) >= threshold), lambda x: _span(x, "markov", len(PATTERNS)))
 
     added = F.when(text.rlike(CANDIDATE_HINT), let(_matches(text, CANDIDATE), judged)).otherwise(_NONE())

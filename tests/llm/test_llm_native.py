@@ -207,6 +207,15 @@ def test_markov_adds_random_strings_only(spark):
     assert got == {1: ["Zk3xQ9vT7bLw2RfYp8NsUa5HcJd"], 2: [], 3: []}
 
 
+def test_markov_judges_letters_alone(spark):
+    rows = [
+        (1, "key ZkxQvTbLwRfYpNsUaHcJd end"), (2, "qzjxkvwpfhbgmtdrycns"), (3, "-" * 60 + " " + "_" * 40), (4, "getUserProfileByAccountIdentifier"),
+        (5, "Geschwindigkeitsbegrenzungen electroencephalographically desafortunadamentecaracteristicas"), (6, "0" * 30 + " src/main/resources/templates/index"),
+    ]
+    got = {r.doc_id: len(r.added) for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 0, 4: 0, 5: 0, 6: 0}
+
+
 def test_markov_held_out(spark):
     samples = secrets.labelled_samples(spark)
     table = secrets.fit_markov(samples.filter(F.pmod(F.xxhash64("s"), F.lit(2)) == 0))
