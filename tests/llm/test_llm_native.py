@@ -233,6 +233,16 @@ def test_licenses(spark):
     assert got == {1: "MIT", 2: None, 3: None, 4: None, 5: "MIT"}
 
 
+def test_license_titles_and_whole_texts(spark):
+    bsd, mit = licenses.LICENSES["BSD-3-Clause"], licenses.LICENSES["MIT"]
+    rows = [("MIT", mit.removeprefix("MIT License")), ("BSD-3-Clause", "BSD 3-Clause License\n\n" + bsd), ("Unlicense", licenses.MORE["Unlicense"])]
+    got = [(r.doc_id, r.license_id) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()]
+    assert all(a == b for a, b in got)
+    assert {"GPL-3.0", "LGPL-3.0", "MPL-2.0", "Apache-2.0"} <= {k for k, _ in licenses.DIGESTS}
+    two = spark.createDataFrame([("licence licence favour favour",)], "t string").select(licenses.canonical(F.col("t")).alias("c")).first()
+    assert two.c == "license license favor favor"
+
+
 def test_license_edge(edge, texts):
     assert licenses.scan_licenses(edge).count() == len(texts)
 
