@@ -38,11 +38,24 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: With this setting, Spark removes the shuffle files of a query when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def store(df: DataFrame) -> DataFrame:
-    """Write as Parquet in the shared folder and read again: smaller than a checkpoint, for many narrow rows."""
-    path = f"{shared_folder(df.sparkSession)}/docweave-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write as Parquet in the shared folder and read again: smaller than a checkpoint, for many narrow rows.
+
+    The shuffles that made the rows are not needed after that, and leave the executors' disks.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/docweave-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def row_key(*cols: Column) -> Column:

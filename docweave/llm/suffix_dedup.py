@@ -16,58 +16,43 @@ many times, so text that cannot repeat is put aside first, without loss:
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, store
+from .common import store
 
 WINDOW = 100
 K = 32
-#: Groups of up to this many different segments are sorted by one task; windows of larger ones are grouped by digest.
+#: Groups of up to this many different segments are sorted by one task; larger ones are halved by more of their bytes first.
 GROUP = 2000
+#: Segments that a task folds at once before they are shuffled.
+FLUSH = 1 << 19
 #: Bytes that a task hashes or sorts at once.
 BATCH = 1 << 19
-#: A filter of anchors is broadcast up to this size, 12 bits an anchor; beyond, segments meet anchors in a join.
-FILTER_BYTES = 48 << 20
 
 _RNG = np.random.default_rng(100)
 _CODE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_CODE2 = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 NULL_ID = 2**63 - 1
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 def segments(texts: list[bytes]) -> dict[str, np.ndarray]:
-    """Segments of the texts: doc (place in the list), start, n (windows), anchor, content (hashes), at (start in the joined bytes)."""
+    """Segments of the texts: doc (place in the list), start, n (windows), anchor (hash of its K bytes), a and b (digest of all bytes)."""
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
     u = np.frombuffer(b"".join(texts), np.uint8)
-    none = {k: np.zeros(0, np.int64) for k in ("doc", "start", "n", "at")} | {k: np.zeros(0, np.uint64) for k in ("anchor", "content")}
+    none = {k: np.zeros(0, np.int64) for k in ("doc", "start", "n", "a", "b")} | {"anchor": np.zeros(0, np.uint64)}
     if len(u) < WINDOW or lens.max() < WINDOW:
         return none
     ends = np.cumsum(lens)
-    # Hashes of K bytes, by doubling.
-    h, size = _CODE[u], 1
-    while size < K:
-        h = h[:-size] * np.uint64(pow(int(_BASE), size, 2**64)) + h[size:]
-        size *= 2
-    h ^= h >> np.uint64(32)
-    h *= _MIX
-    h ^= h >> np.uint64(29)
+    h = _hashes(u)
     # The least hash of a window, and its leftmost place, by doubling.
     w = WINDOW - K + 1
     best, at, size = h, np.arange(len(h), dtype=np.int32 if len(h) < 2**31 else np.int64), 1
@@ -86,12 +71,26 @@ def segments(texts: list[bytes]) -> dict[str, np.ndarray]:
     s = np.flatnonzero(cut)
     count = np.diff(np.append(s, n))
     s, count = s[valid[s]], count[valid[s]]
-    p = at[s]
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_CODE2[u] * _powers(_BASE, len(u)), dtype=np.uint64)))
-    content = (sums[s + count + WINDOW - 1] - sums[s]) * _powers(_BACK, len(u))[s]
-    content ^= ((p - s).astype(np.uint64) << np.uint64(32) | count.astype(np.uint64)) * _MIX
+    digest, view = xxhash.xxh3_128_digest, memoryview(u)
+    both = np.frombuffer(b"".join([digest(view[a:b]) for a, b in zip(s.tolist(), (s + count + WINDOW - 1).tolist(), strict=True)]), "<i8").reshape(-1, 2)
     doc = doc_of[s]
-    return {"doc": doc, "start": s - (ends - lens)[doc], "n": count, "anchor": h[p], "content": content, "at": s}
+    return {"doc": doc, "start": s - (ends - lens)[doc], "n": count, "anchor": h[at[s]], "a": both[:, 0], "b": both[:, 1]}
+
+
+def _hashes(u: np.ndarray) -> np.ndarray:
+    """A hash of the K bytes from each place on, by doubling."""
+    h, size = _CODE[u], 1
+    while size < K:
+        h = h[:-size] * np.uint64(pow(int(_BASE), size, 2**64)) + h[size:]
+        size *= 2
+    h ^= h >> np.uint64(32)
+    h *= _MIX
+    return h ^ (h >> np.uint64(29))
+
+
+def anchor_at(b: bytes) -> int:
+    """The place of the anchor in a segment: that of the least hash in its first window."""
+    return int(_hashes(np.frombuffer(b[:WINDOW], np.uint8)).argmin())
 
 
 def suffix_array(x: np.ndarray, needed: int | None = None) -> np.ndarray:
@@ -188,67 +187,33 @@ def repeated_windows(texts: list[bytes], doc: np.ndarray, start: np.ndarray, n:
     return s[late], (sa - begin[s])[late]
 
 
-class AnchorFilter:
-    """A Bloom filter of anchors; without one, everything may be in it."""
-
-    HASHES = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
-
-    def __init__(self, log2: int, bits: np.ndarray | None = None):
-        self.shift, self.bits = np.uint64(64 - log2), np.zeros(1 << max(0, log2 - 3), np.uint8) if bits is None else bits
+def _packed(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return start.astype(np.int64) << 31 | n
 
-    def add(self, a: np.ndarray) -> None:
-        for m in self.HASHES:
-            k = (a * m) >> self.shift
-            np.bitwise_or.at(self.bits, (k >> np.uint64(3)).astype(np.int64), np.uint8(1) << (k & np.uint64(7)).astype(np.uint8))
 
-    def has(self, a: np.ndarray) -> np.ndarray:
-        out = np.ones(len(a), bool)
-        for m in self.HASHES:
-            k = (a * m) >> self.shift
-            out &= self.bits[(k >> np.uint64(3)).astype(np.int64)] >> (k & np.uint64(7)).astype(np.uint8) & 1 == 1
-        return out
-
-
-def _occurrence(anchor: np.ndarray, content: np.ndarray, ident: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """A hash of one segment of one document."""
-    h = anchor.view(np.uint64) ^ (content.view(np.uint64) * _BASE)
-    h = (h ^ ident.view(np.uint64)) * _MIX
-    h = (h ^ (h >> np.uint64(31)) ^ pos.view(np.uint64)) * _BASE
-    return h ^ (h >> np.uint64(29))
+def _unpacked(pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return pos >> 31, pos & (1 << 31) - 1
 
 
-def _filter_of(rows: DataFrame, limit: int) -> AnchorFilter | None:
-    """A filter of the anchors, or of all four columns of segments; None where it would exceed ``limit`` bytes."""
-    n = rows.count()
-    log2 = max(13, int(np.ceil(np.log2(max(1, n) * 12))))
-    if (1 << log2) // 8 > limit:
-        return None
-    whole = len(rows.columns) > 1
+def _differs(*columns: np.ndarray) -> np.ndarray:
+    """Which rows differ from the one before in any column; the first does."""
+    return np.concatenate(([True], np.logical_or.reduce([c[1:] != c[:-1] for c in columns]))) if len(columns[0]) else np.zeros(0, bool)
 
-    def built(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f = AnchorFilter(log2)
-        for b in batches:
-            f.add(_occurrence(*(b[c].to_numpy() for c in ("anchor", "content", "id", "pos"))) if whole else b.anchor.to_numpy().view(np.uint64))
-        yield pd.DataFrame({"bits": [f.bits.tobytes()]})
 
-    parts = rows.coalesce(4).mapInPandas(built, "bits binary").collect()
-    bits = np.zeros(1 << (log2 - 3), np.uint8)
-    for r in parts:
-        bits |= np.frombuffer(r.bits, np.uint8)
-    return AnchorFilter(log2, bits)
+_SEGMENT = "a long, b long, anchor long, id long, key long, pos long"
 
 
-def _scan(rows: DataFrame, wanted: AnchorFilter | None, what: str) -> DataFrame:
-    """Segments of ``rows`` (id, key, text) that the filter lets pass: their anchors with counts, rows, or rows with bytes.
+def scan_segments(rows: DataFrame) -> DataFrame:
+    """Segments of ``rows`` (id, key, text): digest (a, b), anchor, id, key, pos (start and n, packed).
 
-    pos is the start times 256 plus the number of windows.
+    Up to FLUSH segments are folded where they are read: of equal ones, only the first is passed
+    on, and the others become runs, with pos inverted and a spread over all values. So a group of
+    copies, however large, comes down to a row a flush before anything is shuffled.
     """
-    send = rows.sparkSession.sparkContext.broadcast(wanted.bits) if wanted else None
-    log2 = 64 - int(wanted.shift) if wanted else 0
-    schema = {"anchors": "anchor long, n long", "segments": _SEGMENT, "texts": _SEGMENT + ", bytes binary"}[what]
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = AnchorFilter(log2, send.value) if send else None
+        held: list[dict[str, np.ndarray]] = []
+        n_held = 0
         for b in batches:
             ids, keys = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
             texts = [(t or "").encode("utf-8") for t in b.column(2).to_pylist()]
@@ -256,78 +221,126 @@ def _scan(rows: DataFrame, wanted: AnchorFilter | None, what: str) -> DataFrame:
             lo = 0
             while lo < len(texts):
                 hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + BATCH, "right")))
-                part = texts[lo:hi]
-                s = segments(part)
+                s = segments(texts[lo:hi])
                 doc = s["doc"] + lo
-                out = {"anchor": s["anchor"].view(np.int64), "content": s["content"].view(np.int64), "id": ids[doc], "key": keys[doc], "pos": s["start"] * 256 + s["n"]}
-                if f is not None:
-                    keep = f.has(s["anchor"] if what == "segments" else _occurrence(*(out[c] for c in ("anchor", "content", "id", "pos"))))
-                    out = {k: v[keep] for k, v in out.items()}
-                    s = {k: v[keep] for k, v in s.items()}
-                if what == "anchors":
-                    # A document's, or a few documents', counts; their sum over all follows.
-                    a, n = np.unique(out["anchor"], return_counts=True)
-                    out = {"anchor": a, "n": n}
-                if what == "texts":
-                    joined = b"".join(part)
-                    out["bytes"] = pa.array([joined[a : a + n + WINDOW - 1] for a, n in zip(s["at"].tolist(), s["n"].tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_pydict(out)
+                held.append({"a": s["a"], "b": s["b"], "anchor": s["anchor"].view(np.int64), "id": ids[doc], "key": keys[doc], "start": s["start"], "n": s["n"]})
+                n_held += len(doc)
+                if n_held >= FLUSH:
+                    yield from _folded(held)
+                    held, n_held = [], 0
                 lo = hi
+        if n_held:
+            yield from _folded(held)
+
+    return rows.mapInArrow(scanned, _SEGMENT)
+
+
+def _folded(held: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    c = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+    order = np.lexsort((c["key"], c["start"], c["id"], c["b"], c["a"]))
+    c = {k: v[order] for k, v in c.items()}
+    first = np.maximum.accumulate(np.where(_differs(c["a"], c["b"]), np.arange(len(order)), 0))
+    late = (c["id"] != c["id"][first]) | (c["start"] != c["start"][first])
+    stay = ~late & _differs(*(c[k] for k in ("a", "b", "id", "key", "start")))
+    yield from _batches({k: c[k][stay] for k in ("a", "b", "anchor", "id", "key")} | {"pos": _packed(c["start"][stay], c["n"][stay])})
+    c = {k: v[late] for k, v in c.items()}
+    order = np.lexsort((c["start"], c["key"], c["id"]))
+    c = {k: v[order] for k, v in c.items()}
+    if len(order):
+        end = c["start"] + c["n"]
+        head = np.flatnonzero(_differs(c["id"], c["key"]) | np.concatenate(([True], c["start"][1:] != end[:-1])))
+        n = np.add.reduceat(c["n"], head)
+        spread = ((c["id"][head].view(np.uint64) ^ c["key"][head].view(np.uint64)) * _MIX).view(np.int64)
+        yield from _batches({"a": spread, "b": spread, "anchor": spread, "id": c["id"][head], "key": c["key"][head], "pos": ~_packed(c["start"][head], n)})
+
+
+def _batches(columns: dict[str, np.ndarray], most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    whole = pa.RecordBatch.from_pydict(columns)
+    for k in range(0, whole.num_rows, most):
+        yield whole.slice(k, most)
+
+
+def fold_segments(found: DataFrame) -> DataFrame:
+    """Segments or runs, each once: late (also begins earlier, in full), anchor, id, key, pos.
+
+    Equal digests meet in one sorted partition, where each is held against the first of its
+    digest. A partition is read as a stream: no group is ever held.
+    """
 
-    return rows.mapInArrow(scanned, schema)
-
-
-_SEGMENT = "anchor long, content long, id long, key long, pos long"
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = first = None
+        for b in batches:
+            c = {k: b.column(k).to_numpy(zero_copy_only=False) for k in ("a", "b", "anchor", "id", "key", "pos")}
+            run = c["pos"] < 0
+            if run.any():
+                yield pa.RecordBatch.from_pydict({"late": np.ones(run.sum(), bool)} | {k: c[k][run] for k in ("anchor", "id", "key")} | {"pos": ~c["pos"][run]})
+                c = {k: v[~run] for k, v in c.items()}
+            n = len(c["a"])
+            if not n:
+                continue
+            if last is not None:  # the row before and the first of its digest go ahead of this batch
+                c = {k: np.concatenate(([first[k], last[k]], v)) for k, v in c.items()}
+            start = c["pos"] >> 31
+            at = np.maximum.accumulate(np.where(_differs(c["a"], c["b"]), np.arange(len(start)), 0))
+            late = (c["id"] != c["id"][at]) | (start != start[at])
+            fresh = _differs(*(c[k] for k in ("a", "b", "id", "key", "pos")))
+            last, first = {k: v[-1] for k, v in c.items()}, {k: v[at[-1]] for k, v in c.items()}
+            keep = np.flatnonzero(fresh[-n:]) + len(start) - n
+            yield pa.RecordBatch.from_pydict({"late": late[keep]} | {k: c[k][keep] for k in ("anchor", "id", "key", "pos")})
+
+    return found.repartition("a", "b").sortWithinPartitions("a", "b", "id", "pos", "key").mapInArrow(folded, "late boolean, anchor long, id long, key long, pos long")
+
+
+_TEXT = "g long, lo int, hi int, id long, key long, pos long, bytes binary"
 
 
 def _bytes_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (anchor, kinds, id, key, pos) with bytes: each document meets its segments in a join, whatever their number."""
-    lists = wanted.groupBy(row_key(F.col("id"), F.col("key")).alias("k")).agg(F.collect_list(F.struct("anchor", "kinds", "pos")).alias("s"))
-    met = rows.withColumn("k", row_key(F.col("id"), F.col("key"))).join(lists, "k").dropDuplicates(["k"])
+    """``wanted`` (anchor, kinds, id, key, pos) with bytes: each document meets the list of its segments in a join."""
+    lists = wanted.groupBy("id", "key").agg(F.collect_list(F.struct("anchor", "kinds", "pos")).alias("s"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before = None
         for b in batches:
             for r in b.itertuples(index=False):
+                if (r.id, r.key) == before:  # rows that share id and text: one is enough
+                    continue
+                before = r.id, r.key
                 t = r.text.encode("utf-8")
                 pos = np.array([x["pos"] for x in r.s], np.int64)
-                yield pd.DataFrame({"anchor": [x["anchor"] for x in r.s], "kinds": [x["kinds"] for x in r.s], "id": r.id, "key": r.key, "pos": pos, "bytes": [t[p >> 8 : (p >> 8) + (p & 255) + WINDOW - 1] for p in pos.tolist()]})
+                start, n = _unpacked(pos)
+                yield pd.DataFrame({"g": [x["anchor"] for x in r.s], "lo": 0, "hi": WINDOW - K + 1, "id": r.id, "key": r.key, "pos": pos, "bytes": [t[a : a + m + WINDOW - 1] for a, m in zip(start.tolist(), n.tolist(), strict=True)], "kinds": [x["kinds"] for x in r.s]})
 
-    return met.select("id", "key", "text", "s").mapInPandas(cut, "anchor long, kinds long, id long, key long, pos long, bytes binary")
+    return rows.join(lists, ["id", "key"]).select("id", "key", "text", "s").mapInPandas(cut, _TEXT + ", kinds long")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, filter_bytes: int = FILTER_BYTES) -> DataFrame:
-    """Runs of windows that also begin earlier: id, key (hash of the text), start (byte), n (windows).
+def _halved(texts: DataFrame) -> DataFrame:
+    """Each segment's windows in two: those with the anchor in their first half of places (lo to hi, hi excluded), and the rest.
 
-    "Earlier" is a smaller id, or the same id and an earlier start. Ids are integers; null
-    comes last. A run [start, start + n) covers the bytes [start, start + n + WINDOW - 1).
+    All windows of a half share WINDOW + 1 - (hi - lo) bytes around the anchor, whose hash is
+    the new group: equal windows still meet. With one place left, the group is the window.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), F.col(text_col).alias("text"))
-    rows = rows.filter(F.octet_length("text") >= WINDOW)
 
-    # Anchors that occur more than once.
-    seen = _scan(rows, None, "anchors").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1")
-    again = store(seen.select("anchor"))
-    found = _scan(rows, may := _filter_of(again, filter_bytes), "segments")
-    if may is None:
-        found = found.join(again, "anchor", "left_semi")
-    # The first of each kind of segment; the others repeat it in full.
-    found = store(found)
-    first = F.min(F.struct("id", "pos", "key"))
-    firsts = store(found.groupBy("anchor", "content").agg(first.alias("first"), F.count("*").alias("m")))
-    copied = firsts.filter("m > 1").select(F.col("anchor").alias("a"), F.col("content").alias("c"), F.struct("first.id", "first.pos").alias("first"))
-    whole = found.join(copied, (F.col("anchor") == F.col("a")) & (F.col("content") == F.col("c")))
-    whole = whole.filter(F.struct("id", "pos") > F.col("first")).select("id", "key", F.shiftright("pos", 8).alias("start"), F.col("pos").bitwiseAND(255).alias("n"))
-    # Groups with different segments go on, with their bytes.
-    many = store(firsts.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
-    wanted = firsts.join(many, "anchor").select("anchor", "content", "kinds", F.col("first.id").alias("id"), F.col("first.key").alias("key"), F.col("first.pos").alias("pos"))
-    wanted = store(wanted)
-    may = _filter_of(wanted.select("anchor", "content", "id", "pos"), filter_bytes)
-    if may is None:
-        texts = _bytes_of(rows, wanted)
-    else:
-        # Of rows that share id and text, one is enough; the filter's few errors fall out of the join.
-        texts = _scan(rows, may, "texts").join(wanted, ["anchor", "content", "id", "key", "pos"])
-    texts = store(texts.select("anchor", "kinds", "id", "key", "pos", "bytes"))
+    def halves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                start, n = r.pos >> 31, r.pos & (1 << 31) - 1
+                p = anchor_at(r.bytes)
+                mid = (r.lo + r.hi) // 2
+                for lo, hi in ((r.lo, mid), (mid, r.hi)):
+                    # Window j has its anchor at place p - j.
+                    j, end = max(0, p - hi + 1), min(n, p - lo + 1)
+                    if j < end:
+                        core = r.bytes[p - lo : p - hi + 1 + WINDOW]
+                        g = xxhash.xxh3_64_intdigest(core, lo << 8 | hi)
+                        out.append((np.uint64(g).astype(np.int64), lo, hi, r.id, r.key, (start + j) << 31 | end - j, r.bytes[j : end + WINDOW - 1]))
+            yield pd.DataFrame(out, columns=["g", "lo", "hi", "id", "key", "pos", "bytes"])
+
+    return texts.select("lo", "hi", "id", "key", "pos", "bytes").mapInPandas(halves, _TEXT)
+
+
+def _sort_groups(texts: DataFrame) -> DataFrame:
+    """Runs of windows that begin earlier in their group: each task sorts the suffixes of whole groups, about BATCH bytes at a time."""
 
     def sort_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -337,7 +350,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             size += int(b.bytes.str.len().sum())
             if size >= BATCH:
                 all_ = pd.concat(held, ignore_index=True)
-                last = all_.anchor == all_.anchor.iloc[-1]
+                last = all_.g == all_.g.iloc[-1]
                 if not last.all():
                     yield from pieces(all_[~last])
                     held = [all_[last]]
@@ -350,7 +363,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if not len(b):
             return
         size = np.cumsum(b.bytes.str.len().to_numpy())
-        border = np.flatnonzero(np.concatenate((b.anchor.to_numpy()[1:] != b.anchor.to_numpy()[:-1], [True]))) + 1
+        border = np.flatnonzero(np.append(_differs(b.g.to_numpy())[1:], True)) + 1
         lo = 0
         while lo < len(b):
             fits = border[(border > lo) & (size[border - 1] <= (size[lo - 1] if lo else 0) + BATCH)]
@@ -359,32 +372,52 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             lo = hi
 
     def late(b: pd.DataFrame) -> pd.DataFrame:
-        start = b.pos.to_numpy() >> 8
-        s, off = repeated_windows(list(b.bytes), b.id.to_numpy(), start, b.pos.to_numpy() & 255)
+        start, n = _unpacked(b.pos.to_numpy())
+        s, off = repeated_windows(list(b.bytes), b.id.to_numpy(), start, n)
         order = np.lexsort((off, s))
         s, off = s[order], off[order]
         head = np.flatnonzero(np.concatenate(([True], (s[1:] != s[:-1]) | (off[1:] != off[:-1] + 1)))) if len(s) else np.zeros(0, int)
         t = s[head]
-        return pd.DataFrame({"id": b.id.to_numpy()[t], "key": b.key.to_numpy()[t], "start": start[t] + off[head], "n": np.diff(np.append(head, len(s)))})
-
-    small = texts.filter(F.col("kinds") <= group).repartition("anchor").sortWithinPartitions("anchor")
-    sorted_ = small.select("anchor", "id", "key", "pos", "bytes").mapInPandas(sort_groups, "id long, key long, start long, n long")
+        return pd.DataFrame({"id": b.id.to_numpy()[t], "key": b.key.to_numpy()[t], "pos": _packed(start[t] + off[head], np.diff(np.append(head, len(s))))})
 
-    # Larger groups: each window by its digest, folded before the shuffle.
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for r in b.itertuples(index=False):
-                off = np.arange(r.pos & 255)
-                yield pd.DataFrame({"digest": [hashlib.blake2b(r.bytes[k : k + WINDOW], digest_size=16).digest() for k in off], "id": r.id, "key": r.key, "start": (r.pos >> 8) + off})
+    return texts.select("g", "id", "key", "pos", "bytes").repartition("g").sortWithinPartitions("g").mapInPandas(sort_groups, "id long, key long, pos long")
 
-    large = texts.filter(F.col("kinds") > group)
-    single = store(large.select("id", "key", "pos", "bytes").mapInPandas(windows, "digest binary, id long, key long, start long"))
-    earliest = store(single.groupBy(F.col("digest").alias("d")).agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("m")).filter("m > 1"))
-    more = single.join(earliest, F.col("digest") == F.col("d")).filter(F.struct("id", "start") > F.col("first")).select("id", "key", "start", F.lit(1).cast("long").alias("n"))
-    return whole.unionByName(sorted_).unionByName(more)
 
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> dict[str, DataFrame]:
+    """Runs of windows that also begin earlier, by the way they were found: id, key (hash of the text), pos (start and n, packed).
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+    "Earlier" is a smaller id, or the same id and an earlier start. Ids are integers; null
+    comes last. A run of n windows from start covers the bytes [start, start + n + WINDOW - 1).
+    ``folded`` holds segments that repeat in full, ``sorted`` what the sorted suffixes show, and
+    ``single`` windows of groups that stayed above ``group`` down to a single window.
+    """
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), F.col(text_col).alias("text"))
+    rows = rows.filter(F.octet_length("text") >= WINDOW)
+    found = store(fold_segments(scan_segments(rows)))
+    firsts = found.filter("NOT late").drop("late")
+    # Groups with different segments go on, with their bytes.
+    many = firsts.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    wanted = store(firsts.join(many, "anchor"))
+    texts = store(_bytes_of(rows, wanted))
+    whole = {"folded": found.filter("late").select("id", "key", "pos")}
+    # Groups above the limit are halved, and halves that are still above it again.
+    small, large = [texts.filter(F.col("kinds") <= group).drop("kinds")], texts.filter(F.col("kinds") > group)
+    while not large.isEmpty():
+        parts = store(_halved(large))
+        kinds = parts.groupBy("g").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+        parts = store(parts.join(kinds, "g"))
+        fits = (F.col("kinds") <= group) & (F.col("hi") - F.col("lo") > 1)
+        small.append(parts.filter(fits).drop("kinds"))
+        single = parts.filter("hi - lo = 1").select("bytes", "id", "key", "pos")
+        first = single.groupBy(F.col("bytes").alias("w")).agg(F.min(F.struct("id", "pos")).alias("first"))
+        single = single.join(first, F.col("bytes") == F.col("w")).filter(F.struct("id", "pos") > F.col("first")).select("id", "key", "pos")
+        whole["single"] = whole["single"].unionByName(single) if "single" in whole else single
+        large = parts.filter(~fits & (F.col("hi") - F.col("lo") > 1))
+    whole["sorted"] = store(_sort_groups(reduce(DataFrame.unionByName, small)))
+    return whole
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
     """Each text without the bytes of windows that also begin earlier.
 
     One row per row of ``docs``: doc_id, kept (binary, the bytes that stay, joined), n_bytes,
@@ -393,11 +426,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     one id are one document: a window at the same start of another row with that id is not
     earlier, so identical rows fare alike. An empty table gives an empty result.
     """
-    spans = repeated_spans(docs, id_col, text_col, group, filter_bytes)
-    runs = spans.groupBy(row_key(F.col("id"), F.col("key")).alias("k")).agg(F.collect_set(F.col("start") * 256 + F.col("n")).alias("runs"))
+    spans = reduce(DataFrame.unionByName, repeated_spans(docs, id_col, text_col, group).values())
+    runs = spans.groupBy("id", "key").agg(F.collect_list("pos").alias("runs"))
     kind = docs.schema[id_col].dataType.simpleString()
-    own = row_key(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    met = docs.select(F.col(id_col).alias("doc_id"), own.alias("k"), F.col(text_col).alias("text")).join(runs, "k", "left")
+    own = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key")
+    met = docs.select(F.col(id_col).alias("doc_id"), *own, F.col(text_col).alias("text")).join(runs, ["id", "key"], "left")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -405,7 +438,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for text, found in zip(b.text, b.runs, strict=True):
                 t = (text or "").encode("utf-8")
                 r = np.sort(found) if found is not None else np.zeros(0, np.int64)
-                lo, hi = r >> 8, np.maximum.accumulate((r >> 8) + (r & 255) + WINDOW - 1) if len(r) else r
+                lo, n = _unpacked(r)
+                hi = np.maximum.accumulate(lo + n + WINDOW - 1) if len(r) else r
                 new = np.flatnonzero(np.concatenate(([True], lo[1:] > hi[:-1]))) if len(r) else r
                 starts, ends = lo[new].tolist(), (hi[np.append(new[1:], len(r)) - 1].tolist() if len(r) else [])
                 kept = [t[a:b] for a, b in zip([0, *ends], [*starts, len(t)], strict=True)]

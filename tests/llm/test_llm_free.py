@@ -67,7 +67,7 @@ def repeats():
     return rows
 
 
-@pytest.mark.parametrize("how", [{}, {"group": 3}, {"filter_bytes": 0}])
+@pytest.mark.parametrize("how", [{}, {"group": 3}])
 def test_repeats(spark, repeats, how):
     assert removal(spark.createDataFrame(repeats, "doc_id long, text string"), **how) == brute_removal([(i, t.encode()) for i, t in repeats])
 
