@@ -298,19 +298,28 @@ def _bytes_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` (anchor, kinds, id, key, pos) with bytes: each document meets the list of its segments in a join."""
     lists = wanted.groupBy("id", "key").agg(F.collect_list(F.struct("anchor", "kinds", "pos")).alias("s"))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
-        for b in batches:
-            for r in b.itertuples(index=False):
-                if (r.id, r.key) == before:  # rows that share id and text: one is enough
-                    continue
-                before = r.id, r.key
-                t = r.text.encode("utf-8")
-                pos = np.array([x["pos"] for x in r.s], np.int64)
+        for whole in batches:
+            for k in range(0, whole.num_rows, 512):
+                b = whole.slice(k, 512)
+                ids, keys = b.column(0).to_numpy(), b.column(1).to_numpy()
+                found, end = b.column(3).flatten(), np.cumsum(b.column(3).value_lengths().to_numpy())
+                pos = found.field("pos").to_numpy()
                 start, n = _unpacked(pos)
-                yield pd.DataFrame({"g": [x["anchor"] for x in r.s], "lo": 0, "hi": WINDOW - K + 1, "id": r.id, "key": r.key, "pos": pos, "bytes": [t[a : a + m + WINDOW - 1] for a, m in zip(start.tolist(), n.tolist(), strict=True)], "kinds": [x["kinds"] for x in r.s]})
-
-    return rows.join(lists, ["id", "key"]).select("id", "key", "text", "s").mapInPandas(cut, _TEXT + ", kinds long")
+                start, stop = start.tolist(), (start + n + WINDOW - 1).tolist()
+                out, rows = [], np.zeros(len(pos), bool)
+                for i, text in enumerate(b.column(2).to_pylist()):
+                    if (ids[i], keys[i]) != before:  # of rows that share id and text one is enough
+                        before, t, lo = (ids[i], keys[i]), text.encode("utf-8"), end[i - 1] if i else 0
+                        rows[lo : end[i]] = True
+                        out += [t[x:y] for x, y in zip(start[lo : end[i]], stop[lo : end[i]], strict=True)]
+                doc = np.repeat(np.arange(b.num_rows), np.diff(end, prepend=0))[rows]
+                same = np.zeros(len(doc), np.int32)
+                cols = {"g": found.field("anchor").to_numpy()[rows], "lo": same, "hi": same + WINDOW - K + 1, "id": ids[doc], "key": keys[doc], "pos": pos[rows], "bytes": pa.array(out, pa.binary()), "kinds": found.field("kinds").to_numpy()[rows]}
+                yield pa.RecordBatch.from_pydict(cols)
+
+    return rows.join(lists, ["id", "key"]).select("id", "key", "text", "s").mapInArrow(cut, _TEXT + ", kinds long")
 
 
 def _halved(texts: DataFrame) -> DataFrame:
