@@ -4,23 +4,27 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Code points that a leaf of the tree encodes at once; ids that a leaf decodes at once.
-LEAF = 4096
+#: Code points of a leaf of the tree that encodes; ids of a leaf of the tree that decodes.
+LEAF = 128
 #: Bytes of one piece that are merged at once; longer pieces are reduced as a tree themselves.
-PIECE = 2048
-#: Between these characters every split of the pattern has a border, whatever stands around: nothing in it
-#: spans text then white space, a letter then something else, or a digit then something else.
-BORDER = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})")
+PIECE = 32
+#: Pieces, and pairs of neighbours, whose ids a worker process remembers.
+REMEMBERED = 1 << 17
+#: Ends of runs where every split of the pattern has a border, whatever stands around: nothing in it spans text
+#: then white space, a letter then something else, or a digit then something else. ASCII only, which is enough.
+BORDER = re.compile(r"[A-Za-z]++(?=[\x00-@\[-`{-\x7F])|[0-9]++(?=[\x00-/:-\x7F])|[^\sA-Za-z0-9]++(?=[ \t\n\r])")
 
 
 class TreeBPE:
@@ -28,50 +32,41 @@ class TreeBPE:
 
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding("tree", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.pattern = regex.compile(pattern)
-        self.token = {v: k for k, v in ranks.items()}
-
-    def encode(self, text: str) -> list[int]:
-        """Ids of the text. Leaves are encoded directly; neighbours are joined up the tree."""
-        return self._reduce(text, 0, len(text))
-
-    def _reduce(self, text: str, lo: int, hi: int) -> list[int]:
+            self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.pattern = regex.compile(f"(?:{pattern})")  # without groups, findall() gives whole matches
+        self.token = {v: k for k, v in self.rank.items()}
+        self.known: dict[str, list[int]] = {}
+        self.pairs: dict[tuple[int, int], bool] = {}
+
+    def encode(self, text: str) -> array:
+        """Ids of the text: leaves of LEAF code points are encoded, neighbours joined up the tree."""
+        borders = array("q", [m.end() for m in BORDER.finditer(text)]) if len(text) > LEAF else array("q")
+        return self._reduce(text, borders, 0, len(text))
+
+    def _reduce(self, text: str, borders: array, lo: int, hi: int) -> array:
         if hi - lo <= LEAF:
-            return self.encoding.encode_ordinary(text[lo:hi])
+            return array("I", self._window(text[lo:hi]))
         mid = (lo + hi) // 2
-        return self._join(text, lo, mid, hi, self._reduce(text, lo, mid), self._reduce(text, mid, hi))
-
-    def _join(self, text: str, lo: int, mid: int, hi: int, left: list[int], right: list[int]) -> list[int]:
-        """Ids of text[lo:hi] from those of its halves.
-
-        The window around the seam grows until it begins and ends at a border that holds in any
-        context. The ids of the halves outside are then those of the whole, and the window's are
-        encoded anew. A window without such a border grows to the end of the half.
-        """
-        p, q, w = lo, hi, 32
-        while w < mid - lo:
-            if found := [m.start() for m in BORDER.finditer(text, max(lo, mid - w), mid) if m.start() > max(lo, mid - w)]:
-                p = found[-1]
-                break
-            w *= 2
-        w = 32
-        while w < hi - mid:
-            # A border needs a character on either side within the half.
-            if found := next((m.start() for m in BORDER.finditer(text, mid, min(hi, mid + w)) if mid < m.start() < min(hi, mid + w)), None):
-                q = found
-                break
-            w *= 2
+        left, right = self._reduce(text, borders, lo, mid), self._reduce(text, borders, mid, hi)
+        # Ids of text[lo:hi] from those of its halves: the window around the seam grows on either side to
+        # the nearest border that holds in any context, or to the end of the half. The ids of the halves
+        # outside are then those of the whole, and the window's are encoded anew.
+        i, j = bisect_left(borders, mid), bisect_right(borders, mid)
+        p = borders[i - 1] if i and borders[i - 1] > lo else lo
+        q = borders[j] if j < len(borders) and borders[j] < hi else hi
         a, b = self._window(text[p:mid]), self._window(text[mid:q])
-        return left[: len(left) - len(a)] + self._window(text[p:q]) + right[len(b) :]
+        return left[: len(left) - len(a)] + array("I", self._window(text[p:q])) + right[len(b) :]
 
     def _window(self, text: str) -> list[int]:
-        if len(text) <= PIECE:
-            return self.encoding.encode_ordinary(text)
         out: list[int] = []
-        for m in self.pattern.finditer(text):
-            out += self.piece(m.group().encode("utf-8"))
+        known = self.known.get
+        for t in self.pattern.findall(text):
+            ids = known(t)
+            if ids is None:
+                ids = self.piece(t.encode("utf-8"))
+                if len(t) <= PIECE:
+                    self._remember(self.known, t, ids)
+            out += ids
         return out
 
     def piece(self, b: bytes) -> list[int]:
@@ -82,24 +77,50 @@ class TreeBPE:
         pairs at its ends do.
         """
         if len(b) <= PIECE:
-            return self.encoding._encode_single_piece(b)
+            return self._merged(b)
         left, right = self.piece(b[: len(b) // 2]), self.piece(b[len(b) // 2 :])
-        k = 4
+        k = 2
         while True:
             i, j = max(0, len(left) - k), min(len(right), k)
             seam = b"".join(self.token[x] for x in left[i:] + right[:j])
-            inner = self.encoding._encode_single_piece(seam)
+            inner = self._merged(seam)
             if (i == 0 or self._stable(left[i - 1], inner[0])) and (j == len(right) or self._stable(inner[-1], right[j])):
                 return left[:i] + inner + right[j:]
             k *= 2
 
-    def _stable(self, a: int, b: int) -> bool:
-        return self.encoding._encode_single_piece(self.token[a] + self.token[b]) == [a, b]
+    def _merged(self, b: bytes) -> list[int]:
+        """Bytes merged by rank: of all neighbours that make a token, the pair of least rank, the leftmost of equals, time and again."""
+        if b in self.rank:
+            return [self.rank[b]]
+        cut = list(range(len(b) + 1))  # where parts begin, and the end
+        none = len(self.rank)
+        pair = lambda k: self.rank.get(b[cut[k] : cut[k + 2]], none) if k + 2 < len(cut) else none
+        ranks = [pair(k) for k in range(len(b))]
+        while (best := min(ranks)) < none:
+            k = ranks.index(best)
+            del cut[k + 1], ranks[k + 1]
+            ranks[k] = pair(k)
+            if k:
+                ranks[k - 1] = pair(k - 1)
+        return [self.rank[b[x:y]] for x, y in zip(cut, cut[1:], strict=False)]
 
-    def decode(self, ids: list[int]) -> bytes:
+    def _stable(self, a: int, b: int) -> bool:
+        same = self.pairs.get((a, b))
+        if same is None:
+            same = self._merged(self.token[a] + self.token[b]) == [a, b]
+            self._remember(self.pairs, (a, b), same)
+        return same
+
+    @staticmethod
+    def _remember(memory: dict, key: object, value: object) -> None:
+        if len(memory) >= REMEMBERED:
+            memory.clear()
+        memory[key] = value
+
+    def decode(self, ids: array | list[int]) -> bytes:
         """Bytes of the ids: leaves decoded, halves concatenated up the tree."""
         if len(ids) <= LEAF:
-            return self.encoding.decode_bytes(ids)
+            return b"".join([self.token[x] for x in ids])
         mid = len(ids) // 2
         return self.decode(ids[:mid]) + self.decode(ids[mid:])
 
@@ -129,7 +150,7 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for b in batches:
             for k in range(0, len(b), 256):
                 part = b.iloc[k : k + 256]
-                yield pd.DataFrame({"doc_id": part.doc_id, "ids": [np.array(c.encode(t or ""), np.int32) for t in part.text]})
+                yield pd.DataFrame({"doc_id": part.doc_id, "ids": [np.asarray(c.encode(t or "")).astype(np.int32) for t in part.text]})
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(encoded, f"doc_id {kind}, ids array<int>")
@@ -151,7 +172,11 @@ def bpe_decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids",
 
 
 def bpe_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encode, decode the ids, and digest both in one pass."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: encode, decode the ids, and digest both in one pass.
+
+    One row per row of ``docs``; null and empty texts have no ids, and an empty table gives an
+    empty result.
+    """
     path, pattern = path or defaults()[0], pattern or defaults()[1]
 
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,7 +185,7 @@ def bpe_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             rows = []
             for t in b.text:
                 ids = c.encode(t or "")
-                rows.append((len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()))
+                rows.append((len(ids), hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()))
             yield pd.DataFrame({"doc_id": b.doc_id} | {k: [r[i] for r in rows] for i, k in enumerate(("n_tokens", "ids_sha256", "decoded_sha256"))})
 
     kind = docs.schema[id_col].dataType.simpleString()

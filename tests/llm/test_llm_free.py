@@ -72,6 +72,12 @@ def test_repeats(spark, repeats, how):
     assert removal(spark.createDataFrame(repeats, "doc_id long, text string"), **how) == brute_removal([(i, t.encode()) for i, t in repeats])
 
 
+def test_repeats_query(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    got = Counter(map(tuple, QUERIES["op1_suffix_dedup"](spark, "/root/testdata/sf0.001").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()))
+    assert got == brute_removal([(r.doc_id, (r.text or "").encode()) for r in docs])
+
+
 def test_repeats_edge(edge, texts):
     assert removal(edge) == brute_removal([(i, (t or "").encode()) for i, t, *_ in texts])
 
@@ -121,28 +127,53 @@ def test_languages_of_copies(spark):
 # Byte BPE
 
 
-@pytest.mark.parametrize("leaf", [8, 64])
-def test_tree_is_the_library(monkeypatch, leaf):
+def library():
+    """The tiktoken library on the same vocabulary and pattern."""
+    import base64
+
+    import tiktoken
+
+    path, pattern = bpe.defaults()
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+@pytest.mark.parametrize(("leaf", "piece"), [(64, 32), (3, 4), (8, 16)])
+def test_tree_is_the_library(monkeypatch, leaf, piece):
     monkeypatch.setattr(bpe, "LEAF", leaf)
-    monkeypatch.setattr(bpe, "PIECE", 16)
-    c, rng = bpe.coder(*bpe.defaults()), random.Random(leaf)
+    monkeypatch.setattr(bpe, "PIECE", piece)
+    c, lib, rng = bpe.TreeBPE(*bpe.defaults()), library(), random.Random(leaf)
     parts = ["a", "b", " ", "  ", "\n", "'s", "'ll", "1", "23", "é", "ß", "漢字", "!", "...", "\t", "hello", "world", "'", " '", "e", "aaaa", "=", "==", "🙂"]
-    for _ in range(1500):
+    for _ in range(1000):
         t = "".join(rng.choices(rng.sample(parts, rng.randint(1, len(parts))), k=rng.randint(0, 300)))
         ids = c.encode(t)
-        assert ids == c.encoding.encode_ordinary(t)
+        assert list(ids) == lib.encode_ordinary(t)
         assert c.decode(ids) == t.encode()
+    for one in ("x", "=", "ab", "Abc", "漢", " ", "0"):  # pieces far longer than a leaf
+        t = one * 3000
+        assert list(c.encode(t)) == lib.encode_ordinary(t)
+
+
+def test_bpe_query_is_the_library(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    lib, expected = library(), Counter()
+    for r in docs:
+        ids = lib.encode_ordinary(r.text or "")
+        expected[r.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()] += 1
+    assert Counter(map(tuple, QUERIES["op6_bpe_round_trip"](spark, "/root/testdata/sf0.001").collect())) == expected
 
 
 def test_bpe_edge(edge, texts):
-    c = bpe.coder(*bpe.defaults())
-    expected = Counter((i, tuple(c.encoding.encode_ordinary(t or ""))) for i, t, *_ in texts)
+    lib = library()
+    expected = Counter((i, tuple(lib.encode_ordinary(t or ""))) for i, t, *_ in texts)
     coded = bpe.bpe_encode(edge)
     assert Counter((r.doc_id, tuple(r.ids)) for r in coded.collect()) == expected
     back = Counter((r.doc_id, bytes(r.decoded)) for r in bpe.bpe_decode(coded).collect())
     assert back == Counter((i, (t or "").encode()) for i, t, *_ in texts)
-    got = Counter((r.doc_id, r.n_tokens, r.decoded_sha256) for r in bpe.bpe_digests(edge).collect())
-    assert got == Counter((i, len(c.encoding.encode_ordinary(t or "")), hashlib.sha256((t or "").encode()).hexdigest()) for i, t, *_ in texts)
+    digests = lambda t: (len(lib.encode_ordinary(t)), hashlib.sha256(np.array(lib.encode_ordinary(t), "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+    got = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.bpe_digests(edge).collect())
+    assert got == Counter((i, *digests(t or "")) for i, t, *_ in texts)
 
 
 # SimHash
@@ -301,5 +332,5 @@ def test_pipeline(spark, sf, documents, plain):
             assert max(ids.values()) <= 3
         docs = out
     final = corpus_pipeline.run(spark, sf)
-    c = bpe.coder(*bpe.defaults())
-    assert Counter((r.doc_id, r.n_tokens) for r in final.collect()) == Counter((r.doc_id, len(c.encoding.encode_ordinary(r.text))) for r in docs.collect())
+    lib = library()
+    assert Counter((r.doc_id, r.n_tokens) for r in final.collect()) == Counter((r.doc_id, len(lib.encode_ordinary(r.text))) for r in docs.collect())
