@@ -6,22 +6,22 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions import text as X
 
 
 def first_per_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """Of each key the row that comes first; blank and null keys drop out."""
-    ranked = df.filter(F.col(key).isNotNull() & (F.col(key).cast("string") != "")).withColumn("__rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    return ranked.filter("__rank = 1").drop("__rank")
+    """Of each key the row that comes first, nulls of ``order`` first; blank and null keys drop out. Combined before the shuffle."""
+    known = df.filter(F.col(key).isNotNull() & (F.col(key).cast("string") != ""))
+    return known.groupBy(F.col(key).alias("__k")).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("__r")).select("__r.*")
 
 
 def last_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Last write wins: of each key the row that comes last."""
-    latest = Window.partitionBy(*keys).orderBy(*[c.desc() for c in order])
-    return df.withColumn("__rank", F.row_number().over(latest)).filter("__rank = 1").drop("__rank")
+    """Last write wins: of each key the row that comes last. Combined before the shuffle, so a hot key costs a row a task."""
+    found = df.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("__r"))
+    return found.select("__r.*")
 
 
 def priority_lookup(rows: DataFrame, dim: DataFrame, keys: list[tuple[str, str]], values: list[str], order: list[Column], defaults: dict[str, object]) -> DataFrame:
@@ -86,18 +86,35 @@ def identifier_rows(entities: DataFrame, entity: str, kinds: dict[str, Column])
     return entities.select(F.col(entity).alias("entity_id"), F.explode(pairs).alias("x")).select("entity_id", "x.id_type", "x.id_value").filter("trim(id_value) <> ''")
 
 
-def fuzzy_match(names: DataFrame, name: str, candidates: DataFrame, candidate: str, least: float = 0.72, block: int = 1) -> DataFrame:
+#: A word of more candidates than this meets only those that share the next word's beginning too.
+COMMON = 1000
+
+
+def fuzzy_match(names: DataFrame, name: str, candidates: DataFrame, candidate: str, least: float = 0.72, block: int = 1, common: int = COMMON) -> DataFrame:
     """The candidate closest to each different name: name, match, score; none below ``least``.
 
-    Normalised names that contain each other score 1, others by Ratcliff-Obershelp. Both sides
-    are made distinct first and meet only where normalised names share a word (or its first
-    ``block`` letters, with block below 8): an equi-join, never all pairs.
+    Normalised names that are equal or contain each other score 1, equal ones first, others by
+    Ratcliff-Obershelp. Both sides are made distinct, and equal ones meet in a join; only the
+    rest is compared. They meet where normalised names share a word (or its first ``block``
+    letters, with block below 8), and for words of more than ``common`` candidates where the two
+    letters after it agree as well: a word that all names share never brings all pairs.
     """
     def side(df, col, tag):
         d = df.select(F.col(col).alias(tag)).filter(F.col(tag).isNotNull()).distinct().withColumn(f"{tag}_n", X.company_name(F.col(tag)))
-        return d.filter(F.col(f"{tag}_n") != "").withColumn("w", F.explode(F.array_distinct(F.transform(F.split(f"{tag}_n", " "), lambda x: F.substring(x, 1, block)))))
+        return d.filter(F.col(f"{tag}_n") != "")
 
-    pairs = side(names, name, "a").join(side(candidates, candidate, "b"), "w").select("a", "a_n", "b", "b_n").distinct()
+    def met(df, tag):
+        w = F.split(f"{tag}_n", " ")
+        keys = F.transform(w, lambda x, i: F.struct(F.substring(x, 1, block).alias("w"), F.substring(F.coalesce(F.get(w, i + 1), F.lit("")), 1, 2).alias("next")))
+        return df.withColumn("k", F.explode(F.array_distinct(keys))).select("*", "k.w", "k.next").drop("k")
+
+    left, right = side(names, name, "a"), side(candidates, candidate, "b")
+    same = left.join(right.groupBy("b_n").agg(F.min("b").alias("b")), F.col("a_n") == F.col("b_n")).select("a", "b", F.lit(1.0).alias("score"))
+    rest = met(left.join(right, F.col("a_n") == F.col("b_n"), "left_anti"), "a")
+    there = met(right, "b")
+    many = there.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") > common).select("w", F.lit(True).alias("many"))
+    tagged = lambda d: d.join(many, "w", "left").select(*[c for c in d.columns if c not in ("w", "next")], "w", F.when(F.col("many"), F.col("next")).otherwise("").alias("next"))
+    pairs = tagged(rest).join(tagged(there), ["w", "next"]).select("a", "a_n", "b", "b_n").distinct()
 
     def ratios(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
@@ -105,8 +122,25 @@ def fuzzy_match(names: DataFrame, name: str, candidates: DataFrame, candidate: s
             yield pd.DataFrame({"a": p.a, "b": p.b, "score": score})
 
     scored = pairs.mapInPandas(ratios, "a string, b string, score double").filter(F.col("score") >= least)
-    best = scored.groupBy("a").agg(F.max_by(F.struct("b", "score"), F.struct("score", F.lit(0) - F.xxhash64("b"))).alias("m"))
-    return best.select(F.col("a").alias(name), F.col("m.b").alias("match"), F.bround("m.score", 6).alias("score"))
+    best = scored.groupBy("a").agg(F.max_by(F.struct("b", "score"), F.struct("score", F.lit(0) - F.xxhash64("b"))).alias("m")).select("a", "m.b", "m.score")
+    return same.unionByName(best).select(F.col("a").alias(name), F.col("b").alias("match"), F.bround("score", 6).alias("score"))
+
+
+def fuzzy_enrich(rows: DataFrame, name: str, dim: DataFrame, dim_name: str, exact: tuple[str, str], values: list[str], least: float = 0.72) -> DataFrame:
+    """``rows`` with ``values`` of ``dim`` (each dim name once): by the exact key (row column, dim column), else by the closest name.
+
+    Only rows that the exact key leaves open are matched by name, and each different name once;
+    the match's values are then looked up by its name. Adds how: exact, fuzzy or null.
+    """
+    mine, theirs = exact
+    by_key = first_per_key(dim, theirs, [F.col(dim_name)]).select(F.col(theirs).alias("__k"), F.struct(*values).alias("__e"))
+    tried = rows.join(by_key, F.col(mine) == F.col("__k"), "left").drop("__k")
+    open_ = tried.filter(F.col("__e").isNull()).select(name).distinct()
+    near = fuzzy_match(open_, name, dim, dim_name, least, block=7).select(F.col(name).alias("__n"), F.col("match").alias("__m"))
+    found = near.join(first_per_key(dim, dim_name, [F.col(theirs)]).select(F.col(dim_name).alias("__m"), F.struct(*values).alias("__f")), "__m").drop("__m")
+    out = tried.join(found, F.col("__e").isNull() & (F.col(name) == F.col("__n")), "left")
+    how = F.when(F.col("__e").isNotNull(), "exact").when(F.col("__f").isNotNull(), "fuzzy")
+    return out.select(*rows.columns, *[F.coalesce(F.col("__e")[v], F.col("__f")[v]).alias(v) for v in values], how.alias("how"))
 
 
 def resolve_chain(queries: DataFrame, query: str, steps: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
@@ -139,8 +173,12 @@ def contains_lookup(rows: DataFrame, text: str, dim: DataFrame, name: str, entit
     """
     n = dim.select(F.upper(F.trim(F.col(name))).alias("__n"), F.col(entity).alias("__e")).filter(F.length("__n") >= min(gram, LEAST_NAME)).groupBy("__n").agg(F.min("__e").alias("__e"))
     n = n.withColumn("__g", F.when(F.length("__n") >= gram, F.substring("__n", 1, gram)).otherwise(F.substring("__n", 1, LEAST_NAME)))
-    tagged = rows.withColumn("__id", F.md5(F.to_json(F.struct(*rows.columns)))).withColumn("__u", F.upper(F.coalesce(F.col(text), F.lit(""))))
+    # Grams travel with two hashes of the text, not with the text; it is fetched for the exact test by its hashes.
+    upper = F.upper(F.coalesce(F.col(text), F.lit("")))
+    tagged = rows.withColumns({"__u": upper, "__h": F.xxhash64(upper), "__i": F.xxhash64(F.lit(1), upper)})
+    texts = tagged.select("__h", "__i", "__u").dropDuplicates(["__h", "__i"])
     at = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length("__u") - k + 1, F.lit(1))), lambda i: F.substr(F.col("__u"), i, F.lit(k)))
-    probe = tagged.select("__id", "__u", F.explode(F.array_distinct(F.concat(*[at(k) for k in sorted({gram, min(gram, LEAST_NAME)})]))).alias("__g"))
-    hits = probe.join(n, "__g").filter(F.contains(F.col("__u"), F.col("__n"))).groupBy("__id").agg(F.min("__e").alias("entity_id"))
-    return tagged.join(hits, "__id", "left").drop("__id", "__u")
+    probe = texts.select("__h", "__i", F.explode(F.array_distinct(F.concat(*[at(k) for k in sorted({gram, min(gram, LEAST_NAME)})]))).alias("__g"))
+    hits = probe.join(n, "__g").select("__h", "__i", "__n", "__e").join(texts, ["__h", "__i"]).filter(F.contains(F.col("__u"), F.col("__n")))
+    hits = hits.groupBy("__h", "__i").agg(F.min("__e").alias("entity_id"))
+    return tagged.join(hits, ["__h", "__i"], "left").drop("__h", "__i", "__u")

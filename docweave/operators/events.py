@@ -23,16 +23,23 @@ def pair_overrides(events: DataFrame) -> DataFrame:
 
     ``events``: seq, event_type, run_id, doc_id, schema_hash, chunk_id, chunks (array). Hashes are
     compared only where both are known, and an override's chunk, if named, must be among the
-    extract's. Those two tests are not equalities, so candidates of a run and document are
-    filtered after an equi-join.
+    extract's. An extract stands under its own hash and under any, and under each of its chunks
+    and any; an override looks under its hash and under extracts of none. So each lookup is the
+    last extract before it of equal keys, carried along one window: no pairs are made.
     """
-    o = events.filter("event_type = 'override'").alias("o")
-    e = events.filter("event_type = 'llm_extract'").alias("e")
-    known = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) != ""
-    on = (F.col("o.run_id") == F.col("e.run_id")) & (F.col("o.doc_id") == F.col("e.doc_id")) & (F.col("e.seq") < F.col("o.seq"))
-    on = on & (~known("o.schema_hash") | ~known("e.schema_hash") | (F.col("o.schema_hash") == F.col("e.schema_hash")))
-    on = on & (~known("o.chunk_id") | F.array_contains(F.col("e.chunks"), F.col("o.chunk_id")))
-    return o.join(e, on).groupBy(F.col("o.seq").alias("override_seq")).agg(F.max("e.seq").alias("extract_seq"))
+    known = lambda c: F.when(F.trim(F.coalesce(F.col(c), F.lit(""))) != "", F.col(c))
+    h, c = known("schema_hash"), known("chunk_id")
+    key = lambda tag, value: F.concat(F.lit(tag), value)
+    none, any_ = F.lit("-"), F.lit("*")
+    extract = F.col("event_type") == "llm_extract"
+    hashes = F.when(extract, F.array(F.coalesce(key("=", h), none), any_)).otherwise(F.when(h.isNull(), F.array(any_)).otherwise(F.array(key("=", h), none)))
+    chunks = F.when(extract, F.concat(F.array(any_), F.transform(F.array_distinct(F.coalesce("chunks", F.array().cast("array<string>"))), lambda x: key("=", x)))).otherwise(F.array(F.coalesce(key("=", c), any_)))
+    rows = events.filter("event_type IN ('override', 'llm_extract')").select("run_id", "doc_id", "seq", extract.alias("extract"), F.explode(hashes).alias("h"), chunks.alias("cs"))
+    rows = rows.select("run_id", "doc_id", "seq", "extract", "h", F.explode("cs").alias("c")).filter("run_id IS NOT NULL AND doc_id IS NOT NULL")
+    before = Window.partitionBy("run_id", "doc_id", "h", "c").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("extract"), F.col("seq")), ignorenulls=True).over(before)
+    found = rows.withColumn("extract_seq", last).filter("NOT extract AND extract_seq IS NOT NULL")
+    return found.groupBy(F.col("seq").alias("override_seq")).agg(F.max("extract_seq").alias("extract_seq"))
 
 
 def pending(items: DataFrame, resolved: DataFrame, key: str, ref: str, status: str, done: list[str], order: list[Column], n: int | None = None) -> DataFrame:

@@ -44,6 +44,20 @@ def append_log(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
 
 
+def flush_rows(new: DataFrame, path: str, keys: list[str]) -> None:
+    """Append the rows whose keys the table at ``path`` does not hold yet: what was flushed before is never written again."""
+    spark = new.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        new = new.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
+    new.dropDuplicates(keys).write.mode("append").parquet(path)
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """A report of one row as JSON, in one file."""
+    report.coalesce(1).write.mode("overwrite").json(path)
+
+
 def safe_name(c):
     """At most 120 characters of letters, digits, dot, underscore and hyphen."""
     s = F.substring(F.regexp_replace(F.coalesce(c, F.lit("")), "[^A-Za-z0-9._-]+", "_"), 1, 120)

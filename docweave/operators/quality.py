@@ -127,7 +127,3 @@ def richness(evidence: Column, mentions: Column, programs: Column, flags: list[C
     for f in flags:
         out = out + F.coalesce(f.cast("int"), F.lit(0))
     return out
-
-
-def first_n(rows: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
-    return rows.withColumn("__r", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("__r") <= n).drop("__r")

@@ -101,6 +101,33 @@ def vector_search(vectors: DataFrame, query: list[float], k: int, id_col: str =
     return vectors.select(id_col, F.round(cosine(F.col(vector), q), 6).alias("similarity")).orderBy(F.col("similarity").desc(), id_col).limit(k)
 
 
+def hybrid_search(rows: DataFrame, query: DataFrame, terms: dict[str, int], k: int, where: Column | None = None, id_col: str = "vec_id", vector: str = "embedding", text: str = "text", depth: int = 4) -> DataFrame:
+    """The best k of the rows that ``where`` leaves, by cosine and BM25+ of their texts, fused by rank: id, score.
+
+    ``query`` holds the query's vector in its first column and is joined, not collected. Each
+    list has ``depth`` times k rows. Without terms, the vectors alone rank.
+    """
+    pool = rows if where is None else rows.filter(where)
+    q = query.limit(1).select(F.col(query.columns[0]).alias("__q"))  # one row
+    near = pool.join(F.broadcast(q)).select(id_col, F.round(cosine(F.col(vector), F.col("__q")), 6).alias("__s"))
+    lists = [near]
+    if terms:
+        # One pool: its counts and mean length are one row, joined to all.
+        t = pool.select(id_col, X.tokens(F.col(text)).alias("__t"))
+        t = t.select(id_col, F.size("__t").alias("__dl"), *[_times(F.col("__t"), x).alias(f"__tf{i}") for i, x in enumerate(terms)])
+        of = t.agg(F.count("*").alias("__n"), F.avg("__dl").alias("__av"), *[F.count_if(F.col(f"__tf{i}") > 0).alias(f"__df{i}") for i in range(len(terms))])
+        score = F.lit(0.0)
+        for i, times in enumerate(terms.values()):
+            tf = F.col(f"__tf{i}")
+            weight = DELTA + tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("__dl") / F.col("__av")))
+            score = score + F.when(tf > 0, times * F.log((F.col("__n") + 1) / F.col(f"__df{i}")) * weight).otherwise(0.0)
+        lists.append(t.join(F.broadcast(of)).select(id_col, F.round(score, 9).alias("__s")).filter("__s > 0"))
+    # A window over depth * k rows.
+    by = Window.orderBy(F.col("__s").desc(), id_col)
+    ranked = [x.orderBy(F.col("__s").desc(), id_col).limit(depth * k).withColumn("rank", F.row_number().over(by)) for x in lists]
+    return fuse(ranked, id_col, k)
+
+
 def fuse(ranked: list[DataFrame], key: str, k: int, constant: int = 60) -> DataFrame:
     """Reciprocal-rank fusion of lists with key and rank: the best k, ties by key."""
     both = reduce(lambda a, b: a.unionByName(b), [r.select(key, (1.0 / (constant + F.col("rank"))).alias("s")) for r in ranked])

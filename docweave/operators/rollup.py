@@ -42,9 +42,13 @@ def shares(df: DataFrame, col: str, k: int) -> DataFrame:
 
 
 def fingerprint(df: DataFrame, signature: Column) -> DataFrame:
-    """SHA-256 over the sorted different signatures, a line each; empty for none. The list of signatures must fit a row."""
-    s = F.array_sort(F.collect_set(signature))
-    return df.agg(F.when(F.size(s) == 0, F.lit("")).otherwise(F.sha2(F.concat(F.array_join(s, "\n"), F.lit("\n")), 256)).alias("fingerprint"))
+    """SHA-256 over the sorted different signatures, a line each; empty for none.
+
+    Spark sorts the signatures, and one task hashes them as they pass: a digest of one ordered
+    list is one pass over it, but no list is ever held.
+    """
+    one = fingerprints_by(df.select(F.lit("").alias("__all"), signature.alias("__s")), "__all", F.col("__s"))
+    return df.sparkSession.range(1).join(one, how="left").select(F.coalesce("fingerprint", F.lit("")).alias("fingerprint"))
 
 
 def fingerprints_by(df: DataFrame, key: str, signature: Column) -> DataFrame:

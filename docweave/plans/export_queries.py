@@ -86,7 +86,7 @@ def _(c):
     return M.call_model(asked, "conv_id", "p", lambda xs: xs).select("conv_id", "response")
 
 
-@_q("D20_G14_G29_fuzzy_names", None, "supplier")
+@_q("D20_fuzzy_names", None, "supplier")
 def _(s):
     names = s.select(F.concat(F.lit("The "), "s_name", F.lit(" Inc.")).alias("n"))
     return E.fuzzy_match(names, "n", s, "s_name", block=8)

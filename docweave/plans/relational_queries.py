@@ -308,7 +308,7 @@ def _(c):
     return s.agg(F.count_if(F.col("share") >= 0.7).alias("common"), F.count("*").alias("sections")).withColumn("score", F.bround(F.col("common") / F.col("sections"), 6))
 
 
-@_q("I12_I13_votes", """
+@_q("I12_votes", """
 WITH v AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_type IN ('view', 'click', 'error') GROUP BY ALL), u AS (SELECT DISTINCT user_id FROM events)
 SELECT user_id, coalesce(round_even(max(n) / sum(n), 6), 0.5)::DOUBLE AS agreement FROM u LEFT JOIN v USING (user_id) GROUP BY user_id""", "events")
 def _(e):
@@ -350,7 +350,10 @@ def _(e):
 
 @_q("I20_percentiles", "SELECT event_type, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.5), 6) AS p50, max(value) AS most, round(count(*) / 60.0, 6)::DOUBLE AS rate FROM events GROUP BY event_type", "events")
 def _(e):
-    return e.groupBy("event_type").agg(F.round(F.percentile("value", 0.95), 6).alias("p95"), F.round(F.percentile("value", 0.5), 6).alias("p50"), F.max("value").alias("most"), F.round(F.count("*") / 60.0, 6).alias("rate"))
+    # Equal values are counted first; an exact percentile holds the different values of its group.
+    v = e.groupBy("event_type", "value").agg(F.count("*").alias("n"))
+    at = lambda p: F.round(F.percentile("value", p, F.col("n")), 6)
+    return v.groupBy("event_type").agg(at(0.95).alias("p95"), at(0.5).alias("p50"), F.max("value").alias("most"), F.round(F.sum("n") / 60.0, 6).alias("rate"))
 
 
 @_q("I21_rates", "SELECT o_orderpriority, round_even(count(*) FILTER (WHERE o_orderstatus = 'F') / count(*), 3) AS rate FROM orders GROUP BY o_orderpriority", "orders")
@@ -390,7 +393,7 @@ def _(c):
     return c.groupBy("conv_id").agg(F.collect_set("role").alias("r")).select("conv_id", F.round(share, 6).alias("overlap")).filter("overlap >= 0.6")
 
 
-@_q("K14_K15_J11_first_choice", "SELECT user_id, min(event_id) AS first_error FROM events WHERE event_type = 'error' GROUP BY user_id", "events")
+@_q("I19_first_error", "SELECT user_id, min(event_id) AS first_error FROM events WHERE event_type = 'error' GROUP BY user_id", "events")
 def _(e):
     return e.filter("event_type = 'error'").groupBy("user_id").agg(F.min("event_id").alias("first_error"))
 
@@ -438,7 +441,7 @@ def _(lb):
     return Q.wonders(rows, "doc_id", ["quality"], "p", 0.5, [F.col("doc_id")])
 
 
-@_q("J12_J13_routing", "SELECT p_partkey, CASE WHEN p_size % 10 < 4 THEN 'exhaustive' WHEN p_partkey % 2 = 0 THEN 'numeric' ELSE 'standard' END AS variant FROM part", "part")
+@_q("J13_routing", "SELECT p_partkey, CASE WHEN p_size % 10 < 4 THEN 'exhaustive' WHEN p_partkey % 2 = 0 THEN 'numeric' ELSE 'standard' END AS variant FROM part", "part")
 def _(p):
     return p.select("p_partkey", Q.prompt_variant((F.col("p_size") % 10) / 10, F.when(F.col("p_partkey") % 2 == 0, "number").otherwise("string")).alias("variant"))
 
@@ -478,13 +481,13 @@ def _(e):
     return corrected.select("event_id", F.concat_ws("\n\n", F.lit("system"), F.when(F.length("event_type") > 0, F.substring("event_type", 1, 48_000))).alias("prompt"), F.col("override").alias("chosen"))
 
 
-@_q("N04_N05_sft_rows", "SELECT d.doc_id, CASE WHEN quality = 1 THEN 'positive' ELSE 'hard_negative' END AS kind FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality = 1 OR contains(lower(text), ' the ')", "documents", "labels")
+@_q("N04_sft_rows", "SELECT d.doc_id, CASE WHEN quality = 1 THEN 'positive' ELSE 'hard_negative' END AS kind FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality = 1 OR contains(lower(text), ' the ')", "documents", "labels")
 def _(d, lb):
     met = d.join(lb, "doc_id").withColumn("kind", F.when(F.col("quality") == 1, "positive").when(F.contains(F.lower("text"), F.lit(" the ")), "hard_negative"))
     return met.filter("kind IS NOT NULL").select("doc_id", "kind")
 
 
-@_q("N06_H12_human_review", """
+@_q("N06_human_review_two_families", """
 SELECT conv_id, turn, 'earnings' AS kind, text AS quote FROM conversations WHERE role = 'user' UNION ALL SELECT conv_id, turn, 'macro', role FROM conversations WHERE role = 'user' AND turn % 2 = 0""", "conversations")
 def _(c):
     rows = c.filter("role = 'user'").select("conv_id", "turn", F.array(F.struct(F.col("text").alias("quote")), F.struct(F.lit(" ").alias("quote"))).alias("earnings"), F.when(F.col("turn") % 2 == 0, F.array(F.struct(F.col("role").alias("quote")))).alias("macro"))

@@ -60,11 +60,11 @@ def scan(spark: SparkSession, cfg: CorpusConfig) -> DataFrame:
     return files.read_manifest(spark, cfg.manifest) if cfg.pattern == "csv_manifest" else files.scan_files(spark, cfg.docs_dir)
 
 
-def acquire(spark: SparkSession, mode: str, source: str, most: int | None = None) -> DataFrame:
+def acquire(spark: SparkSession, mode: str, source: str, most: int | None = None, suffix: str = "pdf") -> DataFrame:
     """Documents of a source; only local folders are implemented, in order of path."""
     if mode != "local_folder":
         raise NotImplementedError(f"source mode {mode}")
-    found = files.scan_files(spark, source).orderBy("local_path")
+    found = files.scan_files(spark, source, suffix).orderBy("local_path")
     return found if most is None else found.limit(most)
 
 

@@ -32,10 +32,17 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, inferSchema=False).na.fill("")
 
 
-def read_master(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+def read_master(spark: SparkSession, path: str, columns: list[str], header: bool = True) -> DataFrame:
     """CSV of strings in which rows of the wrong width are skipped."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.csv(path, header=True, schema=schema, mode="DROPMALFORMED", enforceSchema=True)
+    return spark.read.csv(path, header=header, schema=schema, mode="DROPMALFORMED", enforceSchema=True)
+
+
+def date_column(columns: list[str]) -> str | None:
+    """The column that holds the effective date, by its head: the first with both words, else with one of them; None without."""
+    has = [(sum(w in c.lower() for w in ("effective", "date")), c) for c in columns]
+    most = max(n for n, _ in has) if has else 0
+    return next(c for n, c in has if n == most) if most else None
 
 
 def read_parquet_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

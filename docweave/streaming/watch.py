@@ -32,45 +32,84 @@ def debounced(events: DataFrame, quiet: str = QUIET, late: str = LATE) -> DataFr
     return out.select("key", F.col("w.start").alias("started"), F.col("w.end").alias("fires"), "n_events")
 
 
-def refresh(stream: DataFrame, table: str, checkpoint: str, keys: list[str], derive: Callable[[DataFrame], DataFrame] = lambda d: d):
-    """Start a query that replaces, batch by batch, the rows of each key in a Parquet table.
+#: Parts of a refreshed table; a batch rewrites those that its keys fall into.
+BUCKETS = 64
+
+
+def merge_batch(batch: DataFrame, table: str, keys: list[str], buckets: int = BUCKETS) -> None:
+    """Replace the rows of the batch's keys in a Parquet table that is parted by a hash of the keys.
 
-    A batch writes the next version beside the last and then names it in a small file, so a
-    batch that is run again after a failure gives the same table.
+    Only the parts that hold such keys are read and written again, each as a whole, so a batch
+    that is run again gives the same table.
     """
+    spark = batch.sparkSession
+    new = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
+    try:
+        hit = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most ``buckets`` rows
+        if hit:
+            old = current(spark, table, parted=True)
+            out = new if old is None else replace_by_key(old.filter(F.col("bucket").isin(hit)), new, keys)
+            out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
+    finally:
+        new.unpersist()
 
-    def merge(batch: DataFrame, k: int) -> None:
-        spark = batch.sparkSession
-        new = derive(batch)
-        old = current(spark, table, before=k)
-        out = new if old is None else replace_by_key(old, new, keys)
-        out.write.mode("overwrite").parquet(f"{table}/version={k}")
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+def refresh(stream: DataFrame, table: str, checkpoint: str, keys: list[str], derive: Callable[[DataFrame], DataFrame] = lambda d: d):
+    """Start a query that replaces, batch by batch, the rows of each key in a Parquet table."""
+    return stream.writeStream.foreachBatch(lambda batch, k: merge_batch(derive(batch), table, keys)).option("checkpointLocation", checkpoint)
+
 
+def refresh_chain(stream: DataFrame, checkpoint: str, stages: list[tuple[str, list[str], Callable[[DataFrame], DataFrame]]], panel: tuple[str, Callable[[DataFrame], DataFrame]]):
+    """Start a query that runs each batch through all stages: (table, keys, derive), index, chunks, answers and so on.
 
-def current(spark: SparkSession, table: str, before: int | None = None) -> DataFrame | None:
-    """The last whole version of the table, or the last below ``before``; None if there is none."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    path = hadoop.Path(table)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
+    A stage derives its rows from those of the stage before, for the batch's keys only, and merges
+    them into its table; rows of those keys that it no longer derives stay until they are derived
+    anew. After the last, ``panel`` (path, build) is rebuilt from the whole of the last table.
+    """
+
+    def run(batch: DataFrame, k: int) -> None:
+        rows = batch.persist()
+        held = [rows]
+        try:
+            for table, keys, derive in stages:
+                rows = derive(rows).persist()
+                held.append(rows)
+                merge_batch(rows, table, keys)
+            whole = current(batch.sparkSession, stages[-1][0])
+            if whole is not None:
+                panel[1](whole).write.mode("overwrite").parquet(panel[0])
+        finally:
+            for x in held:
+                x.unpersist()
+
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+
+
+def current(spark: SparkSession, table: str, parted: bool = False) -> DataFrame | None:
+    """The refreshed table, with its bucket where ``parted``; None if there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return None
-    names = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()]
-    done = [int(n.split("=")[1]) for n in names if n.startswith("version=") and fs.exists(hadoop.Path(f"{table}/{n}/_SUCCESS"))]
-    done = [n for n in done if before is None or n < before]
-    return spark.read.parquet(f"{table}/version={max(done)}") if done else None
+    found = spark.read.parquet(table)
+    return found if parted else found.drop("bucket")
+
+
+#: Events of a run within which marks are summed by one task.
+RUN_EVENTS = 10_000
 
 
-def progress(events: DataFrame, ready_at: int) -> DataFrame:
+def progress(events: DataFrame, ready_at: int, run_events: int = RUN_EVENTS) -> DataFrame:
     """Documents seen so far at each event, and whether the ready mark is reached there: seq, n_docs, ready.
 
-    A document counts at its first event only, so the running count is a sum of marks.
+    A document counts at its first event only, so the running count is a sum of marks: within
+    runs of ``run_events`` numbers, and over the list of runs.
     """
     from pyspark.sql import Window
 
     first = events.groupBy("doc_id").agg(F.min("seq").alias("seq")).withColumn("new", F.lit(1))
-    marked = events.join(first, ["doc_id", "seq"], "left")
-    # The log of one run is ordered as a whole.
-    n = F.sum(F.coalesce("new", F.lit(0))).over(Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return marked.select("seq", n.alias("n_docs")).withColumn("ready", F.col("n_docs") >= ready_at)
+    marked = events.join(first, ["doc_id", "seq"], "left").select("seq", F.coalesce("new", F.lit(0)).alias("new"), F.floor(F.col("seq") / run_events).alias("run"))
+    runs = marked.groupBy("run").agg(F.sum("new").alias("n"))
+    before = runs.select("run", F.coalesce(F.sum("n").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    n = F.sum("new").over(Window.partitionBy("run").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = marked.withColumn("n", n).join(before, "run")
+    return counted.select("seq", (F.col("n") + F.col("before")).alias("n_docs")).withColumn("ready", F.col("n_docs") >= ready_at)

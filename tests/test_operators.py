@@ -311,3 +311,99 @@ def test_short_names_are_found(spark):
     names = spark.createDataFrame([("Acme", 7), ("Holdings plc", 5), ("abc", 1)], "name string, e long")
     got = {r.k: r.entity_id for r in entities.contains_lookup(rows, "note", names, "name", "e").collect()}
     assert got == {1: 7, 2: 5, 3: None}
+
+
+def test_packed_chunks_by_brute_force(spark, sf):
+    """Lines of each document packed at the limits of production, then cut at the hard limit."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    expected = set()
+    for r in docs.collect():
+        held, out = [], []
+        for line in filter(None, map(str.strip, (r.text or "").split("\n"))):
+            if held and C.estimate("\n".join([*held, line])) > C.TARGET_TOKENS:
+                out.append("\n".join(held))
+                held = []
+            held.append(line)
+            while len(held) == 1 and C.estimate(held[0]) > C.TARGET_TOKENS:
+                head, tail = C.split_prefix(held[0], C.TARGET_TOKENS)
+                out.append(head)
+                held = [tail] if tail else []
+        out += ["\n".join(held)] if held else []
+        expected |= {(r.doc_id, k, x) for k, x in enumerate(p for c in out for p in C.hard_split(c))}
+    got = C.chunk_documents(docs, packed=True).collect()
+    assert {(r.doc_id, r.ordinal, r.text) for r in got} == expected
+    assert len(got) == len(expected)
+    assert all(r.num_tokens <= C.TARGET_TOKENS and len(r.text) <= C.HARD_CHARS + 200 for r in got)
+
+
+def test_native_and_python_chunks_agree(spark):
+    texts = ["a b\n\n c  \n d e 　f\n", "", None, " \n \t", "one " * 50 + "\nshort", "x\x1cy\n\x85z"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for target in (30, 1200):
+        expected = {(i, k, c, C.estimate(c)) for i, t in enumerate(texts) for k, c in enumerate(c for x in (t or "").split("\n") for c in C.text_chunks(x, target))}
+        got = {(r.doc_id, r.ordinal, r.text, r.num_tokens) for r in C.chunk_documents(df, target=target).collect()}
+        assert got == expected
+
+
+def test_hard_split_cases():
+    assert C.hard_split("ab", 5) == ["ab"]
+    assert C.hard_split("abc\n\ndef\n\ngh", 6) == ["abc\n\ndef", "gh"]
+    assert C.hard_split("One. Two! " + "x" * 12, 6) == ["One.", "Two!", "xxxxxx", "xxxxxx"]
+    assert C.hard_split(" " * 9, 4) == ["    "]
+    assert [[k for k, _ in p] for p in C.pack(["a b", "c d", "e f g h i j", "k"], 4)] == [[0], [1], [2], [2], [3]]
+
+
+def test_layout_packs_pages_and_boxes():
+    items = [{"kind": "header", "level": 1, "text": "A"}, {"kind": "text", "text": "x", "page": 2, "box": [1]}, {"kind": "table", "rows": [["h", None], ["a|b", 1]], "page": 3, "box": [2]}, {"kind": "header", "level": 1, "text": "B"}, {"kind": "text", "text": "y"}]
+    got = [(c["section_path"], c["text"], c["page_start"], c["page_end"], c["boxes"]) for c in C.walk_layout(items, packed=True)]
+    assert got == [("A", "x\n| h |  |\n| --- | --- |\n| a\\|b | 1 |", 2, 3, [[1], [2]]), ("B", "y", 0, 0, [])]
+
+
+def test_salvage_more():
+    text = 'x {"field": "a", "n": {"field": "b"}} {"other": 1, "field": "c"} "overall_quality": "bad" "overall_quality": "GOOD", "overall_suggestion": "say \\"it\\"\\nnow"'
+    got = M.salvage_critique(text)
+    assert got == {"overall_quality": "good", "overall_suggestion": 'say "it"\nnow', "field_issues": [{"field": "a", "n": {"field": "b"}}, {"field": "b"}]}
+    assert M.salvage_critique('"overall_suggestion": null') == {"overall_suggestion": ""}
+    assert M.merge_critique({"field_issues": [], "overall_suggestion": " "}, got) == got
+    assert M.rescue_json('[1, {"a": 2}]') == {}
+    assert M.rescue_json('{broken {"a": 1}') == {"a": 1}
+
+
+def test_fuzzy_with_a_word_that_all_share(spark):
+    names = spark.createDataFrame([(f"supplier {k:03} x",) for k in range(60)] + [("supplier 007",)], "n string")
+    dims = spark.createDataFrame([(f"Supplier {k:03} y",) for k in range(60)] + [("Supplier 007",)], "c string")
+    got = {r.n: (r.match, r.score) for r in E.fuzzy_match(names, "n", dims, "c", common=10).collect()}
+    assert got["supplier 007"] == ("Supplier 007", 1.0)
+    assert all(got[f"supplier {k:03} x"][0] == f"Supplier {k:03} y" for k in range(60) if k != 7)
+
+
+def test_override_pairs_by_brute_force(spark):
+    import random
+
+    rng, log = random.Random(5), []
+    for k in range(300):
+        kind = rng.choice(["override", "llm_extract", "other"])
+        log.append((k, kind, rng.choice(["r", "s"]), rng.choice(["d", "e", None]), rng.choice(["", None, "h", "g"]), rng.choice(["", None, "a", "b"]), rng.choices(["a", "b", "c"], k=rng.randint(0, 3))))
+    said = lambda x: bool((x or "").strip())
+    expected = set()
+    for o in log:
+        found = [e[0] for e in log if o[1] == "override" and e[1] == "llm_extract" and e[0] < o[0] and e[2] == o[2] and e[3] is not None and e[3] == o[3]
+                 and (not said(o[4]) or not said(e[4]) or o[4] == e[4]) and (not said(o[5]) or o[5] in e[6])]
+        if found:
+            expected.add((o[0], max(found)))
+    df = spark.createDataFrame(log, "seq int, event_type string, run_id string, doc_id string, schema_hash string, chunk_id string, chunks array<string>")
+    assert {tuple(r) for r in V.pair_overrides(df).collect()} == expected
+
+
+def test_found_in(spark):
+    cells = spark.createDataFrame([("d", "The  Quote"), ("d", "absent"), ("e", "")], "doc_id string, quote string")
+    chunks = spark.createDataFrame([("d", 0, "nothing"), ("d", 1, "has the quote."), ("d", 2, "the quote")], "doc_id string, ordinal int, text string")
+    assert {(r.doc_id, r.quote): r.found for r in Q.found_in(cells, chunks, "doc_id", "quote", "ordinal").collect()} == {("d", "The  Quote"): 1, ("d", "absent"): None, ("e", ""): None}
+
+
+def test_progress_over_runs(spark):
+    from docweave.streaming.watch import progress
+
+    rows = [(f"d{k % 7}", k * 3) for k in range(50)]
+    got = {r.seq: r.n_docs for r in progress(spark.createDataFrame(rows, "doc_id string, seq long"), 5, run_events=10).collect()}
+    assert got == {s: min(k + 1, 7) for k, (_, s) in enumerate(rows)}

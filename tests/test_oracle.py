@@ -6,10 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from docweave.plans import export_queries, more_queries, record_queries, relational_queries, retrieval_queries, text_queries
+from docweave.plans import export_queries, more_queries, policy_queries, record_queries, relational_queries, retrieval_queries, text_queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES = {n: q for m in (retrieval_queries, text_queries, record_queries, relational_queries, export_queries, more_queries) for n, q in m.QUERIES.items()}
+QUERIES = {n: q for m in (retrieval_queries, text_queries, record_queries, relational_queries, export_queries, more_queries, policy_queries) for n, q in m.QUERIES.items()}
 
 
 @pytest.fixture(scope="module")

@@ -64,6 +64,28 @@ def test_refresh_replaces_keys(spark, tmp_path):
     assert sorted(map(tuple, W.current(spark, table).collect())) == [("a", 9), ("b", 3)]
 
 
+def test_chain_runs_all_stages(spark, tmp_path):
+    """Index, chunks and answers of a batch's documents only, then the panel of all."""
+    from docweave.operators import chunking as C
+
+    src, at = str(tmp_path / "src"), lambda x: str(tmp_path / x)
+    schema = "doc_id long, text string"
+    stages = [
+        (at("index"), ["doc_id"], lambda d: d.select("doc_id", "text", F.length("text").alias("n"))),
+        (at("chunks"), ["doc_id"], lambda d: C.chunk_documents(d)),
+        (at("answers"), ["doc_id"], lambda c: c.groupBy("doc_id").agg(F.max("text").alias("last"), F.count("*").alias("n_chunks"))),
+    ]
+    panel = (at("panel"), lambda a: a.agg(F.count("*").alias("docs"), F.sum("n_chunks").alias("chunks")))
+    run = lambda: W.refresh_chain(spark.readStream.schema(schema).json(src), at("cp"), stages, panel).trigger(availableNow=True).start().awaitTermination(120)
+    spark.createDataFrame([(1, "a\nb"), (2, "c")], schema).write.json(src)
+    run()
+    assert tuple(spark.read.parquet(at("panel")).first()) == (2, 3)
+    spark.createDataFrame([(1, "x\ny\nz"), (3, "d")], schema).write.mode("append").json(src)
+    run()
+    assert tuple(spark.read.parquet(at("panel")).first()) == (3, 5)
+    assert sorted((r.doc_id, r.text) for r in W.current(spark, at("chunks")).collect()) == [(1, "x"), (1, "y"), (1, "z"), (2, "c"), (3, "d")]
+
+
 def test_file_events(spark, tmp_path):
     (tmp_path / "acme").mkdir()
     for n in ("a_en.pdf", "b-fr.pdf", "c.pdf"):
