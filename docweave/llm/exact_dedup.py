@@ -66,7 +66,11 @@ def exact_dedup(
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns."""
+    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns.
+
+    Of rows that repeat id and text one stays; null and empty texts are one group; an empty table
+    gives an empty result.
+    """
     kept = exact_dedup(docs, id_col, text_col, digest_all=True).filter("kept").select(row_key(F.col("doc_id"), F.col("text_sha256")).alias("k"))
     own = row_key(F.col(id_col), F.sha2(one_space(F.col(text_col)), 256))
     tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), own.alias("k"))

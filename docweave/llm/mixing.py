@@ -15,7 +15,7 @@ BLOCK_WORDS = 4096
 #: A source has this many blocks at least, and its target this many, as far as it has words.
 LEAST_BLOCKS = 256
 #: Rows of a run within which ranks and running sums are taken by one task.
-RUN_ROWS = 20_000
+RUN_ROWS = 2_000
 MAX_REPEAT = 3
 #: A longer list of sources is joined, not broadcast.
 BROADCAST_SOURCES = 100_000
@@ -161,7 +161,9 @@ def taken_words(docs: DataFrame, **columns) -> DataFrame:
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes its words, to the nearest whole number.
 
-    Only documents that a border of the schedule cuts are rounded: about two a source.
+    Only documents that a border of the schedule cuts are rounded: about two a source. Documents
+    without words, null texts among them, are never taken. Rows that repeat id, text and source
+    share the times that the mix takes them; an empty table gives an empty result.
     """
     taken = taken_words(docs, id_col=id_col, text_col=text_col, source_col=source_col)
     times = taken.filter("taken > 0").groupBy("key").agg(F.sum(F.round(F.col("taken") / F.col("size"))).cast("int").alias("times")).filter("times > 0")

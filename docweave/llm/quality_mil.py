@@ -158,6 +158,23 @@ class MilModel:
         return np.array([*out, *self.scores(bags)], np.float64)
 
 
+def gradient(m: MilModel, x: np.ndarray, start: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """Derivatives of the weighted cross-entropy of document labels by each parameter."""
+    p, f = m.p, m.forward(x, start)
+    dz_ = (f["y"] - labels) * weight
+    grad = {"c": f["z"].T @ dz_, "b": dz_.sum(keepdims=True)}
+    dz = dz_[:, None] * p["c"]
+    along = (dz[f["doc"]] * f["h"]).sum(1)
+    ds = f["a"] * (along - np.add.reduceat(f["a"] * along, start)[f["doc"]])
+    dtg = ds[:, None] * p["w"]
+    grad["w"] = (f["t"] * f["g"]).T @ ds
+    dt, dg = dtg * f["g"] * (1 - f["t"] ** 2), dtg * f["t"] * f["g"] * (1 - f["g"])
+    grad["V"], grad["U"] = f["h"].T @ dt, f["h"].T @ dg
+    dh = (f["a"][:, None] * dz[f["doc"]] + dt @ p["V"].T + dg @ p["U"].T) * (1 - f["h"] ** 2)
+    grad["E"], grad["e"] = f["x"].T @ dh, dh.sum(0)
+    return grad
+
+
 def fit_mil(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> MilModel:
     """Adam on the cross-entropy of document labels, both classes weighed alike; no label of a passage is known."""
     if len(labels) == 0 or labels.min() == labels.max():
@@ -171,18 +188,7 @@ def fit_mil(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) ->
     weight = np.where(labels == 1, 0.5 / (labels == 1).mean(), 0.5 / (labels == 0).mean()) / len(labels)
     one, two = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     for step in range(1, epochs + 1):
-        f = m.forward(x, start)
-        dz_ = (f["y"] - labels) * weight
-        grad = {"c": f["z"].T @ dz_, "b": dz_.sum(keepdims=True)}
-        dz = dz_[:, None] * p["c"]
-        along = (dz[f["doc"]] * f["h"]).sum(1)
-        ds = f["a"] * (along - np.add.reduceat(f["a"] * along, start)[f["doc"]])
-        dtg = ds[:, None] * p["w"]
-        grad["w"] = (f["t"] * f["g"]).T @ ds
-        dt, dg = dtg * f["g"] * (1 - f["t"] ** 2), dtg * f["t"] * f["g"] * (1 - f["g"])
-        grad["V"], grad["U"] = f["h"].T @ dt, f["h"].T @ dg
-        dh = (f["a"][:, None] * dz[f["doc"]] + dt @ p["V"].T + dg @ p["U"].T) * (1 - f["h"] ** 2)
-        grad["E"], grad["e"] = f["x"].T @ dh, dh.sum(0)
+        grad = gradient(m, x, start, labels, weight)
         for k in p:
             d = grad[k] + DECAY * p[k]
             one[k] = 0.9 * one[k] + 0.1 * d
@@ -216,7 +222,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def score_quality(docs: DataFrame, model: MilModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score (0 to 1, higher: label 1 likelier) of every whole text; one row per row of ``docs``.
 
-    Null, empty and blank texts are one passage of zeros and get that passage's score.
+    Null, empty and blank texts are one passage of zeros and get that passage's score. Equal texts
+    have equal scores; an empty table gives an empty result.
     """
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

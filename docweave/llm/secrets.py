@@ -23,6 +23,8 @@ HINT = {"assign": r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]""
 #: What the Markov models judge: runs of this alphabet, of at least this length.
 CANDIDATE, CANDIDATE_LEAST = r"[A-Za-z0-9+/_-]{20,}", 20
 CANDIDATE_HINT = r"[A-Za-z0-9+/_-]{20}"
+#: Fixed value: universally unique identifiers name things; though random, they are no secrets.
+UUID = r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"
 #: Characters the models know, by the index used below; one more stands for all others.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
 #: Mean log-likelihood ratio a transition at which a run counts as random.
@@ -143,19 +145,30 @@ def llr(run: Column, table: list[float]) -> Column:
 def _matches(text: Column, pattern: str) -> Column:
     """array<struct<start, s>> of the leftmost matches that do not overlap, start in code points.
 
-    The pieces between matches and the matches take turns, so lengths add up to positions.
+    The pieces between matches and the matches take turns, so lengths add up to positions. They
+    are summed in blocks of about the square root of their number, so that n matches cost n ** 1.5.
     """
     both = F.struct(F.split(text, pattern).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
     def placed(x):
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,s:string>>").alias("out"))
+        n = F.size(x["hit"])
+        lens = F.transform(x["hit"], lambda h, k: F.length(F.get(x["gap"], k)) + F.length(h))
+        wide = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
 
-        def add(acc, y):
-            start = acc["at"] + F.length(y["gap"])
-            return F.struct((start + F.length(y["hit"])).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), y["hit"].alias("s")))).alias("out"))
+        def within(lens):
+            sums = F.transform(upto(F.ceil(n / wide).cast("int")), lambda b: total(F.slice(lens, b * wide + 1, wide)))
+            before = let(sums, lambda sums: F.transform(sums, lambda _, b: total(F.slice(sums, F.lit(1), b))))
 
-        pairs = F.slice(F.arrays_zip(x["gap"], x["hit"]), F.lit(1), F.size(x["hit"]))
-        return F.aggregate(pairs, zero, add, lambda acc: acc["out"])
+            def made(before):
+                first = lambda k: F.floor(k / wide).cast("int")
+                start = lambda k: F.get(before, first(k)) + total(F.slice(lens, first(k) * wide + 1, k % wide)) + F.length(F.get(x["gap"], k))
+                return F.transform(x["hit"], lambda h, k: F.struct(start(k).alias("start"), h.alias("s")))
+
+            return let(before, made)
+
+        return let(lens, within)
 
     return let(both, placed)
 
@@ -181,7 +194,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A span has start, end (code points, end exclusive), kind and s, the matched text. Base
     kinds are the PATTERNS. ``markov`` spans are added: runs of CANDIDATE characters of at
     least CANDIDATE_LEAST, of whatever classes, whose mean log-likelihood ratio a
-    transition is at least ``threshold``, unless they overlap a base span. The models are
+    transition is at least ``threshold``, unless they overlap a base span or are a UUID. The models are
     trained on ``samples`` (s, label 1 random or 0 identifier); the default is
     labelled_samples(). The scan has no shuffle: each text is judged where it is read.
 
@@ -195,9 +208,14 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = base.withColumn("base", F.sort_array(F.concat(*PATTERNS)))
 
     def judged(found):
-        whole = F.filter(found, lambda x: F.length(x["s"]) >= CANDIDATE_LEAST)
-        clear = F.filter(whole, lambda x: ~F.exists(F.col("base"), lambda y: (y["start"] < x["start"] + F.length(x["s"])) & (x["start"] < y["end"])))
-        return F.transform(F.filter(clear, lambda x: llr(x["s"], table) >= threshold), lambda x: _span(x, "markov", len(PATTERNS)))
+        whole = F.filter(found, lambda x: (F.length(x["s"]) >= CANDIDATE_LEAST) & ~x["s"].rlike(UUID))
+        spans = F.transform(F.filter(whole, lambda x: llr(x["s"], table) >= threshold), lambda x: _span(x, "markov", len(PATTERNS)))
+        return F.when(F.size("base") == 0, spans).otherwise(let(spans, clear))
+
+    def clear(spans):
+        # Most runs that are part of a base span end where it ends; those go by a set of ends, the others by looking at each base span.
+        ends = F.array_except(F.transform(spans, lambda x: x["end"]), F.transform(F.col("base"), lambda y: y["end"]))
+        return let(ends, lambda e: F.filter(spans, lambda x: F.array_contains(e, x["end"]) & ~F.exists(F.col("base"), lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))))
 
     added = F.when(text.rlike(CANDIDATE_HINT), let(_matches(text, CANDIDATE), judged)).otherwise(_NONE())
     return base.withColumn("added", added).select("doc_id", "base", "added", *PATTERNS)

@@ -228,7 +228,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each group of near copies the row of the smallest id, with all its columns."""
+    """Of each group of near copies the row of the smallest id, with all its columns.
+
+    Of rows that repeat id and text one stays; null, empty and blank texts are one group; an empty
+    table gives an empty result.
+    """
     near = near_duplicates(docs, id_col, text_col)
     group = F.when(F.col("component_id").isNull(), F.col("fp").cast("string")).otherwise(F.col("component_id").cast("string"))
     kept = near.groupBy(group.alias("g")).agg(F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("k")).select("k")

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -94,6 +95,52 @@ def test_languages(spark):
     assert got.count() == docs.count()
 
 
+def plain_grams(t):
+    """Unit vector of square roots of hashed byte 1-, 2- and 3-gram counts of letters, runs of others as one blank."""
+    b = []
+    for x in t.lower().encode():
+        x = x if x >= 128 or 97 <= x <= 122 else 32
+        if not (x == 32 and b and b[-1] == 32):
+            b.append(x)
+    if len(b) > 1 and t.lower().encode()[:1] and b[0] == 32:
+        b = b[1:]  # a blank at the start counts as one after a blank
+    n = Counter()
+    for k, x in enumerate(b):
+        n[(x * 2654435761 & 0xFFFFFFFF) >> 20] += 1
+        if k + 1 < len(b):
+            n[((x * 257 + b[k + 1] + (1 << 17)) * 2654435761 & 0xFFFFFFFF) >> 20] += 1
+        if k + 2 < len(b):
+            n[((((x * 257 + b[k + 1]) * 257 + b[k + 2] + (1 << 27)) & 0xFFFFFFFF) * 2654435761 & 0xFFFFFFFF) >> 20] += 1
+    size = sum(n.values()) ** 0.5
+    return {k: v**0.5 / size for k, v in n.items()}
+
+
+def test_language_decoding_by_plain_loops(spark, documents, plain):
+    model = langid.fit_languages(documents.filter(crc32_mod(F.col("doc_id"), 4) != 2))
+    trust = [max(1e-3, a - 0.5) for a in model.accuracy]
+    trust = [x * len(trust) / sum(trust) for x in trust]
+    got = {r.doc_id: r for r in QUERIES["op3_language_id"](spark, "/root/testdata/sf0.001").collect()}
+    for i, t in plain:
+        if not any(map(str.isalpha, t or "")):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        x = plain_grams(t)
+        f = [sum(v * model.weights[k, b] for k, v in x.items()) + model.weights[-1, b] for b in range(model.code.shape[1])]
+        loss = [sum(w * np.log1p(np.exp(-c * m)) for w, c, m in zip(trust, word, f, strict=True)) for word in model.code]
+        share = np.exp(-np.array(loss)) / np.exp(-np.array(loss)).sum()
+        assert got[i].lang_pred == model.langs[int(share.argmax())]
+        assert got[i].score == pytest.approx(share.max(), abs=1e-4)
+
+
+def test_pipeline_on_edge_tables(spark, edge, empty, tmp_path):
+    """All stages on nulls, empty and long texts, repeated rows, clashing columns, and on an empty table."""
+    for name, df in (("edge", edge), ("empty", empty)):
+        df.write.parquet(str(tmp_path / name / "documents.parquet"))
+        out = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(out[0].asDict() if out else corpus_pipeline.run(spark, str(tmp_path / name)).columns)
+        assert all(r.n_tokens > 0 for r in out)
+
+
 @pytest.mark.parametrize("k", [1, 2, 4, 5, 6, 12])
 def test_codewords_differ(k):
     code = langid.codewords(k)
@@ -257,6 +304,52 @@ def test_quality_held_out(spark):
     assert got.filter("score < 0 OR score > 1 OR predicted <> CAST(score >= 0.3 AS INT)").count() == 0
 
 
+def test_quality_derivatives():
+    """Each derivative against a difference of losses."""
+    rng = np.random.default_rng(1)
+    bags = [rng.normal(size=(k % 4 + 1, quality_mil.WIDTH)) for k in range(6)]
+    labels, weight = np.array([0.0, 1, 0, 1, 1, 0]), np.full(6, 1 / 6)
+    m = quality_mil.fit_mil(bags, labels, 3)
+    x, start = np.concatenate(bags), np.cumsum([0, *map(len, bags[:-1])])
+    loss = lambda: float(-(weight * (labels * np.log(m.forward(x, start)["y"]) + (1 - labels) * np.log(1 - m.forward(x, start)["y"]))).sum())
+    grad = quality_mil.gradient(m, x, start, labels, weight)
+    for k, v in m.p.items():
+        for at in {tuple(rng.integers(0, n) for n in v.shape) for _ in range(8)}:
+            old, h = v[at], 1e-5
+            v[at] = old + h
+            up = loss()
+            v[at] = old - h
+            down = loss()
+            v[at] = old
+            assert grad[k][at] == pytest.approx((up - down) / (2 * h), abs=1e-7, rel=1e-4), (k, at)
+
+
+def test_quality_scores_by_a_plain_pass(spark, documents, plain):
+    """The query's scores, passage by passage with plain loops over the fitted weights."""
+    model = quality_mil.train_quality(documents.filter(crc32_mod(F.col("doc_id"), 5) != 0), spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    got = {r.doc_id: r for r in QUERIES["op8_quality_mil"](spark, "/root/testdata/sf0.001").collect()}
+    p = model.p
+    for i, t in plain[:60]:
+        pull, hs = [], []
+        for row in quality_mil.passage_features(t):
+            v = [(a - b) / c for a, b, c in zip(row.tolist(), model.mean, model.scale, strict=True)]
+            h = [np.tanh(sum(v[k] * p["E"][k, j] for k in range(len(v))) + p["e"][j]) for j in range(quality_mil.HIDDEN)]
+            gate = [np.tanh(sum(h[j] * p["V"][j, k] for j in range(len(h)))) / (1 + np.exp(-sum(h[j] * p["U"][j, k] for j in range(len(h))))) for k in range(quality_mil.ATTENTION)]
+            pull.append(np.exp(sum(g * w for g, w in zip(gate, p["w"], strict=True))))
+            hs.append(h)
+        z = [sum(a * h[j] for a, h in zip(pull, hs, strict=True)) / sum(pull) for j in range(quality_mil.HIDDEN)]
+        y = 1 / (1 + np.exp(-sum(a * c for a, c in zip(z, p["c"], strict=True)) - p["b"][0]))
+        assert got[i].score == pytest.approx(y, abs=1e-6)
+        assert got[i].predicted == int(got[i].score >= 0.3)
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def test_simhash_query(spark, plain):
+    marked = [(i, plain_fingerprint(t)) for i, t in plain]
+    expected = Counter((i, f"{fp:016x}", c) for (i, fp), c in zip(marked, brute_components(marked), strict=True))
+    assert Counter(map(tuple, QUERIES["op7_simhash"](spark, "/root/testdata/sf0.001").select("doc_id", "fingerprint", "component_id").collect())) == expected
+
+
 def test_quality_gradient():
     rng = np.random.default_rng(0)
     bags = [rng.normal(size=(rng.integers(1, 4), quality_mil.WIDTH)).astype(np.float32) for _ in range(60)]

@@ -1,7 +1,10 @@
 """The operators of DataFrame functions: against DuckDB or brute force, and on edge cases."""
 
 import hashlib
+import math
+import random
 import re
+import string
 from collections import Counter, defaultdict
 
 import duckdb
@@ -144,9 +147,105 @@ def test_mix_small_sources(spark, monkeypatch):
     assert all(abs(taken[s] - target[s]) <= 1 + 0.005 * target[s] for s in sizes), (taken, target)
 
 
+def plain_schedule(rows, runs, slots_of, block):
+    """Words taken of each row, slot by slot. rows: (key, source, size, h)."""
+    sizes = Counter()
+    for _, s, n, _ in rows:
+        sizes[s] += n
+    target = water_fill(sizes)
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    blocks, ranks = {}, {}
+    for s in names:
+        own = max(1, min(block, int(min(sizes[s], target[s]) // mixing.LEAST_BLOCKS)))
+        blocks[s] = -(-sizes[s] // own)
+        ranks[s] = round(target[s] * blocks[s] / sizes[s]) if sizes[s] else 0
+    edges, at = [], 0
+    for s in names:
+        edges.append((at, at + ranks[s], s))
+        at += ranks[s]
+    step, seen, taken_blocks = mixing.golden_step(max(1, at)), Counter(), Counter()
+    for k in range(at):
+        u = k * step % at
+        s = next(s for lo, hi, s in edges if lo <= u < hi)
+        if seen[s] < 3 * blocks[s]:
+            taken_blocks[s, seen[s] % blocks[s]] += 1
+        seen[s] += 1
+    out, place = {}, Counter()
+    run = lambda h: (h % 2**64 >> 33) * runs // (1 << 31)
+    for key, s, n, h in sorted(rows, key=lambda r: (run(r[3]), r[3], r[0])):
+        words = range(place[s], place[s] + n)
+        place[s] += n
+        out[key] = sum(taken_blocks[s, ((w + 1) * blocks[s] - 1) // sizes[s]] for w in words)
+    return out, target, sizes
+
+
+def test_mix_query_by_a_plain_schedule(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    keyed = docs.select("doc_id", "source", "text", mixing._key("doc_id", "text", "source").alias("key"))
+    rows = [(r.key, r.source, len(split(r.text)), r.h) for r in keyed.withColumn("h", F.xxhash64(F.lit(17), "key")).collect()]
+    total = sum(n for _, _, n, _ in rows)
+    taken, target, sizes = plain_schedule(rows, max(1, -(-len(rows) // mixing.RUN_ROWS)), None, max(1, min(mixing.BLOCK_WORDS, total // mixing.SLOTS)))
+    of = {r.doc_id: (r.key, r.source) for r in keyed.collect()}
+    got = QUERIES["op9_mix_sources"](spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(rows)
+    words = {k: n for k, _, n, _ in rows}
+    for r in got:
+        key, source = of[r.doc_id]
+        assert (r.size, r.source_size, r.taken) == (words[key], sizes[source], taken[key])
+        assert r.target == pytest.approx(target[source])
+
+
 # Quality rules
 
 
+def plain_em(votes, rounds):
+    """Posterior of each row of votes (1, 0 or None) by EM over rows, with the operator's start and smoothing."""
+    of = [[-1 if v is None else v for v in row] for row in votes]
+    prior, n = quality_rules.PRIOR, len(of[0])
+    good = [{v: math.log(quality_rules.START["good"][v]) for v in (-1, 0, 1)} for _ in range(n)]
+    bad = [{v: math.log(quality_rules.START["bad"][v]) for v in (-1, 0, 1)} for _ in range(n)]
+
+    def judge(row):
+        odds = math.log(prior / (1 - prior)) + sum(good[k][v] - bad[k][v] for k, v in enumerate(row))
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
+
+    for _ in range(rounds):
+        p = [judge(r) for r in of]
+        prior = (sum(p) + 1) / (len(p) + 2)
+        for side, w in ((good, p), (bad, [1 - x for x in p])):
+            for k in range(n):
+                side[k] = {v: math.log((sum(x for x, r in zip(w, of, strict=True) if r[k] == v) + 1) / (sum(w) + 3)) for v in (-1, 0, 1)}
+    return judge
+
+
+def test_posterior_by_plain_em(spark, documents):
+    got = quality_rules.label_quality(documents).collect()
+    names = [c for c in got[0].asDict() if c.startswith("vote_")]
+    seen = [r for r in got if not r.base_failed]
+    judge = plain_em([[r[x] for x in names] for r in seen], quality_rules.EM_ROUNDS)
+    for r in got:
+        p = judge([-1 if r[x] is None else r[x] for x in names])
+        assert r.posterior == pytest.approx(p, abs=1e-6)
+        assert r.kept == (not r.base_failed and p >= quality_rules.KEEP_AT)
+
+
+def test_mostly_bad_texts_do_not_turn_the_classes(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 8)))
+    rows = [(k, " ".join(word() for _ in range(80))) for k in range(60)]
+    rows += [(1000 + k, " ".join(word().upper() + rng.choice(["!!", "#", "$%", "!"]) for _ in range(80))) for k in range(540)]
+    got = {r.doc_id: r.kept for r in quality_rules.label_quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(v == (k < 1000) for k, v in got.items())
+
+
+def test_rules_query(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    for r in QUERIES["op10_quality_rules"](spark, "/root/testdata/sf0.001").collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_measures(docs[r.doc_id])
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
+        assert r.kept == (not r.base_failed and r.posterior >= quality_rules.KEEP_AT)
+
+
 def brute_measures(t):
     w = split(t)
     seen = Counter(zip(w, w[1:], w[2:], strict=False))
@@ -223,9 +322,71 @@ def test_markov_held_out(spark):
     assert held.filter("label = said").count() >= 0.99 * held.count()
 
 
+def brute_llr(s, table):
+    m = len(secrets.ALPHABET) + 1
+    at = [secrets.ALPHABET.find(c) + 1 for c in s]
+    return sum(table[a * m + b] for a, b in zip(at, at[1:], strict=False)) / (len(at) - 1)
+
+
+def test_secret_query(spark):
+    """All columns of the query by plain patterns and a plain model, over texts with random strings planted in them."""
+    rng = random.Random(9)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    alphabets = ["0123456789abcdefghijklmnopqrstuvwxyz", string.ascii_letters + string.digits, string.ascii_letters, "0123456789ABCDEF", string.ascii_letters + string.digits + "+/"]
+    rows, planted = [], {}
+    for r in docs:
+        w = (r.text or "").split(" ")
+        planted[r.doc_id] = "".join(rng.choices(alphabets[r.doc_id % 5], k=rng.randint(24, 44)))
+        w.insert(rng.randint(0, len(w)), f"({planted[r.doc_id]})")
+        w.insert(rng.randint(0, len(w)), "3F2504E0-4F89-11D3-9A0C-0305E82C3301")
+        rows.append((r.doc_id, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    table = secrets.fit_markov(secrets.labelled_samples(spark))
+    found = {r.doc_id: r for r in secrets.scan_secrets(df).withColumn("listed", secrets._listed(F.sort_array(F.concat("base", "added")))).collect()}
+    right = 0
+    for i, t in rows:
+        base = [(int(a), int(b)) for _, a, b in (x.split(":") for x in brute_spans(t).split(",") if x)]
+        runs = [m for m in re.finditer("[A-Za-z0-9+/_-]{20,}", t) if not re.match(secrets.UUID, m[0]) and not any(a < m.end() and m.start() < b for a, b in base)]
+        added = [m for m in runs if brute_llr(m[0], table) >= secrets.THRESHOLD]
+        assert [(x.start, x.end, x.s) for x in found[i].added] == [(m.start(), m.end(), m[0]) for m in added]
+        kinds = [*secrets.PATTERNS, "markov"]
+        spans = [x for x in brute_spans(t).split(",") if x] + [f"markov:{m.start()}:{m.end()}" for m in added]
+        assert found[i].listed == ",".join(sorted(spans, key=lambda x: (int(x.split(":")[1]), kinds.index(x.split(":")[0]))))
+        # No run of the text's own is taken for a secret; the UUID never is.
+        assert {m[0] for m in added} <= {planted[i]}
+        right += any(planted[i] in t[a:b] for a, b in base) or planted[i] in {m[0] for m in added}
+    assert right >= 0.95 * len(rows), right
+    got = QUERIES["op2_secret_scan"](spark, "/root/testdata/sf0.001").collect()
+    plain = {r.doc_id: r.text for r in docs}
+    for r in got:
+        s = brute_spans(plain[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(s.encode()).hexdigest()
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(x.startswith(k) for x in s.split(",")) for k in secrets.PATTERNS]
+        assert r.spans == s or r.n_markov
+
+
+def test_many_matches_in_one_text(spark):
+    """Thousands of matches: places add up, and time stays far from the square of their number."""
+    text = "".join(f"é{'x' * (k % 7)} token={'a1' * 4}{k} {'f' * 24}{k % 10} " for k in range(3000))
+    got = secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(secrets._listed(F.col("base")).alias("s")).first().s
+    assert got == brute_spans(text)
+
+
 # Licences
 
 
+def test_every_licence_is_found(spark):
+    """Each built-in text in five dresses."""
+    texts = licenses.LICENSES | licenses.MORE
+    dress = {
+        "plain": lambda t: t, "upper": str.upper, "comment": lambda t: "\n".join(f" * {x}" for x in t.split("\n")), "copyright": lambda t: f"Copyright (c) 2019-2024 Some Body <a@b.c>\nAll rights reserved.\n\n{t}",
+        "spelling": lambda t: re.sub(r"\blicense\b", "licence", t).replace("COPYRIGHT HOLDERS", "COPYRIGHT OWNERS").replace(", ", " , "),
+    }
+    rows = [(f"{k}/{d}", f(t)) for k, t in texts.items() for d, f in dress.items()] + [(f"{k}/cut", t[: len(t) // 2]) for k, t in texts.items()]
+    got = {r.doc_id: r.license_id for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert {k: v for k, v in got.items() if v != (None if k.endswith("/cut") else k.split("/")[0])} == {}
+
+
 def test_licenses(spark):
     mit = licenses.LICENSES["MIT"]
     rows = [(1, "Copyright (c) 2020 A. Person\nAll rights reserved.\n" + mit.upper().replace("LICENSE", "LICENCE")), (2, mit + " more"), (3, None), (4, ""), (5, "//  " + mit.replace("\n", "\n//  "))]
