@@ -6,9 +6,9 @@ import base64
 import hashlib
 import re
 from array import array
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -17,14 +17,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Code points of a leaf of the tree that encodes; ids of a leaf of the tree that decodes.
-LEAF = 128
+LEAF = 256
 #: Bytes of one piece that are merged at once; longer pieces are reduced as a tree themselves.
 PIECE = 32
 #: Pieces, and pairs of neighbours, whose ids a worker process remembers.
 REMEMBERED = 1 << 17
 #: Ends of runs where every split of the pattern has a border, whatever stands around: nothing in it spans text
 #: then white space, a letter then something else, or a digit then something else. ASCII only, which is enough.
-BORDER = re.compile(r"[A-Za-z]++(?=[\x00-@\[-`{-\x7F])|[0-9]++(?=[\x00-/:-\x7F])|[^\sA-Za-z0-9]++(?=[ \t\n\r])")
+BORDER = re.compile(r"(?<![A-Za-z])[A-Za-z]++(?=[\x00-@\[-`{-\x7F])|(?<![0-9])[0-9]++(?=[\x00-/:-\x7F])|(?<![^\sA-Za-z0-9])[^\sA-Za-z0-9]++(?=[ \t\n\r])")
+
+
+def _doubled(w: int, most: int) -> Iterator[int]:
+    """w, 2 w, 4 w, and so on below ``most``."""
+    while w < most:
+        yield w
+        w *= 2
 
 
 class TreeBPE:
@@ -35,25 +42,34 @@ class TreeBPE:
             self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pattern = regex.compile(f"(?:{pattern})")  # without groups, findall() gives whole matches
         self.token = {v: k for k, v in self.rank.items()}
-        self.known: dict[str, list[int]] = {}
+        self.known, self.older = {}, {}  # ids of pieces: as remembered of late, and before that
         self.pairs: dict[tuple[int, int], bool] = {}
 
     def encode(self, text: str) -> array:
         """Ids of the text: leaves of LEAF code points are encoded, neighbours joined up the tree."""
-        borders = array("q", [m.end() for m in BORDER.finditer(text)]) if len(text) > LEAF else array("q")
-        return self._reduce(text, borders, 0, len(text))
+        return self._reduce(text, 0, len(text))
 
-    def _reduce(self, text: str, borders: array, lo: int, hi: int) -> array:
-        if hi - lo <= LEAF:
+    def _reduce(self, text: str, lo: int, hi: int) -> array:
+        # A stretch without a border is left to the trees of its pieces.
+        if hi - lo <= LEAF or not BORDER.search(text, lo, hi):
             return array("I", self._window(text[lo:hi]))
+        # A blank near the middle makes halves of whole words, which are known already; without one any place will do.
         mid = (lo + hi) // 2
-        left, right = self._reduce(text, borders, lo, mid), self._reduce(text, borders, mid, hi)
+        blank = text.rfind(" ", max(lo + 1, mid - 16), mid)
+        mid = blank if blank > 0 else mid
+        left, right = self._reduce(text, lo, mid), self._reduce(text, mid, hi)
         # Ids of text[lo:hi] from those of its halves: the window around the seam grows on either side to
-        # the nearest border that holds in any context, or to the end of the half. The ids of the halves
-        # outside are then those of the whole, and the window's are encoded anew.
-        i, j = bisect_left(borders, mid), bisect_right(borders, mid)
-        p = borders[i - 1] if i and borders[i - 1] > lo else lo
-        q = borders[j] if j < len(borders) and borders[j] < hi else hi
+        # a border that holds in any context, or to the end of the half. The ids of the halves outside are
+        # then those of the whole, and the window's are encoded anew.
+        p, q = lo, hi
+        for w in _doubled(16, mid - lo):
+            if found := [m.end() for m in BORDER.finditer(text, mid - w, mid)]:
+                p = found[-1]
+                break
+        for w in _doubled(16, hi - mid):
+            if found := BORDER.search(text, mid, mid + w):
+                q = found.end()
+                break
         a, b = self._window(text[p:mid]), self._window(text[mid:q])
         return left[: len(left) - len(a)] + array("I", self._window(text[p:q])) + right[len(b) :]
 
@@ -61,14 +77,19 @@ class TreeBPE:
         out: list[int] = []
         known = self.known.get
         for t in self.pattern.findall(text):
-            ids = known(t)
-            if ids is None:
-                ids = self.piece(t.encode("utf-8"))
-                if len(t) <= PIECE:
-                    self._remember(self.known, t, ids)
-            out += ids
+            out += known(t) or self._learned(t)
         return out
 
+    def _learned(self, t: str) -> list[int]:
+        """Ids of a piece not met of late. Pieces are remembered in two ages, so rare ones make no frequent one forgotten."""
+        ids = self.older.get(t) or self.piece(t.encode("utf-8"))
+        if len(t) <= PIECE:
+            if len(self.known) >= REMEMBERED:
+                self.older = dict(self.known)
+                self.known.clear()
+            self.known[t] = ids
+        return ids
+
     def piece(self, b: bytes) -> list[int]:
         """Ids of one match of the pattern.
 
@@ -92,31 +113,56 @@ class TreeBPE:
         """Bytes merged by rank: of all neighbours that make a token, the pair of least rank, the leftmost of equals, time and again."""
         if b in self.rank:
             return [self.rank[b]]
-        cut = list(range(len(b) + 1))  # where parts begin, and the end
-        none = len(self.rank)
-        pair = lambda k: self.rank.get(b[cut[k] : cut[k + 2]], none) if k + 2 < len(cut) else none
-        ranks = [pair(k) for k in range(len(b))]
-        while (best := min(ranks)) < none:
+        if len(b) > 4 * PIECE:
+            return self._merged_long(b)
+        rank, none = self.rank.get, len(self.rank)
+        parts = [b[k : k + 1] for k in range(len(b))]
+        ranks = [rank(b[k : k + 2], none) for k in range(len(b) - 1)]  # of each part joined with the next
+        while ranks and (best := min(ranks)) < none:
             k = ranks.index(best)
-            del cut[k + 1], ranks[k + 1]
-            ranks[k] = pair(k)
+            parts[k] += parts.pop(k + 1)
+            ranks.pop(k)
+            if k < len(ranks):
+                ranks[k] = rank(parts[k] + parts[k + 1], none)
             if k:
-                ranks[k - 1] = pair(k - 1)
-        return [self.rank[b[x:y]] for x, y in zip(cut, cut[1:], strict=False)]
+                ranks[k - 1] = rank(parts[k - 1] + parts[k], none)
+        return [self.rank[x] for x in parts]
+
+    def _merged_long(self, b: bytes) -> list[int]:
+        """The same with the pairs in a heap, for seams that grew long."""
+        rank, none = self.rank.get, len(self.rank)
+        n = len(b)
+        end, before = list(range(1, n + 1)), list(range(-1, n))  # of the part that begins at a place
+        pair = [rank(b[k : k + 2], none) for k in range(n - 1)] + [none]
+        heap = [(r, k) for k, r in enumerate(pair) if r < none]
+        heapify(heap)
+        while heap:
+            r, k = heappop(heap)
+            if pair[k] != r:
+                continue
+            gone = end[k]
+            end[k] = end[gone]
+            before[end[k]] = k
+            pair[gone] = none
+            for at in (before[k], k):
+                if at >= 0:
+                    pair[at] = rank(b[at : end[end[at]]], none) if end[at] < n else none
+                    if pair[at] < none:
+                        heappush(heap, (pair[at], at))
+        out, k = [], 0
+        while k < n:
+            out.append(self.rank[b[k : end[k]]])
+            k = end[k]
+        return out
 
     def _stable(self, a: int, b: int) -> bool:
         same = self.pairs.get((a, b))
         if same is None:
-            same = self._merged(self.token[a] + self.token[b]) == [a, b]
-            self._remember(self.pairs, (a, b), same)
+            if len(self.pairs) >= REMEMBERED:
+                self.pairs.clear()
+            same = self.pairs[a, b] = self._merged(self.token[a] + self.token[b]) == [a, b]
         return same
 
-    @staticmethod
-    def _remember(memory: dict, key: object, value: object) -> None:
-        if len(memory) >= REMEMBERED:
-            memory.clear()
-        memory[key] = value
-
     def decode(self, ids: array | list[int]) -> bytes:
         """Bytes of the ids: leaves decoded, halves concatenated up the tree."""
         if len(ids) <= LEAF:
