@@ -42,6 +42,7 @@ class TreeBPE:
             self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pattern = regex.compile(f"(?:{pattern})")  # without groups, findall() gives whole matches
         self.token = {v: k for k, v in self.rank.items()}
+        self.width = {v: len(k) for k, v in self.rank.items()}
         self.known, self.older = {}, {}  # ids of pieces: as remembered of late, and before that
         self.pairs: dict[tuple[int, int], bool] = {}
 
@@ -70,8 +71,19 @@ class TreeBPE:
             if found := BORDER.search(text, mid, mid + w):
                 q = found.end()
                 break
-        a, b = self._window(text[p:mid]), self._window(text[mid:q])
-        return left[: len(left) - len(a)] + array("I", self._window(text[p:q])) + right[len(b) :]
+        # A border is one of ids too: those of the window are the last, and the first, of so many bytes.
+        width, i, j = self.width, 0, len(right)
+        if p > lo:
+            i, n = len(left), len(text[p:mid].encode("utf-8"))
+            while n > 0:
+                i -= 1
+                n -= width[left[i]]
+        if q < hi:
+            j, n = 0, len(text[mid:q].encode("utf-8"))
+            while n > 0:
+                n -= width[right[j]]
+                j += 1
+        return left[:i] + array("I", self._window(text[p:q])) + right[j:]
 
     def _window(self, text: str) -> list[int]:
         out: list[int] = []
