@@ -143,20 +143,49 @@ def fuzzy_enrich(rows: DataFrame, name: str, dim: DataFrame, dim_name: str, exac
     return out.select(*rows.columns, *[F.coalesce(F.col("__e")[v], F.col("__f")[v]).alias(v) for v in values], how.alias("how"))
 
 
-def resolve_chain(queries: DataFrame, query: str, steps: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
+def resolve_chain(queries: DataFrame, query: str, steps: list[tuple]) -> DataFrame:
     """Each query's entity by the first step that finds it: query, entity_id, step.
 
-    A step is (name, table, value column, id column); exact steps meet on equal upper-case
-    values. Ties go to the least id.
+    A step is (name, table, value column, id column); these meet on equal upper-case values. With
+    a fifth item (least, cut), the value has to hold the first ``cut`` characters of the query,
+    which has ``least`` or more; cut None is all of it. Such a step tries only queries that those
+    before leave open. Ties go to the least id.
     """
-    q = queries.select(F.col(query).alias("q"), F.upper(F.trim(F.col(query))).alias("u")).distinct()
+    rest = queries.select(F.col(query).alias("q"), F.upper(F.trim(F.col(query))).alias("u")).distinct()
     found = None
-    for k, (step, dim, value, entity) in enumerate(steps):
+    for step, dim, value, entity, *part in steps:
         one = dim.select(F.upper(F.trim(F.col(value))).alias("v"), F.col(entity).cast("string").alias("entity_id")).groupBy("v").agg(F.min("entity_id").alias("entity_id"))
-        here = q.join(one, F.col("u") == F.col("v")).select("q", "entity_id", F.lit(step).alias("step"), F.lit(k).alias("k"))
+        here = _holding(rest, one, *part[0]) if part else rest.join(one, F.col("u") == F.col("v")).select("q", "entity_id")
+        here = here.withColumn("step", F.lit(step))
         found = here if found is None else found.unionByName(here)
-    best = found.groupBy("q").agg(F.min_by(F.struct("entity_id", "step"), "k").alias("b"))
-    return q.join(best, "q", "left").select(F.col("q").alias(query), F.col("b.entity_id").alias("entity_id"), F.coalesce("b.step", F.lit("unresolved")).alias("step"))
+        rest = rest.join(here.select("q"), "q", "left_anti")
+    return found.unionByName(rest.select("q", F.lit(None).cast("string").alias("entity_id"), F.lit("unresolved").alias("step"))).withColumnRenamed("q", query)
+
+
+def _holding(q: DataFrame, names: DataFrame, least: int, cut: int | None, gram: int = 8) -> DataFrame:
+    """q, entity_id: the least entity whose name holds the query. They meet on the query's first ``gram`` characters, or all if it is shorter."""
+    part = q.filter(F.length("u") >= max(least, 1)).select("q", (F.substring("u", 1, cut) if cut else F.col("u")).alias("u"))
+    asked = part.select("u", F.substring("u", 1, gram).alias("g")).distinct()
+    at = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length("v") - k + 1, F.lit(1))), lambda i: F.substr(F.col("v"), i, F.lit(k)))
+    sizes = range(min(max(least, 1), gram), gram + 1)
+    probe = names.filter("v IS NOT NULL").select("v", "entity_id", F.explode(F.array_distinct(F.concat(*map(at, sizes)))).alias("g"))
+    hits = probe.join(asked, "g").filter(F.contains("v", "u")).groupBy("u").agg(F.min("entity_id").alias("entity_id"))
+    return part.join(hits, "u").select("q", "entity_id")
+
+
+def resolve_scope(direct: DataFrame, resolved: DataFrame, corpus: DataFrame, registry: DataFrame) -> DataFrame:
+    """q, profile, entity_id, source of a scope: profiles given directly, and those that chains resolved (q, profile, step).
+
+    A profile's entity is the corpus's own (profile, entity_id), else the registry's, else
+    ``unregistered:`` and the profile. Unresolved queries are left out; of a profile's entities the
+    least counts.
+    """
+    every = direct.select(F.col("profile").alias("q"), "profile", F.lit("direct").alias("source"))
+    every = every.unionByName(resolved.filter("profile IS NOT NULL").select("q", "profile", F.col("step").alias("source")))
+    for name, known in (("__c", corpus), ("__r", registry)):
+        one = known.filter("trim(entity_id) <> ''").groupBy("profile").agg(F.min("entity_id").alias(name))
+        every = every.join(one, "profile", "left")
+    return every.select("q", "profile", F.coalesce("__c", "__r", F.concat(F.lit("unregistered:"), "profile")).alias("entity_id"), "source")
 
 
 #: Names of fewer characters are not looked up in texts.

@@ -167,6 +167,32 @@ def _(s):
     return E.fuzzy_enrich(rows, "n", dim, "s_name", ("k", "dim_key"), ["found_key"]).select("s_suppkey", "found_key", "how")
 
 
+#: A name needs 4 characters to be looked up within names, by its first 20.
+_WITHIN = (4, 20)
+
+
+@_q("G15_G16_resolve_within", """
+WITH q AS (SELECT DISTINCT CASE s_suppkey % 4 WHEN 0 THEN lower(s_name) WHEN 1 THEN substr(s_name, 4, 15) WHEN 2 THEN substr(s_name, 16, 3) ELSE 'alias ' || s_suppkey END AS q FROM supplier)
+SELECT q, CASE WHEN q LIKE 'alias %' THEN replace(q, 'alias ', '') WHEN e IS NOT NULL THEN e WHEN length(q) >= 4 THEN w END AS entity_id, CASE WHEN q LIKE 'alias %' THEN 'alias' WHEN e IS NOT NULL THEN 'name' WHEN length(q) >= 4 AND w IS NOT NULL THEN 'within' ELSE 'unresolved' END AS step
+FROM (SELECT q, (SELECT min(CAST(s_suppkey AS VARCHAR)) FROM supplier WHERE upper(s_name) = upper(q)) AS e, (SELECT min(CAST(s_suppkey AS VARCHAR)) FROM supplier WHERE contains(upper(s_name), upper(q[:20]))) AS w FROM q)""", "supplier")
+def _(s):
+    """Whole names, parts of names, parts too short to be looked up, and aliases."""
+    k = F.col("s_suppkey")
+    q = F.when(k % 4 == 0, F.lower("s_name")).when(k % 4 == 1, F.substring("s_name", 4, 15)).when(k % 4 == 2, F.substring("s_name", 16, 3)).otherwise(F.concat(F.lit("alias "), k.cast("string")))
+    alias = s.filter(k % 4 == 3).select(F.concat(F.lit("Alias "), k.cast("string")).alias("v"), "s_suppkey")
+    return E.resolve_chain(s.select(q.alias("q")), "q", [("alias", alias, "v", "s_suppkey"), ("name", s, "s_name", "s_suppkey"), ("within", s, "s_name", "s_suppkey", _WITHIN)])
+
+
+@_q("G17_scope", """
+SELECT s_name AS q, CAST(s_suppkey AS VARCHAR) AS profile, CASE WHEN s_suppkey % 3 = 0 THEN 'c' || s_suppkey WHEN s_suppkey % 2 = 0 THEN 'r' || s_suppkey ELSE 'unregistered:' || s_suppkey END AS entity_id, 'name' AS source FROM supplier WHERE s_suppkey % 5 > 0
+UNION ALL SELECT CAST(s_suppkey AS VARCHAR), CAST(s_suppkey AS VARCHAR), CASE WHEN s_suppkey % 3 = 0 THEN 'c' || s_suppkey WHEN s_suppkey % 2 = 0 THEN 'r' || s_suppkey ELSE 'unregistered:' || s_suppkey END, 'direct' FROM supplier WHERE s_suppkey % 7 = 0""", "supplier")
+def _(s):
+    k, key = F.col("s_suppkey"), F.col("s_suppkey").cast("string")
+    resolved = E.resolve_chain(s.select("s_name"), "s_name", [("name", s.filter(k % 5 > 0), "s_name", "s_suppkey")]).select(F.col("s_name").alias("q"), F.col("entity_id").alias("profile"), "step")
+    entity = lambda by, tag: s.filter(k % by == 0).select(key.alias("profile"), F.concat(F.lit(tag), key).alias("entity_id"))
+    return E.resolve_scope(s.filter(k % 7 == 0).select(key.alias("profile")), resolved, entity(3, "c"), entity(2, "r"))
+
+
 @_q("L09_hybrid_search", """
 WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]), 6) AS c FROM embeddings, q WHERE label % 2 = 0),
 a AS (SELECT vec_id, row_number() OVER (ORDER BY c DESC, vec_id) AS r FROM s), n AS (SELECT count(*) AS n, avg(2 + vec_id % 3) AS av, count(*) FILTER (WHERE vec_id % 3 > 0) AS df FROM s),

@@ -152,6 +152,19 @@ def test_contains_lookup(spark):
     assert sorted((r.t or "", r.entity_id) for r in E.contains_lookup(rows, "t", dim, "n", "e").collect()) == [("", None), ("none", None), ("the ACME holdings rose", 7)]
 
 
+def test_resolve_within(spark):
+    """Short queries, parts longer than a gram, the cut at 20 characters, nulls, and the first step wins."""
+    q = spark.createDataFrame([("cnq",), ("International Mining of the North",), ("Inter",), ("no such firm",), ("",), (None,)], "q string")
+    dim = spark.createDataFrame([("x CNQ y", 5), ("The International Mining Co", 7), ("International", 9), (None, 1)], "n string, e int")
+    exact = spark.createDataFrame([("INTER", 3)], "n string, e int")
+    got = {r.q: (r.entity_id, r.step) for r in E.resolve_chain(q, "q", [("exact", exact, "n", "e"), ("within", dim, "n", "e", (1, 20))]).collect()}
+    none = (None, "unresolved")
+    assert got == {"cnq": ("5", "within"), "International Mining of the North": ("7", "within"), "Inter": ("3", "exact"), "no such firm": none, "": none, None: none}
+    short = {r.q: r.step for r in E.resolve_chain(q, "q", [("within", dim, "n", "e", (4, 20))]).collect()}
+    assert short["cnq"] == "unresolved"
+    assert short["Inter"] == "within"
+
+
 # Events
 
 
