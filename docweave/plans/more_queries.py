@@ -122,11 +122,11 @@ def _(lb):
 
 
 @_q("L03_L13_refinement", f"""{_LINES},
-t AS (SELECT doc_id, ordinal, len(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: x = 'from')) AS tf FROM h WHERE doc_id % 7 = 0)
+t AS (SELECT doc_id, ordinal, len(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: x = 'from')) AS tf FROM h)
 SELECT doc_id, max(tf) AS most FROM t GROUP BY doc_id HAVING max(tf) > 0""", "documents")
 def _(d):
     # A hop's query counts a term as often as it stands there; one term alone ranks by its own frequency and length.
-    chunks = tagged_chunks(d.filter("doc_id % 7 = 0")).withColumn("keyword_hit", F.lit(False))
+    chunks = tagged_chunks(d).withColumn("keyword_hit", F.lit(False))
     hits = L.score_chunks(chunks, {"from": 2}).filter("score > 0")
     tf = F.size(F.filter(X.tokens(F.col("text")), lambda x: x == "from"))
     return hits.groupBy("doc_id").agg(F.max(tf).cast("long").alias("most"))
@@ -167,13 +167,11 @@ def _(e):
     return maps.select(F.explode("p").alias("field", "v")).groupBy("field").agg(F.max("v").alias("pressure"))
 
 
-@_q("H15_fingerprint_by_source", "SELECT source, sha256(string_agg(s, chr(10) ORDER BY s) || chr(10)) AS fingerprint FROM (SELECT DISTINCT source, md5(text) AS s FROM documents WHERE source IN ('src1', 'src2')) GROUP BY source", "documents")
-def _(d):
-    one = lambda s: U.fingerprint(d.filter(F.col("source") == s), F.md5("text")).select(F.lit(s).alias("source"), "fingerprint")
-    return one("src1").unionByName(one("src2"))
+_BY_SOURCE = "SELECT source, sha256(string_agg(s, chr(10) ORDER BY s) || chr(10)) AS fingerprint FROM (SELECT DISTINCT source, md5(text) AS s FROM documents) GROUP BY source"
 
 
-@_q("H15_fingerprint_by_source_all", "SELECT source, sha256(string_agg(s, chr(10) ORDER BY s) || chr(10)) AS fingerprint FROM (SELECT DISTINCT source, md5(text) AS s FROM documents) GROUP BY source", "documents")
+@_q("H15_fingerprint_by_source", _BY_SOURCE, "documents")
+@_q("H15_fingerprint_by_source_all", _BY_SOURCE, "documents")
 def _(d):
     return U.fingerprints_by(d, "source", F.md5("text"))
 

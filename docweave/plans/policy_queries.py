@@ -235,16 +235,16 @@ _rows("L15_refinement_query", "SELECT 'net zero | 2050 target | Find the target
 
 @_q("D04_truncated", """
 SELECT doc_id, CASE WHEN w <= 300 THEN md5(text) ELSE md5(rtrim(array_to_string(p[:h], ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) || chr(10) || chr(10) || '[... truncated for model context limit ...]') END AS digest
-FROM (SELECT doc_id, text, len(p) AS w, p, ceil(0.75 * (400 - 9 - 10 + 1)) - 1 AS h FROM (SELECT doc_id, text, regexp_extract_all(text, '[ \\t\\n\\r\\f\\x0B]*[^ \\t\\n\\r\\f\\x0B]+[ \\t\\n\\r\\f\\x0B]*') AS p FROM documents WHERE NOT contains(text, chr(10))))""", "documents")
+FROM (SELECT doc_id, text, len(p) AS w, p, ceil(0.75 * (400 - 9 - 10 + 1)) - 1 AS h FROM (SELECT doc_id, text, regexp_extract_all(text, '[ \\t\\n\\r\\f\\x0B]*[^ \\t\\n\\r\\f\\x0B]+[ \\t\\n\\r\\f\\x0B]*') AS p FROM (SELECT doc_id, replace(text, chr(10), ' ') AS text FROM documents)))""", "documents")
 def _(d):
-    """Documents of one line, which are cut between words."""
+    """All documents, their lines joined, so that they are cut between words."""
     import pandas as pd
 
     def cut(batches):
         for b in batches:
             yield pd.DataFrame({"doc_id": b.doc_id, "t": [C.truncate(x, 400) for x in b.text]})
 
-    one = d.filter(~F.contains("text", F.lit("\n"))).select("doc_id", "text")
+    one = d.select("doc_id", F.translate("text", "\n", " ").alias("text"))
     return one.mapInPandas(cut, "doc_id long, t string").select("doc_id", F.md5("t").alias("digest"))
 
 
