@@ -76,3 +76,36 @@ def coverage(entities: DataFrame, types: DataFrame, years: tuple[int, int], foun
     grid = entities.join(F.broadcast(kinds)).select("entity", F.explode("t").alias("type")).select("entity", "type", F.explode(F.sequence(F.lit(years[0]), F.lit(years[1]))).alias("year"))
     have = found.select("entity", "type", "year").distinct().withColumn("have", F.lit(True))
     return grid.join(have, ["entity", "type", "year"], "left").withColumn("have", F.coalesce("have", F.lit(False)))
+
+
+#: What each event of a run says of its state and its action, and the most characters or items of each.
+SHAPES = {
+    "llm_extract": (
+        {"doc_id": None, "retrieved_chunks": 64, "retrieved_chunk_hashes": 64, "schema_hash": None, "schema_iteration": None},
+        {"llm_raw_output": 32000, "reasoning_trace": 16000, "system_prompt": 96000, "user_prompt": 96000, "schema_json": 96000},
+    ),
+    "extraction_failed": ({"doc_id": None, "retrieved_chunks": 64, "schema_hash": None}, {"error": 2000}),
+    "human_override": ({"doc_id": None, "field_name": None, "schema_hash": None, "chunk_id": None}, {"proposed_value": None, "override_value": None}),
+    "schema_update": ({"schema_hash": None, "column_count": None}, {"schema_hash": None, "approved": None, "user_feedback": 8000}),
+    "chat_correction": ({"schema_hash": None}, {"user_text": 8000, "assistant_text": 8000}),
+}
+_LISTS = ("retrieved_chunks", "retrieved_chunk_hashes")
+
+
+def event_rows(rows: DataFrame, kind: str, run: Column, key: Column, given: dict[str, Column]) -> DataFrame:
+    """event_id, run_id, event_type, state, action (JSON), reward_signal, a row per row of ``rows``; blank run ids drop out.
+
+    ``given`` has the values by name, lists as arrays; a null or missing one is left out. Ids
+    follow from run, kind and key, so a job that runs again writes the same. An approved schema
+    is rewarded with 1.
+    """
+
+    def json_of(fields: dict[str, int | None]) -> Column:
+        cut = lambda name, most: F.slice(given[name], 1, most) if name in _LISTS else F.substring(given[name], 1, most)
+        return F.to_json(F.struct(F.lit(None).cast("string").alias("__none"), *[(cut(n, most) if most else given[n]).alias(n) for n, most in fields.items() if n in given]))
+
+    state, action = SHAPES[kind]
+    name = F.concat(F.lit("evt_"), F.substring(F.md5(F.concat_ws("/", run, F.lit(kind), key.cast("string"))), 1, 12))
+    reward = F.when(given["approved"], F.lit(1.0)) if kind == "schema_update" and "approved" in given else F.lit(None).cast("double")
+    out = rows.select(name.alias("event_id"), F.trim(run).alias("run_id"), F.lit(kind).alias("event_type"), json_of(state).alias("state"), json_of(action).alias("action"), reward.alias("reward_signal"))
+    return out.filter("run_id <> ''")

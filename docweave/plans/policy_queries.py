@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweave.functions import policy as P
 from docweave.operators import chunking as C
 from docweave.operators import entities as E
+from docweave.operators import events as V
 from docweave.operators import export as O
 from docweave.operators import external as M
 from docweave.operators import retrieval as L
@@ -19,6 +22,7 @@ from docweave.plans import schema as S
 from docweave.plans.retrieval_queries import _LINES
 from docweave.sources import config as K
 from docweave.sources import files as A
+from docweave.sources import registry as Y
 from docweave.sources.scratch import scratch
 from docweave.sources.tables import table
 
@@ -114,6 +118,46 @@ def _(c):
     return N.review_rows(rows, {"earnings": ("e", "signal_type"), "supply_chain": ("s", "chain_type"), "macro": ("m", "macro_type")}, {"other": "o"})
 
 
+_VOTE = "CASE len(list_distinct(v)) WHEN 1 THEN 1.0 WHEN 2 THEN 2.0 / 3 ELSE 1.0 / 3 END"
+
+
+@_q("J10_council", f"""
+WITH r AS (SELECT doc_id, [CASE WHEN doc_id % 10 = 9 THEN 2 ELSE doc_id % 3 END, doc_id // 3 % 3, doc_id // 9 % 3] AS v FROM documents)
+SELECT doc_id, list_transform(v, lambda x: ['good', 'ok', 'needs_work'][x + 1])::VARCHAR AS votes, round(least(0.9, {_VOTE}), 6)::DOUBLE AS agreement, CASE WHEN {_VOTE} < 0.5 THEN 'ok' ELSE 'good' END AS quality FROM r""", "documents")
+def _(d):
+    """Reviewers that answer by the id, one of them broken at times, under a chairman who always says good."""
+
+    def review(prompts):
+        for p in prompts:
+            k, lens = int(p.split()[0]), list(M.LENSES).index(p.split("## Reviewer: ")[1].split()[0])
+            yield "sorry" if lens == 0 and k % 10 == 9 else json.dumps({"overall_quality": M.VERDICTS[k // 3**lens % 3]})
+
+    chair = '{"overall_quality": "good", "reviewer_agreement_score": 0.9}'
+    asked = d.select("doc_id", F.col("doc_id").cast("string").alias("p"))
+    end = M.council(asked, "doc_id", "p", lambda ps: list(review(ps)), lambda ps: [chair] * len(ps))
+    votes = F.concat(F.lit("["), F.array_join(F.transform("reviews", lambda r: r["quality"]), ", "), F.lit("]"))
+    return end.select("doc_id", votes.alias("votes"), F.round("agreement", 6).alias("agreement"), "quality")
+
+
+@_q("N08_event_rows", """
+SELECT 'evt_' || md5('r/' || kind || '/' || event_id)[:12] AS event_id, kind AS event_type, state, action, reward_signal FROM (
+SELECT event_id, ['llm_extract', 'extraction_failed', 'human_override', 'schema_update', 'chat_correction'][event_id % 5 + 1] AS kind,
+CASE event_id % 5 WHEN 0 THEN '{"doc_id":' || user_id || ',"retrieved_chunks":["c"],"schema_hash":"h"}' WHEN 1 THEN '{"doc_id":' || user_id || ',"schema_hash":"h"}' WHEN 2 THEN '{"doc_id":' || user_id || ',"field_name":"f","schema_hash":"h"}' WHEN 3 THEN '{"schema_hash":"h","column_count":2}' ELSE '{"schema_hash":"h"}' END AS state,
+CASE event_id % 5 WHEN 0 THEN '{"llm_raw_output":"' || event_type || '"}' WHEN 1 THEN '{"error":"' || repeat('e', 2000) || '"}' WHEN 2 THEN '{"proposed_value":"a","override_value":"' || event_type || '"}' WHEN 3 THEN '{"schema_hash":"h","approved":' || (user_id % 2 = 0) || '}' ELSE '{"user_text":"' || event_type || '","assistant_text":""}' END AS action,
+CASE WHEN event_id % 5 = 3 AND user_id % 2 = 0 THEN 1.0::DOUBLE END AS reward_signal FROM events)""", "events")
+def _(e):
+    doc, said = {"doc_id": F.col("user_id")}, F.col("event_type")
+    given = {
+        "llm_extract": doc | {"retrieved_chunks": F.array(F.lit("c")), "llm_raw_output": said},
+        "extraction_failed": doc | {"error": F.repeat(F.lit("e"), F.lit(3000))},
+        "human_override": doc | {"field_name": F.lit("f"), "proposed_value": F.lit("a"), "override_value": said},
+        "schema_update": {"column_count": F.lit(2), "approved": F.col("user_id") % 2 == 0},
+        "chat_correction": {"user_text": said, "assistant_text": F.lit("")},
+    }
+    rows = [V.event_rows(e.filter(F.col("event_id") % 5 == k), kind, F.lit("r"), F.col("event_id"), v | {"schema_hash": F.lit("h")}) for k, (kind, v) in enumerate(given.items())]
+    return reduce(DataFrame.unionByName, rows).drop("run_id")
+
+
 # Packed chunks
 
 #: Lines of more than 900 words, which is 1,200 tokens, are cut after each 900, then lines are packed one by one.
@@ -341,6 +385,18 @@ def _(lb, at):
     return lb.sparkSession.read.schema("n_rows long, n_errors long, complete boolean").json(at)
 
 
+@_trip("A09_registry", """
+SELECT CAST(doc_id AS VARCHAR) AS file_hash, 'c' AS corpus_id, '' AS doc_type, CAST(CASE WHEN doc_id % 2 = 0 THEN 0 ELSE n_chars END AS INTEGER) AS chunk_count, 'OK' AS parse_status, doc_id % 2 = 1 AS dated FROM documents""", "documents")
+def _(d, at):
+    """A table of older files, which lack most columns, takes the documents that it does not hold, twice."""
+    key = [F.col("doc_id").cast("string").alias("file_hash"), F.lit("c").alias("corpus_id")]
+    d.filter("doc_id % 2 = 0").select(*key).write.parquet(f"{at}/documents")
+    for _ in range(2):
+        Y.register(d.select(*key, F.col("n_chars").alias("chunk_count"), F.lit(2020).alias("fiscal_year")), at, "documents")
+    found = Y.read_registry(d.sparkSession, at, "documents")
+    return found.select("file_hash", "corpus_id", "doc_type", "chunk_count", "parse_status", F.col("fiscal_year").isNotNull().alias("dated"))
+
+
 QUERIES["A04_scan_folder"] = (
     lambda spark, d: A.scan_files(spark, d, suffix="parquet", least_bytes=1).select("filename").filter(F.col("filename").isin("region.parquet", "nation.parquet")),
     "SELECT * FROM (VALUES ('nation.parquet'), ('region.parquet')) AS t(filename)",
