@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from docweave.operators.export import append_log
+from docweave.sources.files import read_log
 
 
 def latest_before(events: DataFrame, keys: list[str], order: list[Column], is_source: Column, payload: list[str], is_target: Column) -> DataFrame:
@@ -85,11 +90,16 @@ SHAPES = {
         {"llm_raw_output": 32000, "reasoning_trace": 16000, "system_prompt": 96000, "user_prompt": 96000, "schema_json": 96000},
     ),
     "extraction_failed": ({"doc_id": None, "retrieved_chunks": 64, "schema_hash": None}, {"error": 2000}),
-    "human_override": ({"doc_id": None, "field_name": None, "schema_hash": None, "chunk_id": None}, {"proposed_value": None, "override_value": None}),
+    "human_override": ({"doc_id": None, "field_name": None, "schema_hash": None, "chunk_id": None}, {"proposed_value": None, "override_value": None, "override_reason": 4000, "evidence_quote": 4000, "evidence_pages": None}),
     "schema_update": ({"schema_hash": None, "column_count": None}, {"schema_hash": None, "approved": None, "user_feedback": 8000}),
     "chat_correction": ({"schema_hash": None}, {"user_text": 8000, "assistant_text": 8000}),
+    "schema_iteration": ({"schema_iteration": None, "dataset_name": None}, {"approved": None, "user_feedback": 8000, "user_query": 4000, "column_count": None}),
+    "merge_decision": ({"doc_id": None, "field_name": None}, {"chosen_value": None, "choice_reason": 4000, "conflicting_values": 50}),
 }
-_LISTS = ("retrieved_chunks", "retrieved_chunk_hashes")
+_LISTS = ("retrieved_chunks", "retrieved_chunk_hashes", "conflicting_values")
+#: Events whose approval is a reward, and the event of each level of feedback.
+_REWARDED = ("schema_update", "schema_iteration")
+LEVELS = {"schema": "schema_iteration", "extraction": "human_override", "merge": "merge_decision"}
 
 
 def event_rows(rows: DataFrame, kind: str, run: Column, key: Column, given: dict[str, Column]) -> DataFrame:
@@ -106,6 +116,22 @@ def event_rows(rows: DataFrame, kind: str, run: Column, key: Column, given: dict
 
     state, action = SHAPES[kind]
     name = F.concat(F.lit("evt_"), F.substring(F.md5(F.concat_ws("/", run, F.lit(kind), key.cast("string"))), 1, 12))
-    reward = F.when(given["approved"], F.lit(1.0)) if kind == "schema_update" and "approved" in given else F.lit(None).cast("double")
+    reward = F.when(given["approved"], F.lit(1.0)) if kind in _REWARDED and "approved" in given else F.lit(None).cast("double")
     out = rows.select(name.alias("event_id"), F.trim(run).alias("run_id"), F.lit(kind).alias("event_type"), json_of(state).alias("state"), json_of(action).alias("action"), reward.alias("reward_signal"))
     return out.filter("run_id <> ''")
+
+
+def log_feedback(rows: DataFrame, level: str, run: Column, key: Column, given: dict[str, Column], folder: str) -> None:
+    """Append the feedback of a level, one of LEVELS, to the level's own log in ``folder``."""
+    append_log(event_rows(rows, LEVELS[level], run, key, given).withColumn("level", F.lit(level)), f"{folder}/{level}")
+
+
+def read_feedback(spark: SparkSession, level: str, folder: str) -> DataFrame:
+    """A level's feedback, malformed lines skipped; without rows where none was logged."""
+    schema = T.StructType.fromDDL("event_id string, run_id string, event_type string, state string, action string, reward_signal double, level string")
+    try:
+        return read_log(spark, f"{folder}/{level}", schema).filter("event_id IS NOT NULL")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)

@@ -127,3 +127,30 @@ def richness(evidence: Column, mentions: Column, programs: Column, flags: list[C
     for f in flags:
         out = out + F.coalesce(f.cast("int"), F.lit(0))
     return out
+
+
+#: Of so many entities or more, as many must be done; a source must be linked to one of the first so many.
+LEAST_DONE, FIRST_ENTITIES = 6, 10
+
+
+def topology(columns: DataFrame, entities: DataFrame, order: list[Column]) -> DataFrame:
+    """corpus, broken, column, n_entities, n_done: what keeps a corpus from running, null for nothing.
+
+    ``columns``: corpus, place, name, keywords (array); ``entities``: corpus, done, sources (array).
+    The first of: keywords (the first column without any is ``column``), acquired (six entities or
+    more, fewer than six done), sources (none linked to the first ten by ``order``). Corpora that
+    only one of the tables names count too. No group is gathered: counts and least places are
+    combined before the shuffle, and only ten entities a corpus go on.
+    """
+    bare = F.coalesce(F.size(F.filter("keywords", lambda k: F.trim(k) != "")), F.lit(0)) <= 0
+    asked = columns.groupBy("corpus").agg(F.min_by(F.when(bare, F.col("name")), F.when(bare, F.col("place"))).alias("column"))
+    counts = entities.groupBy("corpus").agg(F.count("*").alias("n_entities"), F.count_if("done").alias("n_done"))
+    ten = entities.withColumn("__rank", F.row_number().over(Window.partitionBy("corpus").orderBy(*order))).filter(F.col("__rank") <= FIRST_ENTITIES)
+    linked = ten.groupBy("corpus").agg(F.bool_or(F.coalesce(F.size("sources") > 0, F.lit(False))).alias("linked"))
+    both = asked.join(counts.join(linked, "corpus"), "corpus", "full").fillna(0, ["n_entities", "n_done"])
+    broken = (
+        F.when(F.col("column").isNotNull(), "keywords")
+        .when((F.col("n_entities") >= LEAST_DONE) & (F.col("n_done") < LEAST_DONE), "acquired")
+        .when((F.col("n_entities") > 0) & ~F.col("linked"), "sources")
+    )
+    return both.select("corpus", broken.alias("broken"), "column", "n_entities", "n_done")

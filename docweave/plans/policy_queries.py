@@ -15,6 +15,7 @@ from docweave.operators import entities as E
 from docweave.operators import events as V
 from docweave.operators import export as O
 from docweave.operators import external as M
+from docweave.operators import quality as Q
 from docweave.operators import retrieval as L
 from docweave.operators import rollup as U
 from docweave.operators import training as N
@@ -118,6 +119,20 @@ def _(c):
     return N.review_rows(rows, {"earnings": ("e", "signal_type"), "supply_chain": ("s", "chain_type"), "macro": ("m", "macro_type")}, {"other": "o"})
 
 
+@_q("J14_topology", """
+WITH e AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r FROM customer),
+g AS (SELECT c_nationkey AS corpus, count(*) AS n_entities, count(*) FILTER (WHERE c_acctbal > 9000 - 400 * c_nationkey) AS n_done, bool_or(c_nationkey % 4 > 0 AND c_custkey % 3 = 0) FILTER (WHERE r <= 10) AS linked FROM e GROUP BY 1)
+SELECT coalesce(corpus, n_nationkey) AS corpus, CASE WHEN n_nationkey % 5 = 0 THEN 'keywords' WHEN n_entities >= 6 AND n_done < 6 THEN 'acquired' WHEN n_entities > 0 AND NOT linked THEN 'sources' END AS broken,
+CASE WHEN n_nationkey % 5 = 0 THEN n_name END AS "column", coalesce(n_entities, 0) AS n_entities, coalesce(n_done, 0) AS n_done FROM nation FULL JOIN g ON n_nationkey = corpus""", "nation", "customer")
+def _(n, c):
+    """A corpus a nation: a column of its name with keywords or none, its customers as entities."""
+    k = F.col("c_nationkey")
+    words = F.when(F.col("n_nationkey") % 5 > 0, F.array("n_name")).otherwise(F.array(F.lit(" ")))
+    columns = n.select(F.col("n_nationkey").alias("corpus"), F.lit(0).alias("place"), F.col("n_name").alias("name"), words.alias("keywords"))
+    sources = F.when((k % 4 > 0) & (F.col("c_custkey") % 3 == 0), F.array("c_name"))
+    return Q.topology(columns, c.select(k.alias("corpus"), "c_custkey", (F.col("c_acctbal") > 9000 - 400 * k).alias("done"), sources.alias("sources")), [F.col("c_custkey")])
+
+
 _VOTE = "CASE len(list_distinct(v)) WHEN 1 THEN 1.0 WHEN 2 THEN 2.0 / 3 ELSE 1.0 / 3 END"
 
 
@@ -385,6 +400,24 @@ def _(lb, at):
     return lb.sparkSession.read.schema("n_rows long, n_errors long, complete boolean").json(at)
 
 
+@_trip("N09_feedback_levels", """
+SELECT event_id, ['schema', 'extraction', 'merge'][event_id % 3 + 1] AS level, CASE event_id % 3 WHEN 0 THEN '{"approved":true,"user_feedback":"' || event_type || '"}' WHEN 1 THEN '{"proposed_value":"a","override_value":"' || event_type || '","override_reason":"' || repeat('r', 4000) || '"}'
+ELSE '{"chosen_value":"' || event_type || '","conflicting_values":["a","b"]}' END AS action, CASE WHEN event_id % 3 = 0 THEN 1.0::DOUBLE END AS reward_signal FROM events""", "events")
+def _(e, at):
+    """All events as feedback of three levels, written level by level and read again."""
+    said = F.col("event_type")
+    given = {
+        "schema": {"approved": F.lit(True), "user_feedback": said},
+        "extraction": {"proposed_value": F.lit("a"), "override_value": said, "override_reason": F.repeat(F.lit("r"), F.lit(5000))},
+        "merge": {"chosen_value": said, "conflicting_values": F.array(F.lit("a"), F.lit("b"))},
+    }
+    for k, (level, v) in enumerate(given.items()):
+        V.log_feedback(e.filter(F.col("event_id") % 3 == k), level, F.lit("r"), F.col("event_id"), v | {"doc_id": F.col("event_id"), "schema_iteration": F.col("event_id")}, at)
+    found = reduce(DataFrame.unionByName, [V.read_feedback(e.sparkSession, level, at) for level in given])
+    key = F.coalesce(F.get_json_object("state", "$.doc_id"), F.get_json_object("state", "$.schema_iteration")).cast("long")
+    return found.select(key.alias("event_id"), "level", "action", "reward_signal")
+
+
 @_trip("A09_registry", """
 SELECT CAST(doc_id AS VARCHAR) AS file_hash, 'c' AS corpus_id, '' AS doc_type, CAST(CASE WHEN doc_id % 2 = 0 THEN 0 ELSE n_chars END AS INTEGER) AS chunk_count, 'OK' AS parse_status, doc_id % 2 = 1 AS dated FROM documents""", "documents")
 def _(d, at):
