@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from docweave.operators import events, external
+from docweave.operators import events, external, quality
 from docweave.sources import registry
 
 
@@ -53,3 +53,12 @@ def test_event_rows(spark):
     approved = events.event_rows(rows, "schema_update", F.lit("r"), F.col("k"), {"schema_hash": F.lit("h"), "approved": F.col("k") == 1})
     assert sorted(r.reward_signal or 0 for r in approved.collect()) == [0, 0, 1]
     assert len({r.event_id for r in approved.collect()}) == 3
+
+
+def test_topology_and_feedback(spark, tmp_path):
+    columns = spark.createDataFrame([("a", 1, "y", []), ("a", 0, "x", None), ("b", 0, "x", ["k"]), ("d", 0, "x", ["k"])], "corpus string, place int, name string, keywords array<string>")
+    rows = [("b", k, k < 5, ["s"] if k == 11 else None) for k in range(12)] + [("c", k, None, ["s"] if k == 10 else []) for k in range(5)]
+    entities = spark.createDataFrame(rows, "corpus string, k int, done boolean, sources array<string>")
+    got = {r.corpus: (r.broken, r.column, r.n_entities, r.n_done) for r in quality.topology(columns, entities, [F.col("k")]).collect()}
+    assert got == {"a": ("keywords", "x", 0, 0), "b": ("acquired", None, 12, 5), "c": ("sources", None, 5, 0), "d": (None, None, 0, 0)}
+    assert events.read_feedback(spark, "merge", str(tmp_path)).count() == 0
