@@ -9,7 +9,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import row_key, store, table
@@ -172,51 +172,71 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * F.col("common") >= percent * (F.size("s") + F.size("t") - F.col("common"))).select("a", "b")
 
 
+def _folded(dealt: DataFrame) -> DataFrame:
+    """bucket and m, the number of its members, of ``dealt`` (bucket, c): no bucket of one class, and of buckets of the same classes one."""
+    each = dealt.groupBy("bucket").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "c")).alias("y"))
+    return each.filter("m > 1").groupBy("m", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "m")
+
+
+def _divided(live: DataFrame) -> DataFrame:
+    """Of ``live`` the buckets whose members are of two components or more."""
+    divided = live.groupBy("bucket").agg((F.min("root") < F.max("root")).alias("d")).filter("d").select("bucket")
+    return live.join(store(divided), "bucket")
+
+
+def rare_buckets(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``live`` dealt anew: a bucket for each shingle that is among the rarest of two or more classes.
+
+    A pair of sizes n and m at the threshold has percent / (100 + percent) * (n + m) shingles or more in
+    common. With m at its least in the buckets of a class, n less that many and one more are its
+    prefix: in one order of all shingles, two classes at the threshold share one of their prefixes.
+    In order of frequency among the live classes, a class whose prefix is its own is near none.
+    """
+    least = live.join(live.groupBy("bucket").agg(F.min("n").alias("least")), "bucket").groupBy("c").agg(F.min("n").alias("n"), F.min("least").alias("least"))
+    common = F.ceil(percent * (F.col("n") + F.greatest("least", F.ceil(F.col("n") * percent / 100))) / (100 + percent))
+    size = store(least.select("c", (F.col("n") - common + 1).alias("prefix")))
+    each = store(sets.join(size, "c").select("c", "prefix", F.explode("shingles").alias("h")))
+    known = each.join(each.groupBy("h").agg(F.count("*").alias("k")), "h")
+    place = F.row_number().over(Window.partitionBy("c").orderBy("k", "h"))
+    dealt = store(known.withColumn("place", place).filter("place <= prefix AND k > 1").select("c", F.col("h").alias("bucket")))
+    members = live.groupBy("c").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("weight").alias("weight"), F.first("root").alias("root"))
+    return dealt.join(store(_folded(dealt).select("bucket")), "bucket").join(members, "c").select(*live.columns)
+
+
 def link_classes(classes: DataFrame, docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, root) of all linked classes of ``classes`` (c, key, n, bands, sketch), root the least c that a class reaches.
 
-    Classes that agree in a band share a bucket; buckets of one class go, and of buckets of the same
-    classes one stays. A round compares every member of a bucket with the bucket's leaders: 1, then
-    4, 16, ... in later rounds, by ranges of a hash. Sketches refute what they can, full sets
-    decide the rest, and components follow the links. Then leaders leave their buckets, for all their
-    pairs are done, and so do buckets whose members are all of one component. A group of near
-    copies so costs one comparison a member, not one a pair, and rounds are few, as the number of leaders
-    grows fourfold; only members that stay apart are ever compared with each other.
-    A member that is linked to the first leader itself leaves too if no member outside the
-    leader's component can be near it: Jaccard distance is a metric, so whoever is beyond twice the
-    threshold's distance from the leader is beyond the threshold's from what is linked to it.
+    Classes that agree in a band share a bucket. A round compares every member of a bucket with
+    the bucket's leaders. Sketches refute what they can, full sets decide the rest, and
+    components follow the links. Then leaders leave their buckets, for all their pairs are done,
+    and so do buckets whose members are all of one component. In the first round the leader is the member that
+    shares most buckets with most classes, so that a group of near copies costs one comparison
+    a member, not one a pair. What is still apart is then dealt to buckets of rare shingles, an
+    exact filter, in which members that are near none have no bucket. Later rounds have
+    4, 16, ... leaders a bucket, each from its range of a hash, those outside the largest component first.
     A pair at the threshold is missed with a probability of (1 - J^ROWS)^BANDS, below 1e-8 at 0.85
     and 4e-6 at 0.80, and of RISK.
     """
     dealt = classes.select("c", F.explode("bands").alias("bucket"))
-    many = dealt.groupBy("bucket").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "c")).alias("y")).filter("m > 1")
-    many = store(many.groupBy("m", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket"))
-    live = store(dealt.join(many, "bucket").join(classes.select("c", "n", "sketch"), "c").withColumn("root", F.col("c")))
-    sets = full_sets(docs, store(classes.select("c", "key").join(live.select("c").distinct(), "c", "left_semi")), id_col, text_col)
-    wider = max(0, 2 * percent - 100)
+    many = store(dealt.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1"))
+    dealt = store(dealt.join(many, "bucket"))
+    own = store(classes.join(dealt.groupBy("c").agg(F.sum("m").alias("weight")), "c").select("c", "key", "n", "sketch", "weight"))
+    live = store(dealt.join(store(_folded(dealt).select("bucket")), "bucket").select("bucket", "c").join(own.drop("key"), "c").withColumn("root", F.col("c")))
+    sets = full_sets(docs, own.select("c", "key"), id_col, text_col)
     links, roots, ranges = None, None, 1
     while not live.isEmpty():
-        leaders = live.groupBy("bucket", F.pmod(F.xxhash64("c", F.lit(ranges)), F.lit(ranges)).alias("r")).agg(F.min(F.struct(F.xxhash64("c").alias("h"), F.col("c").alias("l"), F.col("n").alias("ln"), F.col("sketch").alias("lsketch"), F.col("root").alias("lroot"))).alias("s"))
+        main = live.groupBy("bucket").agg(F.min(F.struct((-F.col("weight")).alias("w"), "c", "root")).alias("s")).select("bucket", F.col("s.root").alias("main"))
+        order = F.struct((F.col("root") == F.col("main")).alias("inside"), (-F.col("weight")).alias("w"), F.col("c").alias("l"), F.col("n").alias("ln"), F.col("sketch").alias("lsketch"), F.col("root").alias("lroot"))
+        leaders = live.join(main, "bucket").groupBy("bucket", F.pmod(F.xxhash64("c", F.lit(ranges)), F.lit(ranges)).alias("r")).agg(F.min(order).alias("s"))
         leaders = store(leaders.select("bucket", "s.*"))
-        first = leaders.groupBy("bucket").agg(F.min(F.struct("h", "l")).alias("f")).select("bucket", F.col("f.l").alias("first"))
-        met = live.join(leaders, "bucket").filter("c <> l AND root <> lroot").filter(_may_be(percent))
-        pairs = store(met.select(F.least("c", "l").alias("a"), F.greatest("c", "l").alias("b")).distinct())
+        pairs = live.join(leaders, "bucket").filter("c <> l AND root <> lroot").filter(_may_be(percent))
+        pairs = store(pairs.select(F.least("c", "l").alias("a"), F.greatest("c", "l").alias("b")).distinct())
         new = store(confirmed(pairs, sets, percent))
         links = new if links is None else links.unionByName(new)
         roots = components(links)
-        # What is left to compare.
         rest = live.drop("root").join(roots, F.col("c") == F.col("node"), "left").withColumn("root", F.coalesce("root", "c")).drop("node")
-        mixed = rest.groupBy("bucket").agg((F.min("root") < F.max("root")).alias("mixed")).filter("mixed").select("bucket")
-        rest = store(rest.join(store(mixed), "bucket"))
-        lead = first.join(leaders.select("bucket", F.col("l").alias("first"), "ln", "lsketch"), ["bucket", "first"]).join(roots.select(F.col("node").alias("first"), F.col("root").alias("lroot")), "first", "left")
-        lead = lead.withColumn("lroot", F.coalesce("lroot", "first"))
-        at = rest.join(lead, "bucket").withColumn("outside", F.col("root") != F.col("lroot"))
-        edge = at.groupBy("bucket").agg(F.max(F.col("outside") & _may_be(wider)).alias("edge"))
-        linked = links.select(F.col("a").alias("c"), F.col("b").alias("first")).unionByName(links.select(F.col("b").alias("c"), F.col("a").alias("first"))).distinct().withColumn("direct", F.lit(True))
-        left = at.select("bucket", "c", "n", "sketch", "root", "first").join(store(edge), "bucket").join(linked, ["c", "first"], "left").filter("edge OR direct IS NULL")
-        left = store(left.join(leaders.select("bucket", F.col("l").alias("c")), ["bucket", "c"], "left_anti").select("bucket", "c", "n", "sketch", "root"))
-        still = left.groupBy("bucket").agg((F.min("root") < F.max("root")).alias("mixed")).filter("mixed").select("bucket")
-        live = store(left.join(still, "bucket"))
+        rest = store(_divided(store(rest.join(leaders.select("bucket", F.col("l").alias("c")), ["bucket", "c"], "left_anti"))))
+        live = store(_divided(store(rare_buckets(rest, sets, percent)))) if ranges == 1 else rest
         ranges *= 4
     return roots if roots is not None else classes.select(F.col("c").alias("node"), F.col("c").alias("root")).limit(0)
 
