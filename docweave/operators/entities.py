@@ -6,10 +6,11 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions import text as X
+from docweave.sources.scratch import cut
 
 
 def first_per_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
@@ -86,44 +87,110 @@ def identifier_rows(entities: DataFrame, entity: str, kinds: dict[str, Column])
     return entities.select(F.col(entity).alias("entity_id"), F.explode(pairs).alias("x")).select("entity_id", "x.id_type", "x.id_value").filter("trim(id_value) <> ''")
 
 
-#: A word of more candidates than this meets only those that share the next word's beginning too.
-COMMON = 1000
+#: Similarities at which names are tried before the least one: a name that has found one leaves.
+STEPS = (0.95, 0.9, 0.8)
+#: Above this similarity names have pairs of letters in common, and few candidates share a name's rarest ones.
+PAIRS_FROM = 0.83
 
 
-def fuzzy_match(names: DataFrame, name: str, candidates: DataFrame, candidate: str, least: float = 0.72, block: int = 1, common: int = COMMON) -> DataFrame:
-    """The candidate closest to each different name: name, match, score; none below ``least``.
+def _grams(c: Column, k: int) -> Column:
+    """All parts of ``k`` characters, in order; none of a shorter string."""
+    return F.when(F.length(c) >= k, F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda i: F.substr(c, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+
+
+def containing(asked: DataFrame, known: DataFrame, gram: int = 4) -> DataFrame:
+    """Pairs (a_n, b_n) of ``asked`` (a_n) and ``known`` (b_n), both distinct, of which one holds the other.
 
-    Normalised names that are equal or contain each other score 1, equal ones first, others by
-    Ratcliff-Obershelp. Both sides are made distinct, and equal ones meet in a join; only the
-    rest is compared. They meet where normalised names share a word (or its first ``block``
-    letters, with block below 8), and for words of more than ``common`` candidates where the two
-    letters after it agree as well: a word that all names share never brings all pairs.
+    The shorter is looked up by that of its parts of ``gram`` characters which fewest of the longer
+    have, or whole if it is shorter; a part that none has ends the search.
     """
-    def side(df, col, tag):
-        d = df.select(F.col(col).alias(tag)).filter(F.col(tag).isNotNull()).distinct().withColumn(f"{tag}_n", X.company_name(F.col(tag)))
-        return d.filter(F.col(f"{tag}_n") != "")
-
-    def met(df, tag):
-        w = F.split(f"{tag}_n", " ")
-        keys = F.transform(w, lambda x, i: F.struct(F.substring(x, 1, block).alias("w"), F.substring(F.coalesce(F.get(w, i + 1), F.lit("")), 1, 2).alias("next")))
-        return df.withColumn("k", F.explode(F.array_distinct(keys))).select("*", "k.w", "k.next").drop("k")
-
-    left, right = side(names, name, "a"), side(candidates, candidate, "b")
-    same = left.join(right.groupBy("b_n").agg(F.min("b").alias("b")), F.col("a_n") == F.col("b_n")).select("a", "b", F.lit(1.0).alias("score"))
-    rest = met(left.join(right, F.col("a_n") == F.col("b_n"), "left_anti"), "a")
-    there = met(right, "b")
-    many = there.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") > common).select("w", F.lit(True).alias("many"))
-    tagged = lambda d: d.join(many, "w", "left").select(*[c for c in d.columns if c not in ("w", "next")], "w", F.when(F.col("many"), F.col("next")).otherwise("").alias("next"))
-    pairs = tagged(rest).join(tagged(there), ["w", "next"]).select("a", "a_n", "b", "b_n").distinct()
-
-    def ratios(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+    def within(short: DataFrame, s: str, long: DataFrame, t: str) -> DataFrame:
+        small = [r.n for r in short.filter(F.length(s) < gram).select(F.length(s).alias("n")).distinct().collect()]  # at most gram - 1
+        parts = long.select(t, F.explode(F.array_distinct(F.concat(*[_grams(F.col(t), k) for k in (gram, *small)]))).alias("g"))
+        often = parts.groupBy("g").agg(F.count("*").alias("n"))
+        own = short.select(s, F.explode(F.array_distinct(F.when(F.length(s) < gram, F.array(s)).otherwise(_grams(F.col(s), gram)))).alias("g"))
+        rarest = own.join(often, "g", "left").groupBy(s).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("m")).filter("m.n > 0").select(s, F.col("m.g").alias("g"))
+        return rarest.join(parts, "g").filter(F.contains(t, s)).select("a_n", "b_n")
+
+    return within(asked, "a_n", known, "b_n").unionByName(within(known, "b_n", asked, "a_n")).distinct()
+
+
+def near_pairs(asked: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """Pairs (a_n, b_n) that hold all whose Ratcliff-Obershelp ratio is ``least`` or more, and few others.
+
+    With s letters in both, a ratio of t needs t s / 2 matched ones, so as many letters (with
+    repeats) in common. Matched runs are parted by letters that are not, (1 - t) s at most, so
+    (1.5 t - 1) s - 1 pairs of neighbours are in common as well. Two sets with k members in common
+    share one of the first n - k + 1 of each in any one order of all members; in order of frequency,
+    these are the rarest. s is at its least where the other's length is, t / (2 - t) times the own.
+    Names of which no common pair is asked are left out: for them least is below PAIRS_FROM at last.
+    """
+    k = 2 if least > PAIRS_FROM else 1
+    slope, gap = (1.5 * least - 1, 1) if k == 2 else (least / 2, 0)
+
+    def tokens(df: DataFrame, c: str) -> DataFrame:
+        size = F.length(c)
+        common = F.ceil(slope * (size + F.ceil(size * least / (2 - least) - 1e-9)) - gap - 1e-9)
+        parts = _grams(F.col(c), k)
+        nth = F.transform(parts, lambda x, i: F.concat(x, F.size(F.filter(F.slice(parts, 1, i + 1), lambda y: y == x)).cast("string")))
+        return df.select(c, common.alias("common"), F.size(parts).alias("n"), F.explode(nth).alias("g"))
+
+    mine, theirs = tokens(asked, "a_n").filter("common > 0"), tokens(known, "b_n")
+    often = theirs.groupBy("g").agg(F.count("*").alias("f"))
+
+    def rarest(df: DataFrame, c: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(c).orderBy(F.coalesce("f", F.lit(0)), "g"))
+        ranked = df.join(often, "g", "left").withColumn("place", place)
+        return ranked.filter(F.col("f").isNotNull() & (F.col("place") <= F.col("n") - F.greatest("common", F.lit(1)) + 1)).select(c, "g")
+
+    pairs = rarest(mine, "a_n").join(rarest(theirs, "b_n"), "g")
+    return pairs.filter(2 * F.least(F.length("a_n"), F.length("b_n")) >= (least - 1e-9) * (F.length("a_n") + F.length("b_n"))).select("a_n", "b_n").distinct()
+
+
+def ratios(pairs: DataFrame, least: float) -> DataFrame:
+    """a_n, b_n and score of the pairs whose Ratcliff-Obershelp ratio is ``least`` or more; cheap upper bounds come first."""
+
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            score = [1.0 if x in y or y in x else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(p.a_n, p.b_n, strict=True)]
-            yield pd.DataFrame({"a": p.a, "b": p.b, "score": score})
+            found, m = [], difflib.SequenceMatcher()
+            for b, part in p.groupby("b_n", sort=False).a_n:
+                m.set_seq2(b)
+                for a in part:
+                    m.set_seq1(a)
+                    if m.real_quick_ratio() >= least and m.quick_ratio() >= least and (r := m.ratio()) >= least:
+                        found.append((a, b, r))
+            yield pd.DataFrame(found, columns=["a_n", "b_n", "score"]).astype({"score": float})
 
-    scored = pairs.mapInPandas(ratios, "a string, b string, score double").filter(F.col("score") >= least)
-    best = scored.groupBy("a").agg(F.max_by(F.struct("b", "score"), F.struct("score", F.lit(0) - F.xxhash64("b"))).alias("m")).select("a", "m.b", "m.score")
-    return same.unionByName(best).select(F.col("a").alias(name), F.col("b").alias("match"), F.bround("score", 6).alias("score"))
+    return pairs.mapInPandas(scored, "a_n string, b_n string, score double")
+
+
+def fuzzy_match(names: DataFrame, name: str, candidates: DataFrame, candidate: str, least: float = 0.72, order: list[Column] | None = None, steps: tuple[float, ...] = STEPS) -> DataFrame:
+    """The candidate closest to each different name: name, match, score; none below ``least``.
+
+    Normalised names that are equal or contain each other score 1, others by Ratcliff-Obershelp; of
+    equal scores (0.99 and more counts as one) the candidate that comes first in ``order``
+    wins, by default its name. Both sides are made distinct. Candidates meet a name by the exact
+    filters of containing() and near_pairs(), in ``steps`` from the highest similarity
+    down: a name that has found one at a step has seen all that are as near, and leaves. No
+    match is lost at any size. Null names, and those of which nothing is left, match nothing.
+    """
+    tidy = lambda df, c, tag, *more: df.select(F.col(c).alias(tag), *more).filter(F.col(tag).isNotNull()).withColumn(f"{tag}_n", X.company_name(F.col(tag))).filter(F.col(f"{tag}_n") != "")
+    left = tidy(names.select(name).distinct(), name, "a")
+    right = tidy(candidates, candidate, "b", F.struct(*(order or [F.col(candidate)])).alias("o"))
+    right = cut(right.groupBy("b_n").agg(F.min(F.struct("o", "b")).alias("r")).select("b_n", "r.o", "r.b"))
+    rest = cut(left.select("a_n").distinct())
+    best = None
+    for at in (None, *[x for x in steps if x > least], least):
+        known = right.select("b_n")
+        pairs = containing(rest, known).withColumn("score", F.lit(1.0)) if at is None else ratios(near_pairs(rest, known, at), at)
+        rank = F.struct(F.when(F.col("score") >= 0.99, -1.0).otherwise(-F.col("score")).alias("s"), "o")
+        here = cut(pairs.join(right, "b_n").groupBy("a_n").agg(F.min_by(F.struct("b", "score"), rank).alias("m")).select("a_n", "m.b", "m.score"))
+        best = here if best is None else best.unionByName(here)
+        rest = cut(rest.join(here, "a_n", "left_anti"))
+        if rest.isEmpty():
+            break
+    return left.join(best, "a_n").select(F.col("a").alias(name), F.col("b").alias("match"), F.bround("score", 6).alias("score"))
 
 
 def fuzzy_enrich(rows: DataFrame, name: str, dim: DataFrame, dim_name: str, exact: tuple[str, str], values: list[str], least: float = 0.72) -> DataFrame:
@@ -136,7 +203,7 @@ def fuzzy_enrich(rows: DataFrame, name: str, dim: DataFrame, dim_name: str, exac
     by_key = first_per_key(dim, theirs, [F.col(dim_name)]).select(F.col(theirs).alias("__k"), F.struct(*values).alias("__e"))
     tried = rows.join(by_key, F.col(mine) == F.col("__k"), "left").drop("__k")
     open_ = tried.filter(F.col("__e").isNull()).select(name).distinct()
-    near = fuzzy_match(open_, name, dim, dim_name, least, block=7).select(F.col(name).alias("__n"), F.col("match").alias("__m"))
+    near = fuzzy_match(open_, name, dim, dim_name, least).select(F.col(name).alias("__n"), F.col("match").alias("__m"))
     found = near.join(first_per_key(dim, dim_name, [F.col(theirs)]).select(F.col(dim_name).alias("__m"), F.struct(*values).alias("__f")), "__m").drop("__m")
     out = tried.join(found, F.col("__e").isNull() & (F.col(name) == F.col("__n")), "left")
     how = F.when(F.col("__e").isNotNull(), "exact").when(F.col("__f").isNotNull(), "fuzzy")

@@ -86,10 +86,16 @@ def _(c):
     return M.call_model(asked, "conv_id", "p", lambda xs: xs).select("conv_id", "response")
 
 
-@_q("D20_fuzzy_names", None, "supplier")
+@_q("D20_fuzzy_names", "SELECT 'The ' || s_name || ' Inc.' AS n, s_name AS match, 1.0 AS score FROM supplier", "supplier")
 def _(s):
     names = s.select(F.concat(F.lit("The "), "s_name", F.lit(" Inc.")).alias("n"))
-    return E.fuzzy_match(names, "n", s, "s_name", block=8)
+    return E.fuzzy_match(names, "n", s, "s_name")
+
+
+@_q("D20_misspelt_names", "SELECT replace(s_name, 'pp', 'ppp') || ' Corp.' AS n, s_name AS match, round(2.0 * length(s_name) / (2 * length(s_name) + 1), 6) AS score FROM supplier", "supplier")
+def _(s):
+    """Names that hold no other and need a ratio; all share their word and most digits."""
+    return E.fuzzy_match(s.select(F.concat(F.replace("s_name", F.lit("pp"), F.lit("ppp")), F.lit(" Corp.")).alias("n")), "n", s, "s_name")
 
 
 @_q("M06_progress", "SELECT event_id AS seq, count(DISTINCT user_id) OVER (ORDER BY event_id) AS n_docs FROM events", "events")

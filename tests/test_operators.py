@@ -385,11 +385,66 @@ def test_salvage_more():
 def test_fuzzy_with_a_word_that_all_share(spark):
     names = spark.createDataFrame([(f"supplier {k:03} x",) for k in range(60)] + [("supplier 007",)], "n string")
     dims = spark.createDataFrame([(f"Supplier {k:03} y",) for k in range(60)] + [("Supplier 007",)], "c string")
-    got = {r.n: (r.match, r.score) for r in E.fuzzy_match(names, "n", dims, "c", common=10).collect()}
+    got = {r.n: (r.match, r.score) for r in E.fuzzy_match(names, "n", dims, "c").collect()}
     assert got["supplier 007"] == ("Supplier 007", 1.0)
     assert all(got[f"supplier {k:03} x"][0] == f"Supplier {k:03} y" for k in range(60) if k != 7)
 
 
+def _closest(spark, names, dims, least=0.72):
+    """Every name against every candidate in order."""
+    import difflib
+
+    texts = spark.createDataFrame([(t,) for t in {*names, *dims}], "t string")
+    plain = dict(texts.select("t", X.company_name(F.col("t"))).collect()).__getitem__
+    known = [(c, plain(c)) for c in sorted(dims)]
+    out = {}
+    for n in set(names):
+        q, best = plain(n), (None, 0.0)
+        for c, p in known if q else []:
+            r = 1.0 if p and (q in p or p in q) else difflib.SequenceMatcher(None, q, p).ratio() if p else 0.0
+            best = max(best, (c, r), key=lambda x: x[1])
+            if best[1] >= 0.99:
+                break
+        if best[1] >= least:
+            out[n] = (best[0], round(best[1], 6))
+    return out
+
+
+def test_fuzzy_by_all_pairs(spark):
+    """2,000 mixed names: misspelt, cut, swapped, of few letters, with a word that all share; equal to every name against every candidate."""
+    import random
+
+    rng = random.Random(4)
+    letters = "eeaaiioonnrrttllssddcmuphgbfyvwkxjqz"
+    word = lambda: "".join(rng.choices(letters, k=rng.randint(2, 9)))
+    dims = [" ".join([word().title() for _ in range(rng.randint(1, 3))] + rng.choice([[], ["Mining"], ["Mining", "Ltd."], ["Inc"]])) for _ in range(400)]
+    dims += [f"Supplier#{k:05}" for k in range(100)] + ["X", "Q1", "Zed 9", "Acme Zlobel", "Ag", ""]
+    names = ["Acme Globel Corp", "zed-9", "co", "", "x"]
+    for _ in range(2000 - len(names)):
+        t = list(rng.choice(dims) or word())
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 5])):
+            k, how = rng.randrange(len(t) + 1), rng.random()
+            t[k : k + (how < 0.6)] = [] if how < 0.3 else [rng.choice(letters)]
+        t = "".join(t)
+        names.append(rng.choice([t, t, t.upper(), " ".join(reversed(t.split())), t[: rng.randint(1, 12)], " ".join(word() for _ in range(2))]))
+    df = spark.createDataFrame([(n,) for n in names] + [(None,)], "n string")
+    got = {r.n: (r.match, r.score) for r in E.fuzzy_match(df, "n", spark.createDataFrame([(c,) for c in dims] + [(None,)], "c string"), "c").collect()}
+    want = _closest(spark, names, dims)
+    assert got == want
+    assert sum(0.72 <= s < 1 for _, s in want.values()) > 200
+
+
+def test_fuzzy_loses_nothing_as_candidates_grow(spark):
+    """A match whose first word 1,200 other candidates share is found; few of all pairs are compared."""
+    dims = spark.range(1200).select(F.format_string("acme %s", F.substring(F.md5(F.col("id").cast("string")), 1, 9)).alias("c")).union(spark.createDataFrame([("acme zlobel",)], "c string"))
+    names = spark.createDataFrame([("acme globel corp",)], "n string")
+    assert [tuple(r) for r in E.fuzzy_match(names, "n", dims, "c").collect()] == [("acme globel corp", "acme zlobel", round(20 / 22, 6))]
+    s = spark.range(1000).select(F.format_string("supplier %09d", "id").alias("b_n"))
+    asked = spark.range(1000).select(F.format_string("supplier %09dx", F.col("id") * 7).alias("a_n"))
+    assert E.near_pairs(asked, s, 0.95).count() < 150_000  # of 1,000,000
+    assert E.containing(asked, s).count() == 143
+
+
 def test_override_pairs_by_brute_force(spark):
     import random
 
