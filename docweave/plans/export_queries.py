@@ -86,7 +86,7 @@ def _(c):
     return M.call_model(asked, "conv_id", "p", lambda xs: xs).select("conv_id", "response")
 
 
-@_q("D20_fuzzy_names", "SELECT 'The ' || s_name || ' Inc.' AS n, s_name AS match, 1.0 AS score FROM supplier", "supplier")
+@_q("D20_fuzzy_names", "SELECT 'The ' || s_name || ' Inc.' AS n, s_name AS match, 1.0::DOUBLE AS score FROM supplier", "supplier")
 def _(s):
     names = s.select(F.concat(F.lit("The "), "s_name", F.lit(" Inc.")).alias("n"))
     return E.fuzzy_match(names, "n", s, "s_name")

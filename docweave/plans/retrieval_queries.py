@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions import text as X
 from docweave.operators import chunking as C
+from docweave.operators import postings as I
 from docweave.operators import retrieval as L
 from docweave.sources.tables import table
 
@@ -61,9 +62,9 @@ QUERIES["L01_L05_L06_L10_L17_K01_retrieval"] = (retrieval, _SQL)
 QUERIES["L01_L05_L06_L10_L17_K01_retrieval_bounded"] = (bounded_retrieval, None)
 
 
-def _q(name, sql, source="documents"):
+def _q(name, sql, *sources):
     def add(f):
-        QUERIES[name] = (lambda spark, d: f(table(spark, d, source)), sql)
+        QUERIES[name] = (lambda spark, d: f(*[table(spark, d, s) for s in sources or ("documents",)]), sql)
         return f
 
     return add
@@ -87,6 +88,53 @@ def _(d):
     return tagged_chunks(d).withColumn("n", n).filter((F.col("n") < L.LEAST_POOL) | F.col("keyword_hit")).select("doc_id", "ordinal")
 
 
+_OWN_SQL = f"""{_LINES},
+q AS (SELECT doc_id, term, count(*) AS times FROM (SELECT doc_id, unnest(regexp_extract_all(lower(left(text, 60)), '[a-z0-9]+')) AS term FROM documents) GROUP BY ALL),
+t AS (SELECT *, regexp_extract_all(lower(text), '[a-z0-9]+') AS ts FROM h),
+m AS (SELECT doc_id, ordinal, term, times, count(*) AS tf FROM (SELECT doc_id, ordinal, unnest(ts) AS term FROM t) JOIN q USING (doc_id, term) GROUP BY ALL),
+z AS (SELECT *, len(ts) AS dl, (doc_id, ordinal) IN (SELECT (doc_id, ordinal) FROM m) AS known FROM t),
+a AS (SELECT *, count(*) OVER w AS total, count(*) FILTER (WHERE keyword_hit) OVER w AS keyword_hits, count(*) FILTER (WHERE keyword_hit AND known) OVER w AS strong, count(*) FILTER (WHERE known) OVER w AS alls FROM z WINDOW w AS (PARTITION BY doc_id)),
+b AS (SELECT * FROM a WHERE CASE WHEN keyword_hits >= 3 AND (strong > 0 OR alls = 0) THEN keyword_hit ELSE true END),
+s AS (SELECT *, count(*) OVER w AS n, avg(dl) OVER w AS av FROM b WINDOW w AS (PARTITION BY doc_id)),
+f AS (SELECT doc_id, term, count(*) AS df FROM m JOIN s USING (doc_id, ordinal) GROUP BY ALL),
+r AS (SELECT doc_id, ordinal, round(sum(times * ln((n + 1) / df) * (1 + tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / av)))), 9) AS score FROM m JOIN s USING (doc_id, ordinal) JOIN f USING (doc_id, term) GROUP BY ALL),
+k AS (SELECT s.*, coalesce(score, 0) AS score, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(score, 0) DESC, ordinal) AS INTEGER) AS rank, {_SANE} AS sane FROM s LEFT JOIN r USING (doc_id, ordinal))
+SELECT doc_id, ordinal, round(score, 6) AS score, rank, total, keyword_hits, CASE WHEN length(sane) > 700 THEN regexp_replace(sane[:699], '[ \\t\\n\\r\\f\\x0B]+$', '') || '…' ELSE sane END AS text FROM k WHERE rank <= 8"""
+
+
+def _by_own_query(d, chunks):
+    """Every document asks for the words that it begins with."""
+    queries = I.query_terms(d, F.substring("text", 1, 60))
+    blocks = I.retrieve_by_query(chunks, I.index_chunks(chunks), queries)
+    return blocks.select("doc_id", "ordinal", F.round("score", 6).alias("score"), "rank", "total", "keyword_hits", "text")
+
+
+@_q("L03_L13_own_queries", _OWN_SQL)
+def _(d):
+    return _by_own_query(d, tagged_chunks(d))
+
+
+#: SQL cannot cut chunks in this way; tests hold it against score_chunks() document by document.
+@_q("L03_L13_own_queries_bounded", None)
+def _(d):
+    return _by_own_query(d, bounded_chunks(d))
+
+
+@_q("L15_refinement_rows", """
+WITH n AS (SELECT n_nationkey, n_name, lower(n_name) AS k, 'Find trade of ' || n_name || '.' AS i FROM nation),
+p AS (SELECT doc_id, string_agg(k || ' | trade | ' || i, ' | ' ORDER BY n_nationkey) AS f, trim(left(text, 40), ' ') AS s, lang FROM documents LEFT JOIN n ON n_nationkey % 5 = doc_id % 5 AND doc_id % 3 > 0 GROUP BY ALL),
+l AS (SELECT doc_id, list_filter(list_concat(coalesce(string_split(f, ' | '), []), [s, lang]), lambda x: x <> '') AS x FROM p),
+u AS (SELECT doc_id, array_to_string(list_filter(x, lambda y, i: list_position(x, y) = i), ' | ') AS text FROM l)
+SELECT doc_id, left(CASE WHEN length(text) >= 12 THEN text ELSE 'the first hop' END, 520) AS query FROM u""", "documents", "nation")
+def _(d, n):
+    """Two of three documents leave the fields of five nations open; all have a hypothesis."""
+    columns = n.select(F.col("n_nationkey").alias("place"), F.col("n_name").alias("name"), F.array(F.lower("n_name"), F.lit("trade")).alias("keywords"), F.concat(F.lit("Find trade of "), "n_name", F.lit(".")).alias("instruction"), F.lit("").alias("description"))
+    names = n.groupBy((F.col("n_nationkey") % 5).alias("r")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"]).alias("names"))
+    open_ = d.join(names, F.col("doc_id") % 5 == F.col("r"), "left").withColumn("unresolved", F.when(F.col("doc_id") % 3 > 0, F.concat(F.array(F.lit("unknown")), "names")).otherwise(F.array().cast("array<string>")))
+    payloads = open_.select("doc_id", "unresolved", F.array(F.struct(F.substring("text", 1, 40).alias("needs"), F.col("lang").alias("summary"))).alias("hypotheses"))
+    return I.refinement_queries(payloads, columns, F.lit("the first hop"))
+
+
 @_q("L07_without_scores", f"{_LINES} SELECT doc_id, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY keyword_hit DESC, ordinal) AS r FROM h) WHERE r <= 12")
 def _(d):
     return L.retrieve_without_scores(tagged_chunks(d)).select("doc_id", "ordinal")
