@@ -11,6 +11,7 @@ from docweave.operators import events as V
 from docweave.operators import quality as Q
 from docweave.operators import rollup as U
 from docweave.operators import sampling as S
+from docweave.operators.percentiles import percentiles
 from docweave.sources.tables import table
 
 QUERIES = {}
@@ -352,10 +353,18 @@ def _(e):
 
 @_q("I20_percentiles", "SELECT event_type, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.5), 6) AS p50, max(value) AS most, round(count(*) / 60.0, 6)::DOUBLE AS rate FROM events GROUP BY event_type", "events")
 def _(e):
-    # Equal values are counted first; an exact percentile holds the different values of its group.
-    v = e.groupBy("event_type", "value").agg(F.count("*").alias("n"))
-    at = lambda p: F.round(F.percentile("value", p, F.col("n")), 6)
-    return v.groupBy("event_type").agg(at(0.95).alias("p95"), at(0.5).alias("p50"), F.max("value").alias("most"), F.round(F.sum("n") / 60.0, 6).alias("rate"))
+    at = percentiles(e, ["event_type"], F.col("value"), (0.5, 0.95))
+    of = lambda p: F.round(F.max(F.when(F.col("share") == p, F.col("value"))), 6)
+    p = at.groupBy("event_type").agg(of(0.95).alias("p95"), of(0.5).alias("p50"))
+    return e.groupBy("event_type").agg(F.max("value").alias("most"), F.round(F.count("*") / 60.0, 6).alias("rate")).join(p, "event_type").select("event_type", "p95", "p50", "most", "rate")
+
+
+@_q("I20_hot_group", """
+SELECT unnest([0.0, 0.01, 0.5, 0.95, 0.999, 1.0])::DOUBLE AS share, unnest([round(x, 6) for x in quantile_cont(l_extendedprice, [0.0, 0.01, 0.5, 0.95, 0.999, 1.0])]) AS price FROM lineitem""", "lineitem")
+def _(li):
+    """Percentiles of one group of all rows; cells are few and small, so that they are refined several times."""
+    at = percentiles(li, [], F.col("l_extendedprice"), (0.0, 0.01, 0.5, 0.95, 0.999, 1.0), cells=16, small=50)
+    return at.select("share", F.round("value", 6).alias("price"))
 
 
 @_q("I21_rates", "SELECT o_orderpriority, round_even(count(*) FILTER (WHERE o_orderstatus = 'F') / count(*), 3) AS rate FROM orders GROUP BY o_orderpriority", "orders")

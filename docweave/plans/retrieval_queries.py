@@ -8,6 +8,7 @@ from docweave.functions import text as X
 from docweave.operators import chunking as C
 from docweave.operators import postings as I
 from docweave.operators import retrieval as L
+from docweave.operators import vectors as J
 from docweave.sources.tables import table
 
 QUERIES = {}
@@ -166,6 +167,20 @@ def _(v):
     return L.vector_search(v, list(query.embedding) if query else [], 10)
 
 
+@_q("L18_many_queries", """
+WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)
+SELECT query_id, vec_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id)::INTEGER AS rank FROM s QUALIFY rank <= 10""", "embeddings")
+def _(v):
+    """Every twentieth vector against all, exactly."""
+    return J.exact_search(v.filter("vec_id % 20 = 0"), v, 10)
+
+
+#: An index finds most of these, not all; a test holds its recall.
+@_q("B13_L18_indexed_queries", None, "embeddings")
+def _(v):
+    return J.indexed_search(v.filter("vec_id % 20 = 0"), v, 10)
+
+
 @_q("L09_fusion", """
 WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]), 6) AS c FROM embeddings, q),
 a AS (SELECT vec_id, row_number() OVER (ORDER BY c DESC, vec_id) AS r FROM s), b AS (SELECT vec_id, row_number() OVER (ORDER BY label, vec_id) AS r FROM s)
