@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docweave.functions import records as R
+from docweave.operators import payloads as Y
 from docweave.sources.tables import table
 
 QUERIES = {}
@@ -210,3 +211,25 @@ def _(d):
     k = F.col("p_partkey")
     adj = R.adjusted(F.when(k % 7 != 0, k % 4), F.when(k % 5 != 0, k % 3 + 1))
     return d.select("p_partkey", adj.cast("long").alias("adj"), R.fuzzy(adj, F.col("p_size") % 4).alias("fuzzy"), R.calibrated(adj, F.col("p_size") % 4).alias("anchor"))
+
+
+#: The same evidence in six shapes, by event: text, object, list of text, list of objects, mixed, none.
+_SHAPES = """
+CASE event_id % 6 WHEN 0 THEN '{"macro_evidence": "q' || k || '", "uncertainty_language": "Yes", "mentions_tariffs": 1}'
+ WHEN 1 THEN '{"macro_evidence": {"quote": "q' || k || '", "macro_type": "fx or macro", "magnitude_text": "5%"}, "uncertainty_language": ["may", true, " "], "other_tariff_mentions": "may", "mentions_tariffs": "no"}'
+ WHEN 2 THEN '{"macro_evidence": ["q' || k || '", " "], "uncertainty_language": [false], "other_tariff_mentions": ["a ", "", 7], "specific_tariff_programs": 301}'
+ WHEN 3 THEN '{"macro_evidence": [{"quote": ' || k || ', "macro_type": "NONE"}, {"quote": "z"}], "uncertainty_language": ["might", "may", "might"], "other_tariff_mentions": ["may"], "mentions_tariffs": true}'
+ WHEN 4 THEN '{"macro_evidence": ["q' || k || '", 5, null, {"macro_type": "odd"}], "uncertainty_language": 0, "specific_tariff_programs": [" 232", "301"]}'
+ ELSE '[1]' END"""
+
+
+@_q("C29_repaired_payloads", f"""
+WITH e AS (SELECT event_id, event_id % 6 AS s, regexp_extract(props, '[0-9]+', 0) AS k FROM events)
+SELECT event_id, CASE s WHEN 0 THEN 'q' || k || '/OTHER/-' WHEN 1 THEN 'q' || k || '/FX_OR_MACRO/5%' WHEN 2 THEN 'q' || k || '/OTHER/-' WHEN 3 THEN k || '/NONE/-;z/OTHER/-' WHEN 4 THEN 'q' || k || '/OTHER/-;/OTHER/-' ELSE '' END AS macro,
+ CASE s WHEN 1 THEN 'may' WHEN 2 THEN 'a,7' WHEN 3 THEN 'may,might' ELSE '' END AS mentions, CASE s WHEN 2 THEN '301' WHEN 4 THEN '232,301' ELSE '' END AS programs,
+ s IN (0, 1, 3) AS uncertain, CASE s WHEN 0 THEN true WHEN 1 THEN false WHEN 3 THEN true END AS tariffs FROM e""", "events")
+def _(e):
+    shaped = e.select("event_id", F.regexp_extract("props", "[0-9]+", 0).alias("k")).select("event_id", F.expr(_SHAPES).alias("payload"))
+    r = Y.repair_payloads(shaped, "event_id", "payload")
+    macro = F.array_join(F.transform("macro_evidence", lambda x: F.concat_ws("/", x["quote"], x["kind"], F.coalesce(x["magnitude"], F.lit("-")))), ";")
+    return r.select("event_id", macro.alias("macro"), F.array_join("other_tariff_mentions", ",").alias("mentions"), F.array_join("specific_tariff_programs", ",").alias("programs"), F.col("uncertainty_language").alias("uncertain"), F.col("mentions_tariffs").alias("tariffs"))
