@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions.policy import consensus
+from docweave.sources.scratch import cut
 
 _THINK = re.compile(r"<(think|thinking|redacted_thinking)>.*?</\1>", re.I | re.S)
 _FENCE = re.compile(r"^\s*```(?:json)?\s*|\s*```\s*$", re.I | re.M)
@@ -112,7 +113,7 @@ def council(rows: DataFrame, key: str, prompt: str, reviewer: Callable[[list[str
     """key, quality, agreement, suggestion, reviews (lens, quality, issues; in the order of LENSES) of each row's critique.
 
     ``key`` is unique. Every lens reviews every prompt, then the chairman sees a key's reviews as
-    JSON. A review that is no JSON says needs_work and has no issues; one without a quality says
+    JSON. Reviews are kept before they are read twice, so every reviewer is asked once. A review that is no JSON says needs_work and has no issues; one without a quality says
     ok. The chairman's agreement is 0.7 if not given and never above the vote's; without a usable
     answer the reviews' most frequent quality counts, the worse of equal ones.
     """
@@ -131,7 +132,7 @@ def council(rows: DataFrame, key: str, prompt: str, reviewer: Callable[[list[str
     # The worse of equal verdicts is the greater, as VERDICTS goes from good to bad.
     top = F.array_max(F.array(*[F.struct(times(v).alias("n"), F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in enumerate(VERDICTS)]))
     valid = reduce(lambda a, b: a + b, map(times, VERDICTS))
-    voted = traces.withColumns({"vote": F.when(valid > 0, top["n"] / valid).otherwise(0.5), "modal": F.when(valid > 0, top["v"]).otherwise("ok")})
+    voted = cut(traces).withColumns({"vote": F.when(valid > 0, top["n"] / valid).otherwise(0.5), "modal": F.when(valid > 0, top["v"]).otherwise("ok")})
     final = call_model(voted.select(key, F.to_json(F.struct("reviews", "vote")).alias("p")), key, "p", chairman)
     final = final.select(key, F.from_json("response", "overall_quality string, overall_suggestion string, reviewer_agreement_score double").alias("f"))
     own = F.lower("f.overall_quality")

@@ -14,7 +14,9 @@ from docweave.operators import rollup as U
 from docweave.operators import sampling as S
 from docweave.plans.retrieval_queries import _LINES, bounded_chunks, tagged_chunks
 from docweave.sources.config import source_mode
+from docweave.sources.scratch import scratch
 from docweave.sources.tables import table
+from docweave.streaming import watch as W
 
 QUERIES = {}
 
@@ -213,3 +215,54 @@ def _(e):
     quality = F.get(F.array(F.lit("good"), F.lit("ok"), F.lit("Needs_Work")), (F.col("event_id") % 3).cast("int"))
     broken = F.concat(F.lit('note {"overall_quality": "'), quality, F.lit('", "field_issues": [{"field": "'), "event_type", F.lit('", "issue": "x"}, {"field": "y", "iss'))
     return e.select("event_id", broken.alias("t")).mapInPandas(salvaged, "event_id long, quality string, field string")
+
+
+# The running chain: files of documents through index, chunks and panel
+
+READY_AT = 100
+
+
+def run_chain(documents, files=4):
+    """Panel by source and the signals of a stream that reads ``documents`` in ``files`` files, a file a batch."""
+    spark, at = documents.sparkSession, scratch(documents.sparkSession)
+    documents.select("doc_id", "text", "source").repartition(files, "doc_id").write.parquet(f"{at}/in")
+    stream = spark.readStream.schema("doc_id long, text string, source string").option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+
+    def panel(chunks):
+        """Of the sources that the batch touches, all chunks that stand."""
+        touched = chunks.select(F.col("source").alias("s")).distinct()
+        standing = W.current(spark, f"{at}/chunks")
+        return standing.join(touched, F.col("source").eqNullSafe(F.col("s"))).groupBy("source").agg(F.count_distinct("doc_id").alias("n_docs"), F.count("*").alias("n_chunks"), F.sum("chars").alias("chars"))
+
+    stages = [
+        (f"{at}/index", ["doc_id"], lambda d: d.withColumn("n_chars", F.length("text"))),
+        (f"{at}/chunks", ["doc_id"], lambda d: tagged_chunks(d).select("doc_id", "ordinal", F.length("text").alias("chars")).join(d.select("doc_id", "source"), "doc_id")),
+        (f"{at}/panel", ["source"], panel),
+    ]
+    signals = W.Signals(READY_AT)
+    spark.streams.addListener(signals)
+    try:
+        query = W.refresh_chain(stream, f"{at}/state", stages, signals=signals, counted=f"{at}/chunks", buckets=8).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.streams.removeListener(signals)
+    return W.current(spark, f"{at}/panel"), signals
+
+
+_CHUNK_ROWS = f"{_LINES} SELECT h.doc_id, source, length(h.text) AS chars FROM h JOIN documents USING (doc_id)"
+
+
+@_q("M01_M07_stream", f"SELECT source, count(DISTINCT doc_id) AS n_docs, count(*) AS n_chunks, sum(chars)::BIGINT AS chars FROM ({_CHUNK_ROWS}) GROUP BY source", "documents")
+def _(d):
+    return run_chain(d)[0].select("source", "n_docs", "n_chunks", "chars")
+
+
+@_q("M06_signals", f"""
+WITH c AS (SELECT count(DISTINCT doc_id) AS n_docs, count(*) AS n_chunks FROM ({_CHUNK_ROWS}))
+SELECT 'PARSE_PROGRESS' AS signal, n_docs, n_chunks FROM c UNION ALL SELECT 'EXTRACTION_READY', {READY_AT}, 1 FROM c WHERE n_docs >= {READY_AT}""", "documents")
+def _(d):
+    """The last progress of a running chain, and how often it said that enough documents are there (the mark, 1)."""
+    signals = run_chain(d)[1]
+    last = max(x for x in signals.told if x[0] == "PARSE_PROGRESS")
+    ready = [(x[0], READY_AT, signals.told.count(x)) for x in signals.told if x[0] == "EXTRACTION_READY"]
+    return d.sparkSession.createDataFrame([last, *ready], "signal string, n_docs long, n_chunks long")

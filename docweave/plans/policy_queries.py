@@ -264,32 +264,7 @@ def _(v):
     return L.hybrid_search(texts, v.filter("vec_id = 0").select("embedding"), {"word": 1}, 10, where=F.col("label") % 2 == 0)
 
 
-# Schemas: worked out on the driver, returned as rows
-
-_SHAPES = [
-    [{"name": "a", "type": "str", "enum": ["x", "y"]}, {"field": "b", "type": "int", "unit": "t"}, "no column"],
-    {"columns": [{"name": "a", "type": "string", "description": "the first"}]},
-    {"properties": {"a": {"type": "float"}, "b": {}}},
-]
-_COLUMN = [{"name": "net_zero", "type": "string", "keywords": ["net zero", "2050 target"], "extraction_instruction": "Find the target year"}, {"name": "plain", "description": "Any other remark"}]
-
-
-def _rows(name, sql, schema, made):
-    QUERIES[name] = (lambda spark, d: spark.createDataFrame(made(), schema), sql)
-
-
-_rows("C23_import_shapes", "SELECT * FROM (VALUES (0, 'a', 'string', 'Allowed values: x, y.'), (0, 'b', 'integer', 'Unit: t.'), (1, 'a', 'string', 'the first'), (2, 'a', 'number', ''), (2, 'b', 'string', '')) AS t(shape, name, type, instruction)",
-      "shape int, name string, type string, instruction string", lambda: [(k, c["name"], c["type"], c["extraction_instruction"]) for k, x in enumerate(_SHAPES) for c in S.import_columns(x)])
-_rows("C21_schema_hash", """SELECT left(md5('[{"name": "a", "type": "string"}]'), 12) AS hash""", "hash string", lambda: [(S.schema_hash([{"type": "string", "name": "a"}]),)])
-_rows("D16_schema_draft", "SELECT * FROM (VALUES ('tariff', 0, 'tariff_mention'), ('tariff', 1, 'affected_segment'), ('tariff', 2, 'financial_impact'), ('tariff', 3, 'management_response'), ('zzzz', 0, 'relevant_passage'), ('zzzz', 1, 'context'), ('zzzz', 2, 'quantitative_value')) AS t(topic, place, name)",
-      "topic string, place int, name string", lambda: [(t, k, c["name"]) for t in ("tariff", "zzzz") for k, c in enumerate(S.draft_schema(t))])
-_rows("D17_keywords", "SELECT * FROM (VALUES (0, 'own'), (1, 'remark'), (2, 'net,zero')) AS t(k, keywords)", "k int, keywords string",
-      lambda: list(enumerate(",".join(S.ensure_keywords(c)) for c in ({"keywords": ["own"]}, {"description": "a remark"}, {"name": "net_zero_of"}))))
-_rows("D34_json_schema", "SELECT * FROM (VALUES ('net_zero'), ('net_zero_evidence_quote'), ('net_zero_evidence_pages'), ('plain'), ('plain_evidence_quote'), ('plain_evidence_pages')) AS t(required)", "required string", lambda: [(x,) for x in S.json_schema(_COLUMN)["required"]])
-_rows("L02_query_tokens", "SELECT * FROM (VALUES ('net'), ('zero'), ('2050'), ('target'), ('any'), ('other'), ('remark')) AS t(token)", "token string", lambda: [(x,) for x in S.query_tokens(_COLUMN)])
-_rows("L04_query_string", "SELECT 'net zero 2050 target | plain | mining' AS query UNION ALL SELECT 'net zero 2050'", "query string", lambda: [(S.query_string(_COLUMN, "mining"),), (S.query_string(_COLUMN, override="  net zero 2050 "),)])
-_rows("L15_refinement_query", "SELECT 'net zero | 2050 target | Find the target year | a source' AS query UNION ALL SELECT 'net zero 2050 target | plain'", "query string",
-      lambda: [(S.refinement_query(_COLUMN, ["net_zero", "unknown"], [{"needs": "a source ", "summary": " "}, "no"]),), (S.refinement_query(_COLUMN, [], []),)])
+# Texts within limits
 
 
 @_q("D04_truncated", """
@@ -428,17 +403,3 @@ def _(d, at):
         Y.register(d.select(*key, F.col("n_chars").alias("chunk_count"), F.lit(2020).alias("fiscal_year")), at, "documents")
     found = Y.read_registry(d.sparkSession, at, "documents")
     return found.select("file_hash", "corpus_id", "doc_type", "chunk_count", "parse_status", F.col("fiscal_year").isNotNull().alias("dated"))
-
-
-QUERIES["A04_scan_folder"] = (
-    lambda spark, d: A.scan_files(spark, d, suffix="parquet", least_bytes=1).select("filename").filter(F.col("filename").isin("region.parquet", "nation.parquet")),
-    "SELECT * FROM (VALUES ('nation.parquet'), ('region.parquet')) AS t(filename)",
-)
-QUERIES["A05_acquire"] = (
-    lambda spark, d: K.acquire(spark, "local_folder", d, 3, suffix="parquet").select("filename"),
-    "SELECT * FROM (VALUES ('benchmark.parquet'), ('conversations.parquet'), ('customer.parquet')) AS t(filename)",
-)
-QUERIES["A17_A19_config_paths"] = (
-    lambda spark, d: spark.createDataFrame([(c.index, K.resolve("x", "/r", lambda p: True)) for c in [K.load_config(json.dumps({"corpus_id": "c", "docs_dir": "/d/", "run_id": "r", "unknown": 1}))]], "index string, path string"),
-    "SELECT '/d/.docweave/c/r/index' AS index, '/r/x' AS path",
-)

@@ -1,5 +1,8 @@
 """Small literal cases, held against worked-out results."""
 
+import hashlib
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -475,3 +478,35 @@ def test_progress_over_runs(spark):
     rows = [(f"d{k % 7}", k * 3) for k in range(50)]
     got = {r.seq: r.n_docs for r in progress(spark.createDataFrame(rows, "doc_id string, seq long"), 5, run_events=10).collect()}
     assert got == {s: min(k + 1, 7) for k, (_, s) in enumerate(rows)}
+
+
+def test_schema_literals():
+    """Schemas in three shapes, drafts, keywords, and queries of both hops."""
+    shapes = [
+        [{"name": "a", "type": "str", "enum": ["x", "y"]}, {"field": "b", "type": "int", "unit": "t"}, "no column"],
+        {"columns": [{"name": "a", "type": "string", "description": "the first"}]},
+        {"properties": {"a": {"type": "float"}, "b": {}}},
+    ]
+    got = [(k, c["name"], c["type"], c["extraction_instruction"]) for k, x in enumerate(shapes) for c in P.import_columns(x)]
+    assert got == [(0, "a", "string", "Allowed values: x, y."), (0, "b", "integer", "Unit: t."), (1, "a", "string", "the first"), (2, "a", "number", ""), (2, "b", "string", "")]
+    assert P.schema_hash([{"type": "string", "name": "a"}]) == hashlib.md5(b'[{"name": "a", "type": "string"}]').hexdigest()[:12]
+    assert [c["name"] for c in P.draft_schema("tariff")] == ["tariff_mention", "affected_segment", "financial_impact", "management_response"]
+    assert [",".join(P.ensure_keywords(c)) for c in ({"keywords": ["own"]}, {"description": "a remark"}, {"name": "net_zero_of"})] == ["own", "remark", "net,zero"]
+    columns = [{"name": "net_zero", "type": "string", "keywords": ["net zero", "2050 target"], "extraction_instruction": "Find the target year"}, {"name": "plain", "description": "Any other remark"}]
+    assert sorted(P.json_schema(columns)["required"]) == sorted(["net_zero", "net_zero_evidence_quote", "net_zero_evidence_pages", "plain", "plain_evidence_quote", "plain_evidence_pages"])
+    assert sorted(P.query_tokens(columns)) == sorted(["net", "zero", "2050", "target", "any", "other", "remark"])
+    assert P.query_string(columns, "mining") == "net zero 2050 target | plain | mining"
+    assert P.refinement_query(columns, ["net_zero", "unknown"], [{"needs": "a source ", "summary": " "}, "no"]) == "net zero | 2050 target | Find the target year | a source"
+    assert P.refinement_query(columns, [], []) == "net zero 2050 target | plain"
+    assert P.unique(["b", "a", "b", "c", "a"]) == ["b", "a", "c"]
+
+
+def test_config_and_folders(spark, sf):
+    from docweave.sources import config as K
+    from docweave.sources import files as A
+
+    found = {r.filename for r in A.scan_files(spark, sf, suffix="parquet", least_bytes=1).select("filename").collect()}
+    assert {"region.parquet", "nation.parquet"} <= found
+    assert [r.filename for r in K.acquire(spark, "local_folder", sf, 3, suffix="parquet").collect()] == ["benchmark.parquet", "conversations.parquet", "customer.parquet"]
+    c = K.load_config(json.dumps({"corpus_id": "c", "docs_dir": "/d/", "run_id": "r", "unknown": 1}))
+    assert (c.index, K.resolve("x", "/r", lambda p: True)) == ("/d/.docweave/c/r/index", "/r/x")

@@ -1,6 +1,7 @@
 """Literal cases of registry tables, the council and event rows."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -45,6 +46,26 @@ def test_council(spark):
     assert external.council(asked.limit(0), "k", "p", review, fails).count() == 0
 
 
+def test_council_asks_once(spark, tmp_path):
+    """Answers that differ from call to call: each reviewer is asked once a row, and the chairman judges what is returned."""
+    log = tmp_path / "asked"
+
+    def review(prompts):
+        with open(log, "a") as f:
+            f.writelines("review\n" for _ in prompts)
+        return [json.dumps({"overall_quality": random.choice(["good", "ok", "needs_work"])}) for _ in prompts]
+
+    def chairman(prompts):
+        return [json.dumps({"overall_suggestion": p}) for p in prompts]
+
+    asked = spark.createDataFrame([(k, "p") for k in range(40)], "k int, p string").repartition(4)
+    rows = external.council(asked, "k", "p", review, chairman).collect()
+    assert len(rows) == 40
+    for r in rows:
+        assert [x["quality"] for x in json.loads(r.suggestion)["reviews"]] == [x.quality for x in r.reviews]
+    assert len(log.read_text().splitlines()) == 40 * len(external.LENSES)
+
+
 def test_event_rows(spark):
     rows = spark.createDataFrame([(1, "r", list("ab") * 40, "x" * 9000), (2, " ", None, None), (3, "r", None, None)], "k int, run string, c array<string>, t string")
     given = {"doc_id": F.lit("d"), "retrieved_chunks": F.col("c"), "error": F.col("t")}

@@ -86,6 +86,44 @@ def test_chain_runs_all_stages(spark, tmp_path):
     assert sorted((r.doc_id, r.text) for r in W.current(spark, at("chunks")).collect()) == [(1, "x"), (1, "y"), (1, "z"), (2, "c"), (3, "d")]
 
 
+def test_reader_never_sees_half_a_batch(spark, tmp_path):
+    """A batch that fails after its data are written leaves the table as it was; a commit that is not whole does not count."""
+    import os
+
+    table = str(tmp_path / "t")
+    df = lambda rows: spark.createDataFrame(rows, "k string, v int")
+    W.merge_batch(df([("a", 1), ("a", 2), (None, 3), ("b", 4)]), table, ["k"], 4)
+    before = sorted(map(str, W.current(spark, table).collect()))
+    os.makedirs(f"{table}/commit-000000000002")
+    df([("z", 9)]).write.parquet(f"{table}/data-half")
+    assert sorted(map(str, W.current(spark, table).collect())) == before
+    os.rmdir(f"{table}/commit-000000000002")
+    old = W.current(spark, table)
+    W.merge_batch(df([(None, 7), ("c", 8)]), table, ["k"], 4)
+    W.merge_batch(df([(None, 7), ("c", 8)]), table, ["k"], 4)
+    assert sorted(map(str, old.collect())) == before  # a reader of the earlier state
+    assert sorted((r.k or "", r.v) for r in W.current(spark, table).collect()) == [("", 7), ("a", 1), ("a", 2), ("b", 4), ("c", 8)]
+    assert W.totals(spark, table) == (4, 5)
+    assert W.current(spark, str(tmp_path / "none")) is None
+    assert W.totals(spark, str(tmp_path / "none")) == (0, 0)
+
+
+def test_chain_signals(spark, sf):
+    """Progress grows to all documents, the mark is told once, and the listener has seen every row."""
+    from docweave.plans import more_queries as M
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    panel, signals = M.run_chain(docs, 5)
+    progress = [x[1:] for x in signals.told if x[0] == "PARSE_PROGRESS"]
+    assert progress == sorted(progress)
+    assert progress[-1][0] == M.tagged_chunks(docs).select("doc_id").distinct().count()
+    names = [x[0] for x in signals.told]
+    assert names.count("EXTRACTION_READY") == 1
+    assert names.count("QUEUE_GREW") == sum(n > M.READY_AT for n, _ in progress) - (signals.told[names.index("EXTRACTION_READY")][1] > M.READY_AT)
+    assert sum(signals.intake) == docs.count()
+    assert panel.count() == docs.select("source").distinct().count()
+
+
 def test_file_events(spark, tmp_path):
     (tmp_path / "acme").mkdir()
     for n in ("a_en.pdf", "b-fr.pdf", "c.pdf"):
