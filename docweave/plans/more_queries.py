@@ -16,6 +16,7 @@ from docweave.plans.retrieval_queries import _LINES, bounded_chunks, tagged_chun
 from docweave.sources.config import source_mode
 from docweave.sources.scratch import scratch
 from docweave.sources.tables import table
+from docweave.streaming import live_state as Z
 from docweave.streaming import watch as W
 
 QUERIES = {}
@@ -266,3 +267,43 @@ def _(d):
     last = max(x for x in signals.told if x[0] == "PARSE_PROGRESS")
     ready = [(x[0], READY_AT, signals.told.count(x)) for x in signals.told if x[0] == "EXTRACTION_READY"]
     return d.sparkSession.createDataFrame([last, *ready], "signal string, n_docs long, n_chunks long")
+
+
+_RUN_EVENTS = """
+r AS (SELECT user_id::VARCHAR AS run, event_id AS seq, event_type = 'search' AND value > 50 AS rework,
+ CASE WHEN event_type = 'view' THEN event_id % 7 END AS n_columns, CASE WHEN event_type = 'click' THEN event_id % 3 > 0 END AS approved, CASE WHEN event_type IN ('view', 'click') THEN event_id % 9 END AS n_rows,
+ CASE WHEN event_id % 4 = 0 THEN event_id % 5 END AS n_errors, CASE WHEN event_id % 4 = 1 THEN event_id % 6 END AS n_flagged, CASE event_id % 8 WHEN 2 THEN 'needs_work' WHEN 6 THEN '' WHEN 7 THEN 'good' END AS quality, CASE WHEN event_id % 10 = 3 THEN 'text' END AS critique FROM events)"""
+_LAST = ", ".join(f"arg_max({f}, seq) FILTER (WHERE {f} IS NOT NULL{' AND ' + f + chr(60) + chr(62) + chr(39) * 2 if f in ('quality', 'critique') else ''}) AS {f}" for f in Z.FIELDS)
+_LIVE_SQL = f"""
+WITH {_RUN_EVENTS},
+s AS (SELECT run, {_LAST}, count(*) FILTER (WHERE rework) AS rework_count, count(*) AS n_events FROM r GROUP BY run),
+c AS (SELECT *, coalesce(n_columns, 0) AS cols, coalesce(n_rows, 0) AS n, coalesce(n_errors, 0) AS e, coalesce(n_flagged, 0) AS g FROM s)
+SELECT run, n_columns, approved, n_rows, n_errors, n_flagged, quality, critique, rework_count, n_events, CASE WHEN cols = 0 THEN 'design_schema' WHEN NOT coalesce(approved, false) THEN 'approve_schema' WHEN n = 0 THEN 'start_extraction'
+ WHEN e / n >= 0.5 THEN 'fix_extraction' WHEN g / n > 0.4 AND e / n >= 0.25 THEN 'stabilise_model' WHEN g / n > 0.4 THEN 'refine_schema' WHEN quality = 'needs_work' THEN 'review_issues'
+ WHEN coalesce(critique, '') = '' THEN 'wait_for_critique' ELSE 'iterate_or_export' END AS action FROM c"""
+
+
+def run_events(e):
+    """What events say of a run, a user's: mostly nothing, in every field now and then."""
+    k, kind = F.col("event_id"), F.col("event_type")
+    given = {
+        "rework": (kind == "search") & (F.col("value") > 50), "n_columns": F.when(kind == "view", k % 7), "approved": F.when(kind == "click", k % 3 > 0), "n_rows": F.when(kind.isin("view", "click"), k % 9),
+        "n_errors": F.when(k % 4 == 0, k % 5), "n_flagged": F.when(k % 4 == 1, k % 6), "quality": F.when(k % 8 == 2, "needs_work").when(k % 8 == 6, "").when(k % 8 == 7, "good"), "critique": F.when(k % 10 == 3, "text"),
+    }
+    return e.select(F.col("user_id").cast("string").alias("run"), k.alias("seq"), *[c.alias(f) for f, c in given.items()])
+
+
+@_q("J11_N07_live_state", _LIVE_SQL, "events")
+def _(e):
+    return Z.with_action(Z.live_state(run_events(e)))
+
+
+@_q("J11_live_state_stream", _LIVE_SQL, "events")
+def _(e):
+    """The same by keyed state over a stream of the events in files; of each run the last state counts."""
+    spark, at = e.sparkSession, scratch(e.sparkSession)
+    run_events(e).repartition(3).write.parquet(f"{at}/in")
+    rows = spark.readStream.schema(run_events(e).schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    merge = lambda batch, k: W.merge_batch(batch, f"{at}/states", ["run"], 8)
+    Z.live_state_stream(rows).writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return Z.with_action(W.current(spark, f"{at}/states"))
