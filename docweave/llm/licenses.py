@@ -157,6 +157,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op4_license_scan(spark, sf_dir: str) -> DataFrame:
+    """doc_id, digest and license_id of every document, as scan_licenses() defines them."""
     return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
@@ -166,7 +167,7 @@ def _sql_canonical(text: str) -> str:
     t = rf"regexp_replace({t}, '(?m)^[ \t*#/;%-]*(copyright|\(c\)|©)[^\n]*([0-9]{{4}}|\(c\)|©)[^\n]*$', ' ', 'g')"
     t = rf"regexp_replace({t}, '(?m)^[ \t*#/;%-]*all rights reserved\.?[ \t]*$', ' ', 'g')"
     t = f"' ' || trim(regexp_replace({t}, '[^a-z0-9]+', ' ', 'g')) || ' '"
-    for a, b in SPELLINGS:
+    for a, b in [q for p in SPELLINGS for q in (p, p)]:
         t = f"replace({t}, ' {a} ', ' {b} ')"
     return f"trim({t})"
 
@@ -175,8 +176,11 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+#: The rows of the operator's own table, texts and digests.
 OP4_SQL = f"""
-WITH known(license_id, text) AS (VALUES {", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in LICENSES.items())}),
-digests AS (SELECT min(license_id) AS license_id, sha256(c) AS d FROM (SELECT license_id, {_sql_canonical("text")} AS c FROM known) WHERE c <> '' GROUP BY sha256(c))
+WITH known(license_id, text) AS (VALUES {", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in _variants())}),
+whole(license_id, d) AS (VALUES {", ".join(f"({_quoted(k)}, {_quoted(d)})" for k, d in DIGESTS)}),
+every AS (SELECT license_id, sha256(c) AS d FROM (SELECT license_id, {_sql_canonical("text")} AS c FROM known) WHERE c <> '' UNION ALL FROM whole),
+digests AS (SELECT min(license_id) AS license_id, d FROM every GROUP BY d)
 SELECT doc_id, digest, license_id FROM (SELECT doc_id, sha256({_sql_canonical("text")}) AS digest FROM documents) LEFT JOIN digests ON digest = d
 """

@@ -2,25 +2,23 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc32_mod
+from .common import crc32_mod, materialise, word_count
 
-#: A passage has this many words. A document gives its MAX_PASSAGES of least hash, at most, to training; all are scored.
-PASSAGE_WORDS, MAX_PASSAGES = 96, 256
+#: A passage has this many words.
+PASSAGE_WORDS = 96
 #: Passages that are held at a time.
 BLOCK_PASSAGES = 1024
-#: Labelled documents that the model is fitted on, at most, in the order of a hash of their ids.
-SAMPLE = 3000
+#: Labelled documents that the model is fitted on, at most, in the order of a hash of their ids, and the passages of all of them together.
+SAMPLE, SAMPLE_PASSAGES = 3000, 200_000
 HASHED = 96
 HIDDEN, ATTENTION = 24, 12
 EPOCHS, RATE, DECAY = 250, 0.02, 1e-4
@@ -84,17 +82,6 @@ def passage_features(text: str | None) -> np.ndarray:
     return np.concatenate(list(passage_blocks(text)))
 
 
-def training_features(text: str | None) -> np.ndarray:
-    """Rows of passage_blocks() in order, of a longer text the MAX_PASSAGES of least hash."""
-    least: list[tuple[int, int, bytes]] = []
-    n = 0
-    for x in passage_blocks(text):
-        rows = [r.tobytes() for r in x]
-        least = heapq.nsmallest(MAX_PASSAGES, [*least, *((xxhash.xxh64_intdigest(r), n + k, r) for k, r in enumerate(rows))])
-        n += len(rows)
-    return np.stack([np.frombuffer(r, np.float32) for _, _, r in sorted(least, key=lambda p: p[1])])
-
-
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -197,13 +184,15 @@ def fit_mil(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) ->
     return m
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> MilModel:
-    """Fit on at most ``sample`` labelled documents, from passages of their whole texts.
+def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, passages: int = SAMPLE_PASSAGES) -> MilModel:
+    """Fit on at most ``sample`` labelled documents, all passages of their whole texts.
 
     The labels of least id hash are chosen before texts are touched, so at most ``sample`` ids
-    are broadcast to the scan of ``docs``. Ids with null or contradictory labels are left out;
-    of rows that repeat an id, the least text counts. The driver gets at most MAX_PASSAGES rows
-    of WIDTH floats a document. Without labels every score is 0.5, with one class its share.
+    are broadcast to the scan of ``docs``; in that order, documents are taken as long as they have
+    ``passages`` passages together, and one of more than that is passed over. Ids with null or
+    contradictory labels are left out; of rows that repeat an id, the least text counts. The driver
+    gets at most ``passages`` rows of WIDTH floats. Without labels every score is 0.5, with one
+    class its share. Ids of one hash go by id.
     """
     one = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).filter("i IS NOT NULL AND y IS NOT NULL")
     one = one.groupBy("i").agg(F.min("y").alias("y"), F.max("y").alias("z")).filter("y = z").select("i", "y")
@@ -211,11 +200,16 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"i": b.i, "y": b.y, "x": [training_features(t).tobytes() for t in b.t]})
+            for i, y, t in zip(b.i, b.y, b.t, strict=True):
+                yield pd.DataFrame({"i": [i], "y": [y], "x": [passage_features(t).tobytes()]})
 
     texts = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(chosen), "i")
+    texts = materialise(texts.groupBy("i", "y").agg(F.min("t").alias("t")))
+    size = texts.select("i", F.greatest(F.lit(1), F.ceil(word_count(F.col("t")) / PASSAGE_WORDS)).alias("n")).filter(F.col("n") <= passages)
+    so_far = F.sum("n").over(Window.orderBy(F.xxhash64("i", F.lit(8)), "i"))  # over ``sample`` numbers at most
+    taken = size.withColumn("n", so_far).filter(F.col("n") <= passages).select("i")
     kind = docs.schema[id_col].dataType.simpleString()
-    got = texts.groupBy("i", "y").agg(F.min("t").alias("t")).mapInPandas(features, f"i {kind}, y int, x binary").toPandas().sort_values("i")
+    got = texts.join(F.broadcast(taken), "i").mapInPandas(features, f"i {kind}, y int, x binary").toPandas().sort_values("i")
     return fit_mil([np.frombuffer(x, np.float32).reshape(-1, WIDTH) for x in got.x], got.y.to_numpy(np.float64))
 
 
@@ -235,6 +229,7 @@ def score_quality(docs: DataFrame, model: MilModel, id_col: str = "doc_id", text
 
 
 def op8_quality_mil(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document; fitted on labelled rows that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = train_quality(docs.filter(crc32_mod(F.col("doc_id"), 5) != 0), labels)

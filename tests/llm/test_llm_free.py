@@ -369,9 +369,18 @@ def test_quality_long_texts(monkeypatch):
     monkeypatch.setattr(quality_mil, "BLOCK_PASSAGES", 7)
     assert (quality_mil.passage_features(text) == x).all()
     assert model.score_texts([text, "a b", text]) == pytest.approx([whole, model.scores([quality_mil.passage_features("a b")])[0], whole])
-    some = quality_mil.training_features(text)
-    assert len(some) == quality_mil.MAX_PASSAGES
-    assert {r.tobytes() for r in some} <= {r.tobytes() for r in x}
+
+
+def test_training_takes_whole_texts_within_a_bound(spark, monkeypatch):
+    """All passages of the documents that are taken; the bound is on the sample, and who is over it alone is passed over."""
+    seen = []
+    monkeypatch.setattr(quality_mil, "fit_mil", lambda bags, y: seen.append((sorted(map(len, bags)), len(y))))
+    docs = spark.createDataFrame([(k, " ".join(["word"] * (96 * n))) for k, n in enumerate([1, 2, 3, 40, 400])], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(5)], "doc_id long, quality int")
+    quality_mil.train_quality(docs, labels)
+    quality_mil.train_quality(docs, labels, passages=100)
+    assert seen[0] == ([1, 2, 3, 40, 400], 5)
+    assert seen[1] == ([1, 2, 3, 40], 4)
 
 
 def test_quality_edge(spark, edge, texts):

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import string
@@ -404,6 +405,30 @@ def test_license_titles_and_whole_texts(spark):
     assert two.c == "license license favor favor"
 
 
+#: A folder of whole licence texts on many systems, and what each file holds.
+COMMON = "/usr/share/common-licenses"
+FILES = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0",
+         "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+
+
+def test_license_sql_on_planted_texts(spark, tmp_path):
+    """Whole licences under titles and dresses, digests of whole files, cut ones and other texts: the SQL names what the operator names."""
+    rows = [(k, t) for k, t in licenses._variants()] + [(k, re.sub(r"\bLICENSE\b", "LICENCE", t.upper())) for k, t in licenses._variants()]
+    there = {f: k for f, k in FILES.items() if os.path.exists(f"{COMMON}/{f}")}
+    for f, k in there.items():
+        with open(f"{COMMON}/{f}", encoding="utf-8") as x:
+            whole = x.read()
+        rows += [(k, whole), (k, "# " + whole.replace("\n", "\n# ")), (None, whole[: len(whole) // 2])]
+    rows += [(None, "license"), (None, ""), (None, None), (None, "licence licence favour favour")]
+    docs = spark.createDataFrame([(n, t) for n, (_, t) in enumerate(rows)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.digest, r.license_id) for r in licenses.op4_license_scan(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'").fetchall()
+    assert {r[0]: r[1:] for r in con.execute(licenses.OP4_SQL).fetchall()} == got
+    assert {n: (k, got[n][1]) for n, (k, _) in enumerate(rows) if got[n][1] != k} == {}
+
+
 def test_license_edge(edge, texts):
     assert licenses.scan_licenses(edge).count() == len(texts)
 
