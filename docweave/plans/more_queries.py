@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions import records as R
 from docweave.functions import text as X
+from docweave.operators import completion as Y
 from docweave.operators import entities as E
 from docweave.operators import quality as Q
 from docweave.operators import retrieval as L
@@ -307,3 +308,57 @@ def _(e):
     merge = lambda batch, k: W.merge_batch(batch, f"{at}/states", ["run"], 8)
     Z.live_state_stream(rows).writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return Z.with_action(W.current(spark, f"{at}/states"))
+
+
+# Completion of a run
+
+_PARSE_STATUS = "CASE doc_id % 20 WHEN 0 THEN 'ERROR: x' WHEN 1 THEN 'PDF_MISSING' WHEN 2 THEN '' ELSE 'OK_FULL' END"
+
+
+def _artefacts(d, lb):
+    """Parses without some documents and with some errors, chunks, answers to half of them, answers to labelled documents, a panel by source."""
+    parses = d.filter("doc_id % 50 <> 7").select("doc_id", F.expr(_PARSE_STATUS).alias("status"))
+    chunks = tagged_chunks(d).select("doc_id", "ordinal")
+    return {"index": d.select("doc_id"), "parses": parses, "chunks": chunks, "chunk_answers": chunks.filter("ordinal % 2 = 0"), "answers": lb, "panel": d.select("source").distinct()}
+
+
+@_q("I14_I15_completion_report", f"""
+WITH n AS ({_LINES} SELECT count(*) AS chunks, count(*) FILTER (WHERE ordinal % 2 = 0) AS chunk_answers FROM h),
+p AS (SELECT count(*) AS parses, count(*) FILTER (WHERE doc_id % 20 = 0) AS errors FROM documents WHERE doc_id % 50 <> 7),
+c AS (SELECT count(*) AS docs, count(*) FILTER (WHERE doc_id % 50 = 7) AS missing, count(DISTINCT source) AS panel FROM documents), a AS (SELECT count(*) AS answers FROM labels)
+SELECT 'partial' AS run, false AS ok, docs AS n_index, parses AS n_parses, chunks AS n_chunks, chunk_answers AS n_chunk_answers, answers AS n_answers, panel AS n_panel, errors AS n_errors, missing AS n_missing, false AS parsed, answers = docs AS aligned,
+ missing || ' documents are not parsed; ' || errors || ' parses failed; parses: ' || parses || ' rows for ' || docs || ' documents; answers: ' || answers || ' rows for ' || docs || ' documents' AS messages FROM n, p, c, a
+UNION ALL SELECT 'whole', true, docs, docs, chunks, chunk_answers, docs, panel, 0, 0, true, true, 'complete' FROM n, c
+UNION ALL SELECT 'begun', false, docs, 0, chunks, 0, 0, 0, 0, docs, false, false, 'no parses; no chunk_answers; no answers; no panel' FROM n, c""", "documents", "labels")
+def _(d, lb):
+    some = _artefacts(d, lb)
+    ok = d.select("doc_id", F.lit("OK").alias("status"))
+    runs = {"partial": some, "whole": some | {"parses": ok, "answers": ok}, "begun": {k: some[k] for k in ("index", "chunks")}}
+    reports = [Y.assess(**parts).withColumn("run", F.lit(k)) for k, parts in runs.items()]
+    both = reports[0].unionByName(reports[1]).unionByName(reports[2])
+    return both.select("run", "ok", *[f"n_{x}" for x in ("index", "parses", "chunks", "chunk_answers", "answers", "panel", "errors", "missing")], "parsed", "aligned", F.array_join("messages", "; ").alias("messages"))
+
+
+@_q("I14_unmatched", "SELECT doc_id::VARCHAR AS doc_id, 'a' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT DISTINCT doc_id::VARCHAR, 'b' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)", "documents", "labels")
+def _(d, lb):
+    return Y.unmatched(d, lb, "doc_id", 64)
+
+
+@_q("I18_parsed_count", "SELECT greatest((SELECT count(DISTINCT doc_id) FROM labels), (SELECT count(*) FROM documents WHERE doc_id % 50 <> 7 AND doc_id % 20 > 2)) AS n_parsed", "documents", "labels")
+def _(d, lb):
+    return Y.parsed_count(lb, _artefacts(d, lb)["parses"])
+
+
+@_q("I07_closure_summary", """
+WITH r AS (SELECT *, doc_id % 9 = 0 AS failed, quality = 1 AND doc_id % 2 = 0 AS bare FROM labels)
+SELECT count(*) AS total_rows, count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS all_default, count(*) FILTER (WHERE bare) AS evidenceless, count(*) FILTER (WHERE doc_id % 7 = 0) AS parse_errors, count(*) FILTER (WHERE failed) AS extraction_errors,
+ count(*) FILTER (WHERE NOT failed AND NOT bare) AS closure_ok, count(*) FILTER (WHERE NOT failed AND bare) AS closure_violated, count(*) FILTER (WHERE failed) AS closure_skipped,
+ count(*) FILTER (WHERE doc_id % 2 = 1 AND doc_id % 3 > 0) + count(*) FILTER (WHERE doc_id % 4 > 0) AS verified, 2 * count(*) AS checked FROM r""", "labels")
+def _(lb):
+    """A quote that stands in its chunk's text on two of three odd rows, and one whose text is not kept, long enough on three of four."""
+    k = F.col("doc_id")
+    rows = lb.select(
+        "doc_id", F.col("quality").cast("string").alias("q"), F.when(k % 2 == 1, "A  longer quote").alias("q_evidence_quote"), F.when(k % 3 > 0, "it has a longer\nquote").otherwise("it has none").alias("q_chunk_text"),
+        F.col("toxic").cast("string").alias("t"), F.when(k % 4 > 0, "another quote").otherwise("short").alias("t_evidence_quote"), (k % 7 == 0).alias("_flag_parse_error"), F.when(k % 9 == 0, "down").otherwise(" ").alias("_extraction_error"),
+    )
+    return Y.consistency_summary(rows, {"q": "0", "t": "0"})
