@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+import random
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,12 +57,51 @@ def hunger(pressure: Column, bonus: int) -> Column:
     return F.bround(bonus * F.least(F.lit(1.0), F.coalesce(pressure, F.lit(0.0)) / 10)).cast("int")
 
 
-def retrieve(chunks: DataFrame, query: dict[str, int], top_k: int = TOP_K, top_n: int = TOP_N, doc: str = "doc_id", rerank=None, pressure: DataFrame | None = None, bonus: int = 0) -> DataFrame:
+#: Fixed values of the walk: the length that a block should have, the weight of a place, first, least and falling heat.
+BEST_CHARS, TILT, HEAT, LEAST_HEAT, COOLING = 400, 0.02, 1.0, 0.05, 0.97
+
+
+def annealed_order(lengths: list[int], steps: int, seed: str) -> list[int]:
+    """Places of blocks of these lengths after a seeded walk of swaps; blocks near the best length come forward.
+
+    The energy is the sum of |length / BEST_CHARS - 1| times 1 + TILT * place. A swap is kept if
+    it lowers the energy, or by chance while there is heat. Without steps nothing moves.
+    """
+    off, order, heat, rng = [abs(n - BEST_CHARS) / BEST_CHARS for n in lengths], list(range(len(lengths))), HEAT, random.Random(seed)
+    for _ in range(steps if len(order) > 1 else 0):
+        i, j = rng.randrange(len(order)), rng.randrange(len(order))
+        if i == j:
+            continue
+        change = TILT * (j - i) * (off[order[i]] - off[order[j]])
+        if change < 0 or rng.random() < math.exp(-change / heat):
+            order[i], order[j] = order[j], order[i]
+        heat = max(LEAST_HEAT, heat * COOLING)
+    return order
+
+
+def annealed(blocks: DataFrame, steps: int, seed: int = 0, doc: str = "doc_id") -> DataFrame:
+    """``blocks`` (doc, rank, text) with rank anew after each document's own walk; ranks and lengths move, texts do not."""
+    if steps <= 0:
+        return blocks
+    kind = blocks.schema[doc].dataType.simpleString()
+
+    def walk(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("rank").reset_index(drop=True)
+        order = annealed_order(b.n.tolist(), steps, f"{seed}/{b.d.iloc[0]}")
+        return pd.DataFrame({"d": b.d, "rank": b["rank"].iloc[order].to_numpy(), "place": b["rank"].to_numpy()})
+
+    held = blocks.select(F.col(doc).alias("d"), "rank", F.length(F.coalesce("text", F.lit(""))).alias("n"))
+    moved = held.groupBy("d").applyInPandas(walk, f"d {kind}, rank int, place int").withColumnRenamed("rank", "__r")
+    return blocks.join(moved, F.col(doc).eqNullSafe(F.col("d")) & (F.col("rank") == F.col("__r"))).withColumn("rank", F.col("place")).select(*blocks.columns)
+
+
+def retrieve(chunks: DataFrame, query: dict[str, int], top_k: int = TOP_K, top_n: int = TOP_N, doc: str = "doc_id", rerank=None, pressure: DataFrame | None = None, bonus: int = 0, anneal_steps: int = 0, seed: int = 0) -> DataFrame:
     """Evidence blocks of every document: the columns of ``chunks``, score, rank, total, keyword_hits; text finalised.
 
     The best top_k of the pool by score and ordinal, then the best top_n by ``rerank`` (a
     function of the DataFrame that returns it with score anew), if given. With ``pressure``
     (doc, pressure), a document gets up to ``bonus`` more of both (96 and 24 at most).
+    ``anneal_steps`` reorders a document's blocks by annealed() at last.
     """
     scored = score_chunks(chunks, query, doc).filter("in_pool")
     extra = F.lit(0)
@@ -71,7 +113,7 @@ def retrieve(chunks: DataFrame, query: dict[str, int], top_k: int = TOP_K, top_n
     best = scored.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
     if rerank is not None:
         best = rerank(best).withColumn("rank", F.row_number().over(by))
-    best = best.filter(F.col("rank") <= n)
+    best = annealed(best.filter(F.col("rank") <= n), anneal_steps, seed, doc)
     return best.withColumn("text", X.sanitize(F.col("text"), BLOCK_CHARS)).drop("in_pool", "__extra")
 
 

@@ -15,6 +15,7 @@ from docweave.operators import entities as E
 from docweave.operators import events as V
 from docweave.operators import export as O
 from docweave.operators import external as M
+from docweave.operators import prompts as W
 from docweave.operators import quality as Q
 from docweave.operators import retrieval as L
 from docweave.operators import rollup as U
@@ -294,6 +295,33 @@ def _(c):
     return c.select("conv_id", "turn", "text").mapInPandas(fit, "conv_id long, turn long, whole boolean")
 
 
+_SIZES = [(300, 1800), (160, 900), (60, 350)]
+
+
+@_q("D35_fitted_sizes", f"""
+WITH b AS (SELECT doc_id, 150 + 120 * (doc_id % 9) AS budget, doc_id % 4 AS extra, list_filter(string_split(text, chr(10)), lambda x: x <> '')[:12] AS b FROM documents),
+l AS (SELECT doc_id, budget, extra, len(b) AS nb, unnest(range(1, len(b) + 1)) AS i, unnest(b) AS x FROM b),
+c AS (SELECT * FROM l, (VALUES (0, 700), (1, 500), (2, 400), (3, 300), (4, 250), (5, 200), (6, 160), (7, 120)) AS t(ci, ch)),
+z AS (SELECT doc_id, ci, ch, i, sum(len(regexp_extract_all(left(x, ch), '[^ \t\n\r\f\x0B]+'))) OVER w AS words, sum(length(left(x, ch)) + 1) OVER w AS chars FROM c WINDOW w AS (PARTITION BY doc_id, ci ORDER BY i)),
+o AS (SELECT z.doc_id, s.si, i AS blocks, ci, ch, greatest((floor((words + s.w + extra) / 0.75)), (chars + s.c + 2 * extra + 2) // 3)::INTEGER AS tokens, budget FROM z JOIN b USING (doc_id), (VALUES {", ".join(f"({k}, {w}, {c})" for k, (w, c) in enumerate(_SIZES))}) AS s(si, w, c)),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tokens > budget, CASE WHEN tokens <= budget THEN si ELSE -si END, CASE WHEN tokens <= budget THEN -blocks ELSE blocks END, CASE WHEN tokens <= budget THEN ci ELSE -ci END) AS r FROM o)
+SELECT doc_id, si AS schema, blocks::INTEGER AS blocks, ch AS chars, tokens, tokens <= budget AS fits FROM f WHERE r = 1""", "documents")
+def _(d):
+    """Of every document's first lines, the schema trim, number of blocks and characters that fit its budget."""
+    k = F.col("doc_id")
+    blocks = F.filter(F.split("text", "\n"), lambda x: x != "")
+    fit = W.fitted(blocks, _SIZES, ((k % 4).cast("int"), (2 * (k % 4)).cast("int")), 150 + 120 * (k % 9))
+    return d.filter(F.size(blocks) > 0).select("doc_id", fit.alias("f")).select("doc_id", "f.*")
+
+
+#: A seeded walk is beyond SQL; tests hold it against a plain version.
+@_q("K16_L10_annealed_blocks", None, "documents")
+def _(d):
+    from docweave.plans.retrieval_queries import QUERY, bounded_chunks
+
+    return L.retrieve(bounded_chunks(d), QUERY, anneal_steps=40).select("doc_id", "ordinal", "rank", "text")
+
+
 @_q("K16_annealed", "SELECT conv_id, count(*) AS n, CAST(sum(turn) AS BIGINT) AS turns FROM conversations GROUP BY conv_id", "conversations")
 def _(c):
     """A reordering keeps every block."""
