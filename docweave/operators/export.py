@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docweave.operators.rollup import range_fingerprint
+
 
 def ordered_columns(columns: list[str], identity: list[str], fields: list[str]) -> list[str]:
     """Identity, schema fields, then sorted evidence, flags and meta columns, then the rest as they are."""
@@ -58,6 +60,12 @@ def write_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").json(path)
 
 
+def library_manifest(docs: DataFrame, corpus_id: str, signature: Column, chars: Column) -> DataFrame:
+    """One row: corpus_id, n_docs, n_signatures (different ones), n_chars and the fingerprint of the signatures, taken range by range."""
+    counts = docs.agg(F.count("*").alias("n_docs"), F.count_distinct(signature).alias("n_signatures"), F.coalesce(F.sum(chars), F.lit(0)).alias("n_chars"))
+    return counts.join(range_fingerprint(docs, signature), how="cross").select(F.lit(corpus_id).alias("corpus_id"), "*")  # one row each
+
+
 def safe_name(c):
     """At most 120 characters of letters, digits, dot, underscore and hyphen."""
     s = F.substring(F.regexp_replace(F.coalesce(c, F.lit("")), "[^A-Za-z0-9._-]+", "_"), 1, 120)

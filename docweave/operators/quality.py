@@ -96,11 +96,21 @@ def heuristic_check(quote: Column) -> tuple[Column, Column]:
     return good, F.when(good, F.lit(0.75)).otherwise(F.lit(0.0))
 
 
-def wonders(rows: DataFrame, key: str, fields: list[str], pressure_: str, most_pressure: float, order: list[Column], cap: int = 200) -> DataFrame:
-    """Open questions: cells without evidence in rows under the pressure limit, the first ``cap`` in row and field order."""
-    open_ = cells(rows.filter(F.coalesce(F.col(pressure_), F.lit(0.0)) <= most_pressure), key, fields).filter("evidenceless")
+def wonders(rows: DataFrame, key: str, fields: list[str], pressure_: str, most_pressure: float, order: list[Column], cap: int = 200, defaults: dict[str, str | None] | None = None, evidence_fields: tuple[str, ...] = ()) -> DataFrame:
+    """Open questions: cells without a quote in rows under the pressure limit, the first ``cap`` in row and field order.
+
+    A value other than null and its field's default (null, if ``defaults`` has none) is evidenceless; a cell
+    of ``evidence_fields``, which are there to be quoted, is unresolved_evidence_mode while it is the default.
+    """
+    open_ = cells(rows.filter(F.coalesce(F.col(pressure_), F.lit(0.0)) <= most_pressure), key, fields)
+    bare = F.trim(F.coalesce("quote", F.lit(""))) == ""
+    usual = F.lit(False)
+    for f in fields:
+        usual = usual | ((F.col("field") == f) & F.col("value").eqNullSafe(F.lit((defaults or {}).get(f))))
+    asked = F.when(F.col("value").isNotNull() & ~usual, "evidenceless").when(usual & F.col("field").isin(*evidence_fields), "unresolved_evidence_mode")
+    reason = F.when(bare, asked)
     place = F.array_position(F.array(*map(F.lit, fields)), F.col("field"))
-    return open_.withColumn("place", place).orderBy(*order, "place").limit(cap).select(key, "field", F.lit("evidenceless").alias("reason"))
+    return open_.withColumns({"place": place, "reason": reason}).filter("reason IS NOT NULL").orderBy(*order, "place").limit(cap).select(key, "field", "reason")
 
 
 def field_pressure(flat: DataFrame, pressure_: str) -> DataFrame:

@@ -51,6 +51,17 @@ def fingerprint(df: DataFrame, signature: Column) -> DataFrame:
     return df.sparkSession.range(1).join(one, how="left").select(F.coalesce("fingerprint", F.lit("")).alias("fingerprint"))
 
 
+def range_fingerprint(df: DataFrame, signature: Column, digits: int = 2) -> DataFrame:
+    """SHA-256 over the digests of ranges of the sorted different signatures (hex digests); empty for none.
+
+    A range holds the signatures of the same first ``digits`` and has a fingerprint of its own, so the
+    ranges are hashed by as many tasks, and only their digests meet in one.
+    """
+    ranges = df.select(F.substring(signature, 1, digits).alias("r"), signature.alias("s"))
+    parts = fingerprints_by(ranges, "r", F.col("s")).groupBy().agg(F.array_sort(F.collect_list(F.concat_ws(":", "r", "fingerprint"))).alias("p"))  # 16 ** digits at most
+    return parts.select(F.when(F.size("p") > 0, F.sha2(F.concat(F.array_join("p", "\n"), F.lit("\n")), 256)).otherwise("").alias("fingerprint"))
+
+
 def fingerprints_by(df: DataFrame, key: str, signature: Column) -> DataFrame:
     """fingerprint() of each value of ``key`` (null is one): key, fingerprint.
 

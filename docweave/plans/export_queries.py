@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docweave.operators import entities as E
 from docweave.operators import export as O
 from docweave.operators import external as M
+from docweave.sources.files import read_notes
+from docweave.sources.scratch import scratch
 from docweave.sources.tables import table
 from docweave.streaming.watch import progress
 
@@ -43,6 +46,37 @@ def _(d):
     return d.agg(F.count("*").alias("n_docs"), F.countDistinct(F.md5("text")).alias("n_signatures"))
 
 
+@_q("B10_library_manifest", """
+WITH s AS (SELECT DISTINCT md5(text) AS s FROM documents), r AS (SELECT left(s, 2) AS r, sha256(string_agg(s, chr(10) ORDER BY s) || chr(10)) AS d FROM s GROUP BY 1)
+SELECT 'lib' AS corpus_id, (SELECT count(*) FROM documents) AS n_docs, (SELECT count(*) FROM s) AS n_signatures, (SELECT sum(n_chars)::BIGINT FROM documents) AS n_chars, (SELECT sha256(string_agg(r || ':' || d, chr(10) ORDER BY r) || chr(10)) FROM r) AS fingerprint""", "documents")
+def _(d):
+    """The manifest of a library, written as JSON and read again."""
+    at = scratch(d.sparkSession)
+    O.write_report(O.library_manifest(d, "lib", F.md5("text"), F.col("n_chars")), at)
+    return d.sparkSession.read.json(at).select("corpus_id", "n_docs", "n_signatures", "n_chars", "fingerprint")
+
+
+@_q("A10_B11_notes_round_trip", "SELECT s_suppkey::VARCHAR AS id, s_name AS title, round(s_acctbal, 2)::DOUBLE AS balance FROM supplier", "supplier")
+def _(s):
+    """Notes of all suppliers, written as files with a head and read again."""
+    at = scratch(s.sparkSession)
+    note = O.note_text(F.col("s_name"), {"id": F.col("s_suppkey"), "balance": F.col("s_acctbal")}, F.lit("body: of the note"))
+    O.write_notes(s.select(F.col("s_name").alias("name"), note.alias("text")), "name", "text", at)
+    n = read_notes(s.sparkSession, at)
+    return n.select(F.col("front")["id"].alias("id"), F.regexp_extract("body", "^# (.*)", 1).alias("title"), F.round(F.col("front")["balance"].cast("double"), 2).alias("balance"))
+
+
+@_q("B13_vector_table", "SELECT label AS corpus_id, count(*) AS n, count(*) FILTER (WHERE vec_id % 10 = 3) AS n_zero FROM embeddings GROUP BY label", "embeddings")
+def _(v):
+    """Vectors written by corpus, one corpus replaced by itself; failed ones are zeros."""
+    at = scratch(v.sparkSession)
+    rows = v.select(F.col("label").alias("corpus_id"), "vec_id", F.when(F.col("vec_id") % 10 != 3, F.col("embedding")).alias("vector"))
+    O.write_vectors(rows, at, dim=64)
+    O.write_vectors(rows.filter("corpus_id = 1"), at, mode="overwrite", dim=64)
+    zero = F.forall("vector", lambda x: x == 0)
+    return v.sparkSession.read.parquet(at).groupBy("corpus_id").agg(F.count("*").alias("n"), F.count_if(zero).alias("n_zero"))
+
+
 @_q("B11_notes", "SELECT s_suppkey, '---' || chr(10) || 'id: ' || s_suppkey || chr(10) || '---' || chr(10) || '# ' || s_name || chr(10) || 'body' AS note FROM supplier", "supplier")
 def _(s):
     return s.select("s_suppkey", O.note_text(F.col("s_name"), {"id": F.col("s_suppkey")}, F.lit("body")).alias("note"))
@@ -60,7 +94,10 @@ def _(v):
 
 @_q("D33_N02_prompts", "SELECT conv_id, '## System' || chr(10) || 'be exact' || chr(10) || chr(10) || '## User' || chr(10) || left(string_agg(text, ' ' ORDER BY turn), 200) AS prompt FROM conversations GROUP BY conv_id", "conversations")
 def _(c):
-    t = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t")).select("conv_id", F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("text"))
+    # Turns that begin beyond the cap are in no prompt, so they are not gathered.
+    before = F.coalesce(F.sum(F.length("text") + 1).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = c.select("conv_id", "turn", F.substring("text", 1, 200).alias("text"), before.alias("before")).filter("before < 200")
+    t = near.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t")).select("conv_id", F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("text"))
     return O.sections(t, {"System": (F.lit("be exact"), 48_000), "User": (F.col("text"), 200), "Schema": (F.lit(" "), 24_000)}).select("conv_id", "prompt")
 
 

@@ -15,6 +15,7 @@ from docweave.operators import rollup as U
 from docweave.operators import sampling as S
 from docweave.plans.retrieval_queries import _LINES, bounded_chunks, tagged_chunks
 from docweave.sources.config import source_mode
+from docweave.sources.files import profile_parses
 from docweave.sources.scratch import scratch
 from docweave.sources.tables import table
 from docweave.streaming import live_state as Z
@@ -38,9 +39,26 @@ def _(e):
 
 @_q("A14_layout_profile", "SELECT role AS label, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY role", "conversations")
 def _(c):
-    js = c.groupBy("conv_id").agg(F.to_json(F.collect_list(F.struct(F.col("role").alias("label"), "text"))).alias("js"))
-    items = js.select(F.explode(F.from_json("js", "array<struct<label:string,text:string>>")).alias("x")).select("x.*")
-    return items.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    return c.groupBy(F.col("role").alias("label")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@_q("A14_parse_profiles", """
+WITH t AS (SELECT conv_id, turn + 1 AS page, CASE WHEN turn % 3 = 0 THEN 'title' ELSE role END AS label, text, turn FROM conversations), h AS (SELECT conv_id, label || '=' || count(*) AS x FROM t GROUP BY conv_id, label)
+SELECT conv_id, 'layout' AS kind, count(*) AS n_texts, count(*) FILTER (WHERE turn % 4 = 1) AS n_tables, max(page) AS n_pages, sum(length(text))::BIGINT AS chars,
+ (SELECT string_agg(x, ',' ORDER BY x) FROM h WHERE h.conv_id = t.conv_id) AS labels, string_agg(left(text, 20), '|' ORDER BY turn) FILTER (WHERE label = 'title') AS headers FROM t WHERE conv_id % 5 > 0 GROUP BY conv_id
+UNION ALL SELECT conv_id, 'fallback', count(*), 0, 0, sum(length(text))::BIGINT, '', '' FROM t WHERE conv_id % 5 = 0 GROUP BY conv_id""", "conversations")
+def _(c):
+    """Conversations as parses, a turn a text; every fifth as a fallback parse without a layout."""
+    t = F.col("turn")
+    item = F.struct(F.when(t % 3 == 0, "title").otherwise(F.col("role")).alias("label"), "text", F.array(F.struct((t + 1).alias("page_no"))).alias("prov"), t.alias("at"))
+    table_ = F.when(t % 4 == 1, F.struct(F.lit("cell").alias("data")))
+    whole = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", item.alias("i")))).alias("t"), F.collect_list(table_).alias("tables"))
+    layout = F.to_json(F.struct(F.transform("t", lambda x: x["i"]).alias("texts"), "tables"))
+    fallback = F.to_json(F.struct(F.lit(True).alias("fallback"), F.transform("t", lambda x: F.struct(x["i"]["text"].alias("text"))).alias("sections")))
+    parses = whole.select("conv_id", F.when(F.col("conv_id") % 5 == 0, fallback).otherwise(layout).alias("js"))
+    p = profile_parses(parses, "conv_id", "js")
+    labels = F.array_join(F.array_sort(F.transform(F.map_entries("labels"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))), ",")
+    return p.select("conv_id", "kind", "n_texts", "n_tables", "n_pages", "chars", labels.alias("labels"), F.array_join(F.transform("headers", lambda h: F.substring(h, 1, 20)), "|").alias("headers"))
 
 
 @_q("C18_default_rows", "SELECT doc_id, 'unknown' AS topic, CAST(NULL AS VARCHAR) AS topic_evidence_quote, 0 AS score FROM documents", "documents")

@@ -37,8 +37,7 @@ def _(d):
 
 @_q("A13_parse_chars", "SELECT conv_id, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id", "conversations")
 def _(d):
-    texts = d.groupBy("conv_id").agg(F.collect_list("text").alias("texts"))
-    return texts.select("conv_id", F.aggregate("texts", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"))
+    return d.groupBy("conv_id").agg(F.sum(F.length("text")).alias("chars"))
 
 
 @_q("A15_A16_locale_names", "SELECT page_id, page_id % 3 = 0 AS english, page_id % 3 = 1 AS french, 'T' || page_id AS slug FROM pages", "pages")
@@ -192,10 +191,10 @@ def _(d):
     return d.filter((F.upper("event_type").isin("ERROR")) & F.when(F.col("event_id") % 2 == 0, True).eqNullSafe(F.lit(True))).select("event_id", "event_type")
 
 
-@_q("F08_F11_contains", "SELECT p_partkey, p_type FROM part WHERE contains(lower(p_type), 'brass') AND p_partkey % 3 IN (0, 1)", "part")
+@_q("F08_F11_contains", "SELECT p_partkey, p_type FROM part WHERE contains(lower(p_type), 'promo') AND p_partkey % 3 IN (0, 1)", "part")
 def _(d):
     member = F.when(F.col("p_partkey") % 3 == 0, F.array().cast("array<string>")).when(F.col("p_partkey") % 3 == 1, F.array(F.lit("here"))).otherwise(F.array(F.lit("there")))
-    return d.filter(F.col("p_type").ilike("%brass%") & (F.array_contains(member, "here") | (F.size(member) == 0))).select("p_partkey", "p_type")
+    return d.filter(F.col("p_type").ilike("%promo%") & (F.array_contains(member, "here") | (F.size(member) == 0))).select("p_partkey", "p_type")
 
 
 @_q("F10_substantive", "SELECT page_id, [-1, 1, 0][page_id % 3 + 1]::INTEGER AS score FROM pages", "pages")

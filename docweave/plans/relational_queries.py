@@ -12,6 +12,7 @@ from docweave.operators import quality as Q
 from docweave.operators import rollup as U
 from docweave.operators import sampling as S
 from docweave.operators.percentiles import percentiles
+from docweave.sources.files import file_signature
 from docweave.sources.tables import table
 
 QUERIES = {}
@@ -251,6 +252,13 @@ def _(c):
     return c.select("c_custkey").join(new, "c_custkey", "left").join(old, "c_custkey", "left").select("c_custkey", F.coalesce("n", "o", F.lit("default")).alias("value"))
 
 
+@_q("H15_range_fingerprint", """
+WITH s AS (SELECT DISTINCT md5(text) AS s FROM documents), r AS (SELECT left(s, 2) AS r, sha256(string_agg(s, chr(10) ORDER BY s) || chr(10)) AS d FROM s GROUP BY 1)
+SELECT sha256(string_agg(r || ':' || d, chr(10) ORDER BY r) || chr(10)) AS fingerprint FROM r""", "documents")
+def _(d):
+    return U.range_fingerprint(d, F.md5("text"))
+
+
 @_q("H15_fingerprint", "SELECT sha256(string_agg(s, chr(10) ORDER BY s) || chr(10)) AS fingerprint FROM (SELECT DISTINCT md5(text) AS s FROM documents)", "documents")
 def _(d):
     return U.fingerprint(d, F.md5("text"))
@@ -453,6 +461,17 @@ def _(lb):
     return Q.wonders(rows, "doc_id", ["quality"], "p", 0.5, [F.col("doc_id")])
 
 
+@_q("J08_wonders_two_reasons", """
+WITH c AS (SELECT doc_id, 'quality' AS field, 1 AS place, quality::VARCHAR AS v, '0' AS d, CASE WHEN doc_id % 2 = 1 THEN 'quote' END AS q FROM labels WHERE doc_id % 5 < 4
+ UNION ALL SELECT doc_id, 'toxic', 2, toxic::VARCHAR, '0', CASE WHEN doc_id % 3 = 0 THEN 'quote' END FROM labels WHERE doc_id % 5 < 4)
+SELECT doc_id, field, CASE WHEN v <> d THEN 'evidenceless' ELSE 'unresolved_evidence_mode' END AS reason FROM c WHERE q IS NULL AND (v <> d OR field = 'toxic') ORDER BY doc_id, place LIMIT 200""", "labels")
+def _(lb):
+    k = F.col("doc_id")
+    rows = lb.select(k, F.col("quality").cast("string").alias("quality"), F.when(k % 2 == 1, "quote").alias("quality_evidence_quote"), F.lit("1").alias("quality_evidence_pages"),
+                     F.col("toxic").cast("string").alias("toxic"), F.when(k % 3 == 0, "quote").alias("toxic_evidence_quote"), F.lit("1").alias("toxic_evidence_pages"), (k % 5).cast("double").alias("p"))
+    return Q.wonders(rows, "doc_id", ["quality", "toxic"], "p", 3.0, [F.col("doc_id")], defaults={"quality": "0", "toxic": "0"}, evidence_fields=("toxic",))
+
+
 @_q("J13_routing", "SELECT p_partkey, CASE WHEN p_size % 10 < 4 THEN 'exhaustive' WHEN p_partkey % 2 = 0 THEN 'numeric' ELSE 'standard' END AS variant FROM part", "part")
 def _(p):
     return p.select("p_partkey", Q.prompt_variant((F.col("p_size") % 10) / 10, F.when(F.col("p_partkey") % 2 == 0, "number").otherwise("string")).alias("variant"))
@@ -508,9 +527,13 @@ def _(c):
     return out.select("conv_id", "turn", "kind", "x.quote").filter("trim(quote) <> ''")
 
 
-@_q("Q01_Q02_signatures", "SELECT page_id, md5(html) AS content_key, length(html) AS n FROM pages", "pages")
+@_q("Q01_Q02_signatures", """
+WITH p AS (SELECT page_id, url, encode(html) AS b, octet_length(encode(html)) AS n FROM pages), h AS (SELECT *, lpad(printf('%x', n), 16, '0') AS x FROM p)
+SELECT page_id, left(sha256(encode(url) || from_hex(array_to_string([x[k:k + 1] for k in [15, 13, 11, 9, 7, 5, 3, 1]], '')) || b[:1024] || CASE WHEN n > 2048 THEN b[n - 1023:] ELSE ''::BLOB END), 16) AS content_key, n FROM h""", "pages")
 def _(p):
-    return p.select("page_id", F.md5("html").alias("content_key"), F.length("html").cast("long").alias("n"))
+    """Signatures of pages as files: name, size, first and last 1,024 bytes."""
+    content = F.encode("html", "utf-8")
+    return p.select("page_id", file_signature(F.col("url"), content, 1024).alias("content_key"), F.octet_length(content).cast("long").alias("n"))
 
 
 @_q("Q03_Q04_dedupe_status", """

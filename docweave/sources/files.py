@@ -73,6 +73,35 @@ def read_notes(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", F.map_from_entries(last).alias("front"), F.regexp_replace("value", r"(?s)^---\r?\n(.*?)\r?\n---\r?\n?", "").alias("body"))
 
 
+#: Labels of layout items that head a section.
+HEADERS = ("title", "section_header")
+
+
+def profile_parses(parses: DataFrame, key: str, js: str) -> DataFrame:
+    """key, kind, n_texts, n_tables, n_pages, chars, labels (map to counts) and headers of each parse as JSON.
+
+    kind is layout, fallback (sections of text without a layout) or broken. Everything is read from the
+    row; nothing meets across rows.
+    """
+    schema = "fallback boolean, sections array<struct<text:string>>, texts array<struct<label:string,text:string,prov:array<struct<page_no:int>>>>, tables array<string>"
+    p = parses.select(key, F.from_json(js, schema).alias("p"), F.coalesce(F.get_json_object(js, "$").startswith("{"), F.lit(False)).alias("whole")).select(key, "p.*", "whole")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    texts = none(F.col("texts"), "array<struct<label:string,text:string,prov:array<struct<page_no:int>>>>")
+    sections = none(F.col("sections"), "array<struct<text:string>>")
+    lay = ~F.coalesce("fallback", F.lit(False))
+    p = p.select(key, "whole", lay.alias("lay"), texts.alias("t"), sections.alias("s"), none(F.col("tables"), "array<string>").alias("tables"))
+    said = lambda rows: F.aggregate(rows, F.lit(0).cast("long"), lambda a, x: a + F.length(F.coalesce(x["text"], F.lit(""))))
+    names = F.transform("t", lambda x: F.coalesce(x["label"], F.lit("")))
+    pages = F.array_max(F.flatten(F.transform("t", lambda x: F.coalesce(F.transform(x["prov"], lambda y: y["page_no"]), F.array().cast("array<int>")))))
+    count = F.map_from_arrays(F.array_distinct(names), F.transform(F.array_distinct(names), lambda n: F.size(F.filter(names, lambda x: x == n)).cast("long")))
+    return p.select(
+        key, F.when(~F.col("whole"), "broken").when(F.col("lay"), "layout").otherwise("fallback").alias("kind"),
+        F.when(F.col("lay"), F.size("t")).otherwise(F.size("s")).cast("long").alias("n_texts"), F.size("tables").cast("long").alias("n_tables"), F.coalesce(pages, F.lit(0)).cast("long").alias("n_pages"),
+        F.when(F.col("lay"), said(F.col("t"))).otherwise(said(F.col("s"))).alias("chars"), count.alias("labels"),
+        F.transform(F.filter("t", lambda x: x["label"].isin(*HEADERS)), lambda x: x["text"]).alias("headers"),
+    )
+
+
 def parse_route(size: Column, lean: int = 4 << 20, large: int = 10 << 20) -> Column:
     """How a file of this size is parsed."""
     return F.when(size >= large, "text_layer_then_ocr").when(size >= lean, "lean").otherwise("full")
