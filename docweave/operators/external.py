@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions.policy import consensus
+from docweave.operators.payloads import given as _given
+from docweave.operators.payloads import said as _said
 from docweave.sources.scratch import cut
 
 _THINK = re.compile(r"<(think|thinking|redacted_thinking)>.*?</\1>", re.I | re.S)
@@ -100,6 +102,66 @@ def merge_critique(first: dict, salvage: dict) -> dict:
     return first | {k: salvage[k] for k, stands in _STANDS.items() if salvage.get(k) is not None and not stands(first)}
 
 
+#: What a critique says where it holds no issue, where nothing came, and the most characters of raw text that are kept.
+NO_ISSUES, NO_CONTENT, RAW_CHARS, RAW_NOTE = "No issues detected.", "Critique returned no content from the model.", 80_000, "\n… [truncated]"
+_ISSUE = "array<struct<field:string,issue:string,severity:string,suggestion:string,config_delta:string,config_rationale:string>>"
+
+
+def apply_critiques(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, quality, critique, parse_ok, issues (field, issue, severity, suggestion) and deltas (field, config_delta as JSON, config_rationale) of each answer.
+
+    Answers that are one whole JSON object with quality, suggestion and issues are read by Spark;
+    the others go through rescue and salvage in Python first. An answer that names neither quality nor
+    issues is no critique: it needs work, and its text stands as it is. A quality that is none of
+    VERDICTS is ok, an issue without a field drops out, severity is medium if not given.
+    """
+    bare = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"^\s+|\s+$", ""))
+    raw = F.when(F.length(bare) > RAW_CHARS, F.concat(F.substring(bare, 1, RAW_CHARS - 20), F.lit(RAW_NOTE))).otherwise(bare)
+    said = rows.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), raw.alias("raw"))
+    v = F.try_parse_json("t")
+    issues = F.try_variant_get(v, "$.field_issues", "array<variant>")
+    whole = F.schema_of_variant(v).startswith("OBJECT") & F.try_variant_get(v, "$.overall_quality", "string").isNotNull() & (F.trim(F.try_variant_get(v, "$.overall_suggestion", "string")) != "") & (F.size(issues) > 0)
+    said = said.withColumn("whole", F.coalesce(whole, F.lit(False)))
+
+    def mended(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(t=[_mended(t) for t in b.t])
+
+    kind = rows.schema[key].dataType.simpleString()
+    rest = said.filter("NOT whole").drop("whole").mapInPandas(mended, f"k {kind}, t string, raw string")
+    metas = said.filter("whole").drop("whole").unionByName(rest).withColumn("v", F.try_parse_json("t"))
+    part = lambda x, path: F.try_variant_get(x, path, "variant")
+    of = lambda x, path, other: F.when(part(x, path).isNull(), F.lit(other)).otherwise(_said(part(x, path)))
+    listed = F.filter(F.coalesce(F.try_variant_get("v", "$.field_issues", "array<variant>"), F.array().cast("array<variant>")), lambda x: F.schema_of_variant(x).startswith("OBJECT") & _given(part(x, "$.field")))
+    delta = lambda x: F.when(F.schema_of_variant(part(x, "$.suggested_call_config_delta")).startswith("OBJECT<") & (F.to_json(part(x, "$.suggested_call_config_delta")) != "{}"), F.to_json(part(x, "$.suggested_call_config_delta")))
+    made = F.transform(
+        listed,
+        lambda x: F.struct(of(x, "$.field", "").alias("field"), of(x, "$.issue", "").alias("issue"), of(x, "$.severity", "medium").alias("severity"), of(x, "$.suggestion", "").alias("suggestion"), delta(x).alias("config_delta"), of(x, "$.config_rationale", "").alias("config_rationale")),
+    )
+    ok = part(F.col("v"), "$.overall_quality").isNotNull() | (F.size(F.try_variant_get("v", "$.field_issues", "array<variant>")) > 0)
+    quality = F.lower(of(F.col("v"), "$.overall_quality", "ok"))
+    hint = F.trim(F.when(_given(part(F.col("v"), "$.overall_suggestion")), _said(part(F.col("v"), "$.overall_suggestion"))).otherwise(""))
+    out = metas.select("k", "raw", (F.coalesce(ok, F.lit(False)) & (F.col("raw") != "")).alias("parse_ok"), quality.alias("q"), hint.alias("hint"), made.cast(_ISSUE).alias("i"))
+    lines = F.transform("i", lambda x: F.concat(F.lit("  ["), F.upper(x["severity"]), F.lit("] "), x["field"], F.lit(": "), x["suggestion"]))
+    told = F.when(F.size("i") > 0, F.concat_ws("\n", F.col("hint"), F.array_join(lines, "\n"))).otherwise(F.when(F.col("hint") != "", F.col("hint")).otherwise(NO_ISSUES))
+    none = F.array().cast(_ISSUE)
+    kept = F.when(F.col("parse_ok"), F.col("i")).otherwise(none)
+    return out.select(
+        F.col("k").alias(key), F.when(~F.col("parse_ok"), "needs_work").when(F.col("q").isin(*VERDICTS), F.col("q")).otherwise("ok").alias("quality"),
+        F.when(F.col("parse_ok"), told).when(F.col("raw") == "", NO_CONTENT).otherwise(F.col("raw")).alias("critique"), "parse_ok",
+        F.transform(kept, lambda x: F.struct(x["field"].alias("field"), x["issue"].alias("issue"), x["severity"].alias("severity"), x["suggestion"].alias("suggestion"))).alias("issues"),
+        F.transform(F.filter(kept, lambda x: x["config_delta"].isNotNull()), lambda x: F.struct(x["field"].alias("field"), x["config_delta"].alias("config_delta"), x["config_rationale"].alias("config_rationale"))).alias("deltas"),
+    )
+
+
+def _mended(text: str) -> str | None:
+    """The critique in an answer as JSON: what decodes, with what salvage finds in its place; null if neither is one."""
+    first, more = rescue_json(text) or {}, salvage_critique(text)
+    is_one = lambda c: "overall_quality" in c or (isinstance(c.get("field_issues"), list) and bool(c["field_issues"]))
+    meta = merge_critique(first, more) if first and more else first if is_one(first) or not is_one(more) else more
+    return json.dumps(meta, ensure_ascii=False) if is_one(meta) else None
+
+
 #: The reviewers of a council, in order, and what each looks at.
 LENSES = {
     "literal_evidence": "Judge whether each value stands in the quoted text.",

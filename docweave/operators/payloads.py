@@ -54,6 +54,11 @@ def truth(v: Column) -> Column:
     )
 
 
+def given(v: Column) -> Column:
+    """Whether a value says anything: no empty text, list or object, no zero, not false."""
+    return F.when(kind(v) == "string", F.try_variant_get(v, "$", "string") != "").otherwise(truth(v))
+
+
 def texts(v: Column) -> Column:
     """array<string>: the elements as trimmed text, blank ones dropped; a single value that is not empty as a list of itself."""
     return F.filter(F.transform(listed(v), lambda x: F.trim(said(x))), lambda s: s != "")

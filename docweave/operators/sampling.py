@@ -27,6 +27,14 @@ def diversified(df: DataFrame, key: str, group: str, order: list[Column], n: int
     return both.filter(F.col("pick") <= n).drop("__at")
 
 
+def prefer_having(df: DataFrame, key: str, having: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first n rows in order of those whose key ``having`` holds, of all rows where it holds none of them."""
+    held = df.join(having.select(F.col(key).alias("__k")).distinct().withColumn("__has", F.lit(True)), F.col(key) == F.col("__k"), "left").drop("__k")
+    some = held.agg(F.coalesce(F.bool_or(F.col("__has").isNotNull()), F.lit(False)).alias("__some"))
+    # One row, joined to all.
+    return held.join(F.broadcast(some), how="cross").filter(F.col("__has").isNotNull() | ~F.col("__some")).drop("__has", "__some").orderBy(*order).limit(n)
+
+
 def history_summary(turns: DataFrame, keep: int, clip: int) -> DataFrame:
     """Per conversation: how many turns are earlier than the last ``keep``, and those as one line."""
     back = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").desc()))

@@ -19,6 +19,7 @@ from docweave.operators import prompts as W
 from docweave.operators import quality as Q
 from docweave.operators import retrieval as L
 from docweave.operators import rollup as U
+from docweave.operators import sampling as H
 from docweave.operators import training as N
 from docweave.plans import schema as S
 from docweave.plans.retrieval_queries import _LINES
@@ -431,3 +432,45 @@ def _(d, at):
         Y.register(d.select(*key, F.col("n_chars").alias("chunk_count"), F.lit(2020).alias("fiscal_year")), at, "documents")
     found = Y.read_registry(d.sparkSession, at, "documents")
     return found.select("file_hash", "corpus_id", "doc_type", "chunk_count", "parse_status", F.col("fiscal_year").isNotNull().alias("dated"))
+
+
+# Critiques, trial documents, a library's counts
+
+
+_ANSWERS = """
+CASE event_id % 5 WHEN 0 THEN '{"overall_quality": "GOOD", "overall_suggestion": "keep ' || event_type || '", "field_issues": [{"field": "f", "issue": "i", "severity": "high", "suggestion": "s", "suggested_call_config_delta": {"k": 2}}, {"field": ""}]}'
+ WHEN 1 THEN 'Sure: {"overall_quality": "fine", "field_issues": [{"field": "' || event_type || '", "suggestion": "x"}, {"fi' WHEN 2 THEN '' WHEN 3 THEN 'no critique of ' || event_type ELSE '{"overall_quality": "needs_work"}' END"""
+
+
+@_q("J09_critiques", """
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'good' WHEN 1 THEN 'ok' ELSE 'needs_work' END AS quality, event_id % 5 NOT IN (2, 3) AS parse_ok,
+ CASE event_id % 5 WHEN 0 THEN 'keep ' || event_type || chr(10) || '  [HIGH] f: s' WHEN 1 THEN chr(10) || '  [MEDIUM] ' || event_type || ': x' WHEN 2 THEN 'Critique returned no content from the model.' WHEN 3 THEN 'no critique of ' || event_type ELSE 'No issues detected.' END AS critique,
+ CASE event_id % 5 WHEN 0 THEN 'f/i/high' WHEN 1 THEN event_type || '//medium' ELSE '' END AS issues, CASE event_id % 5 WHEN 0 THEN 'f{"k":2}' ELSE '' END AS deltas FROM events""", "events")
+def _(e):
+    """Answers that are whole, cut off, empty, no critique, and without issues."""
+    r = M.apply_critiques(e.select("event_id", F.expr(_ANSWERS).alias("answer")), "event_id", "answer")
+    return r.select("event_id", "quality", "parse_ok", "critique", F.array_join(F.transform("issues", lambda x: F.concat_ws("/", x["field"], x["issue"], x["severity"])), ";").alias("issues"), F.array_join(F.transform("deltas", lambda x: F.concat(x["field"], x["config_delta"])), ";").alias("deltas"))
+
+
+@_q("G27_trial_documents", """
+(SELECT 'some' AS run, doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) ORDER BY doc_id LIMIT 7) UNION ALL (SELECT 'none', doc_id FROM documents ORDER BY doc_id LIMIT 7)""", "documents", "labels")
+def _(d, lb):
+    """Trial documents prefer those that have labels of one kind; where none has, the first of all."""
+    some = H.prefer_having(d.select("doc_id"), "doc_id", lb.filter("quality = 1"), [F.col("doc_id")], 7)
+    none = H.prefer_having(d.select("doc_id"), "doc_id", lb.filter("quality = 7"), [F.col("doc_id")], 7)
+    return some.withColumn("run", F.lit("some")).unionByName(none.withColumn("run", F.lit("none"))).select("run", "doc_id")
+
+
+@_trip("Q05_library", """
+WITH r AS (SELECT source AS corpus_id, md5(text) AS h, min(doc_id) AS id FROM documents GROUP BY ALL), s AS (SELECT corpus_id, count(*) AS n_documents, sum(id % 3)::BIGINT AS n_chunks, count(*) FILTER (WHERE id % 4 > 0) AS n_ok FROM r GROUP BY corpus_id),
+k AS (SELECT h, min('/p/' || id) AS p FROM r WHERE id % 4 > 0 GROUP BY h), c AS (SELECT source AS corpus_id, count(p) AS n_cached FROM documents LEFT JOIN k ON h = md5(text) GROUP BY source)
+SELECT corpus_id, n_documents, n_chunks, n_ok, n_cached FROM s JOIN c USING (corpus_id)""", "documents")
+def _(d, at):
+    """Documents registered by corpus and content, counted, and every document looked up by its content."""
+    spark = d.sparkSession
+    files = d.select(F.col("source").alias("corpus_id"), F.md5("text").alias("file_hash"), "doc_id")
+    one = files.groupBy("corpus_id", "file_hash").agg(F.min("doc_id").alias("id"))
+    parsed = one.select("corpus_id", "file_hash", (F.col("id") % 3).cast("int").alias("chunk_count"), F.when(F.col("id") % 4 > 0, "OK").otherwise("ERROR").alias("parse_status"), F.concat(F.lit("/p/"), F.col("id").cast("string")).alias("json_path"))
+    Y.register(parsed, at, "documents")
+    found = Y.cached(files, spark, at).groupBy("corpus_id").agg(F.count_if("cached").alias("n_cached"))
+    return Y.registry_stats(spark, at).join(found, "corpus_id").select("corpus_id", "n_documents", "n_chunks", "n_ok", "n_cached")

@@ -136,6 +136,18 @@ def _(d, n):
     return I.refinement_queries(payloads, columns, F.lit("the first hop"))
 
 
+_RERANKED = _SQL.partition("\nSELECT doc_id, ordinal, round(score, 6)")[0].replace("AS rank,", "AS place,") + """,
+e AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY dl DESC, ordinal) AS INTEGER) AS rank FROM k WHERE place <= 20)
+SELECT doc_id, ordinal, rank FROM e WHERE rank <= 12"""
+
+
+@_q("L08_reranked", _RERANKED)
+def _(d):
+    """The best twenty by score, then the best twelve of those by another model, here their number of tokens."""
+    longer = lambda b: b.withColumn("score", F.size(X.tokens(F.col("text"))).cast("double"))
+    return L.retrieve(tagged_chunks(d), QUERY, rerank=longer).select("doc_id", "ordinal", "rank")
+
+
 @_q("L07_without_scores", f"{_LINES} SELECT doc_id, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY keyword_hit DESC, ordinal) AS r FROM h) WHERE r <= 12")
 def _(d):
     return L.retrieve_without_scores(tagged_chunks(d)).select("doc_id", "ordinal")

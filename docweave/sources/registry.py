@@ -51,6 +51,24 @@ def read_registry(spark: SparkSession, folder: str, name: str) -> DataFrame:
         return spark.createDataFrame([], T.StructType.fromDDL(COLUMNS[name]))
 
 
+def registry_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """corpus_id, n_documents, n_hashes, n_chunks, n_ok, n_indexed and n_entities by corpus of the documents table."""
+    docs = read_registry(spark, folder, "documents")
+    entity = F.when(F.col("entity_id") != "", F.col("entity_id"))
+    return docs.groupBy("corpus_id").agg(
+        F.count("*").alias("n_documents"), F.count_distinct("file_hash").alias("n_hashes"), F.sum("chunk_count").alias("n_chunks"), F.count_if(F.col("parse_status").startswith("OK")).alias("n_ok"),
+        F.count_if("chunks_indexed").alias("n_indexed"), F.count_distinct(entity).alias("n_entities"),
+    )
+
+
+def cached(files: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """``files`` (with file_hash) with cached and json_path: the least path of an OK parse of the same content, in whatever corpus; empty without one."""
+    ok = read_registry(spark, folder, "documents").filter(F.col("parse_status").startswith("OK") & (F.col("json_path") != ""))
+    one = ok.groupBy(F.col("file_hash").alias("__h")).agg(F.min("json_path").alias("__p"))
+    met = files.join(one, F.col("file_hash") == F.col("__h"), "left")
+    return met.select(*files.columns, F.col("__p").isNotNull().alias("cached"), F.coalesce("__p", F.lit("")).alias("json_path"))
+
+
 def register(rows: DataFrame, folder: str, name: str) -> None:
     """Append the rows whose keys the table does not hold yet, one of each key; nulls in a key are equal.
 

@@ -67,3 +67,25 @@ def test_payloads(spark):
     want = {k: plain(t) for k, t in rows}
     for k, t in rows:
         assert got[k] == want[k], t
+
+
+def test_critiques(spark):
+    """Whole, cut, empty and odd answers; the same whether Spark reads them or Python has to."""
+    from docweave.operators import external as M
+
+    issue = {"field": "a", "issue": "i", "severity": "low", "suggestion": "s", "suggested_call_config_delta": {"top_k": 3}, "config_rationale": "why"}
+    whole = json.dumps({"overall_quality": "good", "overall_suggestion": "do", "field_issues": [issue, {"field": ""}, "x", {"field": "b"}]})
+    rows = [(1, whole), (2, f"<think>{{}}</think>```json\n{whole}\n```"), (3, whole[:-30]), (4, None), (5, " \n"), (6, "prose"), (7, '{"other": 1}'), (8, '{"overall_quality": "ODD"}'), (9, '{"field_issues": []}'), (10, "p" * 90_000)]
+    df = spark.createDataFrame(rows, "k int, t string")
+    got = {r.k: r for r in M.apply_critiques(df, "k", "t").collect()}
+    for k in (1, 2):
+        r = got[k]
+        assert (r.quality, r.parse_ok, r.critique) == ("good", True, "do\n  [LOW] a: s\n  [MEDIUM] b: ")
+        assert [tuple(x) for x in r.issues] == [("a", "i", "low", "s"), ("b", "", "medium", "")]
+        assert [tuple(x) for x in r.deltas] == [("a", '{"top_k":3}', "why")]
+    assert (got[3].quality, got[3].parse_ok, [x.field for x in got[3].issues]) == ("good", True, ["a"])
+    assert [(got[k].quality, got[k].parse_ok, got[k].critique) for k in (4, 5)] == [("needs_work", False, M.NO_CONTENT)] * 2
+    assert [(got[k].quality, got[k].parse_ok, got[k].critique) for k in (6, 7, 9)] == [("needs_work", False, t) for t in ("prose", '{"other": 1}', '{"field_issues": []}')]
+    assert (got[8].quality, got[8].parse_ok, got[8].critique) == ("ok", True, M.NO_ISSUES)
+    assert len(got[10].critique) == 80_000 - 20 + len(M.RAW_NOTE)
+    assert M.apply_critiques(df.limit(0), "k", "t").count() == 0
