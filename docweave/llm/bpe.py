@@ -199,7 +199,8 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, ids array<int> of each whole text, without special tokens; null counts as empty.
 
     The vocabulary's path must be readable on the executors. Texts never leave their task;
-    one row per row of ``docs``, repeated ones too, and an empty array for an empty text.
+    one row per row of ``docs``, repeated ones too, and an empty array for an empty text. An empty
+    table gives an empty result.
     """
     path, pattern = path or defaults()[0], pattern or defaults()[1]
 
@@ -215,7 +216,7 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def bpe_decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, decoded binary: the bytes that the ids stand for; null ids count as none."""
+    """doc_id, decoded binary: the bytes that the ids stand for; null ids count as none, an empty table gives an empty result."""
     path, pattern = path or defaults()[0], pattern or defaults()[1]
 
     def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -251,4 +252,5 @@ def bpe_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op6_bpe_round_trip(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document; null text counts as empty."""
     return bpe_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))

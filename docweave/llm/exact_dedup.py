@@ -78,6 +78,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and text_sha256 of every document, dropped ones too."""
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), digest_all=True)
 
 

@@ -169,6 +169,7 @@ def _judged(rows: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every document; learned from those that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit_languages(docs.filter(crc32_mod(F.col("doc_id"), 4) != 2))
     return predict_languages(docs, model).select("doc_id", (crc32_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")

@@ -151,7 +151,12 @@ def _key(id_col: str, text_col: str, source_col: str):
 
 
 def taken_words(docs: DataFrame, **columns) -> DataFrame:
-    """One row per document: doc_id, key, size, source_size, target, taken."""
+    """One row per document: doc_id, key, size, source_size, target (its source's), taken (words the mix takes of it, repeats counted).
+
+    Null and blank texts have size 0 and nothing taken; null is a source of its own. Rows that repeat
+    id, source and text share one hash, so they follow each other in the schedule, each with
+    words of its own; an empty table gives an empty result.
+    """
     mix, sized = mix_sources(docs, **columns)
     per = mix.groupBy("source", "doc_key").agg(F.sum("n_words").alias("taken")).select(F.col("source").alias("s"), F.col("doc_key").alias("k"), "taken")
     out = sized.join(per, F.col("source").eqNullSafe(F.col("s")) & (F.col("doc_key") == F.col("k")), "left")
@@ -173,4 +178,5 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op9_mix_sources(spark, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target and taken of every document, as taken_words() has them."""
     return taken_words(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("key")

@@ -216,7 +216,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def score_quality(docs: DataFrame, model: MilModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score (0 to 1, higher: label 1 likelier) of every whole text; one row per row of ``docs``.
 
-    Null, empty and blank texts are one passage of zeros and get that passage's score. Equal texts
+    Ties need no rule, as scores are of texts alone. Null, empty and blank texts are one passage of zeros and get that passage's score. Equal texts
     have equal scores; an empty table gives an empty result.
     """
 

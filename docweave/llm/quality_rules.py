@@ -51,7 +51,10 @@ def _repeat_words(w: Column) -> Column:
 
 
 def text_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts over every whole text, one row per row of ``docs``; null counts as empty."""
+    """Counts over every whole text, one row per row of ``docs``; null counts as empty, an empty table gives an empty result.
+
+    Windows of three words are told by 64-bit hashes.
+    """
     text = F.coalesce(F.col("t"), F.lit(""))
     left = lambda keep: F.length(F.regexp_replace(text, f"[^{keep}]+", "")).cast("long")
     lines = lambda t: F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -101,7 +104,8 @@ def fit_rules(voted: DataFrame, names: list[str], rounds: int = EM_ROUNDS) -> di
 
     The documents meet in EM as counts of vote patterns: at most 3 to the number of rules,
     summed before the shuffle, whatever the number of documents. Each round is one fold of
-    the pattern list; the whole fit is one expression, so equal counts give equal results.
+    the pattern list; the whole fit is one expression, so equal counts give equal results. Without
+    rows the prior is 0.5 and no vote has any weight.
     """
     cells = [(r, v) for r in range(len(names)) for v in (-1, 0, 1)]  # per rule: abstains, bad, good
     index = {cell: k for k, cell in enumerate(cells)}
@@ -166,5 +170,6 @@ def label_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """doc_id, the counts of its words and lines, base_failed and kept of every document."""
     out = label_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")

@@ -114,7 +114,8 @@ def fit_markov(samples: DataFrame) -> list[float]:
 
     ``samples`` has s and label (1 random, 0 identifier). Counts are summed per pair, at most
     (len(ALPHABET) + 1) squared rows, and smoothed by one. The list is read by
-    index(a) * (len(ALPHABET) + 1) + index(b), with indices from 1, 0 for other characters.
+    index(a) * (len(ALPHABET) + 1) + index(b), with indices from 1, 0 for other characters. Without
+    samples every ratio is 0.
     """
     m = len(ALPHABET) + 1
     pairs = samples.filter("length(s) >= 2").select("label", "s", F.explode(F.sequence(F.lit(1), F.length("s") - 1)).alias("i"))
@@ -226,6 +227,7 @@ def _listed(spans: Column) -> Column:
 
 
 def op2_secret_scan(spark, sf_dir: str) -> DataFrame:
+    """doc_id, counts and digest of the base spans, and all spans of every document; null text counts as empty."""
     found = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select(
         "doc_id",

@@ -241,5 +241,6 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint and component_id of every document; texts without words have fingerprint zero."""
     near = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return near.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

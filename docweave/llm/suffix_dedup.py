@@ -459,5 +459,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document, as remove_repeats() has them."""
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
