@@ -21,28 +21,34 @@ from docweave.llm.simhash import keep_representatives
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages; texts without letters and undecided ones go."""
+    """Documents in one of the learned languages; null texts, texts without letters and undecided ones go.
+
+    Repeated rows fare alike. Without rows, or labels to learn from, none is identified and none stays.
+    """
     model = fit_languages(docs.filter(crc32_mod(F.col("doc_id"), 4) != 2))
     return keep_identified(docs, model)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, up to white space, the document of the smallest id."""
+    """Of equal texts, up to white space, the document of the smallest id; null text counts as empty, of repeated rows one stays."""
     return keep_first(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document of the smallest id."""
+    """Of each group of near copies, the document of the smallest id; texts without words are one group, of repeated rows one stays."""
     return keep_representatives(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document that the mix takes, once for each time that it takes it: whole or not, at most three."""
+    """Every document that the mix takes, once for each time that it takes it: whole or not, at most three.
+
+    Texts without words have nothing to take and go; null is a source of its own.
+    """
     return mixed_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the mixed documents: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    """Token counts and digests of the mixed documents: doc_id, n_tokens, ids_sha256, decoded_sha256; a row per row."""
     return bpe_digests(docs)
 
 
@@ -59,7 +65,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over sf_dir's documents."""
+    """The rows of the last stage over sf_dir's documents; an empty table gives an empty result."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
