@@ -148,3 +148,24 @@ def test_config(spark, tmp_path):
     assert K.acquire(spark, "local_folder", str(tmp_path), 1).first().filename == "a.pdf"
     (tmp_path / "m.csv").write_text("doc_id\n1\n")
     assert K.scan(spark, K.CorpusConfig("c", "/d", pattern="csv_manifest", manifest=str(tmp_path / "m.csv"))).count() == 1
+
+
+def test_live_state_folds_in_any_order(spark, tmp_path):
+    """Null and empty values never win, a null run is a run, late events do not undo later ones, and the stream ends where the batch does."""
+    from docweave.streaming import live_state as Z
+
+    schema = "run string, seq long, rework boolean, " + ", ".join(f"{f} {t}" for f, t in Z.FIELDS.items())
+    none = dict.fromkeys(Z.FIELDS)
+    row = lambda run, seq, rework=None, **given: (run, seq, rework, *(none | given).values())
+    rows = [row("a", 5, n_columns=3, quality=""), row("a", 1, n_columns=9, quality="ok", approved=False), row("a", 9, approved=True, rework=True), row("a", 7, approved=False, critique="t"), row(None, 1, n_rows=2), row(None, 2), row("c", 1)]
+    df = spark.createDataFrame(rows, schema)
+    batch = {r.run: tuple(r) for r in Z.live_state(df).collect()}
+    assert batch["a"] == ("a", 3, True, None, None, None, "ok", "t", 1, 4)
+    assert batch[None] == (None, None, None, 2, None, None, None, None, 0, 2)
+    for k, part in enumerate((rows[:1] + rows[4:], rows[2:3], rows[1:2] + rows[3:4])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    merge = lambda b, k: W.merge_batch(b, str(tmp_path / "states"), ["run"], 4)
+    Z.live_state_stream(stream).writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(180)
+    assert {r.run: tuple(r[c] for c in df.sparkSession.createDataFrame([], Z.SCHEMA).columns) for r in W.current(spark, str(tmp_path / "states")).collect()} == batch
+    assert Z.with_action(Z.live_state(df.limit(0))).count() == 0
