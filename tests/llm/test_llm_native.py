@@ -26,7 +26,8 @@ def split(t):
 @pytest.mark.parametrize("name", ORACLE_SQL)
 def test_sql(spark, sf, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'").fetchall()
+    for t in ("documents", "conversations", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'").fetchall()
     res = con.execute(ORACLE_SQL[name])
     cols = [d[0] for d in res.description]
     expected = sorted(map(str, res.fetchall()))

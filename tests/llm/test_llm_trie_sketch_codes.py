@@ -1,4 +1,4 @@
-"""Prefix trie, odd sketches and vector codes: SQL, brute force, edge cases."""
+"""Prefix trie, odd sketches and vector codes: brute force, edge cases."""
 
 import hashlib
 import random
@@ -6,25 +6,11 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
-import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from docweave.llm import odd_sketch, prefix_trie, vector_codes
-from docweave.llm.queries import ORACLE_SQL, QUERIES
-
-
-@pytest.mark.parametrize("name, at", [("op11_prefix_trie", "conversations"), ("op13_vector_codes", "embeddings")])
-def test_sql(spark, sf, name, at):
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW {at} AS SELECT * FROM '{sf}/{at}.parquet'").fetchall()
-    res = con.execute(ORACLE_SQL[name])
-    names = [d[0] for d in res.description]
-    want = Counter(map(tuple, res.fetchall()))
-    df = QUERIES[name](spark, sf)
-    assert sorted(df.columns) == sorted(names)
-    assert Counter(tuple(r[c] for c in names) for r in df.collect()) == want
 
 
 # Prefix trie
