@@ -94,9 +94,9 @@ def _(v):
 
 @_q("D33_N02_prompts", "SELECT conv_id, '## System' || chr(10) || 'be exact' || chr(10) || chr(10) || '## User' || chr(10) || left(string_agg(text, ' ' ORDER BY turn), 200) AS prompt FROM conversations GROUP BY conv_id", "conversations")
 def _(c):
-    # Turns that begin beyond the cap are in no prompt, so they are not gathered.
+    # Turns that begin beyond the cap and the blank before them are in no prompt, so they are not gathered.
     before = F.coalesce(F.sum(F.length("text") + 1).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    near = c.select("conv_id", "turn", F.substring("text", 1, 200).alias("text"), before.alias("before")).filter("before < 200")
+    near = c.select("conv_id", "turn", F.substring("text", 1, 200).alias("text"), before.alias("before")).filter("before <= 200")
     t = near.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t")).select("conv_id", F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("text"))
     return O.sections(t, {"System": (F.lit("be exact"), 48_000), "User": (F.col("text"), 200), "Schema": (F.lit(" "), 24_000)}).select("conv_id", "prompt")
 
