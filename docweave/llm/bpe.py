@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Code points of a leaf of the tree that encodes; ids of a leaf of the tree that decodes.
-LEAF = 256
+LEAF = 512
 #: Bytes of one piece that are merged at once; longer pieces are reduced as a tree themselves.
 PIECE = 32
 #: Pieces, and pairs of neighbours, whose ids a worker process remembers.
