@@ -151,18 +151,24 @@ def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text
 
     Repeated rows stay; null texts and texts without letters go; an empty table gives an empty result.
     """
-    rows = _judged(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text")), model)
+    rows = _judged(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), model, docs.columns.index(text_col))
     return rows.filter((F.col("lang_pred") != UND) & ~F.col("ambiguous")).select("row.*")
 
 
-def _judged(rows: DataFrame, model: LanguageModel) -> DataFrame:
-    """``rows`` (row, text) with predictions; other columns pass in Arrow, as they are."""
+#: Rows that are judged at a time.
+SLICE = 1024
+
+
+def _judged(rows: DataFrame, model: LanguageModel, place: int | None = None) -> DataFrame:
+    """``rows`` (row, text) with predictions, row passing in Arrow as it is; with ``place``, text is that field of row and not sent again."""
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            said = model.predict(b.column(1).to_pylist())
-            new = [pa.array([s[k] for s in said], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *new], names=["row", "lang_pred", "score", "ambiguous"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, SLICE):
+                b = whole.slice(lo, SLICE)
+                said = model.predict((b.column(1) if place is None else b.column(0).field(place)).to_pylist())
+                new = [pa.array([s[k] for s in said], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([b.column(0), *new], names=["row", "lang_pred", "score", "ambiguous"])
 
     schema = T.StructType([rows.schema["row"]]).add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
     return rows.mapInArrow(judged, schema)
