@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -106,16 +110,35 @@ def collapse(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), WS, " ")))
 
 
+def _matching(c: Column, rules: list[tuple[str, str]]) -> Column:
+    """Different labels of the rules that match, in their order.
+
+    Batches of texts meet RE2, as in Arrow and DuckDB: its time is in proportion to the text,
+    whatever the pattern. Patterns have no look-around and no back references.
+    """
+    names = list(dict.fromkeys(x for x, _ in rules))
+
+    def found(low: pa.Array) -> pa.Array:
+        hits = {x: reduce(pc.or_, [pc.match_substring_regex(low, p) for y, p in rules if x == y]).to_pylist() for x in names}
+        return pa.array([[x for x, hit in zip(names, row, strict=True) if hit] for row in zip(*hits.values(), strict=True)], pa.list_(pa.string()))
+
+    return F.arrow_udf(found, "array<string>")(F.lower(F.coalesce(c, F.lit("")))) if rules else F.array().cast("array<string>")
+
+
 def labels(c: Column, rules: list[tuple[str, str]]) -> Column:
     """Sorted different labels of the rules (label, pattern on lower-case text) that match."""
+    return _matching(c, sorted(rules, key=lambda r: r[0]))
+
+
+def labelled(c: Column, rules: list[tuple[str, str]]) -> Column:
+    """Whether any of the rules (label, pattern on lower-case text) matches; for short texts, which stay with Spark."""
     low = F.lower(F.coalesce(c, F.lit("")))
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(low.rlike(p), F.lit(x)) for x, p in rules]))))
+    return reduce(lambda a, b: a | b, [low.rlike(p) for _, p in rules], F.lit(False))
 
 
 def topics(c: Column) -> Column:
     """Taxonomy tags in taxonomy order."""
-    low = F.lower(F.coalesce(c, F.lit("")))
-    return F.array_compact(F.array(*[F.when(low.rlike(p), F.lit(x)) for x, p in TAXONOMY]))
+    return _matching(c, TAXONOMY)
 
 
 def infer_type(c: Column) -> Column:
