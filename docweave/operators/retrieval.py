@@ -187,8 +187,12 @@ def adaptive(k: Column, threshold: Column, not_found: Column, evidenceless: Colu
 
 
 def hashing_embedding(text: Column, dim: int = 16) -> Column:
-    """A deterministic stand-in for an embedding model: counts of token hashes, of unit length."""
-    at = F.transform(X.tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dim)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(at, lambda x: x == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, v: s + v * v))
-    return F.transform(counts, lambda v: F.when(norm > 0, v / norm).otherwise(v))
+    """A deterministic stand-in for an embedding model: counts of token hashes, of unit length.
+
+    What a lambda refers to is evaluated anew for each element, so places and counts are bound as
+    arguments of a lambda, once a text.
+    """
+    at = F.transform(X.tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int"))
+    counted = F.transform(F.array(at), lambda a: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.size(a) - F.size(F.array_remove(a, i))).cast("double")))
+    norms = F.transform(counted, lambda c: F.struct(c.alias("c"), F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, v: s + v * v)).alias("norm")))
+    return F.transform(norms, lambda x: F.transform(x["c"], lambda v: F.when(x["norm"] > 0, v / x["norm"]).otherwise(v)))[0]
