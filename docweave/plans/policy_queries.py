@@ -277,7 +277,7 @@ def _(d):
     import pandas as pd
 
     def cut(batches):
-        for b in batches:
+        for b in C.slices(batches):
             yield pd.DataFrame({"doc_id": b.doc_id, "t": [C.truncate(x, 400) for x in b.text]})
 
     one = d.select("doc_id", F.translate("text", "\n", " ").alias("text"))
