@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,8 +96,40 @@ def note_text(title, front: dict[str, object], body):
 
 
 def write_notes(df: DataFrame, name: str, text: str, path: str) -> None:
-    """One text file for each note name; notes of one name are joined."""
-    df.select(safe_name(F.col(name)).alias("__p"), F.col(text).alias("value")).repartition("__p").write.mode("overwrite").partitionBy("__p").text(path)
+    """One text file for each note name, below ``path``; notes of one name are joined.
+
+    A note is a few bytes and a file's cost, so tasks share the names evenly, where adaptive execution would
+    merge them by bytes. Hadoop's local file system starts a process for each file and folder that it makes:
+    there the tasks write the files themselves. In other stores Spark writes a folder a note.
+    """
+    spark = df.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    notes = df.select(safe_name(F.col(name)).alias("__p"), F.coalesce(F.col(text), F.lit("")).alias("value")).repartition(tasks, "__p")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.getScheme() != "file":
+        notes.write.mode("overwrite").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("__p").text(path)
+        return
+    store.delete(folder, True)
+    root = store.makeQualified(folder).toUri().getPath()
+    os.makedirs(root)
+    made = notes.sortWithinPartitions("__p").mapInArrow(lambda batches: _note_files(batches, root), "n long")
+    made.agg(F.sum("n")).collect()  # one row
+
+
+def _note_files(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBatch]:
+    """Rows (__p, value) in order of name as files, each whole once it has its name; the number of files."""
+    rows = ((n, t) for b in batches for n, t in zip(b.column("__p").to_pylist(), b.column("value").to_pylist(), strict=True))
+    count = 0
+    for name, some in groupby(rows, lambda r: r[0]):
+        folder = f"{root}/{zlib.crc32(name.encode()) % 256:02x}"
+        os.makedirs(folder, exist_ok=True)
+        part = f"{folder}/.{uuid.uuid4().hex}"  # readers pass over such names
+        with open(part, "w", encoding="utf-8", newline="") as f:
+            f.writelines(t + "\n" for _, t in some)
+        os.replace(part, f"{folder}/note-{name}.md")
+        count += 1
+    yield pa.RecordBatch.from_pydict({"n": pa.array([count], pa.int64())})
 
 
 def neutral_report(docs: DataFrame, key: str) -> DataFrame:

@@ -63,8 +63,8 @@ def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 
 def read_notes(spark: SparkSession, path: str) -> DataFrame:
-    """Markdown notes as path, front (map of the simple keys of the YAML head) and body."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    """Markdown notes as path, front (map of the simple keys of the YAML head) and body; folders' names are not read as columns."""
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), "value")
     head = F.regexp_extract("value", r"(?s)^---\r?\n(.*?)\r?\n---\r?\n?", 1)
     lines = F.filter(F.split(head, r"\r?\n"), lambda x: x.rlike(r"^[A-Za-z_][A-Za-z0-9_-]*:"))
     pairs = F.transform(lines, lambda x: F.struct(F.split(x, ":", 2)[0].alias("k"), F.regexp_replace(F.trim(F.split(x, ":", 2)[1]), "^[\"']|[\"']$", "").alias("v")))
