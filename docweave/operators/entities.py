@@ -99,22 +99,23 @@ def _grams(c: Column, k: int) -> Column:
     return F.when(F.length(c) >= k, F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda i: F.substr(c, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
 
 
-def containing(asked: DataFrame, known: DataFrame, gram: int = 4) -> DataFrame:
-    """Pairs (a_n, b_n) of ``asked`` (a_n) and ``known`` (b_n), both distinct, of which one holds the other.
+def within(short: DataFrame, s: str, long: DataFrame, t: str, gram: int) -> DataFrame:
+    """Pairs (s, t) of ``short`` (s) and ``long`` (t), both distinct, of which t holds s.
 
-    The shorter is looked up by that of its parts of ``gram`` characters which fewest of the longer
-    have, or whole if it is shorter; a part that none has ends the search.
+    s is looked up by that of its parts of ``gram`` characters which fewest t have, or whole if it
+    is shorter; a part that none has ends the search.
     """
+    small = [r.n for r in short.filter(F.length(s) < gram).select(F.length(s).alias("n")).distinct().collect()]  # at most gram - 1
+    parts = long.select(t, F.explode(F.array_distinct(F.concat(*[_grams(F.col(t), k) for k in (gram, *small)]))).alias("g"))
+    often = parts.groupBy("g").agg(F.count("*").alias("n"))
+    own = short.select(s, F.explode(F.array_distinct(F.when(F.length(s) < gram, F.array(s)).otherwise(_grams(F.col(s), gram)))).alias("g"))
+    rarest = own.join(often, "g", "left").groupBy(s).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("m")).filter("m.n > 0").select(s, F.col("m.g").alias("g"))
+    return rarest.join(parts, "g").filter(F.contains(t, s)).select(s, t)
 
-    def within(short: DataFrame, s: str, long: DataFrame, t: str) -> DataFrame:
-        small = [r.n for r in short.filter(F.length(s) < gram).select(F.length(s).alias("n")).distinct().collect()]  # at most gram - 1
-        parts = long.select(t, F.explode(F.array_distinct(F.concat(*[_grams(F.col(t), k) for k in (gram, *small)]))).alias("g"))
-        often = parts.groupBy("g").agg(F.count("*").alias("n"))
-        own = short.select(s, F.explode(F.array_distinct(F.when(F.length(s) < gram, F.array(s)).otherwise(_grams(F.col(s), gram)))).alias("g"))
-        rarest = own.join(often, "g", "left").groupBy(s).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("m")).filter("m.n > 0").select(s, F.col("m.g").alias("g"))
-        return rarest.join(parts, "g").filter(F.contains(t, s)).select("a_n", "b_n")
 
-    return within(asked, "a_n", known, "b_n").unionByName(within(known, "b_n", asked, "a_n")).distinct()
+def containing(asked: DataFrame, known: DataFrame, gram: int = 4) -> DataFrame:
+    """Pairs (a_n, b_n) of ``asked`` (a_n) and ``known`` (b_n), both distinct, of which one holds the other."""
+    return within(asked, "a_n", known, "b_n", gram).unionByName(within(known, "b_n", asked, "a_n", gram).select("a_n", "b_n")).distinct()
 
 
 def near_pairs(asked: DataFrame, known: DataFrame, least: float) -> DataFrame:
@@ -149,6 +150,49 @@ def near_pairs(asked: DataFrame, known: DataFrame, least: float) -> DataFrame:
     return pairs.filter(2 * F.least(F.length("a_n"), F.length("b_n")) >= (least - 1e-9) * (F.length("a_n") + F.length("b_n"))).select("a_n", "b_n").distinct()
 
 
+#: Names that may lose more characters than this to one as near are not looked up by what is left of them.
+MOST_LOST = 2
+
+
+def lost(n: Column, least: float) -> Column:
+    """How many of its ``n`` characters a name can have unmatched in a pair whose ratio is ``least`` or more.
+
+    i of a name's and j of the other's are unmatched where i + j is at most 1 - least of both lengths, n and
+    n - i + j; i is at its most without j.
+    """
+    return F.floor(2 * n * (1 - least) / (2 - least) + 1e-9)
+
+
+def left_pairs(asked: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """The pairs of near_pairs() between names that lose MOST_LOST characters or fewer, by equality of what is left of both.
+
+    Matched runs are in the same order in both names, so without their unmatched characters they
+    are equal. A name has a fixed number of ways to lose so few, so rows grow with the names, however
+    much these have in common.
+    """
+    drop = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1)))
+
+    def variants(df: DataFrame, c: str) -> DataFrame:
+        n, ways = lost(F.length(c), least), [F.array(F.col(c))]
+        for _ in range(MOST_LOST):
+            ways.append(F.array_distinct(F.flatten(F.transform(ways[-1], drop))))
+        left = F.when(n < 1, ways[0])
+        for k in range(1, MOST_LOST + 1):
+            left = left.when(n == k, F.concat(*ways[: k + 1]))
+        return df.select(c, F.explode(left).alias("left"))
+
+    both = F.length("a_n") + F.length("b_n")
+    met = variants(asked, "a_n").join(variants(known, "b_n"), "left")
+    return met.filter(both - 2 * F.length("left") <= (1 - least) * both + 1e-9).select("a_n", "b_n").distinct()
+
+
+def close_pairs(asked: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """Pairs (a_n, b_n), both distinct, that hold all whose ratio is ``least`` or more: by what is left of short names, by near_pairs() where either is long."""
+    few = lambda df, c: (df.filter(lost(F.length(c), least) <= MOST_LOST), df.filter(lost(F.length(c), least) > MOST_LOST))
+    (short, long), (mine, theirs) = few(asked, "a_n"), few(known, "b_n")
+    return left_pairs(short, mine, least).unionByName(near_pairs(long, known, least)).unionByName(near_pairs(short, theirs, least))
+
+
 def ratios(pairs: DataFrame, least: float) -> DataFrame:
     """a_n, b_n and score of the pairs whose Ratcliff-Obershelp ratio is ``least`` or more; cheap upper bounds come first."""
 
@@ -172,7 +216,7 @@ def fuzzy_match(names: DataFrame, name: str, candidates: DataFrame, candidate: s
     Normalised names that are equal or contain each other score 1, others by Ratcliff-Obershelp; of
     equal scores (0.99 and more counts as one) the candidate that comes first in ``order``
     wins, by default its name. Both sides are made distinct. Candidates meet a name by the exact
-    filters of containing() and near_pairs(), in ``steps`` from the highest similarity
+    filters of containing() and close_pairs(), in ``steps`` from the highest similarity
     down: a name that has found one at a step has seen all that are as near, and leaves. No
     match is lost at any size. Null names, and those of which nothing is left, match nothing.
     """
@@ -184,7 +228,7 @@ def fuzzy_match(names: DataFrame, name: str, candidates: DataFrame, candidate: s
     best = None
     for at in (None, *[x for x in steps if x > least], least):
         known = right.select("b_n")
-        pairs = containing(rest, known).withColumn("score", F.lit(1.0)) if at is None else ratios(near_pairs(rest, known, at), at)
+        pairs = containing(rest, known).withColumn("score", F.lit(1.0)) if at is None else ratios(close_pairs(rest, known, at), at)
         rank = F.struct(F.when(F.col("score") >= 0.99, -1.0).otherwise(-F.col("score")).alias("s"), "o")
         here = cut(pairs.join(right, "b_n").groupBy("a_n").agg(F.min_by(F.struct("b", "score"), rank).alias("m")).select("a_n", "m.b", "m.score"))
         best = here if best is None else best.unionByName(here)
@@ -231,13 +275,10 @@ def resolve_chain(queries: DataFrame, query: str, steps: list[tuple]) -> DataFra
 
 
 def _holding(q: DataFrame, names: DataFrame, least: int, cut: int | None, gram: int = 8) -> DataFrame:
-    """q, entity_id: the least entity whose name holds the query. They meet on the query's first ``gram`` characters, or all if it is shorter."""
+    """q, entity_id: the least entity whose name holds the query. They meet on the part of ``gram`` characters of the query that fewest names have, or all if it is shorter."""
     part = q.filter(F.length("u") >= max(least, 1)).select("q", (F.substring("u", 1, cut) if cut else F.col("u")).alias("u"))
-    asked = part.select("u", F.substring("u", 1, gram).alias("g")).distinct()
-    at = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length("v") - k + 1, F.lit(1))), lambda i: F.substr(F.col("v"), i, F.lit(k)))
-    sizes = range(min(max(least, 1), gram), gram + 1)
-    probe = names.filter("v IS NOT NULL").select("v", "entity_id", F.explode(F.array_distinct(F.concat(*map(at, sizes)))).alias("g"))
-    hits = probe.join(asked, "g").filter(F.contains("v", "u")).groupBy("u").agg(F.min("entity_id").alias("entity_id"))
+    known = names.filter("v IS NOT NULL")
+    hits = within(part.select("u").distinct(), "u", known.select("v"), "v", gram).join(known, "v").groupBy("u").agg(F.min("entity_id").alias("entity_id"))
     return part.join(hits, "u").select("q", "entity_id")
 
 
