@@ -1,20 +1,15 @@
-"""Live state of a run, folded from its events: in a batch by grouped maxima, in a stream by arbitrary keyed state."""
+"""Live state of a run, folded from its events: by grouped maxima, in a batch and in a stream."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docweave.functions.policy import next_action
 
 #: What a run's state holds, by kind: the last value that an event gave and that says something.
 FIELDS = {"n_columns": "long", "approved": "boolean", "n_rows": "long", "n_errors": "long", "n_flagged": "long", "quality": "string", "critique": "string"}
 SCHEMA = "run string, " + ", ".join(f"{f} {t}" for f, t in FIELDS.items()) + ", rework_count long, n_events long"
-_STATE = ", ".join(f"{f} {t}, {f}_at long" for f, t in FIELDS.items()) + ", rework_count long, n_events long"
 
 
 def live_state(events: DataFrame) -> DataFrame:
@@ -28,28 +23,13 @@ def live_state(events: DataFrame) -> DataFrame:
     return events.groupBy("run").agg(*last, F.count_if(F.coalesce("rework", F.lit(False))).alias("rework_count"), F.count("*").alias("n_events"))
 
 
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    held = list(state.get) if state.exists else [None] * (2 * len(FIELDS)) + [0, 0]
-    for b in batches:
-        for i, f in enumerate(FIELDS):
-            said = b[b[f].notna() & (b[f] != "")]
-            if len(said):
-                seq, value = max(zip(said.seq, said[f], strict=True), key=lambda x: x[0])
-                if held[2 * i + 1] is None or seq > held[2 * i + 1]:
-                    kind = FIELDS[f]
-                    held[2 * i : 2 * i + 2] = [str(value) if kind == "string" else bool(value) if kind == "boolean" else int(value), int(seq)]
-        held[-2] += int(b.rework.fillna(False).astype(bool).sum())
-        held[-1] += len(b)
-    state.update(tuple(held))
-    yield pd.DataFrame([(key[0], *held[: 2 * len(FIELDS) : 2], *held[-2:])], columns=["run", *FIELDS, "rework_count", "n_events"]).astype(object)
-
-
 def live_state_stream(events: DataFrame) -> DataFrame:
     """A stream of ``events``: the state of every run that a batch touches, as live_state() has it so far.
 
-    The state of a run is of fixed size, however many events it has, and events may come out of order.
+    The last values, each with its seq, and the counts are what Spark keeps of a run: of fixed size, however
+    many events it has, and events may come out of order. A batch is combined before the shuffle.
     """
-    return events.groupBy("run").applyInPandasWithState(_fold, SCHEMA, _STATE, "update", GroupStateTimeout.NoTimeout)
+    return live_state(events)
 
 
 def with_action(states: DataFrame) -> DataFrame:
