@@ -6,7 +6,7 @@ import math
 import random
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,19 +80,25 @@ def annealed_order(lengths: list[int], steps: int, seed: str) -> list[int]:
 
 
 def annealed(blocks: DataFrame, steps: int, seed: int = 0, doc: str = "doc_id") -> DataFrame:
-    """``blocks`` (doc, rank, text) with rank anew after each document's own walk; ranks and lengths move, texts do not."""
+    """``blocks`` (doc, rank, text) with rank anew after each document's own walk.
+
+    A document's blocks meet once, as a list in order of rank; only their lengths go to Python, many documents
+    at a time, and the places that come back choose from the list.
+    """
     if steps <= 0:
         return blocks
-    kind = blocks.schema[doc].dataType.simpleString()
-
-    def walk(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("rank").reset_index(drop=True)
-        order = annealed_order(b.n.tolist(), steps, f"{seed}/{b.d.iloc[0]}")
-        return pd.DataFrame({"d": b.d, "rank": b["rank"].iloc[order].to_numpy(), "place": b["rank"].to_numpy()})
 
-    held = blocks.select(F.col(doc).alias("d"), "rank", F.length(F.coalesce("text", F.lit(""))).alias("n"))
-    moved = held.groupBy("d").applyInPandas(walk, f"d {kind}, rank int, place int").withColumnRenamed("rank", "__r")
-    return blocks.join(moved, F.col(doc).eqNullSafe(F.col("d")) & (F.col("rank") == F.col("__r"))).withColumn("rank", F.col("place")).select(*blocks.columns)
+    def walk(ids: pa.Array, lengths: pa.Array) -> pa.Array:
+        return pa.array([annealed_order(n, steps, f"{seed}/{i}") for i, n in zip(ids.to_pylist(), lengths.to_pylist(), strict=True)], pa.list_(pa.int32()))
+
+    by_rank = lambda x, y: F.when(x["rank"] < y["rank"], -1).when(x["rank"] > y["rank"], 1).otherwise(0)
+    own = [c for c in blocks.columns if c != doc]
+    held = blocks.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(*own)), by_rank).alias("__b"))
+    lengths = F.transform("__b", lambda x: F.length(F.coalesce(x["text"], F.lit(""))))
+    places = held.withColumn("__o", F.arrow_udf(walk, "array<int>")(F.coalesce(F.col(doc).cast("string"), F.lit("nan")), lengths))
+    at = lambda i: F.get("__b", i)
+    moved = F.transform("__o", lambda i, k: F.struct(*[(at(k) if c == "rank" else at(i))[c].alias(c) for c in own]))
+    return places.select(doc, F.inline(moved)).select(*blocks.columns)
 
 
 def retrieve(chunks: DataFrame, query: dict[str, int], top_k: int = TOP_K, top_n: int = TOP_N, doc: str = "doc_id", rerank=None, pressure: DataFrame | None = None, bonus: int = 0, anneal_steps: int = 0, seed: int = 0) -> DataFrame:
