@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_key, store, table
+from .common import row_key, shuffles_removed, store, table
 from .simhash import components
 
 WORDS, PERCENT = 5, 85
@@ -80,6 +80,12 @@ def bands(samples: np.ndarray) -> np.ndarray:
     return h
 
 
+def whole_sketch(shingles: np.ndarray) -> np.ndarray:
+    """LANES numbers of a whole set: each shingle chooses one of BITS bits. Two sets differ in as many shingles as sketches in bits, or more."""
+    odd = np.bincount(((shingles >> np.uint64(40)) % np.uint64(BITS)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.uint64)
+
+
 def odd_sketches(samples: np.ndarray) -> np.ndarray:
     """LANES numbers a row of minima: a minimum and its place choose one of BITS bits, and a bit is set if chosen an odd number of times."""
     at = (_mixed(np.broadcast_to(np.arange(SAMPLE, dtype=np.uint64), samples.shape), samples) >> np.uint64(40)) % np.uint64(BITS)
@@ -112,7 +118,7 @@ def _key(doc_id: Column, text: Column) -> Column:
 
 
 def marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key, n_shingles, digest (128 bits of the set), bands and sketch, a row per row of ``docs``; the last three are null without words."""
+    """doc_id, key, n_shingles, digest (128 bits of the set), bands and sketch (of the sample, then of the whole set), a row per row of ``docs``; the last three are null without words."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,15 +128,15 @@ def marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 yield of(b.iloc[lo : lo + _BLOCK], hashes)
 
     def of(b: pd.DataFrame, hashes: dict) -> pd.DataFrame:
-        n, digest, samples = [], [], np.empty((len(b), SAMPLE), np.uint64)
+        n, digest, samples, whole = [], [], np.empty((len(b), SAMPLE), np.uint64), np.empty((len(b), LANES), np.uint64)
         for i, t in enumerate(b.text):
             s = shingle_set(t, hashes)
             n.append(len(s))
             digest.append(hashlib.md5(s.tobytes()).digest() if len(s) else None)
-            samples[i] = minima(s)
+            samples[i], whole[i] = minima(s), whole_sketch(s)
         some = np.array(n) > 0
         keep = lambda rows: [r if x else None for r, x in zip(rows.view(np.int64), some, strict=True)]
-        return pd.DataFrame({"doc_id": b.doc_id, "key": b.key, "n_shingles": n, "digest": digest, "bands": keep(bands(samples)), "sketch": keep(odd_sketches(samples))})
+        return pd.DataFrame({"doc_id": b.doc_id, "key": b.key, "n_shingles": n, "digest": digest, "bands": keep(bands(samples)), "sketch": keep(np.hstack([odd_sketches(samples), whole]))})
 
     own = _key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), own.alias("key"), F.col(f"`{text_col}`").alias("text"))
@@ -153,15 +159,20 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
     return store(rows.mapInPandas(built, "c long, shingles array<long>").dropDuplicates(["c"]))
 
 
-def _differing(a: str, b: str) -> Column:
-    lanes = [F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(LANES)]
+def _differing(a: str, b: str, at: int) -> Column:
+    lanes = [F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(at, at + LANES)]
     return sum(lanes[1:], lanes[0])
 
 
 def _may_be(percent: int) -> Column:
-    """Whether sizes and sketches of a member (n, sketch) and a leader (ln, lsketch) leave this similarity open."""
+    """Whether sizes and sketches of a member (n, sketch) and a leader (ln, lsketch) leave this similarity open.
+
+    Sketches of whole sets refute without error, and almost all pairs below the threshold while sets
+    have some hundreds of shingles; those of samples serve sets of any size.
+    """
     sizes = 100 * F.least("n", "ln") >= percent * F.greatest("n", "ln")
-    return sizes & (_differing("sketch", "lsketch") <= most_bits(percent))
+    whole = (100 + percent) * _differing("sketch", "lsketch", LANES) <= (100 - percent) * (F.col("n") + F.col("ln"))
+    return sizes & whole & (_differing("sketch", "lsketch", 0) <= most_bits(percent))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -213,7 +224,7 @@ def link_classes(classes: DataFrame, docs: DataFrame, percent: int = PERCENT, id
     shares most buckets with most classes, so that a group of near copies costs one comparison
     a member, not one a pair. What is still apart is then dealt to buckets of rare shingles, an
     exact filter, in which members that are near none have no bucket. Later rounds have
-    4, 16, ... leaders a bucket, each from its range of a hash, those outside the largest component first.
+    16, 256, ... leaders a bucket, each from its range of a hash, those outside the largest component first.
     A pair at the threshold is missed with a probability of (1 - J^ROWS)^BANDS, below 1e-8 at 0.85
     and 4e-6 at 0.80, and of RISK.
     """
@@ -233,11 +244,12 @@ def link_classes(classes: DataFrame, docs: DataFrame, percent: int = PERCENT, id
         pairs = store(pairs.select(F.least("c", "l").alias("a"), F.greatest("c", "l").alias("b")).distinct())
         new = store(confirmed(pairs, sets, percent))
         links = new if links is None else links.unionByName(new)
-        roots = components(links)
+        with shuffles_removed(docs.sparkSession):
+            roots = components(links)
         rest = live.drop("root").join(roots, F.col("c") == F.col("node"), "left").withColumn("root", F.coalesce("root", "c")).drop("node")
         rest = store(_divided(store(rest.join(leaders.select("bucket", F.col("l").alias("c")), ["bucket", "c"], "left_anti"))))
         live = store(_divided(store(rare_buckets(rest, sets, percent)))) if ranges == 1 else rest
-        ranges *= 4
+        ranges *= 16
     return roots if roots is not None else classes.select(F.col("c").alias("node"), F.col("c").alias("root")).limit(0)
 
 

@@ -1,6 +1,7 @@
 """Prefix trie, odd sketches and vector codes: brute force, edge cases."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -167,6 +168,29 @@ def test_minhash_edges(edge, empty, texts):
     assert links_of(empty) == Counter()
 
 
+def test_sketches_of_whole_sets(spark):
+    """Copies of one text that are near it and not near each other: sketches of whole sets refute what is below the threshold, and no link.
+
+    Before, with sketches of samples only, almost all of these pairs were held on full sets.
+    """
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(5000)]
+    base = rng.choices(words, k=150)
+    rows = [(n, edited(rng, words, base, 2)) for n in range(60)] + [(60, " ".join(base))]
+    one = odd_sketch.marks(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", F.col("n_shingles").alias("n"), "sketch")
+    two = one.select(F.col("doc_id").alias("l"), F.col("n").alias("ln"), F.col("sketch").alias("lsketch"))
+    tried = {(r.doc_id, r.l) for r in one.crossJoin(two).filter("doc_id < l").filter(odd_sketch._may_be(85)).collect()}
+    hashes = odd_sketch._WordHashes()
+    sets = [odd_sketch.shingle_set(t, hashes) for _, t in rows]
+    for i, j in itertools.combinations(range(61), 2):
+        common = len(np.intersect1d(sets[i], sets[j]))
+        apart = len(sets[i]) + len(sets[j]) - 2 * common
+        assert int(np.bitwise_count(odd_sketch.whole_sketch(sets[i]) ^ odd_sketch.whole_sketch(sets[j])).sum()) <= apart
+        if 100 * common >= 85 * (common + apart):
+            assert (i, j) in tried
+    assert {(k, 60) for k in range(60)} <= tried and len(tried) < 300
+
+
 def test_sketches_refute_little(families):
     """Pairs at the threshold pass; pairs of half of it do not."""
     hashes = odd_sketch._WordHashes()
