@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 
 WS = r"[ \t\n\r\f\x0B]+"
 
+#: Blanks that are trimmed, as DuckDB does.
+BLANKS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+#: Lower-case letters that share their upper case with another, and that other.
+FOLDED = ("ıſµ\u0345\u1fbeϐϵϑϰϖϱςϕ\u1c80\u1c81\u1c82\u1c83\u1c84\u1c85\u1c86\u1c87\u1c88ẛ", "isμιιβεθκπρσφвдосттъѣꙋṡ")
+
 #: Intent taxonomy, tag and pattern, in order.
 TAXONOMY = [
     ("trade_tariff", r"tariff|import.dut|trade.war|sanction|embargo|customs.dut|supply.chain|retaliatory|countervail|anti.dump|section.232|section.301|usmca|cusma|ceta|cptpp|liberation.day|softwood|lumber.dut"),
@@ -105,9 +111,24 @@ def sanitize(c: Column, cap: int | None = None) -> Column:
     return s if cap is None else F.when(F.length(s) > cap, F.concat(F.regexp_replace(F.substring(s, 1, cap - 1), rf"{WS}$", ""), F.lit("…"))).otherwise(s)
 
 
+def squeeze(c: Column) -> Column:
+    """Runs of white space as one blank; no blank of any kind at the ends."""
+    return F.trim(F.regexp_replace(c, WS, " "), F.lit(BLANKS))
+
+
+def lower(c: Column) -> Column:
+    """Lower case, a character for each, wherever it stands: Σ is σ at the end of a word too, İ is i."""
+    return F.lower(F.replace(F.replace(c, F.lit("İ"), F.lit("i")), F.lit("Σ"), F.lit("σ")))
+
+
+def fold_case(c: Column) -> Column:
+    """Equal where the upper cases of the lower cases are, a character for each: ß is not ss, a long s is s."""
+    return F.translate(lower(c), *FOLDED)
+
+
 def collapse(c: Column) -> Column:
     """Lower case, runs of white space as one blank, none at the ends; null as empty."""
-    return F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), WS, " ")))
+    return lower(squeeze(F.coalesce(c, F.lit(""))))
 
 
 def _matching(c: Column, rules: list[tuple[str, str]]) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -301,19 +301,21 @@ def resolve_scope(direct: DataFrame, resolved: DataFrame, corpus: DataFrame, reg
 LEAST_NAME = 4
 
 
-def contains_lookup(rows: DataFrame, text: str, dim: DataFrame, name: str, entity: str, gram: int = 8) -> DataFrame:
+def contains_lookup(rows: DataFrame, text: str, dim: DataFrame, name: str, entity: str, gram: int = 8, fold: Callable[[Column], Column] = F.upper) -> DataFrame:
     """Rows with the least entity whose upper-case name (LEAST_NAME characters or more) the text contains.
 
+    ``fold`` makes names and texts comparable where upper case is not wanted.
+
     A name is looked up by its first ``gram`` characters, a shorter one by its first LEAST_NAME,
     among those of the text's positions: an equi-join, then an exact test; names are never tried
     on all rows. Names that share their first characters meet the same rows, so ``gram`` should
     tell most names apart.
     """
-    n = dim.select(F.upper(F.trim(F.col(name))).alias("__n"), F.col(entity).alias("__e")).filter(F.length("__n") >= min(gram, LEAST_NAME)).groupBy("__n").agg(F.min("__e").alias("__e"))
+    n = dim.select(fold(F.trim(F.col(name))).alias("__n"), F.col(entity).alias("__e")).filter(F.length("__n") >= min(gram, LEAST_NAME)).groupBy("__n").agg(F.min("__e").alias("__e"))
     n = n.withColumn("__g", F.when(F.length("__n") >= gram, F.substring("__n", 1, gram)).otherwise(F.substring("__n", 1, LEAST_NAME)))
     # Digests of grams travel with two hashes of the text, not with the text; texts that may hold a name are fetched by their hashes.
-    upper = F.upper(F.coalesce(F.col(text), F.lit("")))
-    tagged = rows.withColumns({"__u": upper, "__h": F.xxhash64(upper), "__i": F.xxhash64(F.lit(1), upper)})
+    folded = fold(F.coalesce(F.col(text), F.lit("")))
+    tagged = rows.withColumns({"__u": folded, "__h": F.xxhash64(folded), "__i": F.xxhash64(F.lit(1), folded)})
     names = n.select("__n", "__e", "__g").mapInPandas(_first_gram, "__n string, __e " + n.schema["__e"].dataType.simpleString() + ", __d long")
     sizes = sorted({gram, min(gram, LEAST_NAME)})
     probe = tagged.select("__h", "__i", "__u").mapInPandas(lambda batches: _all_grams(batches, sizes), "__h long, __i long, __d array<long>").select("__h", "__i", F.explode("__d").alias("__d"))

@@ -62,16 +62,16 @@ def verified(quote: Column, source: Column, least: int = 8) -> Column:
     return (F.length(q) >= least) & (s != "") & F.contains(s, q)
 
 
-def ground(cells_: DataFrame, chunks: DataFrame, doc: str = "doc_id", chunk: str = "chunk_id") -> DataFrame:
+def ground(cells_: DataFrame, chunks: DataFrame, doc: str = "doc_id", chunk: str = "chunk_id", least: int = 8) -> DataFrame:
     """Cells (doc, chunk, field, value, quote) held against the text of the chunk that they cite.
 
     A quote that fails is cleared with its chunk id, and failed is set; the value stays. Cells
-    without a quote are left alone. Chunks meet cells in one equi-join.
+    without a quote are left alone; one of less than ``least`` characters fails. Chunks meet cells in one equi-join.
     """
     c = chunks.select(F.col(doc).alias("__d"), F.col(chunk).alias("__c"), F.col("text").alias("__t"))
     met = cells_.join(c, (F.col(doc) == F.col("__d")) & (F.col(chunk) == F.col("__c")), "left")
     asked = F.trim(F.coalesce("quote", F.lit(""))) != ""
-    failed = asked & ~F.coalesce(verified(F.col("quote"), F.col("__t")), F.lit(False))
+    failed = asked & ~F.coalesce(verified(F.col("quote"), F.col("__t"), least), F.lit(False))
     kept = {c: F.when(~F.col("failed"), F.col(c)) for c in ("quote", chunk)}
     return met.withColumn("failed", failed).select(*[kept.get(x, F.col(x)).alias(x) for x in cells_.columns], "failed")
 
