@@ -320,8 +320,7 @@ def contains_lookup(rows: DataFrame, text: str, dim: DataFrame, name: str, entit
     sizes = sorted({gram, min(gram, LEAST_NAME)})
     probe = tagged.select("__h", "__i", "__u").mapInPandas(lambda batches: _all_grams(batches, sizes), "__h long, __i long, __d array<long>").select("__h", "__i", F.explode("__d").alias("__d"))
     may = probe.join(names, "__d").select("__h", "__i", "__n", "__e").distinct()
-    texts = tagged.select("__h", "__i", "__u").join(may.select("__h", "__i").distinct(), ["__h", "__i"], "left_semi").dropDuplicates(["__h", "__i"])
-    hits = may.join(texts, ["__h", "__i"]).filter(F.contains(F.col("__u"), F.col("__n")))
+    hits = tagged.select("__h", "__i", "__u").join(may, ["__h", "__i"]).filter(F.contains(F.col("__u"), F.col("__n")))
     hits = hits.groupBy("__h", "__i").agg(F.min("__e").alias("entity_id"))
     return tagged.join(hits, ["__h", "__i"], "left").drop("__h", "__i", "__u")
 
